@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm import chat, licenses, mixing, topk
+from deltaloom.llm import chat, jaccard_join, licenses, mixing, substring_dedup, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,11 @@ FROM c GROUP BY conv_id
 """
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     quality = mixing.quality_weights(_table(spark, sf_dir, "labels"))
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"), quality)
@@ -86,10 +91,16 @@ d AS (SELECT doc_id, sha256({licenses.canonical_sql("text")}) AS digest FROM doc
 SELECT doc_id, digest, license_id FROM d LEFT JOIN k ON digest = known
 """
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_mixing": op4_mixing,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_license_scan": op7_license_scan,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op6_exact_top_k": OP6_SQL, "op7_license_scan": OP7_SQL}
