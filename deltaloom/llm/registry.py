@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm import chat, jaccard_join, licenses, mixing, substring_dedup, topk
+from deltaloom.llm import chat, decontaminate, jaccard_join, licenses, mixing, secrets, substring_dedup, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,6 +91,20 @@ d AS (SELECT doc_id, sha256({licenses.canonical_sql("text")}) AS digest FROM doc
 SELECT doc_id, digest, license_id FROM d LEFT JOIN k ON digest = known
 """
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = secrets.scan_secrets(docs, secrets.train(docs))
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(said(F.filter("spans", lambda s: s["kind"] != "markov")), 256).alias("base_sha256"), said(F.col("spans")).alias("spans")
+    )
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(_table(spark, sf_dir, "documents"))
 
@@ -101,6 +115,8 @@ QUERIES: dict[str, Query] = {
     "op4_mixing": op4_mixing,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_license_scan": op7_license_scan,
+    "op8_decontamination": op8_decontamination,
+    "op9_secret_scan": op9_secret_scan,
     "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op6_exact_top_k": OP6_SQL, "op7_license_scan": OP7_SQL}

@@ -19,6 +19,9 @@ import pyarrow.compute as pc
 CHUNK = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Also ASCII punctuation parts words.
+PLAIN = np.zeros(256, bool)
+PLAIN[:128] = [not chr(i).isalnum() for i in range(128)]
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _M = 1 << 64
@@ -115,15 +118,15 @@ def columns(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def split(array: pa.Array) -> Iterator[Words]:
-    """The words of a text column, some texts at a time."""
+def split(array: pa.Array, apart: np.ndarray = _SPACE) -> Iterator[Words]:
+    """The words of a text column, some texts at a time. apart: the bytes between words."""
     data, offsets = columns(array)
     lo = 0
     while lo < len(offsets) - 1:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK, "right")) - 1)
         part = data[offsets[lo] : offsets[hi]]
         text_at = offsets[lo : hi + 1] - offsets[lo]
-        word = ~_SPACE[part]
+        word = ~apart[part]
         edge = np.zeros(len(part) + 1, bool)
         edge[text_at] = True
         before, after = np.empty(len(part), bool), np.empty(len(part), bool)
