@@ -6,10 +6,13 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -29,6 +32,20 @@ def get_spark(app: str = "deltaloom", cores: int | str = "*", shuffle_partitions
     return builder.getOrCreate()
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    home = Path(__file__).resolve().parent
+    path = f"{tempfile.mkdtemp(prefix='deltaloom-code-')}/{home.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
 
