@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm import chat, decontaminate, jaccard_join, licenses, mixing, secrets, substring_dedup, topk
+from deltaloom.llm import chat, decontaminate, jaccard_join, licenses, mixing, secrets, substring_dedup, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,15 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id")))
+    model = toxicity.train(toxicity.sample_of(docs, labels, "toxic"))
+    return toxicity.score_toxicity(docs, model).select(
+        "doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -113,6 +122,7 @@ QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_mixing": op4_mixing,
+    "op5_toxicity": op5_toxicity,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_license_scan": op7_license_scan,
     "op8_decontamination": op8_decontamination,
