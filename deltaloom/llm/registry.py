@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm import chat, decontaminate, jaccard_join, licenses, mixing, secrets, substring_dedup, topk, toxicity
+from deltaloom.llm import chat, decontaminate, jaccard_join, licenses, mixing, quality, secrets, substring_dedup, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     quality = mixing.quality_weights(_table(spark, sf_dir, "labels"))
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"), quality)
@@ -121,6 +126,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
     "op6_exact_top_k": op6_exact_top_k,
