@@ -15,12 +15,13 @@ in the first partition in which one of them isn't thin. After LEVELS partitions
 thin sets meet by single shingles. So no pair is lost.
 
 Candidates: in each group of sets with an equal block every set is first held
-against the group's smallest. Exact verification compares whole shingle sets.
+against the most connected one. Exact verification compares whole shingle sets.
 Then groups whose sets are not yet in one component give the remaining pairs
 between components which a second, packed sketch of 512 bits and the sizes don't
-rule out; after these are verified, each pair of every group is linked, proved
-unlinked, or joined through others. Sets are 64-bit fingerprints in all this;
-documents with equal sets are one.
+rule out: first each set's nearest, then those still between components that a
+sketch of 4096 bits doesn't rule out either. After these are verified, each pair
+of every group is linked, proved unlinked, or joined through others. Sets are
+64-bit fingerprints in all this; documents with equal sets are one.
 
 Defined results: documents with fewer words than five have their whole sequence
 as the only shingle; those without words or text have n_shingles 0 and stay
@@ -48,6 +49,8 @@ BUCKET, HELD = 1_500_000, 3_000_000
 #: Members verified against one copy of their leader.
 CHUNK_MEMBERS = 256
 _SKETCH = 512
+#: Logarithms of the bits of the wide sketch, of the filter of wanted documents and of a block of it.
+WIDE, FILTER, FILTER_BLOCK = 12, 24, 16
 _WORDS = _SKETCH // 64
 
 
@@ -195,11 +198,14 @@ def _keys(buckets: int):
     return run
 
 
-_GROUPS = pa.schema([("star_a", pa.binary()), ("star_b", pa.binary()), ("star_n", pa.binary()), ("keys", pa.binary()), ("sids", pa.binary())])
+_GROUPS = pa.schema([("keys", pa.binary()), ("sids", pa.binary()), ("shared", pa.binary())])
 
 
 def _group(table: pa.Table) -> pa.Table:
-    """A bucket's groups of two sets or more, and each group's smallest set with every other, counted."""
+    """A bucket's groups of two sets or more; groups of the same sets are one, with the number of their keys.
+
+    A group is named by its sets, so that equal groups of other buckets join it.
+    """
     read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()])
     key = (read("high", np.uint32).astype(np.uint64) << np.uint64(16)) | read("low", np.uint16)
     sid = read("sids", np.uint64)
@@ -210,17 +216,13 @@ def _group(table: pa.Table) -> pa.Table:
     key, sid = key[new], sid[new]
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(begin, len(key)))
-    many = np.repeat(size > 1, size)
-    lead, rest = np.repeat(sid[begin], size), np.ones(len(key), bool)
-    rest[begin] = False
-    a, b = lead[rest], sid[rest]
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, int)
-    count = np.diff(np.append(at, len(a))).astype(np.int32)
-    # a key's name must differ between buckets
-    name = mix(key[many] ^ (np.uint64(table.column("bucket")[0].as_py() + 1) << np.uint64(48)))
-    return pa.Table.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (a[at], b[at], count, name, sid[many])], schema=_GROUPS)
+    name = mix(np.add.reduceat(mix(sid + np.uint64(3)), begin) + size.astype(np.uint64))
+    name, first, count = np.unique(np.where(size > 1, name, np.uint64(0)), return_index=True, return_counts=True)
+    some = size[first] > 1
+    name, first, count = name[some], first[some], count[some]
+    size, begin = size[first], begin[first]
+    index = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(size) else np.zeros(0, int)
+    return pa.Table.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (np.repeat(name, size), sid[index], np.repeat(count, size).astype(np.int32))], schema=_GROUPS)
 
 
 def _unpack(names: tuple[str, ...], kinds: tuple[type, ...]):
@@ -259,28 +261,66 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_VERIFY)
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets whose similarity is 0.8 or more, by comparing whole sets.
+def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets whose similarity is 0.8 or more, by comparing whole sets; texts: (sid, text).
 
     Each leader a is sent once for CHUNK_MEMBERS of its members.
     """
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK_MEMBERS).cast("int").alias("chunks"))
     chunks = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("salt"), F.col("b").alias("own"))
-    chunks = materialize(chunks.union(chunks.select("a", "salt", F.col("a").alias("own")).distinct()), "chunks")
-    wanted = materialize(owners.join(chunks.select("own").distinct(), F.col("sid") == F.col("own")).select("sid", "owner"), "wanted")
-    texts = materialize(docs.join(wanted, F.col("doc_id") == F.col("owner")).select("doc_id", "sid", "text"), "texts")
-    # a doc_id may stand for several texts: only the one with the set counts
-    texts = texts.mapInArrow(_only_own, "sid long, text string")
-    rows = chunks.join(texts, F.col("own") == F.col("sid")).select("a", "salt", "own", "text")
+    chunks = chunks.union(chunks.select("a", "salt", F.col("a").alias("own")).distinct())
+    rows = chunks.hint("merge").join(texts, F.col("own") == F.col("sid")).select("a", "salt", "own", "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("own") != F.col("a"))
-    return rows.mapInArrow(_verify, "a long, b long")
+    return materialize(rows.mapInArrow(_verify, "a long, b long"), "linked")
 
 
-def _only_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bits of the cells that occur, as packed blocks."""
+    bits = np.zeros(1 << FILTER, bool)
     for batch in batches:
-        ids = [set_ids(*shingle_sets(w)) for w in split(batch.column(2))]
-        own = np.concatenate(ids).view(np.int64) == batch.column(1).to_numpy() if ids else np.zeros(0, bool)
-        yield batch.select([1, 2]).filter(pa.array(own))
+        bits[batch.column(0).to_numpy()] = True
+    size = 1 << FILTER_BLOCK
+    for i in np.flatnonzero(bits.reshape(-1, size).any(axis=1)):
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.packbits(bits[i * size : (i + 1) * size]).tobytes()], pa.binary())], names=["block", "bits"])
+
+
+def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, text, wide sketch) of the wanted sets, without a shuffle of texts.
+
+    A bitmap of 2**FILTER bits, whatever the input, tells the scan which documents
+    may be wanted; it lets others through now and then, which then go unused.
+    """
+    spark = docs.sparkSession
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER)).cast("int")
+    cells = sets.join(wanted, "sid", "left_semi").select(cell("owner").alias("cell")).distinct()
+    blocks = bytearray(1 << (FILTER - 3))
+    for row in cells.mapInArrow(_cells, "block int, bits binary").toLocalIterator():
+        at = row["block"] << (FILTER_BLOCK - 3)
+        old, size = int.from_bytes(blocks[at : at + (1 << (FILTER_BLOCK - 3))]), 1 << (FILTER_BLOCK - 3)
+        blocks[at : at + size] = (old | int.from_bytes(row["bits"])).to_bytes(size)
+    sent = spark.sparkContext.broadcast(bytes(blocks))
+    fields = [("doc_id", pa.int64()), ("sid", pa.int64()), ("text", pa.string()), ("wide", pa.binary())]
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(sent.value, np.uint8)
+        for batch in batches:
+            c = batch.column(2).to_numpy()
+            some = batch.filter(pa.array((bits[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1))
+            for w in split(some.column(1)):
+                g, at = shingle_sets(w)
+                sid = pa.array(set_ids(g, at).view(np.int64))
+                wide = pa.array([np.packbits(np.bincount((g[a:b] >> np.uint64(64 - WIDE)).astype(int), minlength=1 << WIDE).astype(np.uint8) & 1).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([some.column(0).slice(w.lo, w.hi - w.lo), sid, some.column(1).slice(w.lo, w.hi - w.lo).cast(pa.string()), wide], schema=pa.schema(fields))
+
+    return materialize(docs.where("doc_id is not null").withColumn("cell", cell("doc_id")).mapInArrow(pick, "doc_id long, sid long, text string, wide binary"), "texts")
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that the wide sketches don't rule out."""
+    for batch in batches:
+        both = np.stack([np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (3, 4)]) if batch.num_rows else np.zeros((2, 0, 1), np.uint8)
+        far = np.bitwise_count(both[0] ^ both[1]).sum(axis=1)
+        yield batch.select([0, 1]).filter(pa.array(9 * far <= batch.column(2).to_numpy()))
 
 
 def _differ(a: str, b: str) -> Column:
@@ -302,27 +342,50 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     buckets = int(total // 2 // BUCKET + 1)
     packed = docs.where("doc_id is not null").select("text").mapInArrow(_keys(buckets), "bucket int, high binary, low binary, sids binary")
-    groups = packed.groupBy("bucket").applyInArrow(_group, "star_a binary, star_b binary, star_n binary, keys binary, sids binary")
-    groups = materialize(groups, "groups")
-
-    stars = groups.select("star_a", "star_b", "star_n").mapInArrow(_unpack(("a", "b", "n"), (np.uint64, np.uint64, np.int32)), "a long, b long, n long")
-    stars = stars.groupBy("a", "b").agg(F.sum("n").alias("shared"))
+    groups = packed.groupBy("bucket").applyInArrow(_group, "keys binary, sids binary, shared binary")
+    members = groups.mapInArrow(_unpack(("key", "sid", "shared"), (np.uint64, np.uint64, np.int32)), "key long, sid long, shared long")
+    members = materialize(members.groupBy("key", "sid").agg(F.sum("shared").alias("shared")), "members")
+
+    # each set against the most connected set of its groups: of several, the one it shares most with
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    degrees = members.join(sizes, "key").groupBy("sid").agg(F.sum(F.col("shared") * (F.col("size") - 1)).alias("degree"))
+    members = materialize(members.join(degrees, "sid"), "members")
+    leaders = members.groupBy("key").agg(F.max(F.struct("degree", "sid")).alias("top")).select("key", F.col("top.sid").alias("a"))
+    stars = members.join(leaders, "key").where("sid != a").groupBy("a", F.col("sid").alias("b")).agg(F.sum("shared").alias("shared"))
     stars = stars.join(sets.alias("s"), F.col("a") == F.col("s.sid")).join(sets.alias("t"), F.col("b") == F.col("t.sid")).where(_possible("s", "t")).select("a", "b", "shared")
     best = materialize(stars.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b"), "best")
-    links = materialize(_linked(best, docs, sets), "linked")
+    texts = _texts(docs, sets, best.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
+    links = _linked(best, texts)
     names = connected_components(links)
 
-    members = groups.select("keys", "sids").mapInArrow(_unpack(("key", "sid"), (np.uint64, np.uint64)), "key long, sid long")
-    members = materialize(members.join(names, F.col("sid") == F.col("id"), "left").select("key", "sid", F.coalesce("component", "sid").alias("component")), "members")
-    torn = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    members = members.join(torn, "key", "left_semi").join(sets.drop("owner"), "sid")
-    rest = members.alias("s").join(members.alias("t"), (F.col("s.key") == F.col("t.key")) & (F.col("s.component") < F.col("t.component")) & _possible("s", "t"))
-    rest = rest.select(F.least("s.sid", "t.sid").alias("a"), F.greatest("s.sid", "t.sid").alias("b")).distinct()
+    # what may still join components: every pair of a group in two of them
+    named = members.join(names, F.col("sid") == F.col("id"), "left").select("key", "sid", F.coalesce("component", "sid").alias("component"))
+    named = materialize(named, "named")
+    torn = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    named = named.join(torn, "key", "left_semi").join(sets.drop("owner"), "sid")
+    rest = named.alias("s").join(named.alias("t"), (F.col("s.key") == F.col("t.key")) & (F.col("s.component") < F.col("t.component")) & _possible("s", "t"))
+    rest = rest.select(F.least("s.sid", "t.sid").alias("a"), F.greatest("s.sid", "t.sid").alias("b"), (F.col("s.n") + F.col("t.n")).alias("total"), _differ("s", "t").alias("far")).dropDuplicates(["a", "b"])
     tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        links = links.union(_linked(rest, docs, sets))
+        texts = _texts(docs, sets, rest.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
+        # first each set's nearest, then all that are left
+        both = rest.select(F.col("a").alias("sid"), F.struct("far", "a", "b").alias("pair")).union(rest.select(F.col("b"), F.struct("far", "a", "b")))
+        nearest = materialize(both.groupBy("sid").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct(), "nearest")
+        links = links.union(_linked(nearest, texts))
         names = connected_components(links)
+        label = lambda c: names.select(F.col("id").alias(f"id_{c}"), F.col("component").alias(f"in_{c}"))
+        wide = texts.select("sid", "wide")
+        open_ = rest.join(nearest, ["a", "b"], "left_anti")
+        for end in ("a", "b"):
+            open_ = open_.join(label(end), F.col(end) == F.col(f"id_{end}"), "left").withColumn(f"in_{end}", F.coalesce(f"in_{end}", end))
+        open_ = open_.where("in_a != in_b").select("a", "b", "total")
+        for end in ("a", "b"):
+            open_ = open_.join(wide.select(F.col("sid").alias(f"sid_{end}"), F.col("wide").alias(f"wide_{end}")), F.col(end) == F.col(f"sid_{end}")).drop(f"sid_{end}")
+        open_ = materialize(open_.select("a", "b", "total", "wide_a", "wide_b").mapInArrow(_near, "a long, b long").distinct(), "open")
+        if not open_.isEmpty():
+            links = links.union(_linked(open_, texts))
+            names = connected_components(links)
 
     owned = sets.join(names, F.col("sid") == F.col("id"), "left").select("sid", "owner", F.coalesce("component", "sid").alias("component"))
     heads = owned.groupBy("component").agg(F.min("owner").alias("head"))
