@@ -45,7 +45,7 @@ from deltaloom.session import materialize
 SHINGLE = 5
 LEVELS = 12
 #: Block keys in a bucket of the grouping, about; and kept by a task before it hands them on.
-BUCKET, HELD = 1_500_000, 3_000_000
+BUCKET, HELD = 500_000, 1_000_000
 #: Members verified against one copy of their leader.
 CHUNK_MEMBERS = 256
 _SKETCH = 512
