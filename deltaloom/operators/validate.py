@@ -28,7 +28,7 @@ def bad_counts(counts: DataFrame, most: float | None = None) -> DataFrame:
     found = counts.select("cell", "gene", reason.alias("reason")).where("reason is not null")
     if most is None:
         return found
-    totals = counts.groupBy("cell").agg(F.sum("cnt").alias("total")).where(F.col("total") > most)
+    totals = counts.where(~F.isnan(F.col("cnt").cast("double"))).groupBy("cell").agg(F.sum("cnt").alias("total")).where(F.col("total") > most)
     return found.unionByName(totals.select("cell", F.lit(None).cast(dict(counts.dtypes)["gene"]).alias("gene"), F.lit("total").alias("reason")))
 
 

@@ -7,10 +7,14 @@ import contextlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows in an Arrow batch while a table is materialized.
+ARROW_ROWS = 1000
+
 _LOCAL: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -63,6 +67,18 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL[sc.applicationId]
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Jobs run inside hand Python at most so many rows at a time: whole texts make large batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(most, int(before)) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
@@ -70,7 +86,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/deltaloom/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with arrow_rows(spark, ARROW_ROWS):
+        df.write.parquet(path)
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
