@@ -92,10 +92,13 @@ KNOWN = {
 }
 
 
+#: The rest of a line that begins with the word or the sign and has a year or the sign after it.
+_COPYRIGHT = r"[^\p{L}\p{N}\n]*(?:\(c\)|copyright|©)[^\n]*(?:[0-9]{4}|\(c\)|©)[^\n]*"
+
+
 def canonical(text: Column) -> Column:
     t = F.lower(text)
-    # a line that begins with the sign or the word, and states a year or a holder
-    t = F.regexp_replace(t, r"(^|\n)[^\p{L}\p{N}\n]*(?:copyright|©)[^\n]*", "$1")
+    t = F.regexp_replace(t, rf"(^|\n){_COPYRIGHT}", "$1")
     t = F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")
     for written, meant in SPELLINGS:
         t = F.replace(t, F.lit(written), F.lit(meant))
@@ -104,7 +107,7 @@ def canonical(text: Column) -> Column:
 
 def canonical_sql(text: str) -> str:
     """The same in DuckDB's SQL."""
-    t = rf"regexp_replace(lower({text}), '(^|\n)[^\p{{L}}\p{{N}}\n]*(?:copyright|©)[^\n]*', '\1', 'g')"
+    t = rf"regexp_replace(lower({text}), '(^|\n){_COPYRIGHT}', '\1', 'g')"
     t = rf"regexp_replace({t}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')"
     for written, meant in SPELLINGS:
         t = f"replace({t}, '{written}', '{meant}')"
