@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in an Arrow batch while a table is materialized.
 ARROW_ROWS = 1000
+#: Rows in a file of a table known to be small.
+FILE_ROWS = 50_000
 
 _LOCAL: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -79,12 +81,15 @@ def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
-    Cuts the lineage; the files survive the loss of an executor.
+    Cuts the lineage; the files survive the loss of an executor. rows: how many
+    there are at most, if known, so that small tables don't become many files.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(rows // FILE_ROWS + 1)
     path = f"{shared_root(spark)}/deltaloom/{tag}-{uuid.uuid4().hex}"
     with arrow_rows(spark, ARROW_ROWS):
         df.write.parquet(path)
