@@ -8,23 +8,28 @@ from pyspark.sql import functions as F
 from deltaloom.session import materialize
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def _labels(edges: DataFrame) -> DataFrame:
+    """of, label: the smallest id among each id and its neighbours."""
+    both = edges.select("a", "b").union(edges.select("b", "a"))
+    return both.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("low")).select("of", F.least("of", "low").alias("label"))
+
+
+def connected_components(links: DataFrame, most: int) -> DataFrame:
     """(a, b) to (id, component) for each id in a link; the component's name is one of its ids.
 
     In each round every id takes the smallest id among itself and its
     neighbours as its label, and links are contracted to links between labels.
+    most: a bound of the number of links.
     """
-    edges = materialize(links.where("a != b").select("a", "b").distinct(), "links")
-    names = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id"))
-    names = materialize(names, "names")
-    while not edges.isEmpty():
-        both = edges.select("a", "b").union(edges.select("b", "a"))
-        label = both.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("low")).select("of", F.least("of", "low").alias("label"))
-        label = materialize(label, "labels")
-        names = materialize(
-            names.join(label, F.col("component") == F.col("of"), "left").select("id", F.coalesce("label", "component").alias("component")), "names"
-        )
+    rounds = [materialize(links.where("a != b").select("a", "b").distinct(), "links", most)]
+    while not rounds[-1].isEmpty():
+        edges = rounds[-1]
+        label = _labels(edges)
         for end in ("a", "b"):
             edges = edges.join(label.withColumnsRenamed({"of": f"of_{end}", "label": f"label_{end}"}), F.col(end) == F.col(f"of_{end}"))
-        edges = materialize(edges.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).where("a != b").distinct(), "links")
-    return names
+        edges = edges.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).where("a != b").distinct()
+        rounds.append(materialize(edges, "links", most))
+    names = _labels(rounds[0]).withColumnsRenamed({"of": "id", "label": "component"})
+    for edges in rounds[1:-1]:
+        names = names.join(_labels(edges), F.col("component") == F.col("of"), "left").select("id", F.coalesce("label", "component").alias("component"))
+    return materialize(names, "names", 2 * most)

@@ -338,42 +338,44 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = materialize(docs.mapInArrow(_profiles, "doc_id long, n long, sid long, " + ", ".join(f"x{i} long" for i in range(_WORDS))), "profiles")
     sets = profile.where("doc_id is not null and n > 0").groupBy("sid").agg(F.min("doc_id").alias("owner"), F.first("n").alias("n"), *(F.first(f"x{i}").alias(f"x{i}") for i in range(_WORDS)))
-    sets = materialize(sets, "sets")
+    sets = materialize(sets, "sets", profile.count())
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     buckets = int(total // 2 // BUCKET + 1)
     packed = docs.where("doc_id is not null").select("text").mapInArrow(_keys(buckets), "bucket int, high binary, low binary, sids binary")
     groups = packed.groupBy("bucket").applyInArrow(_group, "keys binary, sids binary, shared binary")
     members = groups.mapInArrow(_unpack(("key", "sid", "shared"), (np.uint64, np.uint64, np.int32)), "key long, sid long, shared long")
     members = materialize(members.groupBy("key", "sid").agg(F.sum("shared").alias("shared")), "members")
+    n_sets, n_members = sets.count(), members.count()
 
     # each set against the most connected set of its groups: of several, the one it shares most with
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
     degrees = members.join(sizes, "key").groupBy("sid").agg(F.sum(F.col("shared") * (F.col("size") - 1)).alias("degree"))
-    members = materialize(members.join(degrees, "sid"), "members")
+    members = materialize(members.join(degrees, "sid"), "members", n_members)
     leaders = members.groupBy("key").agg(F.max(F.struct("degree", "sid")).alias("top")).select("key", F.col("top.sid").alias("a"))
     stars = members.join(leaders, "key").where("sid != a").groupBy("a", F.col("sid").alias("b")).agg(F.sum("shared").alias("shared"))
     stars = stars.join(sets.alias("s"), F.col("a") == F.col("s.sid")).join(sets.alias("t"), F.col("b") == F.col("t.sid")).where(_possible("s", "t")).select("a", "b", "shared")
-    best = materialize(stars.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b"), "best")
+    best = materialize(stars.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b"), "best", n_sets)
     texts = _texts(docs, sets, best.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
     links = _linked(best, texts)
-    names = connected_components(links)
+    names = connected_components(links, n_sets)
 
     # what may still join components: every pair of a group in two of them
     named = members.join(names, F.col("sid") == F.col("id"), "left").select("key", "sid", F.coalesce("component", "sid").alias("component"))
-    named = materialize(named, "named")
+    named = materialize(named, "named", n_members)
     torn = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     named = named.join(torn, "key", "left_semi").join(sets.drop("owner"), "sid")
     rest = named.alias("s").join(named.alias("t"), (F.col("s.key") == F.col("t.key")) & (F.col("s.component") < F.col("t.component")) & _possible("s", "t"))
     rest = rest.select(F.least("s.sid", "t.sid").alias("a"), F.greatest("s.sid", "t.sid").alias("b"), (F.col("s.n") + F.col("t.n")).alias("total"), _differ("s", "t").alias("far")).dropDuplicates(["a", "b"])
     tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
+    n_rest = rest.count()
+    if n_rest:
         texts = _texts(docs, sets, rest.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
         # first each set's nearest, then all that are left
         both = rest.select(F.col("a").alias("sid"), F.struct("far", "a", "b").alias("pair")).union(rest.select(F.col("b"), F.struct("far", "a", "b")))
-        nearest = materialize(both.groupBy("sid").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct(), "nearest")
+        nearest = materialize(both.groupBy("sid").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct(), "nearest", n_rest)
         links = links.union(_linked(nearest, texts))
-        names = connected_components(links)
+        names = connected_components(links, n_sets + n_rest)
         label = lambda c: names.select(F.col("id").alias(f"id_{c}"), F.col("component").alias(f"in_{c}"))
         wide = texts.select("sid", "wide")
         open_ = rest.join(nearest, ["a", "b"], "left_anti")
@@ -382,10 +384,10 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         open_ = open_.where("in_a != in_b").select("a", "b", "total")
         for end in ("a", "b"):
             open_ = open_.join(wide.select(F.col("sid").alias(f"sid_{end}"), F.col("wide").alias(f"wide_{end}")), F.col(end) == F.col(f"sid_{end}")).drop(f"sid_{end}")
-        open_ = materialize(open_.select("a", "b", "total", "wide_a", "wide_b").mapInArrow(_near, "a long, b long").distinct(), "open")
+        open_ = materialize(open_.select("a", "b", "total", "wide_a", "wide_b").mapInArrow(_near, "a long, b long").distinct(), "open", n_rest)
         if not open_.isEmpty():
             links = links.union(_linked(open_, texts))
-            names = connected_components(links)
+            names = connected_components(links, n_sets + n_rest)
 
     owned = sets.join(names, F.col("sid") == F.col("id"), "left").select("sid", "owner", F.coalesce("component", "sid").alias("component"))
     heads = owned.groupBy("component").agg(F.min("owner").alias("head"))

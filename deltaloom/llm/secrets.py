@@ -1,9 +1,9 @@
 """Secret scans: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
 One model is trained on random strings, one on ordinary words and identifiers,
-from labelled samples: what the patterns capture in a sample of documents, with
-random strings drawn here, against the other words of that sample and
-identifiers made of them. A run of characters is a secret if its mean
+from labelled samples: what the patterns capture in a sample of documents, and
+random strings drawn here, against the other words of that sample with
+identifiers made of them, and names that programs have. A run of characters is a secret if its mean
 log-likelihood ratio for each character reaches MEAN.
 
 Defined results: null text is empty; spans are in code points, end exclusive; a
@@ -12,7 +12,9 @@ run inside a span found by pattern isn't reported again.
 
 from __future__ import annotations
 
+import importlib
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +32,9 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 8, 16, 32
 #: Runs of at least so many characters are scored; the ratio at which one is a secret; documents the models learn from, about.
-RUN, MEAN, SAMPLE = 16, 0.9, 4000
+RUN, MEAN, SAMPLE = 16, 0.3, 4000
+#: No pair of characters counts for more.
+LIMIT = 3.0
 
 _HEX = np.zeros(256, bool)
 _HEX[[*b"0123456789abcdef"]] = True
@@ -81,16 +85,18 @@ class Markov:
     ratio: np.ndarray
 
     @classmethod
-    def fit(cls, secret: np.ndarray, plain: np.ndarray) -> Markov:
-        def logs(n: np.ndarray) -> np.ndarray:
-            n = n.astype(float).copy()
-            n[:, 0] = 0  # ends don't count
-            total = n.sum(axis=0) + 0.1
-            share = total / total.sum()
-            # what a state is seldom followed by backs off to how frequent it is
-            return np.log((n + 2.0 * share) / (n.sum(axis=1, keepdims=True) + 2.0))
+    def fit(cls, secret: list[np.ndarray], plain: list[np.ndarray], weight: float = 3.0) -> Markov:
+        """From counts of pairs; the samples of a side have equal say, whatever their sizes."""
 
-        return cls(logs(secret) - logs(plain))
+        def logs(samples: list[np.ndarray]) -> np.ndarray:
+            parts = []
+            for n in samples:
+                n = n.astype(float)
+                n[:, 0] = 0  # ends don't count
+                parts.append((n + weight / (_N - 1)) / (n.sum(axis=1, keepdims=True) + weight))
+            return np.log(np.mean(parts, axis=0))
+
+        return cls(np.clip(logs(secret) - logs(plain), -LIMIT, LIMIT))
 
     def mean(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         state = _STATE[data]
@@ -108,6 +114,22 @@ def drawn_secrets(seed: int = 7, each: int = 500) -> list[bytes]:
     return [bytes(rng.choice(np.frombuffer(a, np.uint8), rng.integers(RUN, 48))) for a in alphabets for _ in range(each)]
 
 
+def ordinary_names() -> list[bytes]:
+    """Identifiers, constants, paths, dates and numbers as programs have them, by rule from Python's own modules."""
+    modules = ("argparse", "asyncio", "builtins", "collections", "datetime", "decimal", "email", "errno", "http.client", "inspect", "json", "logging", "os", "pathlib", "signal", "socket", "sqlite3", "ssl", "stat", "string", "subprocess", "tarfile", "tempfile", "threading", "token", "types", "typing", "unittest", "urllib.request", "zipfile")
+    found = set(sys.stdlib_module_names)
+    for m in modules:
+        module = importlib.import_module(m)
+        found |= {n for n in dir(module)} | {n for c in vars(module).values() if isinstance(c, type) for n in dir(c)}
+    names = sorted(found)
+    joined = ["_".join(x.strip("_") for x in names[i : i + 3]) for i in range(0, len(names), 3)] + ["/".join(names[i : i + 4]) for i in range(0, len(names), 5)]
+    camel = ["".join(x.strip("_").capitalize() for x in names[i : i + 3]) for i in range(0, len(names), 4)]
+    web = [f"https/www-{n}-{end}/index-html" for n in names[::20] for end in ("com", "org", "net")]
+    dates = [f"{y}-{m:02}-{d:02}" for y in range(1990, 2031, 2) for m in range(1, 13) for d in (1, 15, 28)] + [f"{y}{m:02}{d:02}_report-v{m}" for y in range(2000, 2030, 3) for m in range(1, 13) for d in (3, 21)]
+    numbers = [str(k * k * 7919) for k in range(1, 2000, 3)] + ["0" * k for k in range(2, 40)] + ["-" * 40, "=" * 40, "_" * 40, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"] * 5
+    return [x.encode() for x in [*names, *(n.upper() for n in names[::2]), *joined, *camel, *web, *dates, *numbers] if x.isascii()]
+
+
 _COUNTS = pa.schema([("kind", pa.int32()), ("pair", pa.int32()), ("n", pa.int64())])
 
 
@@ -121,7 +143,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 blank = bytearray(raw)
                 for a, _, b, _ in found:
                     blank[a:b] = b" " * (b - a)
-                words = re.findall(rb"[A-Za-z0-9]+", bytes(blank))
+                # long words of letters and digits may be secrets that no pattern knows: they have no label
+                words = [x for x in re.findall(rb"[A-Za-z0-9]+", bytes(blank)) if len(x) < 8 or x.isalpha() or x.isdigit()]
                 made = [b"_".join(words[j : j + 3]) for j in range(0, len(words) - 2, 9)] + [b"".join(x.capitalize() for x in words[j : j + 3]) for j in range(3, len(words) - 2, 9)]
                 total[0] += _pairs(words + made).ravel()
     kind, pair = np.nonzero(total)
@@ -144,8 +167,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Markov:
     total = np.zeros((2, _N * _N), np.int64)
     for r in some.mapInArrow(_count, "kind int, pair int, n long").groupBy("kind", "pair").agg(F.sum("n").alias("n")).collect():
         total[r["kind"], r["pair"]] = r["n"]
-    total[1] += _pairs(drawn_secrets()).ravel()
-    return Markov.fit(total[1].reshape(_N, _N), total[0].reshape(_N, _N))
+    return Markov.fit([total[1].reshape(_N, _N), _pairs(drawn_secrets())], [total[0].reshape(_N, _N), _pairs(ordinary_names())])
 
 
 def find(w, model: Markov) -> Iterator[tuple[int, bytes, list[tuple[int, int, int]]]]:

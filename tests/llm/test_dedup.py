@@ -190,7 +190,7 @@ def test_set_ids_are_of_sets():
 def test_components(spark):
     rng = np.random.default_rng(0)
     edges = [(int(a), int(b)) for a, b in rng.integers(-500, 500, (600, 2))] + [(i, i + 1) for i in range(1000, 1040)] + [(5000, i) for i in range(2000, 2300)] + [(7, 7)]
-    got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), len(edges)).collect()}
     parent = {}
 
     def find(x):
