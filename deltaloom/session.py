@@ -7,12 +7,11 @@ import contextlib
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch while a table is materialized.
+#: Rows in an Arrow batch: as they hold whole texts, the usual 10,000 take too much memory on both sides.
 ARROW_ROWS = 1000
 #: Rows in a file of a table known to be small.
 FILE_ROWS = 50_000
@@ -39,8 +38,11 @@ def get_spark(app: str = "deltaloom", cores: int | str = "*", shuffle_partitions
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each application."""
+    """Send this package to the Python workers, once for each application, and have whole texts handed to them in small batches."""
     sc = spark.sparkContext
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
     if sc.applicationId in _SHIPPED:
         return
     home = Path(__file__).resolve().parent
@@ -69,18 +71,6 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL[sc.applicationId]
 
 
-@contextlib.contextmanager
-def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
-    """Jobs run inside hand Python at most so many rows at a time: whole texts make large batches."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(most, int(before)) if int(before) > 0 else most))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
@@ -91,8 +81,7 @@ def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.coalesce(rows // FILE_ROWS + 1)
     path = f"{shared_root(spark)}/deltaloom/{tag}-{uuid.uuid4().hex}"
-    with arrow_rows(spark, ARROW_ROWS):
-        df.write.parquet(path)
+    df.write.parquet(path)
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
