@@ -8,6 +8,7 @@ byte values spread over 64 bits and a final mix; two families are independent.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at a time; a longer text is handled alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: Also ASCII punctuation parts words.
@@ -25,6 +26,7 @@ PLAIN[:128] = [not chr(i).isalnum() for i in range(128)]
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _M = 1 << 64
+_LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -69,6 +71,13 @@ def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int
     return mix(h)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers stay, and share the executor's limit with other stages' workers."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 @dataclass
 class Words:
     """The words of the texts lo to hi of a column."""
@@ -137,3 +146,4 @@ def split(array: pa.Array, apart: np.ndarray = _SPACE) -> Iterator[Words]:
         ends = np.flatnonzero(word & (after | edge[1:])) + 1
         yield Words(lo, hi, part, text_at, starts, ends, np.searchsorted(starts, text_at))
         lo = hi
+    give_back()
