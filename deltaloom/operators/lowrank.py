@@ -114,3 +114,9 @@ def trees_predict(models: list, features: DataFrame, names: list[str]) -> DataFr
     for p in parts:
         out = out.union(p)
     return out
+
+
+def save_trees(models: list, path: str) -> None:
+    """One model for each component, under path."""
+    for c, m in enumerate(models):
+        m.write().overwrite().save(f"{path}/component={c}")

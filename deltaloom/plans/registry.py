@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloom.functions.expr import MISSING, cell_name, damped, finite_or_null, is_padded, log_norm, outside_mass, r6, target_id
-from deltaloom.operators import audit, calibration, cohorts, generate, graph, lowrank, metrics, pseudobulk, splits, transfer, validate
+from deltaloom.operators import audit, calibration, cohorts, families, generate, graph, lowrank, metrics, pseudobulk, splits, transfer, validate
 from deltaloom.plans.base import oracle
 from deltaloom.session import materialize
 from deltaloom.sources import star
@@ -721,6 +721,24 @@ def low_rank_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lowrank.reconstruct(lowrank.trees_predict(models, held, names), mean, basis).withColumn("p", r6("p"))
 
 
+@query()
+def grid_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses of ridge and trees over two folds, features made from each fold's training rows."""
+    t = Study(spark, sf_dir).transfer()
+    a, links, w = _graph(spark, sf_dir)
+    edges = materialize(graph.build_graph(a, links, w, THRESHOLD).withColumn("w", F.col("w").cast("double")), "edges")
+    y = materialize(t.train, "train")
+
+    def features_of(train: DataFrame) -> DataFrame:
+        scores = train.groupBy(F.col("target").alias("gene")).agg(F.avg("y").alias("score")).withColumn("k", F.lit(0))
+        f = graph.neighbour_features(edges, t.x_train.select(F.col("target").alias("gene"), "x"), scores)
+        return materialize(f.select(F.col("gene").alias("target"), "basal", F.col("is_missing").cast("double").alias("is_missing"), "log_support", "prior"), "features")
+
+    basal, graphed = ("basal", "is_missing"), ("basal", "is_missing", "log_support", "prior")
+    settings = [families.Setting("ridge", "basal_10", basal, 10.0), families.Setting("ridge", "graph_10", graphed, 10.0), families.Setting("trees", "trees_3", graphed, leaves=3, rounds=3, rate=0.1, least=2)]
+    return families.grid_losses(y, transfer.folds(t.x_train, 2, SEED), features_of, settings, 2, SEED).withColumn("mse", F.round("mse", 6))
+
+
 @query()
 def multinomial_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of equal depth for every context and perturbation."""

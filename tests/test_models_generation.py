@@ -130,3 +130,17 @@ def test_evaluation(spark):
     reference = metrics.moments(long, cells, genes)
     out = calibration.evaluate_candidates(p, splits.balanced_donors(p, 12, 1), {"legacy": delta(spark, 0, 0, 0)}, reference, [1, 2]).collect()
     assert [(r.candidate, r.seed) for r in out] == [("legacy", 1), ("legacy", 2)] and all(r.mean_log_rmse > 0 for r in out)
+
+
+def test_grid(spark):
+    from deltaloom.operators import families, transfer
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=24)
+    rows = [(f"t{i:02d}", j, float(x[i] * (j + 1) + 0.01 * rng.normal())) for i in range(24) for j in range(4)]
+    y = spark.createDataFrame(rows, "target string, gene long, y double")
+    f = spark.createDataFrame([(f"t{i:02d}", None if i == 5 else float(x[i]), float(rng.normal())) for i in range(24)], "target string, a double, b double")
+    settings = [families.Setting("ridge", "good", ("a",), 0.1), families.Setting("ridge", "bad", ("b",), 0.1), families.Setting("trees", "trees", ("a",), leaves=3, rounds=2, rate=0.3, least=2)]
+    losses = families.grid_losses(y, transfer.folds(y, 2, 1), lambda train: f, settings, 2, 1)
+    chosen = families.choose(losses)
+    assert chosen["winner"] == "good" and chosen["best"] == {"ridge": "good", "trees": "trees"} and losses.count() == 3
