@@ -31,9 +31,12 @@ _PACKED = "part int, n int, d int, ids binary, m binary"
 
 def _vertical(ids: list[np.ndarray], vectors: list[np.ndarray]) -> dict:
     d = max(len(v) for v in vectors)
-    m = np.zeros((d, len(vectors)), dtype=np.int64)
-    for j, v in enumerate(vectors):
-        m[: len(v), j] = v
+    if all(len(v) == d for v in vectors):
+        m = np.ascontiguousarray(np.stack(vectors, axis=1))
+    else:
+        m = np.zeros((d, len(vectors)), dtype=np.int64)
+        for j, v in enumerate(vectors):
+            m[: len(v), j] = v
     return {"n": len(vectors), "d": d, "ids": np.asarray(ids, np.int64).tobytes(), "m": m.tobytes()}
 
 
@@ -42,7 +45,11 @@ def _valid(batch: pa.RecordBatch) -> tuple[list[int], list[np.ndarray]]:
     ids, out = [], []
     column = batch.column(1)
     values = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)  # nulls become NaN
-    lengths = np.diff(column.offsets.to_numpy()) if len(column) else []
+    lengths = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, int)
+    if len(column) and not column.null_count and not batch.column(0).null_count and (lengths == lengths[0]).all() and lengths[0]:
+        m = values.reshape(len(column), -1)
+        fine = np.isfinite(m).all(axis=1)
+        return batch.column(0).to_numpy()[fine].tolist(), list(np.floor(m[fine] * SCALE).astype(np.int64))
     at = 0
     for i, key in enumerate(batch.column(0).to_pylist()):
         if not column[i].is_valid:

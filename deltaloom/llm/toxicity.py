@@ -167,7 +167,7 @@ def train(labelled: DataFrame) -> Model:
                 packed = np.packbits(x, axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([r.tobytes() for r in packed], pa.binary())], names=["label", "x"])
 
-    found = labelled.mapInArrow(rows, "label int, x binary").orderBy("label", "x").collect()  # in one order, whatever the tasks
+    found = sorted(labelled.mapInArrow(rows, "label int, x binary").collect(), key=lambda r: (r["label"], bytes(r["x"])))  # in one order, whatever the tasks
     x = np.unpackbits(np.frombuffer(b"".join(bytes(r["x"]) for r in found), np.uint8).reshape(len(found), -1), axis=1)[:, : len(grams)]
     y = np.array([r["label"] for r in found], np.float64)
     w, bias = _fit(x.astype(np.float32) * ratio.astype(np.float32), y)
