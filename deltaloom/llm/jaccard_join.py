@@ -274,14 +274,11 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(rows.mapInArrow(_verify, "a long, b long"), "linked")
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bits of the cells that occur, as packed blocks."""
-    bits = np.zeros(1 << FILTER, bool)
-    for batch in batches:
-        bits[batch.column(0).to_numpy()] = True
-    size = 1 << FILTER_BLOCK
-    for i in np.flatnonzero(bits.reshape(-1, size).any(axis=1)):
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.packbits(bits[i * size : (i + 1) * size]).tobytes()], pa.binary())], names=["block", "bits"])
+def _bits(table: pa.Table) -> pa.Table:
+    """The packed bits of a block of cells."""
+    bits = np.zeros(1 << FILTER_BLOCK, bool)
+    bits[table.column("low").to_numpy()] = True
+    return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
 
 def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -292,12 +289,11 @@ def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     cell = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER)).cast("int")
-    cells = sets.join(wanted, "sid", "left_semi").select(cell("owner").alias("cell")).distinct()
+    cells = sets.join(wanted, "sid", "left_semi").select(F.shiftright(cell("owner"), FILTER_BLOCK).alias("block"), cell("owner").bitwiseAND((1 << FILTER_BLOCK) - 1).alias("low"))
     blocks = bytearray(1 << (FILTER - 3))
-    for row in cells.mapInArrow(_cells, "block int, bits binary").toLocalIterator():
-        at = row["block"] << (FILTER_BLOCK - 3)
-        old, size = int.from_bytes(blocks[at : at + (1 << (FILTER_BLOCK - 3))]), 1 << (FILTER_BLOCK - 3)
-        blocks[at : at + size] = (old | int.from_bytes(row["bits"])).to_bytes(size)
+    size = 1 << (FILTER_BLOCK - 3)
+    for row in cells.groupBy("block").applyInArrow(_bits, "block int, bits binary").collect():
+        blocks[row["block"] * size : (row["block"] + 1) * size] = row["bits"]
     sent = spark.sparkContext.broadcast(bytes(blocks))
     fields = [("doc_id", pa.int64()), ("sid", pa.int64()), ("text", pa.string()), ("wide", pa.binary())]
 

@@ -244,7 +244,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     partial = docs.select("text").mapInArrow(_sketch(bits, window, gram), "r int, block int, cells binary, counts binary")
     merged = partial.groupBy("r", "block").applyInArrow(_merge, "r int, block int, bits binary")
     bitmap = [bytearray(1 << (bits - 3)) for _ in range(ROWS)]
-    for row in merged.toLocalIterator():
+    for row in merged.collect():  # bounded, as the sketch is
         at = row["block"] << (BLOCK - 3)
         bitmap[row["r"]][at : at + (1 << (BLOCK - 3))] = row["bits"]
     repeated = spark.sparkContext.broadcast([bytes(x) for x in bitmap])
