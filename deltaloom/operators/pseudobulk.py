@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.functions.expr import log_norm
+from deltaloom.session import materialize
 
 STRATUM = ("line", "target", "batch")
 
@@ -59,18 +60,43 @@ def guide_support(cells: DataFrame) -> DataFrame:
     return cells.groupBy("line", "target").agg(F.countDistinct("guide").alias("n_guides"))
 
 
-def matched_delta(counts: DataFrame, cells: DataFrame, control: int) -> DataFrame:
+def rows_of(counts: DataFrame, cells: DataFrame) -> DataFrame:
+    """Every count, and every cell once more without a gene, which carries its guide."""
+    none = F.lit(None)
+    own = cells.select(*STRATUM, none.cast(dict(counts.dtypes)["gene"]).alias("gene"), none.cast("double").alias("cnt"), "lib", "guide")
+    return counts.select(*STRATUM, "gene", F.col("cnt").cast("double").alias("cnt"), "lib", none.cast("string").alias("guide")).unionByName(own)
+
+
+def sufficient(rows: DataFrame) -> DataFrame:
+    """All that means, supports and panels are made of, by one aggregate over rows_of(); small next to the counts."""
+    return rows.groupBy(*STRATUM, "gene", "guide").agg(F.sum("cnt").alias("s_raw"), F.sum(log_norm("cnt", "lib")).alias("s_log"), F.count("*").alias("n"))
+
+
+def parts_of(table: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """group_sums(), strata(), panel() and guide_support() from sufficient()."""
+    stats = table.where("gene is not null").select(*STRATUM, "gene", "s_raw", "s_log")
+    marks = table.where("gene is null")
+    groups = marks.groupBy(*STRATUM).agg(F.sum("n").alias("n"))
+    return stats, groups, panel(stats), guide_support(marks)
+
+
+def matched_delta_of(table: DataFrame, control: int | str) -> DataFrame:
     """line, target, gene: means of the target, of its matched controls, their differences and support."""
-    stats, groups, genes = group_sums(counts), strata(cells), panel(counts)
+    stats, groups, genes, guides = parts_of(table)
     means = target_means(stats, groups, genes).where(F.col("target") != control)
     matched = matched_controls(groups, control_means(stats, groups, genes, control), control)
-    out = means.join(matched, ["line", "target", "gene"]).join(guide_support(cells), ["line", "target"])
+    out = means.join(matched, ["line", "target", "gene"]).join(guides, ["line", "target"])
     return out.select(
         "line", "target", "gene", "mean_raw", "c_raw", (F.col("mean_raw") - F.col("c_raw")).alias("delta_raw"),
         "mean_log", "c_log", (F.col("mean_log") - F.col("c_log")).alias("delta_log"), "n_cells", "n_guides", "n_batches",
     )
 
 
+def matched_delta(counts: DataFrame, cells: DataFrame, control: int | str) -> DataFrame:
+    """matched_delta_of() from counts and cells; the table in between is written, so that the counts are read once."""
+    return matched_delta_of(materialize(sufficient(rows_of(counts, cells)), "sums"), control)
+
+
 def control_baseline(stats: DataFrame, groups: DataFrame, genes: DataFrame, control: int) -> DataFrame:
     """Means over all control cells of a line: batch means weighted by control cells."""
     means = control_means(stats, groups, genes, control)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,12 +42,17 @@ class Study:
         self.data = star.cells(spark, sf_dir)
         self.cells, self.counts = self.data.cells, self.data.counts
 
-    def deltas(self) -> DataFrame:
+    @cached_property
+    def sums(self) -> DataFrame:
         # read several times below: one written table instead of one scan for each
-        return materialize(pseudobulk.matched_delta(self.counts, self.cells, CONTROL), "delta")
+        return materialize(pseudobulk.sufficient(self.data.rows), "sums")
+
+    def deltas(self) -> DataFrame:
+        return materialize(pseudobulk.matched_delta_of(self.sums, CONTROL), "delta")
 
     def baseline(self) -> DataFrame:
-        return pseudobulk.control_baseline(pseudobulk.group_sums(self.counts), pseudobulk.strata(self.cells), pseudobulk.panel(self.counts), CONTROL)
+        stats, groups, genes, _ = pseudobulk.parts_of(self.sums)
+        return pseudobulk.control_baseline(stats, groups, genes, CONTROL)
 
     def transfer(self) -> Transfer:
         return Transfer(self)
@@ -84,7 +90,7 @@ class Transfer:
 
 
 def _delta(s: Study) -> DataFrame:
-    d = pseudobulk.matched_delta(s.counts, s.cells, CONTROL)
+    d = pseudobulk.matched_delta_of(s.sums, CONTROL)
     return d.select("line", "target", "gene", *(r6(c).alias(c) for c in ("mean_raw", "c_raw", "delta_raw", "mean_log", "c_log", "delta_log")), "n_cells", "n_guides", "n_batches")
 
 
@@ -138,9 +144,8 @@ def aggregation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT line, target, CAST(sum(n) AS BIGINT) AS n_cells, count(*) AS n_batches, n_guides FROM strata JOIN guides USING (line, target) GROUP BY ALL")
 def target_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Study(spark, sf_dir)
-    n = pseudobulk.strata(s.cells).groupBy("line", "target").agg(F.sum("n").alias("n_cells"), F.count("*").alias("n_batches"))
-    return n.join(pseudobulk.guide_support(s.cells), ["line", "target"])
+    _, groups, _, guides = pseudobulk.parts_of(Study(spark, sf_dir).sums)
+    return groups.groupBy("line", "target").agg(F.sum("n").alias("n_cells"), F.count("*").alias("n_batches")).join(guides, ["line", "target"])
 
 
 # --- cohorts, axes, sets ---------------------------------------------------------------------

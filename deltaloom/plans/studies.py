@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from deltaloom.operators import cohorts, metrics, pseudobulk, transfer, validate
 from deltaloom.plans import stages
+from deltaloom.session import materialize
 from deltaloom.sources import sinks, star
 from deltaloom.sources.star import CONTROL, HELD, TRAIN
 
@@ -20,11 +21,12 @@ def run_pseudobulk(spark: SparkSession, sf_dir: str, out: str, least_controls: i
     stages.require_new(root)
     root.mkdir(parents=True)
     data = star.cells(spark, sf_dir)
-    groups, genes, stats = pseudobulk.strata(data.cells), pseudobulk.panel(data.counts), pseudobulk.group_sums(data.counts)
+    sums = materialize(pseudobulk.sufficient(data.rows), "sums")
+    stats, groups, genes, _ = pseudobulk.parts_of(sums)
     validate.require(validate.bad_counts(data.counts), "raw counts")
     validate.require(validate.above_library(data.counts, 0.01), "library")
     validate.require(validate.too_few_controls(groups, CONTROL, least_controls), "matched controls")
-    sinks.write_table(pseudobulk.matched_delta(data.counts, data.cells, CONTROL), f"{out}/delta", "line")
+    sinks.write_table(pseudobulk.matched_delta_of(sums, CONTROL), f"{out}/delta", "line")
     sinks.write_table(pseudobulk.control_baseline(stats, groups, genes, CONTROL), f"{out}/baseline")
     sinks.write_table(pseudobulk.matched_strata(groups, CONTROL), f"{out}/strata")
     delta = spark.read.parquet(f"{out}/delta")

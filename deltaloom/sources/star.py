@@ -23,10 +23,11 @@ TRAIN, HELD = "A", "B"
 
 @dataclass
 class Cells:
-    """cells: line, target, batch, guide, cell, lib. counts: those and gene, cnt."""
+    """cells: line, target, batch, guide, cell, lib. counts: those and gene, cnt. rows: both, as pseudobulk.rows_of(), from one scan."""
 
     cells: DataFrame
     counts: DataFrame
+    rows: DataFrame
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,4 +63,7 @@ def cells(spark: SparkSession, sf_dir: str) -> Cells:
     for line, genes in CUT_GENES.items():
         keep = keep & ~((F.col("line") == line) & F.col("gene").isin(*genes))
     counts = joined.select(*keys, F.inline("genes")).where(keep)
-    return Cells(joined.select(*keys), counts)
+    mark = F.array(F.struct(F.lit(None).cast("int").alias("gene"), F.lit(None).cast("double").alias("cnt")))
+    rows = joined.select("line", "target", "batch", "lib", "guide", F.inline(F.concat("genes", mark))).where(F.col("gene").isNull() | keep)
+    rows = rows.withColumn("guide", F.when(F.col("gene").isNull(), F.col("guide")))
+    return Cells(joined.select(*keys), counts, rows)
