@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CONTROL = 0
@@ -35,10 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cell, gene, cnt over all genes."""
+    """cell, gene, cnt over all genes, dealt out by cell, so that what follows by cell needs no other shuffle."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
     genes = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    return items.join(genes, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("l_orderkey").alias("cell"), F.col("s_nationkey").alias("gene")).agg(F.sum("l_quantity").alias("cnt"))
+    own = items.join(genes, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_orderkey").alias("cell"), F.col("s_nationkey").alias("gene"), "l_quantity")
+    return own.repartition("cell").groupBy("cell", "gene").agg(F.sum("l_quantity").alias("cnt"))
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,17 +54,17 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cells(spark: SparkSession, sf_dir: str) -> Cells:
     """Cells with a library (that of all genes, cut or not) and their counts on their line's genes."""
-    raw = raw_counts(spark, sf_dir)
+    own = Window.partitionBy("cell").orderBy("gene")
+    library = F.sum("cnt").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    raw = raw_counts(spark, sf_dir).withColumns({"lib": library, "first": F.row_number().over(own) == 1})
     obs = observations(spark, sf_dir).where(~((F.col("line") == TRAIN) & F.col("target").isin(*UNSEEN_TARGETS)))
-    # one aggregate makes both the library and the counts: the genes travel as an array until the join
-    wide = raw.groupBy("cell").agg(F.sum("cnt").alias("lib"), F.collect_list(F.struct("gene", "cnt")).alias("genes"))
-    joined = obs.join(wide, "cell")
+    joined = obs.join(raw, "cell")
     keys = ["line", "target", "batch", "guide", "cell", "lib"]
-    keep = ~F.lit(False)
+    keep = F.lit(True)
     for line, genes in CUT_GENES.items():
         keep = keep & ~((F.col("line") == line) & F.col("gene").isin(*genes))
-    counts = joined.select(*keys, F.inline("genes")).where(keep)
-    mark = F.array(F.struct(F.lit(None).cast("int").alias("gene"), F.lit(None).cast("double").alias("cnt")))
-    rows = joined.select("line", "target", "batch", "lib", "guide", F.inline(F.concat("genes", mark))).where(F.col("gene").isNull() | keep)
-    rows = rows.withColumn("guide", F.when(F.col("gene").isNull(), F.col("guide")))
-    return Cells(joined.select(*keys), counts, rows)
+    one = F.struct("gene", "cnt")
+    mark = F.struct(F.lit(None).cast("int").alias("gene"), F.lit(None).cast("double").alias("cnt"))
+    rows = joined.select("line", "target", "batch", "lib", "guide", F.inline(F.when(F.col("first"), F.array(one, mark)).otherwise(F.array(one))))
+    rows = rows.where(F.col("gene").isNull() | keep).withColumn("guide", F.when(F.col("gene").isNull(), F.col("guide")))
+    return Cells(joined.where("first").select(*keys), joined.where(keep).select(*keys, "gene", "cnt"), rows)
