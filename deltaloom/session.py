@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows in an Arrow batch: as they hold whole texts, the usual 10,000 take too much memory on both sides.
 ARROW_ROWS = 1000
 #: Rows in a file of a table known to be small.
-FILE_ROWS = 50_000
+FILE_ROWS = 20_000
 
 _LOCAL: dict[str, str] = {}
 _SHIPPED: set[str] = set()
