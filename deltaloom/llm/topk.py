@@ -157,8 +157,10 @@ def _search(best: _Best, ids: np.ndarray, m: np.ndarray) -> None:
             pairs, score = (q[alive], c[alive]), score[alive]
     if pairs is None:
         if low is None and score.shape[1] > best.k:
-            at = -np.partition(-score, best.k, axis=1)[:, best.k]  # k + 1: the query itself may be among them
-            pairs = np.nonzero(score >= at[:, None])
+            own = best.ids[:, None] == ids[None, :]  # any number of rows may have the query's id
+            others = np.where(own, -np.inf if score.dtype.kind == "f" else -np.iinfo(np.int64).max, score)
+            at = -np.partition(-others, best.k - 1, axis=1)[:, best.k - 1]
+            pairs = np.nonzero((score >= at[:, None]) & ~own)
         else:
             pairs = np.nonzero(score >= low[:, None]) if low is not None else tuple(x.ravel() for x in np.indices(score.shape))
         score = score[pairs]

@@ -267,6 +267,17 @@ def test_op6_prunes_and_stays_exact(spark, tmp_path, monkeypatch):
     assert got == brute_top(rows, lambda i: i % 100 == 0)
 
 
+@pytest.mark.parametrize("times", [2, 5, 11, 40])
+@pytest.mark.parametrize("scale", [1.0, 5e4])
+def test_op6_repeated_query_id_in_one_block(spark, times, scale):
+    rng = np.random.default_rng(times)
+    rows = [(i, (scale * rng.normal(size=8)).tolist()) for i in range(1, 60)]
+    rows += [(100, [10 * scale] * 8)] * times + [(200, [scale] * 8)] * (times // 2)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 100 == 0).collect()))
+    assert got == brute_top(rows, lambda i: i % 100 == 0) and len(got) == 20
+
+
 def test_op6_few_or_none(spark, tmp_path):
     rows = [(0, [1.0, 2.0]), (1, [0.5, 0.5]), (100, [-1.0, 0.0])]
     got = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).collect()))
