@@ -57,13 +57,13 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents the mix takes, with mix_copies (how often), mix_words (in all) and mix_target (of the source)."""
-    mixed = mixing.mix_sources(docs, mixing.quality_weights(_table(spark, sf_dir, "labels")))
+    docs = docs.drop("mix_copies", "mix_words", "mix_target")
+    # ids may be null or repeat, so each row is named; written, as names given anew may differ
+    docs = materialize(docs.withColumn("mix_tie", F.xxhash64("text")).withColumn("mix_row", F.monotonically_increasing_id()), "mixing")
+    mixed = mixing.mix_sources(docs, mixing.quality_weights(_table(spark, sf_dir, "labels")), carry=("mix_tie", "mix_row"))
     copies = (F.col("epochs") + F.col("chosen").cast("long")).alias("mix_copies")
-    mixed = mixed.select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), copies, F.col("taken").alias("mix_words"), F.col("target").alias("mix_target"))
-    mixed = mixed.dropDuplicates(["mix_id", "mix_source"]).where("mix_copies > 0")
-    docs = docs.drop("mix_id", "mix_source", "mix_copies", "mix_words", "mix_target")
-    same = F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source"))
-    return docs.join(mixed, same).drop("mix_id", "mix_source")
+    mixed = mixed.select("mix_row", copies, F.col("taken").alias("mix_words"), F.col("target").alias("mix_target")).where("mix_copies > 0")
+    return docs.join(mixed, "mix_row").drop("mix_row", "mix_tie")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -62,12 +62,14 @@ def mix_sources(
     share: float = 1.5,
     cap: float = 2.0,
     seed: int = 20260,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, epochs, chosen, taken for each row of docs (doc_id, source, text).
 
-    quality: (doc_id, weight) with positive weights; others weigh 1.
+    quality: (doc_id, weight) with positive weights; others weigh 1. carry: columns
+    of docs that are returned too, and break what ties are left, in this order.
     """
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carry)
     if quality is not None:
         q = quality.groupBy("doc_id").agg(F.max("weight").alias("weight"))
         base = base.join(q, "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
@@ -84,7 +86,7 @@ def mix_sources(
     per_slice = slices.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select(
         F.col("s.source").alias("source_"), F.col("slice").alias("slice_"), "before", "source_size", "target", "epochs", "budget"
     )
-    inside = Window.partitionBy("source", "slice").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "slice").orderBy("key", F.col("doc_id").asc_nulls_last(), "size", *carry).rowsBetween(Window.unboundedPreceding, 0)
     rows = base.withColumn("inside", F.sum("size").over(inside))
     rows = rows.join(per_slice, F.col("source").eqNullSafe(F.col("source_")) & (F.col("slice") == F.col("slice_")))
     end = F.col("before") + F.col("inside")
@@ -92,7 +94,7 @@ def mix_sources(
     chosen = (end <= F.col("budget")) | (end - F.col("budget") < F.col("budget") - (end - F.col("size")))
     rows = rows.withColumn("chosen", chosen)
     taken = F.col("size") * (F.col("epochs") + F.col("chosen").cast("long"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "epochs", "chosen", taken.alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "epochs", "chosen", taken.alias("taken"), *carry)
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:

@@ -315,6 +315,24 @@ def test_pipeline(spark, tmp_path, labelled):
     assert sorted(map(str, whole.collect())) == sorted(map(str, d.collect()))
 
 
+def test_mixing_stage_decides_row_by_row(spark, tmp_path):
+    """Rows without an id, and rows that repeat one, have their own words and decisions."""
+    import corpus_pipeline as p
+
+    rows = [(None if i % 3 else i // 2, " ".join(["w"] * (i % 37 + 1)) + f" {i}", "en", ["a", "b", None][i % 2 + (i % 11 == 0)], i) for i in range(600)]
+    save(spark, tmp_path, rows, [])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").repartition(3)
+    got = p.mixing_stage(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(tuple, p.mixing_stage(spark, docs.repartition(5), str(tmp_path)).collect()), key=str) == sorted(map(tuple, got), key=str)
+    assert len({r.n_chars for r in got}) == len(got)
+    taken, target = {}, {}
+    for r in got:
+        assert r.mix_words == r.mix_copies * len(r.text.split()) > 0
+        taken[r.source] = taken.get(r.source, 0) + r.mix_words
+        target[r.source] = r.mix_target
+    assert set(taken) == {"a", "b", None} and all(abs(taken[s] - target[s]) <= 38 for s in taken)
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     import corpus_pipeline as p
 
