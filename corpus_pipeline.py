@@ -3,8 +3,8 @@
 Rows keep the columns of documents until the last stage, which adds how often
 and with how many words the mix takes each document, and drops those it
 doesn't take. Defined results: a null text is empty; rows that repeat a doc_id
-count as copies of one document, the first of them stays; rows with a null
-doc_id have no copies.
+are told apart by their texts, and of those with one text or near copies of it
+one stays; rows with a null doc_id have no copies.
 """
 
 from __future__ import annotations
@@ -32,15 +32,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: the one with the smallest doc_id."""
+    """One row of each component of near duplicates: of the smallest doc_id, and of several with this one the smallest set and hash."""
     ship_code(spark)
-    found = materialize(jaccard_join.jaccard_join(docs), "components")
-    lost = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(materialize(lost, "lost"), "doc_id", "left_anti").select(*docs.columns)
+    named = docs.withColumn("near_row", F.xxhash64(*docs.columns))
+    found = materialize(jaccard_join.components(named.select("doc_id", "text", F.col("near_row").alias("row"))), "components")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    known, unknown = kept.where("doc_id is not null"), kept.where("doc_id is null")
-    return known.dropDuplicates(["doc_id"]).unionByName(unknown)
+        lost = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+        return docs.join(materialize(lost, "lost"), "doc_id", "left_anti").select(*docs.columns)
+    # an id may have texts of several components, so rows decide; equal rows are one
+    heads = found.where("doc_id is not null and (n_shingles = 0 or (component_id = doc_id and sid = head_sid))")
+    heads = materialize(heads.groupBy("doc_id", "sid").agg(F.min("row").alias("near_row")).select("doc_id", "near_row"), "heads")
+    known = named.where("doc_id is not null").dropDuplicates(["doc_id", "near_row"]).join(heads, ["doc_id", "near_row"], "left_semi")
+    return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -102,7 +102,7 @@ def set_ids(g: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(_sums(mix(g + np.uint64(1)), at, np.add) ^ (np.diff(at).astype(np.uint64) << np.uint64(40)))
 
 
-_PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), *((f"x{i}", pa.int64()) for i in range(_WORDS))])
+_PROFILE = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), *((f"x{i}", pa.int64()) for i in range(_WORDS))])
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +114,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parity = np.bincount(np.repeat(np.arange(len(n)), n) * _SKETCH + bit, minlength=len(n) * _SKETCH).astype(np.uint8) & 1
             packed = np.packbits(parity.reshape(len(n), _SKETCH), axis=1).view(np.int64)
             ids = set_ids(g, at).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.lo, w.hi - w.lo), pa.array(n), pa.array(ids), *(pa.array(packed[:, i]) for i in range(_WORDS))], schema=_PROFILE)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(w.lo, w.hi - w.lo) for c in (0, 2)), pa.array(n), pa.array(ids), *(pa.array(packed[:, i]) for i in range(_WORDS))], schema=_PROFILE)
 
 
 def _block_keys(g: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -331,10 +331,19 @@ def _possible(a: str, b: str) -> Column:
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profile = materialize(docs.mapInArrow(_profiles, "doc_id long, n long, sid long, " + ", ".join(f"x{i} long" for i in range(_WORDS))), "profiles")
+    return components(docs.select("doc_id", "text", F.lit(0).alias("row"))).select("doc_id", "n_shingles", "component_id")
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """The same and row for each row of docs (doc_id, text, row: a number), with the row's set sid and head_sid.
+
+    head_sid is the set of the component's smallest doc_id, of several its smallest set; null where there is no set.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("row").cast("long").alias("row"))
+    profile = materialize(docs.mapInArrow(_profiles, "doc_id long, row long, n long, sid long, " + ", ".join(f"x{i} long" for i in range(_WORDS))), "profiles")
     sets = profile.where("doc_id is not null and n > 0").groupBy("sid").agg(F.min("doc_id").alias("owner"), F.first("n").alias("n"), *(F.first(f"x{i}").alias(f"x{i}") for i in range(_WORDS)))
     sets = materialize(sets, "sets", profile.count())
+    docs = docs.select("doc_id", "text")
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     buckets = int(total // 2 // BUCKET + 1)
     packed = docs.where("doc_id is not null").select("text").mapInArrow(_keys(buckets), "bucket int, high binary, low binary, sids binary")
@@ -386,8 +395,8 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
             names = connected_components(links, n_sets + n_rest)
 
     owned = sets.join(names, F.col("sid") == F.col("id"), "left").select("sid", "owner", F.coalesce("component", "sid").alias("component"))
-    heads = owned.groupBy("component").agg(F.min("owner").alias("head"))
-    owned = owned.join(heads, "component").select(F.col("sid").alias("of"), "head")
-    found = profile.select("doc_id", "n", "sid").join(owned, F.col("sid") == F.col("of"), "left")
+    heads = owned.groupBy("component").agg(F.min(F.struct("owner", "sid")).alias("head"))
+    owned = owned.join(heads, "component").select(F.col("sid").alias("of"), F.col("head.owner").alias("head"), F.col("head.sid").alias("head_sid"))
+    found = profile.select("doc_id", "row", "n", "sid").join(owned, F.col("sid") == F.col("of"), "left")
     component = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("head"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return found.select("doc_id", "row", F.col("n").alias("n_shingles"), component.alias("component_id"), "sid", "head_sid")

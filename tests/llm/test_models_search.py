@@ -315,6 +315,25 @@ def test_pipeline(spark, tmp_path, labelled):
     assert sorted(map(str, whole.collect())) == sorted(map(str, d.collect()))
 
 
+def test_near_duplicate_stage_decides_row_by_row(spark, tmp_path):
+    """An id with a text of its own and a near copy of another's, and one with two texts of its own."""
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(12)
+    a, b, c, d, e = (prose(rng, 80) for _ in range(5))
+    rows = [(3, a), (5, b), (5, a + " more"), (7, c), (7, d), (7, d), (7, d + " more"), (8, c), (9, ""), (9, None), (9, e), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "web", 1) for i, t in rows], DOCS)
+    got = [(r.doc_id, r.text) for r in p.near_duplicate_stage(spark, docs.repartition(3), str(tmp_path)).collect()]
+    sevens = [t for i, t in got if i == 7 and t != c]
+    assert len(sevens) == 1 and sevens[0] in (d, d + " more")
+    nines = [t for i, t in got if i == 9 and not t]
+    assert len(nines) == 1
+    rest = [r for r in got if r not in [(7, sevens[0]), (9, nines[0])]]
+    assert sorted(rest, key=str) == sorted([(3, a), (5, b), (7, c), (9, e), (None, a), (None, a)], key=str)
+    again = [(r.doc_id, r.text) for r in p.near_duplicate_stage(spark, docs.repartition(5), str(tmp_path)).collect()]
+    assert sorted(again, key=str) == sorted(got, key=str)
+
+
 def test_mixing_stage_decides_row_by_row(spark, tmp_path):
     """Rows without an id, and rows that repeat one, have their own words and decisions."""
     import corpus_pipeline as p
