@@ -4,7 +4,9 @@ One model is trained on random strings, one on ordinary words and identifiers,
 from labelled samples: what the patterns capture in a sample of documents, and
 random strings drawn here, against the other words of that sample with
 identifiers made of them, and names that programs have. A run of characters is a secret if its mean
-log-likelihood ratio for each character reaches MEAN.
+log-likelihood ratio for each character reaches MEAN. Of a run that doesn't, as
+an ordinary name joined to a secret, those fields between '=' are secrets that
+do, and in other fields the best stretches of whole pieces between '/' and '_'.
 
 Defined results: null text is empty; spans are in code points, end exclusive; a
 run inside a span found by pattern isn't reported again.
@@ -40,6 +42,9 @@ _HEX = np.zeros(256, bool)
 _HEX[[*b"0123456789abcdef"]] = True
 _RUN = np.zeros(256, bool)
 _RUN[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
+#: What joins a name and a secret in one run.
+_JOINT = np.zeros(256, bool)
+_JOINT[[*b"=/_"]] = True
 _N = 68
 #: Bytes as states; 0 is before the first.
 _STATE = np.zeros(256, np.int64)
@@ -98,14 +103,63 @@ class Markov:
 
         return cls(np.clip(logs(secret) - logs(plain), -LIMIT, LIMIT))
 
-    def mean(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def sums(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums of ratios where runs begin at starts, and ratios of characters that begin a run."""
         state = _STATE[data]
         before = np.concatenate([[0], state[:-1]]) if len(state) else state
-        r = self.ratio[before, state]
-        r[starts] = self.ratio[0, state[starts]]
-        sums = np.concatenate([[0], np.cumsum(r)])
+        r, first = self.ratio[before, state], self.ratio[0, state]
+        r[starts] = first[starts]
+        return np.concatenate([[0], np.cumsum(r)]), first
+
+    def mean(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        sums, _ = self.sums(data, starts)
         return (sums[ends] - sums[starts]) / np.maximum(ends - starts, 1)
 
+    def secrets(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the secrets in runs, in order."""
+        sums, first = self.sums(data, starts)
+        high = (sums[ends] - sums[starts]) / np.maximum(ends - starts, 1) >= MEAN
+        joints = np.concatenate([[0], np.cumsum(_JOINT[data])])
+        found = [np.stack([starts[high], ends[high]], axis=1)]
+        # by how much a stretch exceeds MEAN is over[end] - under[start]
+        over = sums - MEAN * np.arange(len(sums))
+        under = over[1:] - first + MEAN
+        for i in np.flatnonzero(~high & (joints[ends] > joints[starts])):
+            fields = _cut(data, int(starts[i]), int(ends[i]), b"=")
+            for a, b in fields[fields[:, 1] - fields[:, 0] >= RUN].tolist():
+                if over[b] >= under[a]:
+                    found.append(np.array([[a, b]]))
+                elif joints[b] > joints[a]:
+                    found += _stretches(over, under, _cut(data, a, b, b"/_"))
+        both = np.concatenate(found)
+        return tuple(both[np.argsort(both[:, 0], kind="stable")].T)
+
+
+def _cut(data: np.ndarray, a: int, b: int, at: bytes) -> np.ndarray:
+    """(start, end) of the pieces of data[a:b] between any of the bytes at."""
+    cuts = a + np.flatnonzero(np.isin(data[a:b], np.frombuffer(at, np.uint8)))
+    return np.stack([np.concatenate([[a], cuts + 1]), np.concatenate([cuts, [b]])], axis=1)
+
+
+def _stretches(over: np.ndarray, under: np.ndarray, pieces: np.ndarray) -> list[np.ndarray]:
+    """The stretch of successive pieces, RUN characters or more, that exceeds MEAN by most, and those beside it."""
+    found, left = [], [pieces[pieces[:, 0] < pieces[:, 1]]]
+    while left:
+        p = left.pop()
+        if not len(p) or p[-1, 1] - p[0, 0] < RUN:
+            continue
+        low = under[p[:, 0]]
+        least = np.minimum.accumulate(low)
+        last = np.searchsorted(p[:, 0], p[:, 1] - RUN, "right") - 1  # the last piece that may begin a stretch to this end
+        gain = np.where(last >= 0, over[p[:, 1]] - least[last], -np.inf)
+        j = int(gain.argmax())
+        if gain[j] < 0:
+            continue
+        i = int(low[: last[j] + 1].argmin())
+        found.append(np.array([[p[i, 0], p[j, 1]]]))
+        left += [p[:i], p[j + 1 :]]
+    return found
+
 
 def drawn_secrets(seed: int = 7, each: int = 500) -> list[bytes]:
     """Random strings of the alphabets that keys are written in."""
@@ -173,8 +227,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Markov:
 def find(w, model: Markov) -> Iterator[tuple[int, bytes, list[tuple[int, int, int]]]]:
     """(text, its bytes, spans) for each text of a chunk; spans (start, kind, end) in bytes, in order."""
     starts, ends = _runs(w.data, w.text_at, _RUN, RUN)
-    high = model.mean(w.data, starts, ends) >= MEAN
-    starts, ends = starts[high], ends[high]
+    starts, ends = model.secrets(w.data, starts, ends)
     of = np.searchsorted(w.text_at, starts, "right") - 1
     for i, raw, runs in _texts(w):
         spans = [s[:3] for s in base_spans(raw, runs)]

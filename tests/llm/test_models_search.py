@@ -227,6 +227,28 @@ def test_markov_tells_random_from_ordinary(spark):
     assert (high >= secrets.MEAN).mean() > 0.97 and (low >= secrets.MEAN).mean() < 0.005
 
 
+def test_secrets_joined_to_names(spark):
+    rng = np.random.default_rng(21)
+    docs = spark.createDataFrame([(i, prose(rng, 300)) for i in range(60)], "doc_id long, text string")
+    m = secrets.train(docs)
+
+    def found(x):
+        d = np.frombuffer(x, np.uint8)
+        return list(zip(*(v.tolist() for v in m.secrets(d, np.array([0]), np.array([len(d)]))), strict=True))
+
+    alphabet = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", np.uint8)
+    for name in (b"client_credentials=", b"aws_secret_access_key=", b"settings/production/", b"session_identifier_"):
+        drawn = [bytes(rng.choice(alphabet, 20)) for _ in range(200)]
+        whole = sum(any(a <= len(name) and b == len(name) + 20 for a, b in found(name + x)) for x in drawn)
+        inner = sum(any(a <= len(name) and b >= len(name) + 20 for a, b in found(name + x + b"/of/the/application")) for x in drawn)
+        assert whole >= 190 and inner >= 190, (name, whole, inner)
+    two = found(b"first_name=" + drawn[0] + b"=another_long_name=" + drawn[1])
+    assert two == [(11, 31), (50, 70)] or two == [(0, 70)]
+    names = ["_".join(prose(rng, 4).split()).encode() for _ in range(400)] + [b"=".join(prose(rng, 2).encode().replace(b" ", b"/") for _ in range(3)) for _ in range(400)]
+    assert sum(bool(found(x)) for x in names) < 8
+    assert found(b"=" * 5000) == [] and found(b"/_" * 5000) == []
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "a password=hunter2hunter2 é", "en", "s", 27), (2, "clean", "en", "s", 5), (3, None, "en", "s", None)], DOCS)
     out = {r.doc_id: r for r in secrets.redact_secrets(docs, secrets.train(docs)).collect()}
