@@ -3,13 +3,13 @@
 Words are lower-cased (A-Z) and parted by white space and ASCII punctuation; a
 shingle is five of them, and weighs as many bytes as it has. Each window of a
 document that is as long as an item gets a 128-bit SimHash of its weighted
-shingles. A multi-index of 16 blocks of 8 bits finds every item of that length
+distinct shingles. A multi-index of 16 blocks of 8 bits finds every item of that length
 within RADIUS: fingerprints that differ in 31 bits or fewer agree, up to one
 bit, in one block at least. Candidates are verified by the exact weighted Jaccard
 similarity of their distinct shingles.
 
-Fingerprints are made only for windows of whose weight THRESHOLD or more lies on
-shingles that some item has: others can't be that similar to any item.
+Fingerprints are made only for windows of the weight of whose distinct shingles
+THRESHOLD or more lies on shingles that some item has: others can't be that similar to any item.
 
 Items of fewer than five words are one shingle; a document shorter than an item
 is one window. Defined results: null or empty texts match nothing, on either
@@ -47,11 +47,33 @@ def _signs(h: np.ndarray) -> np.ndarray:
     return np.unpackbits(both.view(np.uint8).reshape(len(h), _BLOCKS), axis=1).astype(np.int32) * 2 - 1
 
 
+def _again(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of shingles that were there before, and the place before each."""
+    order = np.argsort(h, kind="stable")
+    same = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+    return order[same + 1], order[same]
+
+
+def _distinct_sums(value: np.ndarray, again: tuple[np.ndarray, np.ndarray], size: int) -> np.ndarray:
+    """Sums of value over the distinct shingles of each window of size shingles."""
+    sums = np.zeros((len(value) + 1, *value.shape[1:]), np.int64)
+    np.cumsum(value, axis=0, out=sums[1:])
+    out = sums[size:] - sums[:-size]
+    at, before = again
+    near = at - before < size
+    if near.any():
+        # the later of two equal shingles doesn't count in the windows that hold both
+        at, before = at[near], before[near]
+        extra = np.zeros((len(value) + 1, *value.shape[1:]), np.int64)
+        np.add.at(extra, np.maximum(at - size + 1, 0), value[at])
+        np.subtract.at(extra, before + 1, value[at])
+        out -= np.cumsum(extra, axis=0)[: len(out)]
+    return out
+
+
 def fingerprints(h: np.ndarray, weight: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     """SimHashes (16 bytes each) of windows of size shingles."""
-    sums = np.zeros((len(h) + 1, 128), np.int64)
-    np.cumsum(_signs(h) * weight[:, None], axis=0, out=sums[1:])
-    return np.packbits(sums[starts + size] - sums[starts] >= 0, axis=1)
+    return np.packbits(_distinct_sums(_signs(h) * weight[:, None], _again(h), size)[starts] >= 0, axis=1)
 
 
 def _distinct(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,13 +150,12 @@ class Index:
             yield t, i, start, n, s
 
     def _search(self, t: int, k: int, h: np.ndarray, weight: np.ndarray, hit: np.ndarray, best: dict) -> None:
-        whole = np.concatenate([[0], np.cumsum(weight)])
-        known = np.concatenate([[0], np.cumsum(weight * hit)])
+        again = _again(h)
         for key in self.lengths:
             if key[0] != k:
                 continue
             size = min(key[1] - k + 1, len(h))
-            starts = np.flatnonzero(known[size:] - known[:-size] >= THRESHOLD * (whole[size:] - whole[:-size]))
+            starts = np.flatnonzero(_distinct_sums(weight * hit, again, size) >= THRESHOLD * _distinct_sums(weight, again, size))
             for part in np.split(starts, np.flatnonzero(np.diff(starts // _SPAN)) + 1):
                 if not len(part):
                     continue

@@ -169,6 +169,24 @@ def test_op8_against_all_windows():
     assert got <= want and len(want) >= 20 and len(got) >= 0.97 * len(want)
 
 
+def test_op8_near_copies_with_repetitive_stretches():
+    """Prefilter and fingerprints count a shingle once for each window, as the verification does."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    heads = [prose(rng, 60) for _ in range(20)]
+    index = decontaminate.Index([(i, h + " ab" * 30) for i, h in enumerate(heads)])
+    texts = [prose(rng, 40) + " " + h + " cd" * 30 + " " + prose(rng, 40) for h in heads]
+    found = {(w.lo + t, i): s for w in decontaminate.split(pa.array(texts), decontaminate.PLAIN) for t, i, _, _, s in index.matches(w)}
+    assert set(found) == {(i, i) for i in range(20)} and all(0.8 <= s < 0.95 for s in found.values())
+
+    h = rng.integers(0, 12, 200).astype(np.uint64)
+    weight = (h.astype(np.int64) + 1) ** 2
+    for size in (1, 2, 7, 60, 200):
+        want = [decontaminate._distinct(h[s : s + size], weight[s : s + size])[1].sum() for s in range(201 - size)]
+        assert decontaminate._distinct_sums(weight, decontaminate._again(h), size).tolist() == want
+
+
 def test_multi_index_finds_all_within_the_radius():
     rng = np.random.default_rng(5)
     items = [(i, prose(rng, 20)) for i in range(50)]
