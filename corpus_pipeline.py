@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deltaloom.llm import decontaminate, jaccard_join, mixing, quality, secrets
@@ -25,6 +25,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _digest(docs: DataFrame, seed: int) -> Column:
+    """A hash of all columns of a row, and of which are null, which the hash skips."""
+    return F.xxhash64(F.lit(seed), *docs.columns, *(F.col(c).isNull() for c in docs.columns))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that the quality classifier rejects."""
     ship_code(spark)
@@ -34,7 +39,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near duplicates: of the smallest doc_id, and of several with this one the smallest set and hash."""
     ship_code(spark)
-    named = docs.withColumn("near_row", F.xxhash64(*docs.columns))
+    named = docs.withColumn("near_row", _digest(docs, 0))
     found = materialize(jaccard_join.components(named.select("doc_id", "text", F.col("near_row").alias("row"))), "components")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         lost = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
@@ -61,12 +66,17 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents the mix takes, with mix_copies (how often), mix_words (in all) and mix_target (of the source)."""
     docs = docs.drop("mix_copies", "mix_words", "mix_target")
-    # ids may be null or repeat, so each row is named; written, as names given anew may differ
-    docs = materialize(docs.withColumn("mix_tie", F.xxhash64("text")).withColumn("mix_row", F.monotonically_increasing_id()), "mixing")
-    mixed = mixing.mix_sources(docs, mixing.quality_weights(_table(spark, sf_dir, "labels")), carry=("mix_tie", "mix_row"))
-    copies = (F.col("epochs") + F.col("chosen").cast("long")).alias("mix_copies")
-    mixed = mixed.select("mix_row", copies, F.col("taken").alias("mix_words"), F.col("target").alias("mix_target")).where("mix_copies > 0")
-    return docs.join(mixed, "mix_row").drop("mix_row", "mix_tie")
+    # ids may be null or repeat, so rows are named by what they hold; equal ones are told apart by number
+    row = ["mix_row", "mix_row2"]
+    docs = docs.withColumns({"mix_row": _digest(docs, 0), "mix_row2": _digest(docs, 1)})
+    mixed = mixing.mix_sources(docs, mixing.quality_weights(_table(spark, sf_dir, "labels")), carry=tuple(row))
+    first = (F.first(c).alias(f"mix_{c}") for c in ("size", "epochs", "target"))
+    mixed = mixed.groupBy(*row).agg(*first, F.sum(F.col("chosen").cast("long")).alias("mix_chosen")).where("mix_epochs + mix_chosen > 0")
+    nth = F.row_number().over(Window.partitionBy(*row).orderBy(F.lit(0)))
+    taken = docs.withColumn("mix_nth", nth).join(mixed, row)
+    taken = taken.withColumn("mix_copies", F.col("mix_epochs") + (F.col("mix_nth") <= F.col("mix_chosen")).cast("long")).where("mix_copies > 0")
+    words = (F.col("mix_size") * F.col("mix_copies")).alias("mix_words")
+    return taken.select(*[c for c in docs.columns if c not in row], "mix_copies", words, "mix_target")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -379,8 +379,14 @@ def test_mixing_stage_decides_row_by_row(spark, tmp_path):
     import corpus_pipeline as p
 
     rows = [(None if i % 3 else i // 2, " ".join(["w"] * (i % 37 + 1)) + f" {i}", "en", ["a", "b", None][i % 2 + (i % 11 == 0)], i) for i in range(600)]
+    twins = [(None, "t u v", "en", "c", 7)] * 9 + [(None, "t u v", None, "en", 8)] * 2
     save(spark, tmp_path, rows, [])
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet").repartition(3)
+    got = p.mixing_stage(spark, spark.createDataFrame(twins, DOCS).repartition(2), str(tmp_path)).collect()
+    assert 0 < len(got) <= 11 and all(r.mix_words == 3 * r.mix_copies for r in got)
+    for source in ("c", "en"):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.mix_words for r in own) - own[0].mix_target) <= 3
     got = p.mixing_stage(spark, docs, str(tmp_path)).collect()
     assert sorted(map(tuple, p.mixing_stage(spark, docs.repartition(5), str(tmp_path)).collect()), key=str) == sorted(map(tuple, got), key=str)
     assert len({r.n_chars for r in got}) == len(got)
