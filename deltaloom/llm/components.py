@@ -9,17 +9,19 @@ from deltaloom.session import materialize
 
 
 def _labels(edges: DataFrame) -> DataFrame:
-    """of, label: the smallest id among each id and its neighbours."""
+    """of, label: the id of the smallest hash among each id and its neighbours."""
     both = edges.select("a", "b").union(edges.select("b", "a"))
-    return both.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("low")).select("of", F.least("of", "low").alias("label"))
+    rank = lambda c: F.struct(F.xxhash64(c).alias("hash"), F.col(c).alias("id"))
+    return both.groupBy(F.col("a").alias("of")).agg(F.min(rank("b")).alias("low")).select("of", F.least(F.col("low"), rank("of"))["id"].alias("label"))
 
 
 def connected_components(links: DataFrame, most: int) -> DataFrame:
     """(a, b) to (id, component) for each id in a link; the component's name is one of its ids.
 
-    In each round every id takes the smallest id among itself and its
-    neighbours as its label, and links are contracted to links between labels.
-    most: a bound of the number of links.
+    In each round every id takes as its label the id of the smallest hash among itself
+    and its neighbours, and links are contracted to links between labels: the order
+    of ids doesn't matter, so long chains take rounds in the order of the logarithm
+    of their length. most: a bound of the number of links.
     """
     rounds = [materialize(links.where("a != b").select("a", "b").distinct(), "links", most)]
     while not rounds[-1].isEmpty():

@@ -25,7 +25,11 @@ of every group is linked, proved unlinked, or joined through others. Sets are
 
 Defined results: documents with fewer words than five have their whole sequence
 as the only shingle; those without words or text have n_shingles 0 and stay
-alone, as do rows with a null doc_id (component_id null).
+alone, as do rows with a null doc_id (component_id null); rows that repeat a doc_id
+each have their own set, and all of them the component of the smallest id their
+links reach; equal sets are linked, so ties need no rule; texts of any length are
+compared whole; an empty table gives no rows; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -49,8 +53,8 @@ BUCKET, HELD = 500_000, 1_000_000
 #: Members verified against one copy of their leader.
 CHUNK_MEMBERS = 256
 _SKETCH = 512
-#: Logarithms of the bits of the wide sketch, of the filter of wanted documents and of a block of it.
-WIDE, FILTER, FILTER_BLOCK = 12, 24, 16
+#: Logarithms of the bits of the wide sketch, of the largest filter of wanted documents and of a block of it; bits for each of these.
+WIDE, FILTER, FILTER_BLOCK, FILTER_BITS = 12, 29, 16, 16
 _WORDS = _SKETCH // 64
 
 
@@ -282,33 +286,43 @@ def _bits(table: pa.Table) -> pa.Table:
 
 
 def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, text, wide sketch) of the wanted sets, without a shuffle of texts.
+    """(sid, text, wide sketch) of the wanted sets.
 
-    A bitmap of 2**FILTER bits, whatever the input, tells the scan which documents
-    may be wanted; it lets others through now and then, which then go unused.
+    A bitmap tells the scan which documents may be wanted, without a shuffle of
+    texts; it lets others through now and then, which then go unused. Where there
+    are more of them than 2**FILTER bits keep apart, texts are joined by id instead.
     """
     spark = docs.sparkSession
-    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER)).cast("int")
-    cells = sets.join(wanted, "sid", "left_semi").select(F.shiftright(cell("owner"), FILTER_BLOCK).alias("block"), cell("owner").bitwiseAND((1 << FILTER_BLOCK) - 1).alias("low"))
-    blocks = bytearray(1 << (FILTER - 3))
-    size = 1 << (FILTER_BLOCK - 3)
-    for row in cells.groupBy("block").applyInArrow(_bits, "block int, bits binary").collect():
-        blocks[row["block"] * size : (row["block"] + 1) * size] = row["bits"]
-    sent = spark.sparkContext.broadcast(bytes(blocks))
+    docs = docs.where("doc_id is not null")
+    owners = materialize(sets.join(wanted, "sid", "left_semi").select("owner"), "owners")
+    bits = max(FILTER_BLOCK, (owners.count() * FILTER_BITS).bit_length())
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits)).cast("int")
+    sent = None
+    if bits > FILTER:
+        bits = FILTER
+        docs = docs.join(owners.distinct().hint("merge"), F.col("doc_id") == F.col("owner"), "left_semi")
+    else:
+        cells = owners.select(F.shiftright(cell("owner"), FILTER_BLOCK).alias("block"), cell("owner").bitwiseAND((1 << FILTER_BLOCK) - 1).alias("low"))
+        blocks = bytearray(1 << (bits - 3))
+        size = 1 << (FILTER_BLOCK - 3)
+        for row in cells.groupBy("block").applyInArrow(_bits, "block int, bits binary").collect():
+            blocks[row["block"] * size : (row["block"] + 1) * size] = row["bits"]
+        sent = spark.sparkContext.broadcast(bytes(blocks))
     fields = [("doc_id", pa.int64()), ("sid", pa.int64()), ("text", pa.string()), ("wide", pa.binary())]
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
-            c = batch.column(2).to_numpy()
-            some = batch.filter(pa.array((bits[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1))
+            some = batch
+            if sent is not None:
+                wanted, c = np.frombuffer(sent.value, np.uint8), batch.column(2).to_numpy()
+                some = batch.filter(pa.array((wanted[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1))
             for w in split(some.column(1)):
                 g, at = shingle_sets(w)
                 sid = pa.array(set_ids(g, at).view(np.int64))
                 wide = pa.array([np.packbits(np.bincount((g[a:b] >> np.uint64(64 - WIDE)).astype(int), minlength=1 << WIDE).astype(np.uint8) & 1).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([some.column(0).slice(w.lo, w.hi - w.lo), sid, some.column(1).slice(w.lo, w.hi - w.lo).cast(pa.string()), wide], schema=pa.schema(fields))
 
-    return materialize(docs.where("doc_id is not null").withColumn("cell", cell("doc_id")).mapInArrow(pick, "doc_id long, sid long, text string, wide binary"), "texts")
+    return materialize(docs.withColumn("cell", cell("doc_id")).mapInArrow(pick, "doc_id long, sid long, text string, wide binary"), "texts")
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,22 +1,25 @@
 """Substring dedup by windows of WINDOW words, with a count-min prefilter.
 
 Every window has an anchor: the smallest hash among the GRAM-word sequences in
-it. Equal windows have equal anchors, so an anchor's count is never below the
-count of a window that holds it. Each task counts its anchors in a count-min
-sketch; the sketches are merged block by block, and kept as one bit for each
-cell: two or more. A second pass hashes the windows whose anchor is estimated
-repeated (128 bits), and groups them exactly. None is lost; the sketch only
-decides how many windows that are not repeated are grouped in vain.
-
-The sketch has at most 2**MAX_CELLS cells in each of its rows: that bounds what
-is broadcast, to 2 * 2**MAX_CELLS bits. Within a task only the rows of the
-smallest document of each window are sent on, so that a very common window
-costs one row for each task.
+it. Equal windows have equal anchors, so the number of documents with an anchor is
+never below that of documents with a window that holds it: counts of anchors
+overestimate counts of windows, in about a twentieth of the cells. Each task
+counts its anchors in a count-min sketch; the sketches are merged block by block,
+and kept as one bit for each cell: two or more. A second pass hashes the windows
+whose anchor is estimated repeated (128 bits), and groups them exactly. None is
+lost; the sketch only decides how many windows that are not repeated are grouped in vain.
+
+What is broadcast is bounded, by 2 * 2**MAX_CELLS bits: where the input needs more
+cells, anchors are dealt out by hash over several passes with a sketch each. Within a
+task only the rows of the smallest document of each window are sent on, so that a
+very common window costs one row for each task.
 
 A word is removed if it is covered by a window that also starts in a document
-with a smaller id. Defined results: null text has no words; rows with a null
+with a smaller id. Defined results: null or empty text has no words; rows with a null
 doc_id lose nothing and take nothing from others; rows that share a doc_id don't
-take from each other; texts of fewer than WINDOW words stay whole.
+take from each other; texts of fewer than WINDOW words stay whole; of texts of any
+length every window counts; equal windows of several documents (ties) stay in the
+smallest id; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,9 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.llm.words import Words, grams, split
+from deltaloom.session import materialize
 
 WINDOW, GRAM = 50, 10
 ROWS, BLOCK, MIN_CELLS, MAX_CELLS = 2, 16, 16, 29
+#: Bytes of text for each cell of a sketch, at least, and at most before there is another pass.
+CELL_BYTES, FULL_BYTES = 24, 48
 #: Windows that a bucket of the exact grouping holds about; and that a task keeps before it hands them on.
 BUCKET, HELD = 500_000, 1_000_000
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
@@ -57,7 +63,7 @@ def _cells(anchors: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (anchors * np.uint64(_ODD[row])) >> np.uint64(64 - bits)
 
 
-def _sketch(bits: int, window: int, gram: int):
+def _sketch(bits: int, passes: int, turn: int, window: int, gram: int):
     schema = pa.schema([("r", pa.int32()), ("block", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
 
     def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -78,6 +84,8 @@ def _sketch(bits: int, window: int, gram: int):
         for batch in batches:
             for w in split(batch.column(0)):
                 at, anchor = _anchors(w, w.hashes(), window, gram)
+                mine = anchor % np.uint64(passes) == turn if passes > 1 else slice(None)
+                at, anchor = at[mine], anchor[mine]
                 if not len(at):
                     continue
                 text = w.text_of()[at]
@@ -134,7 +142,7 @@ def _taken(x: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]
     return x, x["doc"] > np.repeat(first, np.diff(np.append(np.flatnonzero(new), n)))
 
 
-def _windows(bits: int, repeated, buckets: int, window: int, gram: int):
+def _windows(bits: int, passes: int, turn: int, repeated, buckets: int, window: int, gram: int):
     def flush(held: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         x, taken = _taken({k: np.concatenate([h[k] for h in held]) for k in _TYPES})
         kept, gone = {k: v[~taken] for k, v in x.items()}, {k: x[k][taken] for k in _PLACE}
@@ -158,6 +166,8 @@ def _windows(bits: int, repeated, buckets: int, window: int, gram: int):
             for w in split(batch.column(1)):
                 hashes = w.hashes()
                 at, anchor = _anchors(w, hashes, window, gram)
+                mine = anchor % np.uint64(passes) == turn if passes > 1 else slice(None)
+                at, anchor = at[mine], anchor[mine]
                 if not len(at):
                     continue
                 text = w.text_of()[at]
@@ -196,7 +206,7 @@ def _group(table: pa.Table) -> pa.Table:
     order = np.argsort(gone["db"], kind="stable")
     gone = {k: v[order] for k, v in gone.items()}
     dbs, at = np.unique(gone["db"], return_index=True)
-    ends = [*at[1:], len(order)]
+    ends = [*at[1:], len(order)][: len(at)]  # none where nothing is taken
     cut = lambda k: pa.array([gone[k][a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())
     return pa.Table.from_arrays([pa.array(dbs, pa.int32()), cut("doc"), cut("fp"), cut("pos")], schema=_REMOVED)
 
@@ -235,21 +245,33 @@ def _cut(window: int):
     return cut
 
 
+def _repeated(docs: DataFrame, bits: int, passes: int, turn: int, window: int, gram: int) -> list[bytes]:
+    """The merged sketch of one pass, as bits; bounded, as the sketch is."""
+    partial = docs.select("text").mapInArrow(_sketch(bits, passes, turn, window, gram), "r int, block int, cells binary, counts binary")
+    merged = partial.groupBy("r", "block").applyInArrow(_merge, "r int, block int, bits binary")
+    bitmap = [bytearray(1 << (bits - 3)) for _ in range(ROWS)]
+    for row in merged.collect():
+        at = row["block"] << (BLOCK - 3)
+        bitmap[row["r"]][at : at + (1 << (BLOCK - 3))] = row["bits"]
+    return [bytes(x) for x in bitmap]
+
+
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space) for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
-    bits = min(MAX_CELLS, max(MIN_CELLS, int(size // 24).bit_length()))
-    partial = docs.select("text").mapInArrow(_sketch(bits, window, gram), "r int, block int, cells binary, counts binary")
-    merged = partial.groupBy("r", "block").applyInArrow(_merge, "r int, block int, bits binary")
-    bitmap = [bytearray(1 << (bits - 3)) for _ in range(ROWS)]
-    for row in merged.collect():  # bounded, as the sketch is
-        at = row["block"] << (BLOCK - 3)
-        bitmap[row["r"]][at : at + (1 << (BLOCK - 3))] = row["bits"]
-    repeated = spark.sparkContext.broadcast([bytes(x) for x in bitmap])
+    bits = min(MAX_CELLS, max(MIN_CELLS, int(size // CELL_BYTES).bit_length()))
+    passes = int(size // (FULL_BYTES * 2**bits) + 1)
     buckets = int(max(1, size // 6 // BUCKET + 1))
     keyed = docs.withColumn("db", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    grouped = keyed.mapInArrow(_windows(bits, repeated, buckets, window, gram), "bucket int, " + ", ".join(f"{f.name} binary" for f in list(_GROUPED)[1:]))
-    removed = grouped.groupBy("bucket").applyInArrow(_group, "db int, doc binary, fp binary, pos binary")
+    removed = None
+    for turn in range(passes):
+        repeated = spark.sparkContext.broadcast(_repeated(docs, bits, passes, turn, window, gram))
+        grouped = keyed.mapInArrow(_windows(bits, passes, turn, repeated, buckets, window, gram), "bucket int, " + ", ".join(f"{f.name} binary" for f in list(_GROUPED)[1:]))
+        own = grouped.groupBy("bucket").applyInArrow(_group, "db int, doc binary, fp binary, pos binary")
+        if passes > 1:  # written, so that one sketch at a time is held
+            own = materialize(own, "removed")
+            repeated.destroy()
+        removed = own if removed is None else removed.union(own)
     return keyed.groupBy("db").cogroup(removed.groupBy("db")).applyInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string")

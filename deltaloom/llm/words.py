@@ -1,14 +1,17 @@
 """Words of Arrow text columns and their hashes, in numpy, without a Python object for each word.
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D, which is the same as a
-run of such code points in UTF-8. Hashes are polynomials over bytes (or over
-mixed word hashes) modulo 2**64, taken as differences of running sums, with
-byte values spread over 64 bits and a final mix; two families are independent.
+run of such code points in UTF-8. Words of up to LONG bytes are hashed by eight
+bytes at a time, longer ones by BLAKE2b; successive words by combining hashes of
+halves. Each step is a bijection of either input but not linear, so that no
+rule of how words are made up or repeated gives equal hashes. Two families of
+constants are independent.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +28,11 @@ PLAIN = np.zeros(256, bool)
 PLAIN[:128] = [not chr(i).isalnum() for i in range(128)]
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
-_M = 1 << 64
+_LOWER = _LOWER.astype(np.uint8)
+#: Bytes of a word that are hashed in numpy.
+LONG = 64
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_ODD = [(0xD1342543DE82EF95, 0x9FB21C651E98DF25), (0xF1357AEA2E62A9C5, 0xAEF17502108EF2D9)]
 _LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
 
@@ -39,36 +46,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTES = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * f)) for f in range(2)]
-_BASE = [0xD1342543DE82EF95, 0xF1357AEA2E62A9C5]
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(family: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, n at least."""
-    if family not in _POWERS or len(_POWERS[family][0]) < n:
-        size = max(n, CHUNK + (CHUNK >> 1))
-        base, inverse = _BASE[family], pow(_BASE[family], -1, _M)
-        out = []
-        for b in (base, inverse):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=np.uint64))
-        _POWERS[family] = (out[0], out[1])
-    return _POWERS[family]
-
-
-def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int) -> np.ndarray:
-    """Mixed polynomial hashes of values[start:end]."""
-    power, inverse = _powers(family, len(values) + 1)
-    sums = np.empty(len(values) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(values * power[: len(values)], out=sums[1:], dtype=np.uint64)
-    h = sums[ends]
-    h -= sums[starts]
-    h *= inverse[starts]
-    h += (ends - starts).astype(np.uint64)
-    return mix(h)
+def _join(a: np.ndarray, b: np.ndarray, family: int) -> np.ndarray:
+    """A hash of the pair (a, b)."""
+    x = a * np.uint64(_ODD[family][0])
+    x += b
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(_ODD[family][1])
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def give_back() -> None:
@@ -101,8 +86,25 @@ class Words:
         return self.data[self.text_at[i] : self.text_at[i + 1]].tobytes()
 
     def hashes(self, family: int = 0, lower: bool = False) -> np.ndarray:
-        table = _BYTES[family][_LOWER] if lower else _BYTES[family]
-        return _spans(table[self.data], self.starts, self.ends, family)
+        data = _LOWER[self.data] if lower else self.data
+        size = self.ends - self.starts
+        whole = np.zeros(len(data) // 8 + 2, np.uint64)
+        whole.view(np.uint8)[: len(data)] = data
+        h = size.astype(np.uint64) + np.uint64(1)
+        some, begin, left = slice(None), self.starts, size
+        for _ in range(LONG // 8):
+            # eight bytes from any place, of two that lie at multiples of eight
+            at, shift = begin >> 3, ((begin & 7) << 3).astype(np.uint64)
+            piece = (whole[at] >> shift) | ((whole[at + 1] << np.uint64(1)) << (np.uint64(63) - shift))
+            h[some] = _join(h[some], piece & _MASK[np.minimum(left, 8)], family)
+            more = np.flatnonzero(size > 8) if isinstance(some, slice) else some[left > 8]
+            if not len(more):
+                break
+            begin, left = (begin[left > 8] + 8, left[left > 8] - 8)
+            some = more
+        for i in np.flatnonzero(size > LONG):
+            h[i] = int.from_bytes(hashlib.blake2b(data[self.starts[i] : self.ends[i]], digest_size=8, key=b"%d" % family).digest(), "little")
+        return mix(h)
 
     def room(self) -> np.ndarray:
         """For each word, how many words its text has from there on."""
@@ -114,8 +116,15 @@ def grams(hashes: np.ndarray, k: int, family: int = 0) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    at = np.arange(n)
-    return _spans(hashes, at, at + k, family)
+    out, done, power, width = None, 0, hashes, 1
+    while done < k:
+        # power: of width words, a power of two; out: of the first done words
+        if k & width:
+            out = power[:n] if out is None else _join(out, power[done : done + n], family)
+            done += width
+        if done < k:
+            power, width = _join(power[:-width], power[width:], family), 2 * width
+    return mix(out)
 
 
 def columns(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

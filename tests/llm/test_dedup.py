@@ -72,6 +72,50 @@ def test_op2_with_a_full_sketch(spark, tmp_path, monkeypatch):
     assert got == brute_substring(rows)
 
 
+def test_op2_in_several_passes(spark, tmp_path, monkeypatch):
+    """Anchors dealt out over sketches of their own."""
+    monkeypatch.setattr(substring_dedup, "MAX_CELLS", 16)
+    monkeypatch.setattr(substring_dedup, "FULL_BYTES", 0.5)
+    rows = corpus(4)
+    write(spark, rows, tmp_path)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in registry.op2_substring_dedup(spark, str(tmp_path)).collect()), key=str)
+    assert got == brute_substring(rows)
+
+
+def thue_morse(n, letters):
+    return "".join(letters[bin(i).count("1") & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("size", [1 << 10, 1 << 12, 1 << 16])
+def test_words_that_collide_by_construction_elsewhere(spark, tmp_path, size):
+    """Thue-Morse strings have equal polynomial hashes modulo 2**64, whatever the base."""
+    pairs = [(thue_morse(size, x), thue_morse(size, x[::-1])) for x in ("ab", "xy", "01", "AB", "éo")]
+    (w,) = words.split(pa.array([" ".join(a for a, _ in pairs) + " " + " ".join(b for _, b in pairs)], pa.string()))
+    for family in (0, 1):
+        assert len(set(w.hashes(family).tolist())) == 10
+    some = pairs if size < 1 << 16 else pairs[:1]
+    rows = [(1, " ".join(some[i % len(some)][0] for i in range(50))), (2, " ".join(some[i % len(some)][1] for i in range(50))), (3, "a b c d e f g " + some[0][0]), (4, "a b c d e f g " + some[0][1])]
+    write(spark, rows, tmp_path)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in registry.op2_substring_dedup(spark, str(tmp_path)).collect()), key=str)
+    assert got == brute_substring(rows) and all(r[2] == 0 for r in got)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in registry.op10_jaccard_join(spark, str(tmp_path)).collect()), key=str)
+    assert got == brute_join(rows)
+
+
+def test_word_hashes_tell_all_lengths_apart():
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abAB01é"))
+    some = sorted({"".join(rng.choice(letters, n)) for n in [*range(1, 80), *range(60, 70), 500, 5000] for _ in range(12)} | {"a" * n for n in range(1, 200)})
+    (w,) = words.split(pa.array([" ".join(some)]))
+    assert len(set(w.hashes().tolist())) == len(some) and len(set(w.hashes(lower=True).tolist())) == len({"".join(c.lower() if c.isascii() else c for c in x) for x in some})
+    again = np.concatenate([v.hashes() for v in words.split(pa.array([f"{'x' * i} {x}" for i, x in enumerate(some, 1)]))])
+    assert again[1::2].tolist() == w.hashes().tolist()  # wherever a word lies
+    g = w.hashes()[:300]
+    for k in (1, 2, 3, 5, 10, 49, 50, 64, 300):
+        a = words.grams(np.concatenate([g, g]), k)
+        assert (a[: 301 - k] == a[300 : 601 - k]).all() and len(set(a[:300].tolist())) == 300
+
+
 def test_sketch_never_underestimates():
     rng = np.random.default_rng(0)
     anchors = rng.integers(0, 2**63, 3000, dtype=np.uint64)
@@ -158,6 +202,14 @@ def test_op10(spark, tmp_path, seed):
     assert got == brute_join(rows)
 
 
+def test_op10_joins_texts_by_id_beyond_the_filter(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FILTER", 15)
+    rows = near_copies(4)
+    write(spark, rows, tmp_path)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in registry.op10_jaccard_join(spark, str(tmp_path)).collect()), key=str)
+    assert got == brute_join(rows)
+
+
 def test_op10_empty(spark, tmp_path):
     write(spark, [], tmp_path)
     assert registry.op10_jaccard_join(spark, str(tmp_path)).count() == 0
@@ -187,6 +239,14 @@ def test_set_ids_are_of_sets():
     assert ids[0] == ids[1] and len(set(ids)) == 3 and np.diff(at).tolist() == [2, 2, 6, 2]
 
 
+def test_components_of_long_chains(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "materialize", lambda df, tag, rows=None: (written.append(tag), spark.createDataFrame(df.collect(), df.schema))[1])
+    edges = [(i, i + 1) for i in range(60)]
+    got = {r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), len(edges)).collect()}
+    assert len(got) == 1 and len(written) < 10
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     edges = [(int(a), int(b)) for a, b in rng.integers(-500, 500, (600, 2))] + [(i, i + 1) for i in range(1000, 1040)] + [(5000, i) for i in range(2000, 2300)] + [(7, 7)]
