@@ -5,8 +5,10 @@ into final messages; these are rendered by a template that marks turns, with a
 loss mask over the assistant's texts.
 
 Defined results: a null text or role is empty; a null conversation id is a
-conversation of its own; events with equal sequence numbers are ordered by kind
-and text; a log without events gives no conversation. Control strings in texts
+conversation of its own; events with equal sequence numbers (ties) are ordered by kind
+and text; equal rows are turns of their own, and equal events are applied each; texts
+are kept whole, whatever their length; a log without events gives no conversation, an
+empty table no rows; other columns are not read, whatever their names. Control strings in texts
 are escaped by one more backslash between "<" and "|", which unescape() undoes.
 """
 
@@ -109,8 +111,42 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return f.select("conv_id", "formatted", F.transform("pieces", turn).alias("turns"), F.transform("loss_mask", under).alias("loss_texts"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    return rows.select("conv_id", F.row_number().over(order).alias("turn"), F.count("*").over(Window.partitionBy("conv_id")).alias("turns"), "role", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def events_of(rows: DataFrame) -> DataFrame:
     """Finished turns (conv_id, turn, role, text) as a log with one event for each row."""
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    n = F.row_number().over(order)
-    return rows.select("conv_id", n.alias("turn"), n.alias("seq"), F.lit("message").alias("event"), "role", "text")
+    return _numbered(rows).select("conv_id", "turn", F.col("turn").alias("seq"), F.lit("message").alias("event"), "role", "text")
+
+
+#: What is streamed of a message before it is edited or generated again, and the text of a message that is deleted.
+DRAFT = "unfinished <|im_end|>"
+
+
+def stream_of(rows: DataFrame) -> DataFrame:
+    """Finished turns (conv_id, turn, role, text) as a log of what a chat service records while they come about.
+
+    Every message begins empty and streams a draft. Those of odd turns are
+    generated again and streamed in two deltas; those of even turns are edited
+    to their first half, and the rest is a delta. The steps of all turns
+    alternate, so that only sorting by sequence and folding gives the texts. One
+    more message of each conversation is deleted.
+    """
+    half = (F.length("text") / 2).cast("int")
+    left, right = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    odd, first = F.col("turn") % 2 == 1, F.col("turn") == 1
+    step = lambda n, event, role, text, turn=F.col("turn"): F.struct(turn.alias("turn"), F.lit(n).alias("step"), event.alias("event"), role.alias("role"), text.alias("text"))
+    none, nothing, kind = F.lit(None).cast("string"), F.lit(""), F.lit
+    events = [
+        step(0, kind("message"), F.col("role"), nothing),
+        step(1, kind("delta"), none, F.lit(DRAFT)),
+        step(2, F.when(odd, "regenerate").otherwise("edit"), none, F.when(odd, "").otherwise(left)),
+        F.when(odd, step(3, kind("delta"), none, left)),
+        step(4, kind("delta"), none, right),
+        F.when(first, step(0, kind("message"), F.lit("user"), F.lit(DRAFT), F.lit(0))),
+        F.when(first, step(5, kind("delete"), none, none, F.lit(0))),
+    ]
+    log = _numbered(rows).select("conv_id", "turns", F.inline(F.filter(F.array(*events), lambda e: e.isNotNull())))
+    return log.select("conv_id", "turn", (F.col("step") * (F.col("turns") + 1) + F.col("turn")).alias("seq"), "event", "role", "text")

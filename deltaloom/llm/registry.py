@@ -25,7 +25,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text")
     )
-    back = chat.read_back(chat.format_chats(chat.events_of(rows.unionByName(extra))))
+    back = chat.read_back(chat.format_chats(chat.stream_of(rows.unionByName(extra))))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     trained = F.array_join("loss_texts", "")
     return back.select(
@@ -86,25 +86,42 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+#: Whole licences as files have them: with a title, a holder, capitals and another spelling. Scanned with the documents.
+PLANTED = [
+    (-1 - i, f"{titles[0]}\n\nCopyright (c) 20{10 + i} Some Holder\nAll rights reserved.\n\n" + licenses.KNOWN[k].upper().replace(" LICENSE", " LICENCE"))
+    for i, (k, titles) in enumerate(licenses.TITLES.items())
+]
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(_table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+    planted = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(i).cast("long").alias("doc_id"), F.lit(t).alias("text")) for i, t in PLANTED))))
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text").union(planted), licenses.known_licenses(spark))
+
+
+def _values(rows: list[tuple]) -> str:
+    said = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return "VALUES " + ", ".join("(" + ", ".join(map(said, r)) + ")" for r in rows)
 
 
 OP7_SQL = f"""
-WITH k AS (SELECT sha256({licenses.canonical_sql("text")}) AS known, min(license_id) AS license_id FROM (VALUES {
-    ", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in licenses.KNOWN.items())
-}) AS t(license_id, text) GROUP BY 1),
-d AS (SELECT doc_id, sha256({licenses.canonical_sql("text")}) AS digest FROM documents)
-SELECT doc_id, digest, license_id FROM d LEFT JOIN k ON digest = known
+WITH t(license_id, text) AS ({_values(licenses.known_texts())}),
+k AS (SELECT known, min(license_id) AS license_id FROM (SELECT sha256({licenses.canonical_sql("text")}) AS known, license_id FROM t
+  UNION ALL SELECT known, license_id FROM ({_values([(v, k) for k, v in licenses.DIGESTS.items()])}) AS g(known, license_id)) GROUP BY known),
+a AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM ({_values(PLANTED)}) AS p(doc_id, text)),
+n AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM a)
+  JOIN k ON known = sha256({licenses.canonical_sql("line")}) WHERE contains(lower(line), '{licenses.NOTICE_MARK}') GROUP BY doc_id),
+d AS (SELECT doc_id, sha256({licenses.canonical_sql("text")}) AS digest FROM a)
+SELECT doc_id, digest, license_id, coalesce(notices, '') AS notices FROM d LEFT JOIN k ON digest = known LEFT JOIN n USING (doc_id)
 """
 
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 

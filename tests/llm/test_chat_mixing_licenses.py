@@ -3,6 +3,7 @@
 import hashlib
 import math
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +63,37 @@ def test_op1_reads_back(spark, tmp_path):
         assert got[c].formatted_chars > len(loss)
 
 
+def test_streamed_logs_fold_to_their_turns(spark):
+    """Deltas, edits, regenerations and a deletion, interleaved over all turns, against a fold in plain Python."""
+    rows = spark.createDataFrame(ROWS + [(7, 2, "user", "edited twice"), (7, 3, None, "é<|🎈")], "conv_id long, turn long, role string, text string")
+    log = chat.stream_of(rows)
+    events = log.collect()
+    kinds = {e.event for e in events}
+    assert kinds == set(chat.KINDS)
+    by = defaultdict(list)
+    for e in events:
+        by[e.conv_id].append(e)
+    want = {}
+    for c, es in by.items():
+        assert len({e.seq for e in es}) == len(es)
+        live = {}
+        for e in sorted(es, key=lambda e: e.seq):
+            if e.event == "delete":
+                live.pop(e.turn)
+            elif e.event == "delta":
+                live[e.turn][1] += e.text
+            else:
+                live[e.turn] = [e.role if e.event == "message" else live[e.turn][0], e.text]
+        want |= {(c, t): (r or "", x) for t, (r, x) in live.items()}
+    # turns alternate in the log: no message is finished before the next begins
+    first = sorted(by[7], key=lambda e: e.seq)[:5]
+    assert len({e.turn for e in first}) > 3
+    folded = {(r.conv_id, r.turn): (r.role, r.text) for r in chat.fold_events(log.repartition(3)).collect()}
+    assert folded == want
+    plain = {(r.conv_id, r.turn): (r.role, r.text) for r in chat.fold_events(chat.events_of(rows)).collect()}
+    assert folded == plain
+
+
 def test_mask_spans_are_of_the_output(spark):
     rows = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string")
     for r in chat.format_chats(chat.events_of(rows)).collect():
@@ -135,28 +167,75 @@ def test_better_documents_come_first(spark):
     assert n[True] > 5 * n.get(False, 1)
 
 
+def test_op4_chooses_by_efraimidis_spirakis(spark):
+    """Which documents are chosen: keys -ln(u) / weight in order, up to the budget, worked out row by row."""
+    n = 900
+    rows = [(i, " ".join(["w"] * (1 + i * 7 % 53)), ["a", "b", "c", None][min(3, i % 6)]) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    quality = spark.createDataFrame([(i, [2.0, 0.5, 4.0][i % 3]) for i in range(0, n, 2)], "doc_id long, weight double")
+    u = {r.id: r.u for r in spark.range(n).select("id", mixing.uniform(F.col("id"), 77).alias("u")).collect()}
+    got = {r.doc_id: r for r in mixing.mix_sources(docs, quality, seed=77).collect()}
+    chosen = 0
+    for source in ("a", "b", "c", None):
+        own = [(i, len(t.split())) for i, t, s in rows if s == source]
+        target, total = got[own[0][0]].target, sum(size for _, size in own)
+        epochs, before = int(target // total), 0
+        budget = target - epochs * total
+        weight = lambda i: [2.0, 0.5, 4.0][i % 3] if i % 2 == 0 else 1.0
+        for i, size in sorted(own, key=lambda x: (-math.log(u[x[0]]) / weight(x[0]), x[0])):
+            take = before + size <= budget or before + size - budget < budget - before
+            before += size
+            assert (got[i].epochs, got[i].chosen, got[i].taken) == (epochs, take, size * (epochs + take)), i
+            chosen += take
+    assert 0 < chosen < n
+
+
 def test_op4_empty(spark, tmp_path):
     write(spark.createDataFrame([], DOCS), tmp_path, "documents")
     write(spark.createDataFrame([], "doc_id long, quality int, toxic int"), tmp_path, "labels")
     assert registry.op4_mixing(spark, str(tmp_path)).count() == 0
 
 
+LONG = "/usr/share/common-licenses"
+
+
 def test_op7(spark, tmp_path):
-    mit = licenses.KNOWN["MIT"]
+    mit, line = licenses.KNOWN["MIT"], "Released under the MIT License."
     rows = [
         (1, mit), (2, "MIT\n"), (3, "Copyright (c) 2020 Somebody\n\n  " + mit.upper().replace(",", " ;")), (4, "(c) Copyright 2001-2020, A. Nobody\n" + licenses.KNOWN["ISC"].replace(" ", "\n")),
         (5, None), (6, ""), (7, "Copyright 2020 X"), (8, mit + " and more"), (9, licenses.KNOWN["Zlib"].replace("acknowledgment", "Acknowledgement")), (10, "released under the mit licence"), (10, mit), (None, mit),
-        (11, "word " * 50_000),
+        (11, "word " * 50_000), (12, "MIT License\n\nCopyright (c) 2020 X\n\n" + mit), (13, "BSD 3-Clause License\nCopyright 2021 Y.  All rights reserved.\nAll rights reserved.\n" + licenses.KNOWN["BSD-3-Clause"]),
+        (14, f"some text\n{line}\n\nmore. {line}\nLicensed under CC BY-NC 4.0\n * {line.upper()}"), (15, f"x {line}"), (16, "Sublicence\nlicence licence"), (None, line), (None, line),
     ]
-    write(spark.createDataFrame(rows, "doc_id long, text string").withColumn("license_id", F.lit("clash")).withColumn("digest", F.lit(1)), tmp_path, "documents")
+    write(spark.createDataFrame(rows, "doc_id long, text string").withColumn("license_id", F.lit("clash")).withColumn("digest", F.lit(1)).withColumn("notices", F.lit("x")), tmp_path, "documents")
     df = registry.op7_license_scan(spark, str(tmp_path))
     no_python(df)
-    got = sorted(((r.doc_id, r.license_id) for r in df.collect()), key=str)
-    want = [(1, "MIT"), (2, None), (3, "MIT"), (4, "ISC"), (5, None), (6, None), (7, None), (8, None), (9, "Zlib"), (10, "MIT"), (10, "notice:MIT"), (None, "MIT"), (11, None)]
+    got = sorted(((r.doc_id, r.license_id, r.notices) for r in df.collect() if r.doc_id is None or r.doc_id >= 0), key=str)
+    note = "notice:MIT"
+    want = [(1, "MIT", ""), (2, None, ""), (3, "MIT", ""), (4, "ISC", ""), (5, None, ""), (6, None, ""), (7, None, ""), (8, None, ""), (9, "Zlib", ""), (10, note, note), (10, "MIT", ""), (None, "MIT", ""), (11, None, "")]
+    want += [(12, "MIT", ""), (13, "BSD-3-Clause", ""), (14, None, "notice:CC-BY-NC-4.0,notice:MIT"), (15, None, ""), (16, None, ""), (None, note, note), (None, note, note)]
     assert got == sorted(want, key=str)
     assert {r.digest for r in df.where("doc_id = 5").collect()} == {None}
+    planted = {r.doc_id: r.license_id for r in df.where("doc_id < 0").collect()}
+    assert planted == {-1 - i: k for i, k in enumerate(licenses.TITLES)}
+
+
+def test_op7_empty(spark, tmp_path):
+    write(spark.createDataFrame([], "doc_id long, text string"), tmp_path, "documents")
+    assert registry.op7_license_scan(spark, str(tmp_path)).where("doc_id >= 0").count() == 0
+    none = spark.createDataFrame([], "license_id string, digest string")
+    assert [tuple(r) for r in licenses.scan_licenses(spark.createDataFrame([(1, "licence")], "doc_id long, text string"), none).select("doc_id", "license_id", "notices").collect()] == [(1, None, "")]
 
 
 def test_known_licenses_differ(spark):
-    k = licenses.known_licenses(spark).select(licenses.canonical(F.col("text")).alias("c"))
-    assert k.distinct().count() == len(licenses.KNOWN)
+    k = licenses.known_licenses(spark)
+    assert k.select("digest").distinct().count() == k.count() == len(licenses.known_texts()) + len(licenses.DIGESTS)
+    assert all(licenses.NOTICE_MARK in text.lower() for name, text in licenses.KNOWN.items() if name.startswith("notice:"))
+
+
+@pytest.mark.skipif(not Path(LONG).is_dir(), reason="no licence texts here")
+def test_digests_are_of_the_published_texts(spark):
+    names = {"Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause-Regents"} | {f"{x}-{v}": f"{x}-{v}.0" for x, v in (("GPL", 1), ("GPL", 2), ("GPL", 3), ("LGPL", 2), ("LGPL", 3))}
+    found = {names.get(r.license_id, r.license_id): r.digest for r in licenses.read_catalogue(spark, LONG).collect()}
+    both = found.keys() & licenses.DIGESTS.keys()
+    assert len(both) > 5 and all(found[k] == licenses.DIGESTS[k] for k in both)
