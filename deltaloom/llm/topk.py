@@ -6,13 +6,17 @@ and Schwarz what the remaining dimensions can add is at most the product of the
 remaining lengths, so pairs that cannot reach the query's k-th best score are
 dropped and the survivors compacted.
 
-Blocks of queries meet blocks of candidates by an equi-join on the query block
-and a salt; nothing is collected or broadcast.
+Blocks of queries meet blocks of candidates by an equi-join on a group of GROUP
+query blocks and a salt: candidates are sent once for each group, query blocks once
+for each salt, as the smallest integers that hold them. Nothing is collected or broadcast.
 
 Defined results: vectors that are null, or hold null or non-finite components,
-take no part; shorter vectors count as filled up with zeros; a query does not
-meet rows with its own id; repeated candidate rows count each, repeated query
-ids once; fewer than k candidates: all.
+take no part, nor do rows with a null vec_id; shorter vectors, empty ones too, count as
+filled up with zeros; scaled components beyond 2**62 count as that, and scores beyond 64
+bits as the nearest that fit; ties go to the smaller vec_id; a query does not
+meet rows with its own id; repeated candidate rows count each; of several vectors with
+a query's id the smallest, by component, is the query; fewer than k candidates: all; an
+empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,10 +30,13 @@ from pyspark.sql import functions as F
 
 SCALE = 1024.0
 QUERIES, CANDIDATES, DIMENSIONS = 512, 2048, 16
+#: Query blocks that a task searches for at a time.
+GROUP = 64
+_MOST = 2.0**62
 _PACKED = "part int, n int, d int, ids binary, m binary"
 
 
-def _vertical(ids: list[np.ndarray], vectors: list[np.ndarray]) -> dict:
+def _vertical(ids: list[int], vectors: list[np.ndarray]) -> dict:
     d = max(len(v) for v in vectors)
     if all(len(v) == d for v in vectors):
         m = np.ascontiguousarray(np.stack(vectors, axis=1))
@@ -37,7 +44,19 @@ def _vertical(ids: list[np.ndarray], vectors: list[np.ndarray]) -> dict:
         m = np.zeros((d, len(vectors)), dtype=np.int64)
         for j, v in enumerate(vectors):
             m[: len(v), j] = v
-    return {"n": len(vectors), "d": d, "ids": np.asarray(ids, np.int64).tobytes(), "m": m.tobytes()}
+    top = int(max(m.max(initial=0), -1 - m.min(initial=0)))
+    kind = next(t for t in (np.int16, np.int32, np.int64) if top <= np.iinfo(t).max)
+    return {"n": len(vectors), "d": d, "ids": np.asarray(ids, np.int64).tobytes(), "m": m.astype(kind).tobytes()}
+
+
+def _matrix(m: bytes, d: int, n: int) -> np.ndarray:
+    """A block as _vertical() packs it."""
+    kind = {2: np.int16, 4: np.int32}.get(len(m) // max(1, d * n), np.int64)
+    return np.frombuffer(m, kind).reshape(d, n)
+
+
+def _scaled(v: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(v * SCALE), -_MOST, _MOST).astype(np.int64)
 
 
 def _valid(batch: pa.RecordBatch) -> tuple[list[int], list[np.ndarray]]:
@@ -49,17 +68,16 @@ def _valid(batch: pa.RecordBatch) -> tuple[list[int], list[np.ndarray]]:
     if len(column) and not column.null_count and not batch.column(0).null_count and (lengths == lengths[0]).all() and lengths[0]:
         m = values.reshape(len(column), -1)
         fine = np.isfinite(m).all(axis=1)
-        return batch.column(0).to_numpy()[fine].tolist(), list(np.floor(m[fine] * SCALE).astype(np.int64))
+        return batch.column(0).to_numpy()[fine].tolist(), list(_scaled(m[fine]))
     at = 0
     for i, key in enumerate(batch.column(0).to_pylist()):
         if not column[i].is_valid:
             continue
         v = values[at : at + int(lengths[i])]
         at += int(lengths[i])
-        if key is None or not len(v) or not np.isfinite(v).all():
-            continue
-        ids.append(key)
-        out.append(np.floor(v * SCALE).astype(np.int64))
+        if key is not None and np.isfinite(v).all():
+            ids.append(key)
+            out.append(_scaled(v))
     return ids, out
 
 
@@ -126,10 +144,21 @@ def _rest(m: np.ndarray) -> np.ndarray:
     return np.vstack([np.sqrt(squares[::DIMENSIONS]) * (1 + 1e-9), np.zeros((1, m.shape[1]))])
 
 
+def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """All scores where 64 bits may not hold them, by whole numbers of any size."""
+    most, shared = np.iinfo(np.int64).max, min(len(q), len(c))
+    exact = q[:shared].T.astype(object) @ c[:shared].astype(object) if shared else np.zeros((q.shape[1], c.shape[1]), object)
+    return np.clip(exact, -most, most).astype(np.int64)
+
+
 def _search(best: _Best, ids: np.ndarray, m: np.ndarray) -> None:
     d = max(len(m), len(best.m))
-    exact = float(np.abs(m).max(initial=0)) * float(np.abs(best.m).max(initial=0)) * d < 2.0**52
-    qm, cm = (x.astype(np.float64) if exact else x for x in (best.m, m))  # whole numbers below 2**53 are exact in float64
+    if float(np.abs(m.astype(float)).max(initial=0)) * float(np.abs(best.m.astype(float)).max(initial=0)) * d >= 2.0**52:
+        scores = _products(best.m, m)
+        q, c = np.nonzero(best.ids[:, None] != ids[None, :])
+        best.add(q, ids[c], scores[q, c])
+        return
+    qm, cm = best.m.astype(np.float64), m.astype(np.float64)  # whole numbers below 2**53 are exact in float64
     low, qrest, crest = best.floor(), best.rest, _rest(m)
     nq, nc = len(best.ids), len(ids)
     score = np.zeros((nq, nc), qm.dtype)
@@ -158,7 +187,7 @@ def _search(best: _Best, ids: np.ndarray, m: np.ndarray) -> None:
     if pairs is None:
         if low is None and score.shape[1] > best.k:
             own = best.ids[:, None] == ids[None, :]  # any number of rows may have the query's id
-            others = np.where(own, -np.inf if score.dtype.kind == "f" else -np.iinfo(np.int64).max, score)
+            others = np.where(own, -np.inf, score)
             at = -np.partition(-others, best.k - 1, axis=1)[:, best.k - 1]
             pairs = np.nonzero((score >= at[:, None]) & ~own)
         else:
@@ -185,10 +214,10 @@ def _search_blocks(k: int):
         for batch in batches:
             for r in batch.to_pylist():
                 if r["q_ids"] not in bests:
-                    if len(bests) >= 32:  # the final ranking merges what is handed on early
+                    if len(bests) >= GROUP:  # the final ranking merges what is handed on early
                         yield rows(bests.pop(next(iter(bests))))
-                    bests[r["q_ids"]] = _Best(np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_m"], np.int64).reshape(r["q_d"], r["q_n"]), k)
-                _search(bests[r["q_ids"]], np.frombuffer(r["ids"], np.int64), np.frombuffer(r["m"], np.int64).reshape(r["d"], r["n"]))
+                    bests[r["q_ids"]] = _Best(np.frombuffer(r["q_ids"], np.int64), _matrix(r["q_m"], r["q_d"], r["q_n"]), k)
+                _search(bests[r["q_ids"]], np.frombuffer(r["ids"], np.int64), _matrix(r["m"], r["d"], r["n"]))
         for best in bests.values():
             yield rows(best)
 
@@ -199,14 +228,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score over vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    queries = v.where(is_query).dropDuplicates(["vec_id"])
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    queries = v.where(is_query & F.col("vec_id").isNotNull() & finite).groupBy("vec_id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-queries.count() // QUERIES))
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups, salts = -(-blocks // GROUP), int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("part"), "vec_id", "v").groupBy("part").applyInArrow(_pack_group, _PACKED)
-    q = packed.select(F.col("part").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), *(F.col(c).alias(f"q_{c}") for c in ("n", "d", "ids", "m")))
+    q = packed.select((F.col("part") / GROUP).cast("int").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), *(F.col(c).alias(f"q_{c}") for c in ("n", "d", "ids", "m")))
     c = v.mapInArrow(_pack(CANDIDATES, salts), _PACKED)
-    c = c.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("part").alias("salt"), "n", "d", "ids", "m")
-    found = c.join(q, ["block", "salt"]).select("n", "d", "ids", "m", "q_n", "q_d", "q_ids", "q_m")
+    c = c.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.col("part").alias("salt"), "n", "d", "ids", "m")
+    found = c.join(q, ["group", "salt"]).select("n", "d", "ids", "m", "q_n", "q_d", "q_ids", "q_m")
     found = found.mapInArrow(_search_blocks(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
