@@ -3,23 +3,28 @@
 Words are lower-cased (A-Z) and parted by white space and ASCII punctuation; a
 shingle is five of them, and weighs as many bytes as it has. Each window of a
 document that is as long as an item gets a 128-bit SimHash of its weighted
-distinct shingles. A multi-index of 16 blocks of 8 bits finds every item of that length
-within RADIUS: fingerprints that differ in 31 bits or fewer agree, up to one
-bit, in one block at least. Candidates are verified by the exact weighted Jaccard
-similarity of their distinct shingles.
+distinct shingles. A multi-index of 8 blocks of 16 bits finds every item of that length
+within RADIUS: fingerprints that differ in 31 bits or fewer differ in 3 at most
+in one block at least, so each block of a window is looked up with up to 3 bits
+flipped. Candidates are verified by the exact weighted Jaccard similarity of their
+distinct shingles.
 
 Fingerprints are made only for windows of the weight of whose distinct shingles
 THRESHOLD or more lies on shingles that some item has: others can't be that similar to any item.
 
 Items of fewer than five words are one shingle; a document shorter than an item
-is one window. Defined results: null or empty texts match nothing, on either
-side; null item ids are skipped; equal items match each. Items are handled
-ITEMS at a time, so what is sent to the executors is bounded.
+is one window. Items are handled ITEMS or ITEM_BYTES at a time, so what is sent to the
+executors is bounded. Defined results: null or empty texts match nothing, on either
+side; null item ids are skipped; equal items match each; rows with a null or a repeated
+doc_id are searched each; of windows equally similar to an item (ties) the first is
+given; texts of any length are searched whole; without documents or items there are no
+rows, and no document is dropped; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +35,9 @@ from deltaloom.llm.words import PLAIN, Words, grams, mix, split
 
 SHINGLE, THRESHOLD = 5, 0.8
 RADIUS = 31
-ITEMS = 20_000
-_BLOCKS = 16
+ITEMS, ITEM_BYTES = 20_000, 32 << 20
+_BITS, _BLOCK = 128, 16
+_BLOCKS, _NEAR = _BITS // _BLOCK, RADIUS // (_BITS // _BLOCK)
 #: Windows fingerprinted at a time.
 _SPAN = 4096
 
@@ -44,7 +50,7 @@ def _weights(w: Words, k: int) -> np.ndarray:
 def _signs(h: np.ndarray) -> np.ndarray:
     """Shingle hashes as 128 signs each."""
     both = np.stack([h, mix(h + np.uint64(0x5851F42D4C957F2D))], axis=1)
-    return np.unpackbits(both.view(np.uint8).reshape(len(h), _BLOCKS), axis=1).astype(np.int32) * 2 - 1
+    return np.unpackbits(both.view(np.uint8).reshape(len(h), _BITS // 8), axis=1).astype(np.int32) * 2 - 1
 
 
 def _again(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +82,11 @@ def fingerprints(h: np.ndarray, weight: np.ndarray, starts: np.ndarray, size: in
     return np.packbits(_distinct_sums(_signs(h) * weight[:, None], _again(h), size)[starts] >= 0, axis=1)
 
 
+def _flips() -> np.ndarray:
+    """What differs in _NEAR bits of a block at most."""
+    return np.array([sum(1 << b for b in bits) for n in range(_NEAR + 1) for bits in combinations(range(_BLOCK), n)], np.uint16)
+
+
 def _distinct(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h, at = np.unique(h, return_index=True)
     return h, weight[at]
@@ -92,7 +103,6 @@ class Index:
     """Benchmark items, by length, with their multi-index."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        near = np.array([[bin(a ^ b).count("1") <= 1 for b in range(256)] for a in range(256)])
         self.sets: list[tuple[np.ndarray, np.ndarray]] = []
         self.ids: list[int] = []
         lengths: dict[tuple[int, int], list[int]] = {}
@@ -113,7 +123,10 @@ class Index:
                 self.ids.append(items[w.lo + i][0])
         self.known = {k: np.unique(np.concatenate(v)) for k, v in known.items()}
         self.lengths = {key: (np.array(of), np.array([prints[i] for i in of])) for key, of in sorted(lengths.items())}
-        self.blocks = {key: [near[:, p[:, b]] for b in range(_BLOCKS)] for key, (_, p) in self.lengths.items()}
+        self.flips = _flips()
+        # for each block, its values among the items in order, and the items that have each
+        self.blocks = {key: [np.unique(v, return_inverse=True) for v in p.view(np.uint16).T] for key, (_, p) in self.lengths.items()}
+        self.blocks = {key: [(values, np.argsort(of, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(of))])) for values, of in found] for key, found in self.blocks.items()}
 
     def has(self, k: int, h: np.ndarray) -> np.ndarray:
         known = self.known[k]
@@ -122,10 +135,24 @@ class Index:
     def near(self, key: tuple[int, int], prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) pairs within RADIUS."""
         of, own = self.lengths[key]
-        close = np.zeros((len(prints), len(of)), bool)
-        for b in range(_BLOCKS):
-            close |= self.blocks[key][b][prints[:, b]]
-        w, i = np.nonzero(close)
+        pairs = []
+        for (values, items, at), mine in zip(self.blocks[key], np.ascontiguousarray(prints).view(np.uint16).T, strict=True):
+            asked, who = np.unique(mine, return_inverse=True)
+            if len(values) < len(self.flips):  # the same values, from the side that has fewer
+                a, v = np.nonzero(np.bitwise_count(asked[:, None] ^ values[None, :]) <= _NEAR)
+            else:
+                flipped = asked[:, None] ^ self.flips[None, :]
+                place = np.minimum(np.searchsorted(values, flipped), len(values) - 1)
+                a, f = np.nonzero(values[place] == flipped)
+                v = place[a, f]
+            # every window that asked for a value, with every item that has one near it
+            order, first = np.argsort(who, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(asked)))])
+            n_w, n_i = first[a + 1] - first[a], at[v + 1] - at[v]
+            n = n_w * n_i
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            each = np.repeat(n_i, n)
+            pairs.append(order[np.repeat(first[a], n) + k // each] * len(of) + items[np.repeat(at[v], n) + k % each])
+        w, i = np.divmod(np.unique(np.concatenate(pairs)), len(of))
         far = np.bitwise_count(prints[w] ^ own[i]).sum(axis=1)
         return w[far <= RADIUS], of[i[far <= RADIUS]]
 
@@ -169,7 +196,8 @@ class Index:
 
 def _slices(benchmark: DataFrame) -> Iterator[Index]:
     b = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
-    n = -(-b.count() // ITEMS)
+    rows, size = b.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()
+    n = max(-(-rows // ITEMS), -(-size // ITEM_BYTES))
     for i in range(n):
         part = b.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i)
         yield Index([(r[0], r[1]) for r in part.collect()])
