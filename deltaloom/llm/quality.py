@@ -5,15 +5,17 @@ In every round each classifier labels the unlabelled documents it is confident
 about, and these join the other's training set. The views are then calibrated
 on labelled documents set aside, combined, and used to score every document.
 
-Text content: shares of kinds of characters and of words, and repetition.
-Metadata: source, language, stated and measured length, and lines. Both are cut
-into bins; a classifier is a logistic regression over them.
+Text content: numbers and shares of kinds of characters and of words, and repetition.
+Metadata: what is stated beside the text, not read from it: source, language and
+length. Both are cut into bins; a classifier is a logistic regression over them.
 
 The models learn from about SAMPLE labelled and SAMPLE unlabelled documents,
 chosen by a hash of their ids; scoring covers every document. Defined results:
-null text is empty; null metadata is a value of its own; a document labelled
-more than once has its smallest label; without labels of both classes all
-documents are kept, with score 1.
+null text is empty; null or absent metadata is a value of its own; a document labelled
+more than once has its smallest label; rows with a null doc_id are scored, but
+not learned from; each of several equal rows has its score; texts of any length are read
+whole; without labels of both classes all documents are kept, with score 1; an empty
+table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -73,8 +75,8 @@ def text_features(array: pa.Array) -> np.ndarray:
     return np.vstack(out) if out else np.zeros((0, 16))
 
 
-def meta_features(batch: pa.RecordBatch, names: list[str], text: int) -> np.ndarray:
-    """Numbers, and two columns of hashed values, for each row."""
+def meta_features(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """Two columns of hashed values, and numbers, for each row."""
 
     def value(name: str) -> np.ndarray:
         if name not in names:
@@ -83,10 +85,7 @@ def meta_features(batch: pa.RecordBatch, names: list[str], text: int) -> np.ndar
         return np.array([0 if v is None else 1 + sum((i + 1) * b for i, b in enumerate(str(v).encode())) % 63 for v in values], float)
 
     n_chars = pc.fill_null(batch.column(names.index("n_chars")).cast(pa.float64()), -1.0).to_numpy(zero_copy_only=False) if "n_chars" in names else np.full(batch.num_rows, -1.0)
-    texts = batch.column(text)
-    chars = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
-    lines = pc.fill_null(pc.count_substring(texts, "\n"), 0).to_numpy(zero_copy_only=False)
-    return np.stack([value("lang"), value("source"), np.log1p(np.maximum(n_chars, -0.5)), np.log1p(chars), np.log1p(lines), np.log1p(chars / (lines + 1))], axis=1)
+    return np.stack([value("lang"), value("source"), np.log1p(np.maximum(n_chars, -0.5))], axis=1)
 
 
 @dataclass
@@ -200,28 +199,29 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = RO
     return Model(views[0], views[1], sa, sb, mixed)
 
 
-def _inputs(docs: DataFrame) -> tuple[list[str], list[str]]:
+def _inputs(docs: DataFrame) -> list[str]:
     """Columns that the views read: text first, then the metadata there is."""
-    names = ["text", *(c for c in META if c in docs.columns)]
-    return names, names
+    return ["text", *(c for c in META if c in docs.columns)]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """labels: (doc_id, quality 0 or 1). Only feature rows of the sample reach the driver."""
-    names, _ = _inputs(docs)
+    names = _inputs(docs)
+    docs = docs.select("doc_id", *names)
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
     hashed = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     n_docs, n_known = docs.count(), known.count()
     # twice as many candidates as wanted, labelled or not, then each part to its own share
     known = known.where(hashed < min(1.0, sample / max(1, n_known)))
     known = docs.join(F.broadcast(known), "doc_id").select(F.col("doc_id").alias("k"), "y", *names)
-    rest = docs.where(hashed >= 1 - min(1.0, sample / max(1, n_docs))).join(F.broadcast(labels.where(hashed >= 1 - min(1.0, sample / max(1, n_docs))).select("doc_id").distinct()), "doc_id", "left_anti")
+    last = hashed >= 1 - min(1.0, sample / max(1, n_docs, n_known))  # as few ids of labels as of documents
+    rest = docs.where(last).join(F.broadcast(labels.where(last).select("doc_id").distinct()), "doc_id", "left_anti")
     rest = rest.select(F.col("doc_id").alias("k"), F.lit(-1.0).alias("y"), *names)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.select(list(range(2, batch.num_columns)))
-            x = np.hstack([text_features(own.column(0)), meta_features(own, names, 0)])
+            x = np.hstack([text_features(own.column(0)), meta_features(own, names)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["k", "y", "x"])
 
     found = known.union(rest).mapInArrow(rows, "k long, y double, x array<double>").toArrow().sort_by([("k", "ascending"), ("y", "ascending")])
@@ -234,12 +234,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
 def _scores(model: Model | None, batch: pa.RecordBatch, names: list[str], text: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if model is None:
         return (np.ones(batch.num_rows),) * 3
-    return model.scores(text_features(batch.column(text)), meta_features(batch, names, text))
+    return model.scores(text_features(batch.column(text)), meta_features(batch, names))
 
 
 def score_quality(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, text_score, meta_score, score, keep for each row of docs (doc_id, text and metadata)."""
-    names, _ = _inputs(docs)
+    names = _inputs(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
