@@ -8,9 +8,14 @@ The running sum of a source, which may hold a third of all rows, is made of two
 parts: the sums of SLICES ranges of the key, and a running sum inside a range.
 No task holds a whole source.
 
+Targets are worked out over one row for each source, in one task: a corpus has far
+fewer sources than that bounds.
+
 Defined results: null text has size 0; a null source is a source of its own, the
-last; ties of the key go to the smaller id, then the smaller size; a source of
-size 0 has target 0; an empty table gives no rows.
+last; ties of the key go to the smaller id, then the smaller size; rows with a null or
+a repeated doc_id have their key by it all the same, and each its own place in the
+sum; texts of any length count whole; a source of size 0 has target 0; an empty
+table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

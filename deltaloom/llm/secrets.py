@@ -8,8 +8,11 @@ log-likelihood ratio for each character reaches MEAN. Of a run that doesn't, as
 an ordinary name joined to a secret, those fields between '=' are secrets that
 do, and in other fields the best stretches of whole pieces between '/' and '_'.
 
-Defined results: null text is empty; spans are in code points, end exclusive; a
-run inside a span found by pattern isn't reported again.
+Defined results: null text is empty; spans are in code points, end exclusive, and come
+by start, those with one start (ties) by kind; a run inside a span found by pattern isn't
+reported again; each of several equal rows has its spans; texts of any length are read
+whole; an empty table gives no rows, models of what is drawn and named here, and no
+crash; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -232,10 +235,12 @@ def find(w, model: Markov) -> Iterator[tuple[int, bytes, list[tuple[int, int, in
     for i, raw, runs in _texts(w):
         spans = [s[:3] for s in base_spans(raw, runs)]
         a, b = np.searchsorted(of, i), np.searchsorted(of, i, "right")
-        for s, e in zip(starts[a:b] - w.text_at[i], ends[a:b] - w.text_at[i], strict=True):
-            if not any(x <= s and e <= y for x, _, y in spans):
-                spans.append((int(s), 3, int(e)))
-        yield i, raw, sorted(spans)
+        own = np.stack([starts[a:b], ends[a:b]], axis=1) - w.text_at[i]
+        if spans and len(own):
+            far = np.maximum.accumulate([y for *_, y in spans])  # how far spans reach that begin there or before
+            at = np.searchsorted([x for x, *_ in spans], own[:, 0], "right") - 1
+            own = own[(at < 0) | (far[np.maximum(at, 0)] < own[:, 1])]
+        yield i, raw, sorted(spans + [(int(s), 3, int(e)) for s, e in own])
 
 
 def scan_secrets(docs: DataFrame, model: Markov) -> DataFrame:
@@ -246,9 +251,10 @@ def scan_secrets(docs: DataFrame, model: Markov) -> DataFrame:
         for batch in batches:
             for w in split(batch.column(1)):
                 rows = []
-                for _, raw, spans in find(w, model):
-                    place = (lambda b, raw=raw: len(raw[:b].decode("utf-8", "replace"))) if spans else None
-                    rows.append([{"kind": KINDS[k], "start": place(s), "end": place(e)} for s, k, e in spans])
+                points = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])  # code points before each byte
+                for i, _, spans in find(w, model):
+                    at = w.text_at[i]
+                    rows.append([{"kind": KINDS[k], "start": int(points[at + s] - points[at]), "end": int(points[at + e] - points[at])} for s, k, e in spans])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.lo, w.hi - w.lo), pa.array(rows, kind)], names=["doc_id", "spans"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -10,7 +10,10 @@ Characters are code points, lower-cased (ASCII and Latin-1), white space as one
 kind; n-grams are hashed to 2**BITS. Only the text is an input. Defined results: null
 text is empty; an empty text has no n-grams, so its score is that of the
 intercept; without labels of both classes every score is 0 or 1, the share of
-label 1 (0 if there are none).
+label 1 (0 if there are none); of n-grams that tell the classes apart equally well
+(ties) the smaller hashes are kept; each of several equal rows has its score; texts
+of any length are read whole; an empty table gives no rows; other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations

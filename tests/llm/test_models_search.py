@@ -1,6 +1,7 @@
 """Classifiers, decontamination, secrets, exact search and the pipeline."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -96,6 +97,47 @@ def test_op3(spark, tmp_path, labelled):
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
+def test_op3_judges_held_out_documents(spark, tmp_path, labelled):
+    """Labels of a fifth of the documents aren't given; the documents are judged all the same."""
+    docs, labels = labelled
+    apart = lambda k: zlib.crc32(str(k).encode()) % 5 == 0
+    save(spark, tmp_path, docs[:900], [r for r in labels if not apart(r[0])])
+    keep = {r.doc_id: r.keep for r in registry.op3_quality_classifier(spark, str(tmp_path)).collect()}
+    hits = [keep[k] == bool(q) for k, q, _ in labels if apart(k)]
+    assert len(hits) > 80 and np.mean(hits) > 0.97
+
+
+def test_views_read_what_is_theirs():
+    import pyarrow as pa
+
+    names = ["text", *quality.META]
+    batch = lambda text, source: pa.RecordBatch.from_arrays([pa.array([text]), pa.array(["en"]), pa.array([source]), pa.array([5])], names=names)
+    a, b, c = batch("one text\nof two lines", "web"), batch("another", "web"), batch("another", "book")
+    meta = [quality.meta_features(x, names).tolist() for x in (a, b, c)]
+    assert meta[0] == meta[1] != meta[2]
+    assert quality.text_features(b.column(0)).tolist() == quality.text_features(c.column(0)).tolist() != quality.text_features(a.column(0)).tolist()
+
+
+def test_clashing_columns(spark, tmp_path, labelled):
+    """Documents with columns named as the operators' own."""
+    docs, labels = labelled
+    names = ["label", "y", "k", "x", "score", "spans", "keep", "sid", "row", "n", "cell", "mix_words", "mix_row", "near_row", "component_id", "weight", "size", "taken", "epochs", "chosen"]
+    plain = spark.createDataFrame(docs[:120], DOCS)
+    clash = plain.select("*", *(F.lit("clash").alias(c) for c in names))
+    benchmark = spark.createDataFrame([(1, "x y z")], "item_id long, text string")
+    save(spark, tmp_path / "a", labels=labels, documents=plain, benchmark=benchmark)
+    save(spark, tmp_path / "b", labels=labels, documents=clash, benchmark=benchmark)
+    for op in ("op2_substring_dedup", "op3_quality_classifier", "op4_mixing", "op5_toxicity", "op7_license_scan", "op8_decontamination", "op9_secret_scan", "op10_jaccard_join"):
+        a, b = (sorted(map(str, registry.QUERIES[op](spark, str(tmp_path / x)).collect())) for x in "ab")
+        assert a == b, op
+    import corpus_pipeline as p
+
+    a, b = (p.run(spark, str(tmp_path / x)) for x in "ab")
+    mix = ["mix_copies", "mix_words", "mix_target"]
+    assert a.columns == [*plain.columns, *mix] and b.columns == [*plain.columns, *(c for c in names if c not in mix), *mix]
+    assert sorted((str(r.doc_id), r.mix_words) for r in a.collect()) == sorted((str(r.doc_id), r.mix_words) for r in b.collect())
+
+
 def test_op3_without_labels_or_rows(spark, tmp_path):
     save(spark, tmp_path, [(1, "a", "en", "s", 1), (None, None, None, None, None)], [(1, 1, 0)])
     assert [r.keep for r in registry.op3_quality_classifier(spark, str(tmp_path)).collect()] == [True, True]
@@ -142,6 +184,35 @@ def test_op8_in_slices_and_empty(spark, tmp_path, monkeypatch):
     assert decontaminate.find_leaks(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_op8_recall_by_similarity():
+    """Random near copies at 0.8 to 1: what the radius leaves out is rare, and only near the threshold."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(17)
+    items = [(i, prose(rng, 60)) for i in range(300)]
+    index = decontaminate.Index(items)
+    texts = []
+    for _, t in items:
+        w = t.split()
+        for j in rng.choice(60, int(rng.integers(0, 3)), replace=False):
+            w[j] = "changed"
+        texts.append(" ".join(w))
+    want = {}
+    (parts,) = decontaminate.split(pa.array(texts), decontaminate.PLAIN)
+    h = parts.hashes(lower=True)
+    g, weight = decontaminate.grams(h, 5), decontaminate._weights(parts, 5)
+    for t in range(300):
+        lo, hi = parts.word_at[t], parts.word_at[t + 1] - 4
+        s = decontaminate.similarity(index.sets[t], decontaminate._distinct(g[lo:hi], weight[lo:hi]))
+        if s >= 0.8:
+            want[t] = s
+    found = {t for t, i, *_ in index.matches(parts) if t == i}
+    assert found == found & want.keys() and len(want) > 200
+    for low, high, least in ((0.8, 0.85, 0.95), (0.85, 0.9, 0.99), (0.9, 1.01, 1.0)):
+        step = [t for t, s in want.items() if low <= s < high]
+        assert len(step) > 10 and sum(t in found for t in step) >= least * len(step), (low, len(step))
+
+
 def test_op8_against_all_windows():
     """Brute force over every window as long as an item: near-verbatim passages around the threshold."""
     import pyarrow as pa
@@ -187,14 +258,16 @@ def test_op8_near_copies_with_repetitive_stretches():
         assert decontaminate._distinct_sums(weight, decontaminate._again(h), size).tolist() == want
 
 
-def test_multi_index_finds_all_within_the_radius():
+@pytest.mark.parametrize("n", [1, 50, 1500])
+def test_multi_index_finds_all_within_the_radius(n):
     rng = np.random.default_rng(5)
-    items = [(i, prose(rng, 20)) for i in range(50)]
+    items = [(i, prose(rng, 20)) for i in range(n)] + [(n, "a b c d e " * 4), (n + 1, "a b c d e " * 4)]
     index = decontaminate.Index(items)
     (key,) = index.lengths
+    assert len(index.flips) == 697 and n < 1500 or any(len(v) > 697 for v, *_ in index.blocks[key])
     of, own = index.lengths[key]
     prints = []
-    for p in own:
+    for p in own[-40:]:
         for d in (0, 5, 20, 31, 32):
             flip = np.zeros(128, np.uint8)
             flip[rng.choice(128, d, replace=False)] = 1
@@ -235,6 +308,15 @@ def test_op9(spark, tmp_path):
     assert "markov" in found[len(texts) - 1] and "markov" in found[SECRETS.index("ghp_x9Kq3ZpL7vTf2RbN8sWd4YcHj6")]
 
 
+def test_op9_empty_and_many_spans(spark, tmp_path):
+    save(spark, tmp_path, [])
+    assert registry.op9_secret_scan(spark, str(tmp_path)).count() == 0
+    many = "é password=hunter2hunter2 " * 20_000
+    save(spark, tmp_path / "x", [(1, many, "en", "s", 1)])
+    (r,) = registry.op9_secret_scan(spark, str(tmp_path / "x")).collect()
+    assert r.n_assign == 20_000 and r.spans.split(",")[-1] == f"assign:{26 * 19_999 + 2}:{26 * 20_000 - 1}"
+
+
 def test_markov_tells_random_from_ordinary(spark):
     rng = np.random.default_rng(7)
     docs = spark.createDataFrame([(i, prose(rng, 300)) for i in range(60)], "doc_id long, text string")
@@ -274,13 +356,14 @@ def test_redaction(spark):
 
 
 def brute_top(rows, is_query, k=10):
-    good = [(i, np.floor(np.array(v, float) * 1024).astype(object)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    most = 2**63 - 1
+    good = [(i, [max(-(2**62), min(2**62, math.floor(1024 * x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out, done = [], set()
-    for i, q in good:
+    for i, q in sorted(good):
         if not is_query(i) or i in done:
             continue
         done.add(i)
-        best = sorted((-sum(int(a) * int(b) for a, b in zip(q, v, strict=False)), j) for j, v in good if j != i)[:k]
+        best = sorted((max(-most, min(most, -sum(a * b for a, b in zip(q, v, strict=False)))), j) for j, v in good if j != i)[:k]
         out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
     return sorted(out)
 
@@ -318,6 +401,23 @@ def test_op6_repeated_query_id_in_one_block(spark, times, scale):
     assert got == brute_top(rows, lambda i: i % 100 == 0) and len(got) == 20
 
 
+def test_op6_scores_beyond_64_bits(spark):
+    """Such scores are held to what fits, the others are exact, and ties go to the smaller id."""
+    rows = [(100, [1e9] * 8), (0, [1e9] * 8), (1, [-1e9] * 8), (2, [1e15, -1.0]), (3, [1e300] * 8), (4, [3.0] * 8), (5, [1e7, 1e7]), (200, [1e7 + 0.5] * 3), (300, []), (6, [1e-9])]
+    rows += [(7 + i, [1e6 + i, 1e6 - i, float(i)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 100 == 0).collect()))
+    assert got == brute_top(rows, lambda i: i % 100 == 0) and max(r[3] for r in got) == 2**63 - 1
+
+
+def test_op6_query_of_several_vectors_with_one_id(spark):
+    """The smallest valid one, whatever the partitions."""
+    rows = [(0, [2.0, 1.0]), (0, [1.0, 9.0]), (0, [0.5, float("nan")]), (0, None), (0, [1.0, 3.0]), (1, [1.0, 1.0]), (2, [-1.0, 4.0])]
+    for n in (1, 3, 7):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(n)
+        assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 100 == 0).collect())) == brute_top(rows, lambda i: i % 100 == 0)
+
+
 def test_op6_few_or_none(spark, tmp_path):
     rows = [(0, [1.0, 2.0]), (1, [0.5, 0.5]), (100, [-1.0, 0.0])]
     got = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).collect()))
