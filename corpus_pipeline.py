@@ -4,7 +4,10 @@ Rows keep the columns of documents until the last stage, which adds how often
 and with how many words the mix takes each document, and drops those it
 doesn't take. Defined results: a null text is empty; rows that repeat a doc_id
 are told apart by their texts, and of those with one text or near copies of it
-one stays; rows with a null doc_id have no copies.
+one stays; rows with a null doc_id have no copies; of equal rows (ties) any stays,
+as they are the same; texts of any length are read whole; empty tables give no rows;
+other columns are kept, whatever their names, but for mix_copies, mix_words and
+mix_target, which the last stage replaces.
 """
 
 from __future__ import annotations
@@ -30,6 +33,13 @@ def _digest(docs: DataFrame, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *docs.columns, *(F.col(c).isNull() for c in docs.columns))
 
 
+def _prefix(docs: DataFrame, start: str) -> str:
+    """Where names begin that no column of docs has."""
+    while any(c.lower().startswith(start) for c in docs.columns):
+        start = f"x{start}"
+    return start
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that the quality classifier rejects."""
     ship_code(spark)
@@ -39,15 +49,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near duplicates: of the smallest doc_id, and of several with this one the smallest set and hash."""
     ship_code(spark)
-    named = docs.withColumn("near_row", _digest(docs, 0))
-    found = materialize(jaccard_join.components(named.select("doc_id", "text", F.col("near_row").alias("row"))), "components")
+    near_row = _prefix(docs, "near_") + "row"
+    named = docs.withColumn(near_row, _digest(docs, 0))
+    found = materialize(jaccard_join.components(named.select("doc_id", "text", F.col(near_row).alias("row"))), "components")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         lost = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
         return docs.join(materialize(lost, "lost"), "doc_id", "left_anti").select(*docs.columns)
     # an id may have texts of several components, so rows decide; equal rows are one
     heads = found.where("doc_id is not null and (n_shingles = 0 or (component_id = doc_id and sid = head_sid))")
-    heads = materialize(heads.groupBy("doc_id", "sid").agg(F.min("row").alias("near_row")).select("doc_id", "near_row"), "heads")
-    known = named.where("doc_id is not null").dropDuplicates(["doc_id", "near_row"]).join(heads, ["doc_id", "near_row"], "left_semi")
+    heads = materialize(heads.groupBy("doc_id", "sid").agg(F.min("row").alias(near_row)).select("doc_id", near_row), "heads")
+    known = named.where("doc_id is not null").dropDuplicates(["doc_id", near_row]).join(heads, ["doc_id", near_row], "left_semi")
     return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
@@ -66,17 +77,19 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents the mix takes, with mix_copies (how often), mix_words (in all) and mix_target (of the source)."""
     docs = docs.drop("mix_copies", "mix_words", "mix_target")
+    names, p = docs.columns, _prefix(docs, "mix_")
     # ids may be null or repeat, so rows are named by what they hold; equal ones are told apart by number
-    row = ["mix_row", "mix_row2"]
-    docs = docs.withColumns({"mix_row": _digest(docs, 0), "mix_row2": _digest(docs, 1)})
+    row = [f"{p}row", f"{p}row2"]
+    docs = docs.withColumns({c: _digest(docs, i) for i, c in enumerate(row)})
     mixed = mixing.mix_sources(docs, mixing.quality_weights(_table(spark, sf_dir, "labels")), carry=tuple(row))
-    first = (F.first(c).alias(f"mix_{c}") for c in ("size", "epochs", "target"))
-    mixed = mixed.groupBy(*row).agg(*first, F.sum(F.col("chosen").cast("long")).alias("mix_chosen")).where("mix_epochs + mix_chosen > 0")
+    first = (F.first(c).alias(f"{p}{c}") for c in ("size", "epochs", "target"))
+    mixed = mixed.groupBy(*row).agg(*first, F.sum(F.col("chosen").cast("long")).alias(f"{p}chosen")).where(F.col(f"{p}epochs") + F.col(f"{p}chosen") > 0)
     nth = F.row_number().over(Window.partitionBy(*row).orderBy(F.lit(0)))
-    taken = docs.withColumn("mix_nth", nth).join(mixed, row)
-    taken = taken.withColumn("mix_copies", F.col("mix_epochs") + (F.col("mix_nth") <= F.col("mix_chosen")).cast("long")).where("mix_copies > 0")
-    words = (F.col("mix_size") * F.col("mix_copies")).alias("mix_words")
-    return taken.select(*[c for c in docs.columns if c not in row], "mix_copies", words, "mix_target")
+    taken = docs.withColumn(f"{p}nth", nth).join(mixed, row)
+    copies = F.col(f"{p}epochs") + (F.col(f"{p}nth") <= F.col(f"{p}chosen")).cast("long")
+    taken = taken.withColumn(f"{p}copies", copies).where(F.col(f"{p}copies") > 0)
+    words = (F.col(f"{p}size") * F.col(f"{p}copies")).alias("mix_words")
+    return taken.select(*names, F.col(f"{p}copies").alias("mix_copies"), words, F.col(f"{p}target").alias("mix_target"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
