@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.operators.generate import generated_moments, transport_generate
+from deltaloom.operators.generate import Profiles, calibrate, generated_moments, transport_generate
 from deltaloom.operators.metrics import distribution_distance
+from deltaloom.session import materialize
 
 LEGACY = "legacy"
 
@@ -26,12 +29,22 @@ def select_candidate(rows: DataFrame, legacy: str = LEGACY) -> DataFrame:
     return mean.orderBy("score", F.col("candidate") != legacy, "candidate").limit(1)
 
 
-def evaluate_candidates(profiles: DataFrame, donors: DataFrame, deltas: dict[str, DataFrame], reference: DataFrame, seeds: list[int]) -> DataFrame:
-    """candidate, seed, mean_log_rmse, variance_log_rmse, dropout_mae of each candidate's generated cells against reference moments."""
+def candidates(profiles: Profiles, donors: DataFrame, iterations: tuple[int, ...], seed: int) -> dict[str, DataFrame]:
+    """Deltas (target, gene, d) of generators of control cells: unmoved, and calibrated by so many iterations."""
+    zero = profiles.axis.select(F.lit("control").alias("target"), "gene", F.lit(0.0).alias("d"))
+    return {LEGACY if not n else f"mean_calibrated_{n}": calibrate(profiles, donors, zero, n, seed).offsets if n else zero for n in iterations}
+
+
+def evaluate_candidates(profiles: Profiles, donors_of: Callable[[int], DataFrame], deltas: dict[str, DataFrame], reference: DataFrame, seeds: list[int]) -> DataFrame:
+    """candidate, seed, mean_log_rmse, variance_log_rmse, dropout_mae of each candidate's generated cells against reference moments.
+
+    donors_of(seed): the donors (draw, cell) of an evaluation, the same for all candidates.
+    """
     out = None
-    for name, delta in deltas.items():
-        for seed in seeds:
-            moments = generated_moments(transport_generate(profiles, donors, delta, seed))
+    for seed in seeds:
+        donors = materialize(donors_of(seed), "donors")
+        for name, delta in deltas.items():
+            moments = generated_moments(transport_generate(profiles, donors, delta, seed), profiles)
             row = distribution_distance(moments, reference).select(F.lit(name).alias("candidate"), F.lit(seed).alias("seed"), "mean_log_rmse", "variance_log_rmse", "dropout_mae")
             out = row if out is None else out.unionByName(row)
     return out

@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.operators import lowrank
+from deltaloom.operators import graph, lowrank
 from deltaloom.operators.transfer import best_per_family
+from deltaloom.session import materialize, small
 
 
 @dataclass(frozen=True)
@@ -26,53 +27,98 @@ class Setting:
     least: int = 40
 
 
+BASAL, GRAPH = ("basal", "is_missing"), ("basal", "is_missing", "log_support", "prior")
+
+
+def grid(alphas: tuple[float, ...], leaves: tuple[int, ...], rounds: int = 60, rate: float = 0.05, least: int = 40) -> list[Setting]:
+    """Ridge on basal and on graph features by penalty, trees on graph features by leaves."""
+    ridge = [Setting(f"ridge_{kind}", f"ridge_{kind}_{a:g}", names, a) for kind, names in (("basal", BASAL), ("graph", GRAPH)) for a in alphas]
+    return ridge + [Setting("trees", f"trees_{n}", GRAPH, leaves=n, rounds=rounds, rate=rate, least=least) for n in leaves]
+
+
+def feature_maker(edges: DataFrame, x: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A function of training responses (target, gene, y) that makes features of the targets in x (target, x).
+
+    A target's prior is the mean response of its neighbours in training, itself left out.
+    """
+
+    def make(train: DataFrame) -> DataFrame:
+        scores = train.groupBy(F.col("target").alias("gene")).agg(F.avg("y").alias("score")).withColumn("k", F.lit(0))
+        f = graph.neighbour_features(edges, x.select(F.col("target").alias("gene"), "x"), scores)
+        return materialize(f.select(F.col("gene").alias("target"), "basal", F.col("is_missing").cast("double").alias("is_missing"), "log_support", "prior"), "features")
+
+    return make
+
+
 def standardize(features: DataFrame, train: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Features (target, names) with missing values at the median of train's targets, scaled by them."""
-    own = features.join(F.broadcast(train.select("target").distinct()), "target", "left_semi")
+    own = features.join(small(train.select("target").distinct()), "target", "left_semi")
     medians = own.agg(*(F.coalesce(F.median(F.nanvl(n, F.lit(None).cast("double"))), F.lit(0.0)).alias(n) for n in names)).head()
     filled = {n: F.coalesce(F.nanvl(F.col(n), F.lit(None).cast("double")), F.lit(float(medians[n]))) for n in names}
     stats = own.select(*(c.alias(n) for n, c in filled.items())).agg(*(f(n).alias(f"{k}_{n}") for n in names for k, f in (("m", F.avg), ("s", F.stddev_pop)))).head()
     return features.select("target", *(((filled[n] - F.lit(float(stats[f"m_{n}"]))) / F.lit(float(stats[f"s_{n}"] or 1.0))).alias(n) for n in names))
 
 
-def predict(y: DataFrame, features: DataFrame, queries: DataFrame, settings: list[Setting], rank: int, seed: int) -> dict[str, DataFrame]:
-    """Predictions (target, gene, p) for the query targets by each setting, from training responses y (target, gene, y).
+def predicted_scores(scores: DataFrame, features: DataFrame, train: DataFrame, queries: DataFrame, settings: list[Setting], known: dict | None = None) -> DataFrame:
+    """name, target, component, z of the query targets by each setting, from training scores (target, component, z).
 
-    features has rows of training and query targets, made without the queries' labels.
+    features has rows of training and query targets, made without the queries'
+    labels. Settings of the same features share their sums. known: takes what was fitted, by name.
     """
-    mean, basis = lowrank.response_basis(y, rank, seed)
-    scores = lowrank.project(y, mean, basis).cache()
-    train = y.select("target").distinct()
-    out = {}
+    out, sides = None, {}
     for s in settings:
-        x = standardize(features, train, s.features).cache()
-        own, asked = (x.join(F.broadcast(t.select("target").distinct()), "target", "left_semi") for t in (train, queries))
         names = list(s.features)
+        if s.features not in sides:
+            x = materialize(standardize(features, train, s.features), "standardized")
+            own, asked = (x.join(small(t.select("target").distinct()), "target", "left_semi") for t in (train, queries))
+            sides[s.features] = own, asked, lowrank.ridge_sums(own, scores, names)
+        own, asked, sums = sides[s.features]
         if s.family == "trees":
-            z = lowrank.trees_predict(lowrank.trees_fit(own, scores, names, s.leaves, s.rounds, s.rate, s.least, seed), asked, names)
+            model = materialize(lowrank.trees_fit(own, scores, names, s.leaves, s.rounds, s.rate, s.least), "trees")
+            z = lowrank.trees_predict(model, asked, names)
         else:
-            z = lowrank.ridge_predict(asked, names, lowrank.ridge_fit(own, scores, names, s.alpha))
-        out[s.name] = lowrank.reconstruct(z, mean, basis)
+            model = lowrank.ridge_solve(sums, s.alpha)
+            z = lowrank.ridge_predict(asked, names, model)
+        if known is not None:
+            known[s.name] = model
+        row = z.select(F.lit(s.name).alias("name"), "target", "component", "z")
+        out = row if out is None else out.unionByName(row)
     return out
 
 
+def predict(y: DataFrame, features: DataFrame, queries: DataFrame, settings: list[Setting], rank: int, seed: int, known: dict | None = None) -> dict[str, DataFrame]:
+    """Predictions (target, gene, p) for the query targets by each setting, from training responses y (target, gene, y)."""
+    mean, basis = lowrank.response_basis(y, rank, seed)
+    scores = materialize(lowrank.project(y, mean, basis), "scores")
+    if known is not None:
+        known["mean"], known["basis"] = mean, basis
+    z = materialize(predicted_scores(scores, features, y.select("target").distinct(), queries, settings, known), "predicted")
+    return {s.name: lowrank.reconstruct(z.where(F.col("name") == s.name).drop("name"), mean, basis) for s in settings}
+
+
 def grid_losses(y: DataFrame, parts: DataFrame, features_of: Callable[[DataFrame], DataFrame], settings: list[Setting], rank: int, seed: int) -> DataFrame:
     """family, name, mse over the folds in parts (target, fold).
 
     features_of(train) makes the features of all targets from the responses of a
-    fold's training rows, so that no target sees its own.
+    fold's training rows, so that no target sees its own. As the basis is
+    orthonormal, the squared error of a prediction e against V z is that of e
+    alone, less twice z times the scores of e, plus z times z: no prediction is spelt out.
     """
     out = None
     for (k,) in parts.select("fold").distinct().orderBy("fold").collect():
-        held = parts.where(F.col("fold") == k)
-        train = y.join(F.broadcast(held), "target", "left_anti")
-        found = predict(train, features_of(train), held, settings, rank, seed)
-        for s in settings:
-            e = F.col("p") - F.col("y")
-            loss = found[s.name].join(y, ["target", "gene"]).agg(F.sum(e * e).alias("sse"), F.count("*").alias("n"))
-            row = loss.select(F.lit(s.family).alias("family"), F.lit(s.name).alias("name"), "sse", "n")
-            out = row if out is None else out.unionByName(row)
-    return out.groupBy("family", "name").agg((F.sum("sse") / F.sum("n")).alias("mse"))
+        held = materialize(parts.where(F.col("fold") == k).select("target"), "held")
+        train = y.join(small(held), "target", "left_anti")
+        mean, basis = lowrank.response_basis(train, rank, seed)
+        scores = materialize(lowrank.project(y, mean, basis), "scores")
+        asked = scores.join(small(held), "target", "left_semi").select("target", "component", F.col("z").alias("s"))
+        e = F.col("y") - F.col("mean")
+        size = y.join(small(held), "target", "left_semi").join(small(mean), "gene").agg(F.sum(e * e).alias("whole"), F.count("*").alias("n"))
+        z = predicted_scores(scores.join(small(held), "target", "left_anti"), features_of(train), train, held, settings)
+        off = z.join(asked, ["target", "component"]).groupBy("name").agg(F.sum(F.col("z") * F.col("z") - 2 * F.col("z") * F.col("s")).alias("off"))
+        row = materialize(off.join(F.broadcast(size), how="cross").select("name", (F.col("whole") + F.col("off")).alias("sse"), "n"), "losses")
+        out = row if out is None else out.unionByName(row)
+    family = F.create_map(*(F.lit(v) for s in settings for v in (s.name, s.family)))
+    return out.groupBy("name").agg((F.sum("sse") / F.sum("n")).alias("mse")).select(family[F.col("name")].alias("family"), "name", "mse")
 
 
 def choose(losses: DataFrame) -> dict:

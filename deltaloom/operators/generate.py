@@ -1,24 +1,30 @@
 """Synthetic counts: multinomial nulls and transport of control profiles.
 
-Random draws are made in pandas functions whose generator is seeded by the seed
-and the group's key, so results don't depend on partitions.
+Random draws are made in Python whose generator is seeded by the seed and the
+group's key, so results don't depend on partitions. Profiles travel once for a
+block of cells or a group of targets, never with each cell. Inputs that break a
+rule are refused where they are met; nothing is repaired.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.functions.expr import NORMALIZATION, cell_name, log_norm, outside_mass
+from deltaloom.functions.expr import NORMALIZATION, cell_name, damped, log_norm, outside_mass
+from deltaloom.operators.cohorts import with_index
+from deltaloom.session import materialize, small
 
 MOST_DEPTH, MOST_INTENSITY = 1_000_000, 20.0
-BLOCK = 128
-_DRAWN = "target string, sample long, gene long, cnt long, depth long"
+#: Cells drawn from one generator; cells that a profile is sent for; targets that a block of donors is sent for.
+BLOCK, CELLS, TARGETS = 128, 1024, 16
 
 
 def generator(*key: object) -> np.random.Generator:
@@ -26,8 +32,11 @@ def generator(*key: object) -> np.random.Generator:
 
 
 def prediction_grid(contexts: DataFrame, perturbations: DataFrame, n: int) -> DataFrame:
-    """context, perturbation, replicate for every combination; the panel of a prediction."""
-    return contexts.join(perturbations, how="cross").select("context", "perturbation", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("replicate"))
+    """context, perturbation, replicate and cell_idx (from 0, in this order) for every combination; the panel of a prediction."""
+    p = with_index(perturbations, "perturbation", "at_p")
+    grid = with_index(contexts, "context", "at_c").join(small(p), how="cross").select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("replicate"))
+    index = (F.col("at_c").cast("long") * p.count() + F.col("at_p")) * n + F.col("replicate") - 1
+    return grid.select("context", "perturbation", "replicate", index.alias("cell_idx"))
 
 
 def expected_nonzeros(profile: DataFrame, depth: int, *by: str) -> DataFrame:
@@ -38,124 +47,215 @@ def expected_nonzeros(profile: DataFrame, depth: int, *by: str) -> DataFrame:
 
 
 def multinomial_null(profile: DataFrame, cells: DataFrame, depth: int, seed: int) -> DataFrame:
-    """profile (context, gene, share), cells (context, cell_idx) to cell_name, context, gene, cnt: nonzeros of cells of equal depth."""
-    profiles = profile.groupBy("context").agg(F.sort_array(F.collect_list(F.struct("gene", "share"))).alias("p"))
-    rows = cells.withColumn("block", F.floor(F.col("cell_idx") / BLOCK)).join(F.broadcast(profiles), "context")
-
-    def draw(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("cell_idx")
-        genes = np.array([r["gene"] for r in group["p"].iloc[0]])
-        share = np.array([r["share"] for r in group["p"].iloc[0]], float)
-        counts = generator(seed, *key).multinomial(depth, share / share.sum(), len(group))
-        i, j = np.nonzero(counts)
-        return pd.DataFrame({"cell_idx": group["cell_idx"].to_numpy()[i], "context": key[0], "gene": genes[j], "cnt": counts[i, j]})
-
-    kind = dict(cells.dtypes)["context"]
-    drawn = rows.groupBy("context", "block").applyInPandas(draw, f"cell_idx long, context {kind}, gene long, cnt long")
-    return drawn.select(cell_name("cell_idx").alias("cell_name"), "cell_idx", "context", "gene", "cnt")
+    """profile (context, gene, share), cells (context, cell_idx) to cell_name, cell_idx, context, gene, cnt: nonzeros of cells of equal depth.
 
+    Ids of cells are grouped; a context's profile, as long as the gene axis, goes with CELLS of them.
+    """
+    if not 0 < depth <= MOST_DEPTH:
+        raise ValueError("depth out of range")
+    axis = materialize(with_index(profile, "gene", "idx"), "genes")
+    entry = F.sort_array(F.collect_list(F.struct("idx", "share")))
+    profiles = profile.join(small(axis), "gene").groupBy("context").agg(entry.alias("p")).select("context", F.col("p.idx").alias("idx"), F.col("p.share").alias("share"))
+    blocks = cells.groupBy("context", F.floor(F.col("cell_idx") / CELLS).alias("block")).agg(F.sort_array(F.collect_list("cell_idx")).alias("ids"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                context, idx, share = batch.column(0)[i].as_py(), batch.column(2)[i].values.to_numpy(), batch.column(3)[i].values.to_numpy()
+                ids = batch.column(1)[i].values.to_numpy()
+                total = share.sum()
+                if not (np.isfinite(total) and total > 0 and (share >= 0).all()):
+                    raise ValueError(f"the profile of {context} isn't one")
+                for part in np.split(ids, np.flatnonzero(np.diff(ids // BLOCK)) + 1):
+                    counts = generator(seed, context, part[0] // BLOCK).multinomial(depth, share / total, len(part))
+                    c, g = np.nonzero(counts)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(context, len(c))).cast(batch.schema.field(0).type), pa.array(part[c]), pa.array(idx[g].astype(np.int32)), pa.array(counts[c, g])], names=["context", "cell_idx", "idx", "cnt"])
+
+    kind = profile.schema["context"].dataType.simpleString()
+    drawn = blocks.join(profiles, "context").select("context", "ids", "idx", "share").mapInArrow(draw, f"context {kind}, cell_idx long, idx int, cnt long")
+    return drawn.join(small(axis), "idx").select(cell_name("cell_idx").alias("cell_name"), "cell_idx", "context", "gene", "cnt")
+
+
+@dataclass(frozen=True)
+class Profiles:
+    """Control cells to draw from.
+
+    rows: cell, batch, lib, outside (normalised mass beyond the panel), idx and x
+    (places on the axis with counts, and log values there). axis: gene, idx. size: genes on the axis.
+    """
 
-def transport_profiles(counts: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFrame:
-    """One row for each control cell: cell, lib, outside (normalised mass beyond the panel), profile (gene, log value), complete."""
-    sums = counts.groupBy("cell").agg(F.sum("cnt").alias("panel"), F.map_from_entries(F.collect_list(F.struct(F.col("gene").cast("long"), log_norm("cnt", "lib").alias("x")))).alias("seen"))
-    axis = genes.select(F.col("gene").cast("long").alias("gene")).distinct().agg(F.sort_array(F.collect_list("gene")).alias("axis"))
-    rows = cells.select("cell", "batch", "lib").join(sums, "cell", "left").join(F.broadcast(axis), how="cross")
-    value = lambda g: F.struct(g.alias("gene"), F.coalesce(F.try_element_at("seen", g), F.lit(0.0)).alias("x"))
-    return rows.select("cell", "batch", "lib", outside_mass("lib", F.coalesce("panel", F.lit(0.0))).alias("outside"), F.transform("axis", value).alias("profile"))
+    rows: DataFrame
+    axis: DataFrame
+    size: int
 
+    def of(self, cells: DataFrame) -> Profiles:
+        """Those of some cells only."""
+        return replace(self, rows=self.rows.join(cells.select("cell"), "cell", "left_semi"))
 
-def transport_mean(profiles: DataFrame) -> DataFrame:
-    return profiles.select(F.inline("profile")).groupBy("gene").agg(F.avg("x").alias("mean"))
+    def written(self) -> Profiles:
+        return replace(self, rows=materialize(self.rows, "profiles"))
 
 
-def check_delta(delta: pd.DataFrame) -> None:
-    """target, gene, d."""
-    if delta["d"].isna().any() or not np.isfinite(delta["d"]).all():
-        raise ValueError("deltas must be finite")
-    if (delta["d"].abs() > MOST_INTENSITY).any():
-        raise ValueError(f"deltas must be within {MOST_INTENSITY}")
+def _refuse(good: Column, value: Column, why: str) -> Column:
+    return F.when(good, value).otherwise(F.raise_error(F.lit(why)).cast("double"))
 
 
-def transport_generate(profiles: DataFrame, donors: DataFrame, delta: DataFrame, seed: int) -> DataFrame:
-    """Counts of each draw: the donor's profile moved by the target's delta, at the donor's depth.
+def transport_profiles(counts: DataFrame, cells: DataFrame, genes: DataFrame) -> Profiles:
+    """counts (cell, gene, cnt, lib), cells (cell, batch, lib), genes (gene: the axis, of any type).
 
-    profiles by transport_profiles(), donors (draw, cell), delta (target, gene, d)
-    to target, sample (the draw), gene, cnt, depth: genes of the panel, zeros
-    too; what falls outside the panel is dropped.
+    Refused as the rows are read: counts that aren't whole numbers of 0 or more,
+    libraries that aren't whole, positive and at most MOST_DEPTH, or smaller than the panel's sum.
+    """
+    axis = materialize(with_index(genes, "gene", "idx"), "genes")
+    c = F.col("cnt").cast("double")
+    whole = c.isNotNull() & ~F.isnan(c) & (c >= 0) & (c == F.floor(c)) & (c < float("inf"))
+    own = counts.join(small(axis), "gene").select("cell", "idx", _refuse(whole, c, "control counts must be whole numbers of 0 or more").alias("cnt"), _refuse(F.col("lib") > 0, F.col("lib").cast("double"), "libraries must be whole and positive").alias("lib"))
+    entry = F.struct("idx", log_norm("cnt", "lib").alias("x"))
+    sums = own.groupBy("cell").agg(F.sum("cnt").alias("panel"), F.sort_array(F.collect_list(F.when(F.col("cnt") > 0, entry))).alias("p"))
+    lib, panel = F.col("lib").cast("double"), F.coalesce("panel", F.lit(0.0))
+    fine = lib.isNotNull() & (lib > 0) & (lib == F.floor(lib)) & (lib <= MOST_DEPTH) & (panel <= lib)
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    rows = cells.select("cell", "batch", "lib").join(sums, "cell", "left").select(
+        "cell", "batch", _refuse(fine, lib, "libraries must be whole, positive, bounded, and no less than the panel's sum").alias("lib"), outside_mass(lib, panel).alias("outside"),
+        F.coalesce(F.col("p.idx"), none("int")).alias("idx"), F.coalesce(F.col("p.x"), none("double")).alias("x"),
+    )
+    return Profiles(rows, axis, axis.count())
+
+
+def transport_mean(profiles: Profiles) -> DataFrame:
+    """gene, mean of log values; cells without a count are zeros."""
+    n = profiles.rows.agg(F.count("*").alias("n"))
+    sums = profiles.rows.select(F.inline(F.arrays_zip("idx", "x"))).groupBy("idx").agg(F.sum("x").alias("s"))
+    return profiles.axis.join(sums, "idx", "left").join(F.broadcast(n), how="cross").select("gene", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("mean"))
+
+
+_DRAWN = "sample long, depth long, clipped long, idx array<int>, cnt array<int>"
+
+
+def transport_generate(profiles: Profiles, donors: DataFrame, delta: DataFrame, seed: int, targets: int | None = None) -> DataFrame:
+    """A generated cell for each target and draw: the donor's profile moved by the target's delta, drawn anew at the donor's depth.
+
+    donors (draw, cell), delta (target, gene, d) to target, sample (the draw),
+    depth, clipped (genes moved below 0), idx and cnt (places on the axis with counts); what
+    falls outside the panel is dropped. A block of donors is sent once for TARGETS
+    targets (how many there are: targets, counted if not known). Refused: deltas that aren't finite or don't cover the axis once, donors
+    without a profile, intensities above MOST_INTENSITY, profiles without mass.
     """
-    moves = delta.groupBy(F.col("target").cast("string").alias("target")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("gene").cast("long"), "d"))).alias("d"))
-    own = donors.select("draw", "cell").join(profiles, "cell")
-    rows = own.join(F.broadcast(moves), how="cross").withColumn("block", F.floor(F.col("draw") / BLOCK))
-
-    def draw(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("draw")
-        rng = generator(seed, *key)
-        genes = np.array([r["gene"] for r in group["profile"].iloc[0]], np.int64)
-        x = np.array([[r["x"] for r in p] for p in group["profile"]])
-        moved = dict(group["d"].iloc[0])
-        x = x + np.array([moved.get(int(g), 0.0) for g in genes])
-        if (x > MOST_INTENSITY).any():
-            raise ValueError("intensity out of range")
-        depth = np.rint(group["lib"].to_numpy()).astype(np.int64)
-        if (depth > MOST_DEPTH).any() or (depth < 0).any():
-            raise ValueError("depth out of range")
-        rates = np.hstack([np.expm1(np.maximum(x, 0)), np.maximum(group["outside"].to_numpy(), 0)[:, None]])
-        total = rates.sum(axis=1, keepdims=True)
-        if (total <= 0).any():
-            raise ValueError("a profile has no mass")
-        counts = np.stack([rng.multinomial(n, p) for n, p in zip(depth, rates / total, strict=True)])[:, :-1]
-        return pd.DataFrame({"target": key[0], "sample": np.repeat(group["draw"].to_numpy(), len(genes)), "gene": np.tile(genes, len(group)), "cnt": counts.ravel(), "depth": np.repeat(depth, len(genes))})
-
-    return rows.groupBy("target", "block").applyInPandas(draw, _DRAWN)
-
-
-def generated_moments(drawn: DataFrame, scale: float = NORMALIZATION) -> DataFrame:
+    size = profiles.size
+    if targets is None:
+        targets = delta.select("target").distinct().count()
+    moves = delta.join(small(profiles.axis, size), "gene", "left").groupBy("target").agg(F.sort_array(F.collect_list(F.struct("idx", "d"))).alias("m"))
+    groups = F.lit(max(1, -(-targets // TARGETS)))
+    moves = moves.select("target", F.col("m.idx").alias("places"), F.col("m.d").alias("d"), F.pmod(F.xxhash64("target"), groups).cast("int").alias("part"))
+    block = F.floor(F.col("draw") / BLOCK)
+    own = donors.select("draw", F.col("cell").alias("donor"), block.alias("block")).join(profiles.rows, F.col("donor") == F.col("cell"), "left")
+    own = own.select("draw", "block", "lib", "outside", "idx", "x", F.explode(F.sequence(F.lit(0), groups - 1)).alias("part"))
+    moves = moves.join(donors.select(block.alias("block")).distinct(), how="cross")
+
+    def draw(key: tuple, cells: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.sort_values("draw")
+        if cells["lib"].isna().any():
+            raise ValueError("a donor has no profile")
+        x = np.zeros((len(cells), size))
+        for i, (idx, values) in enumerate(zip(cells["idx"], cells["x"], strict=True)):
+            x[i, idx] = values
+        depth, outside = np.rint(cells["lib"].to_numpy()).astype(np.int64), cells["outside"].to_numpy()
+        out = []
+        for target, places, d in zip(targets["target"], targets["places"], targets["d"], strict=True):
+            d = np.asarray(d, float)
+            if len(d) != size or not np.isfinite(d).all() or not np.array_equal(np.asarray(places, float), np.arange(size)):
+                raise ValueError(f"deltas of {target} must be finite and cover the genes once")
+            moved = x + d
+            if (moved > MOST_INTENSITY).any():
+                raise ValueError("intensity out of range")
+            rates = np.hstack([np.expm1(np.maximum(moved, 0)), outside[:, None]])
+            total = rates.sum(axis=1, keepdims=True)
+            if (total <= 0).any():
+                raise ValueError("a profile has no mass")
+            counts = generator(seed, target, key[0]).multinomial(depth, rates / total)[:, :-1]
+            seen = [np.flatnonzero(c) for c in counts]
+            out.append(pd.DataFrame({"target": target, "sample": cells["draw"].to_numpy(), "depth": depth, "clipped": (moved < 0).sum(axis=1), "idx": seen, "cnt": [c[s] for c, s in zip(counts, seen, strict=True)]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["target", "sample", "depth", "clipped", "idx", "cnt"])
+
+    kind = delta.schema["target"].dataType.simpleString()
+    return own.groupBy("block", "part").cogroup(moves.groupBy("block", "part")).applyInPandas(draw, f"target {kind}, {_DRAWN}")
+
+
+def generated_counts(drawn: DataFrame, profiles: Profiles) -> DataFrame:
+    """target, sample, depth, gene, cnt: the nonzeros of generated cells."""
+    long = drawn.select("target", "sample", "depth", F.inline(F.arrays_zip("idx", "cnt")))
+    return long.join(small(profiles.axis, profiles.size), "idx").select("target", "sample", "depth", "gene", F.col("cnt").cast("long").alias("cnt"))
+
+
+def generated_moments(drawn: DataFrame, profiles: Profiles, scale: float = NORMALIZATION) -> DataFrame:
     """target, gene: mean and variance of normalised counts and share of zeros of generated cells."""
+    n = drawn.groupBy("target").agg(F.count("*").alias("n"))
     x = F.log1p(F.col("cnt") * F.lit(scale) / F.col("depth"))
-    return drawn.groupBy("target", "gene").agg(F.avg(x).alias("mean"), F.coalesce(F.var_samp(x), F.lit(0.0)).alias("variance"), F.avg((F.col("cnt") == 0).cast("double")).alias("dropout"))
-
-
-def sample_report(drawn: DataFrame, profiles: DataFrame, delta: DataFrame) -> DataFrame:
-    """Per target: panel libraries, share of clipped values, and distance of the achieved from the requested change."""
-    libraries = drawn.groupBy("target", "sample").agg(F.sum("cnt").alias("panel"), F.first("depth").alias("depth"))
-    sizes = libraries.groupBy("target").agg(F.min("panel").alias("min_panel"), F.max("panel").alias("max_panel"), F.bool_and(F.col("panel") <= F.col("depth")).alias("within_depth"))
-    mean = transport_mean(profiles)
-    d = delta.select(F.col("target").cast("string").alias("target"), F.col("gene").cast("long").alias("gene"), "d")
-    clipped = profiles.select(F.inline("profile")).join(d, "gene").groupBy("target").agg(F.avg((F.col("x") + F.col("d") < 0).cast("double")).alias("clip_fraction"))
-    e = F.col("m") - F.greatest(F.col("mean") + F.col("d"), F.lit(0.0))
-    achieved = generated_moments(drawn).withColumnRenamed("mean", "m").join(mean, "gene").join(d, ["target", "gene"]).groupBy("target").agg(F.sqrt(F.avg(e * e)).alias("delta_rmse"))
-    return sizes.join(clipped, "target").join(achieved, "target")
-
-
-def calibrate(profiles: DataFrame, donors: DataFrame, delta: DataFrame, iterations: int, seed: int, rate: float = 0.5, step: float = 0.25, most: float = 4.0, generate: Callable = transport_generate) -> tuple[pd.DataFrame, list[float]]:
-    """Offsets (target, gene, d) added to delta so that means of generated cells come near the requested ones, and the error of each evaluation.
-
-    Donors and seed are the same in all iterations. Offsets, one number for each
-    target and gene, stay on the driver.
+    long = drawn.select("target", "depth", F.inline(F.arrays_zip("idx", "cnt"))).select("target", "idx", x.alias("x"))
+    sums = long.groupBy("target", "idx").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("k"))
+    grid = n.join(small(profiles.axis, profiles.size), how="cross").join(sums, ["target", "idx"], "left").fillna(0.0, ["s", "q"]).fillna(0, ["k"])
+    mean = F.col("s") / F.col("n")
+    variance = F.coalesce(F.try_divide(F.col("q") - F.col("n") * mean * mean, F.col("n") - 1), F.lit(0.0))
+    return grid.select("target", "gene", mean.alias("mean"), F.greatest(variance, F.lit(0.0)).alias("variance"), (1 - F.col("k") / F.col("n")).alias("dropout"))
+
+
+def sample_report(drawn: DataFrame, profiles: Profiles, requested: DataFrame) -> DataFrame:
+    """Per target: panel libraries, share of values moved below 0, and distance of the achieved from the requested change."""
+    panel = F.aggregate("cnt", F.lit(0).cast("long"), lambda a, c: a + c)
+    sizes = drawn.withColumn("panel", panel).groupBy("target").agg(
+        F.min("panel").alias("min_panel"), F.max("panel").alias("max_panel"), F.bool_and(F.col("panel") <= F.col("depth")).alias("within_depth"),
+        (F.sum("clipped") / (F.count("*") * profiles.size)).alias("clip_fraction"),
+    )
+    found = generated_moments(drawn, profiles).select("target", "gene", F.col("mean").alias("found")).join(transport_mean(profiles), "gene").join(requested.select("target", "gene", "d"), ["target", "gene"])
+    e = F.col("found") - F.col("mean") - F.col("d")
+    return sizes.join(found.groupBy("target").agg(F.sqrt(F.avg(e * e)).alias("delta_rmse")), "target")
+
+
+@dataclass(frozen=True)
+class Calibration:
+    """offsets: target, gene, d, to be used instead of the requested delta. history: the error of each evaluation."""
+
+    offsets: DataFrame
+    requested: DataFrame
+    history: list[float]
+    impossible: int  # genes whose requested mean is below 0
+    bounded: int  # offsets at the bound
+
+
+def calibrate(
+    profiles: Profiles, donors: DataFrame, requested: DataFrame, iterations: int, seed: int, rate: float = 0.5, step: float = 0.25, most: float = 4.0, generate: Callable = transport_generate
+) -> Calibration:
+    """Offsets that bring means of generated cells near the requested ones, from the requested deltas (target, gene, d) on.
+
+    Donors and seed are the same in all iterations; the offset as a whole stays
+    within most, and a request beyond it is refused. Offsets stay on the executors,
+    written once for each iteration.
     """
-    if iterations < 1 or not 0 < rate <= 1 or step <= 0 or most <= 0:
+    if not isinstance(iterations, int) or iterations < 1 or not 0 < rate <= 1 or not 0 < step <= most or not np.isfinite(most):
         raise ValueError("calibration parameters out of range")
-    spark = profiles.sparkSession
-    wanted = delta.select(F.col("target").cast("string").alias("target"), F.col("gene").cast("long").alias("gene"), "d").toPandas()
-    check_delta(wanted)
-    mean = transport_mean(profiles).toPandas()
-    state = wanted.merge(mean, on="gene")
-    state["desired"] = np.maximum(state["mean"] + state["d"], 0)
-    state["offset"] = 0.0
-    best, history = state["offset"].copy(), []
+    requested = requested.select("target", "gene", F.col("d").cast("double").alias("d"))
+    bad = F.count(F.when(F.col("d").isNull() | F.isnan("d") | (F.abs("d") == float("inf")), 1))
+    not_finite, beyond, targets = requested.agg(bad, F.count(F.when(F.abs("d") > most, 1)), F.countDistinct("target")).head()
+    if not_finite:
+        raise ValueError("deltas must be finite")
+    if beyond:
+        raise ValueError(f"requested deltas must be within {most}")
+    state = requested.join(transport_mean(profiles), "gene")
+    state = materialize(state.select("target", "gene", F.greatest(F.col("mean") + F.col("d"), F.lit(0.0)).alias("desired"), (F.col("mean") + F.col("d") < 0).alias("impossible"), "d"), "offsets")
+    errors = None
     for i in range(iterations + 1):
-        moved = spark.createDataFrame(pd.DataFrame({"target": state["target"], "gene": state["gene"], "d": state["d"] + state["offset"]}))
-        found = generated_moments(generate(profiles, donors, moved, seed)).select("target", "gene", F.col("mean").alias("m")).toPandas()
-        error = state["desired"] - state.merge(found, on=["target", "gene"], how="left")["m"].to_numpy()
-        history.append(float(np.sqrt((error**2).mean())))
-        if history[-1] == min(history):
-            best = state["offset"].copy()
-        if i < iterations:
-            moved_by = np.clip(rate * error, -step, step)
-            state["offset"] = np.clip(state["offset"] + moved_by, -most, most)
-    return pd.DataFrame({"target": state["target"], "gene": state["gene"], "d": best}), history
-
-
-def with_offsets(delta: DataFrame, offsets: DataFrame) -> DataFrame:
-    o = offsets.select("target", "gene", F.col("d").alias("o"))
-    return delta.select(F.col("target").cast("string").alias("target"), F.col("gene").cast("long").alias("gene"), "d").join(o, ["target", "gene"], "left").select("target", "gene", (F.col("d") + F.coalesce("o", F.lit(0.0))).alias("d"))
+        found = generated_moments(generate(profiles, donors, state.select("target", "gene", "d"), seed, targets), profiles).select("target", "gene", F.col("mean").alias("found"))
+        error = F.col("desired") - F.col("found")
+        moved = damped(F.col("d"), error, rate, step, most) if i < iterations else F.col("d")
+        state = materialize(state.join(found, ["target", "gene"]).select("target", "gene", "desired", "impossible", moved.alias("d"), error.alias("error")), "offsets")
+        own = state.select(F.lit(i).alias("i"), "error")
+        errors = own if errors is None else errors.union(own)
+    history = [r["rmse"] for r in errors.groupBy("i").agg(F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse")).orderBy("i").collect()]
+    impossible, bounded = state.agg(F.count(F.when(F.col("impossible"), 1)), F.count(F.when(F.abs("d") >= most, 1))).head()
+    return Calibration(state.select("target", "gene", "d"), requested, history, impossible, bounded)
+
+
+def generate_calibrated(profiles: Profiles, donors: DataFrame, calibration: Calibration, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Cells generated with a calibration's offsets, and their report, scored against what was requested."""
+    drawn = materialize(transport_generate(profiles, donors, calibration.offsets, seed), "drawn")
+    return drawn, sample_report(drawn, profiles, calibration.requested)

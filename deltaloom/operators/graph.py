@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.functions.expr import missing_flag, scaled_score
+from deltaloom.functions.expr import is_mapped, missing_flag, scaled_score
+
+
+def mapped_aliases(aliases: DataFrame) -> DataFrame:
+    """(protein, gene) rows whose alias is a gene's identifier: a protein has symbols and names of other kinds too."""
+    return aliases.where(is_mapped("gene"))
 
 
 def gene_of_protein(aliases: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(protein, gene) to protein, gene, for proteins with one gene only, that is wanted."""
-    one = aliases.groupBy("protein").agg(F.collect_set("gene").alias("genes")).where(F.size("genes") == 1)
-    return one.select("protein", F.element_at("genes", 1).alias("gene")).join(wanted.select("gene").distinct(), "gene", "left_semi")
+    """(protein, gene: any alias) to protein, gene, for proteins with one gene only, that is wanted."""
+    one = mapped_aliases(aliases).groupBy("protein").agg(F.min("gene").alias("gene"), F.max("gene").alias("other")).where("gene = other")
+    return one.select("protein", "gene").join(wanted.select("gene").distinct(), "gene", "left_semi")
 
 
 def ambiguous_proteins(aliases: DataFrame) -> DataFrame:
-    return aliases.groupBy("protein").agg(F.countDistinct("gene").alias("n_genes")).where("n_genes > 1")
+    return mapped_aliases(aliases).groupBy("protein").agg(F.countDistinct("gene").alias("n_genes")).where("n_genes > 1")
 
 
 def build_graph(aliases: DataFrame, links: DataFrame, wanted: DataFrame, threshold: int) -> DataFrame:

@@ -1,7 +1,7 @@
 """Low-rank response models: a basis by randomised SVD, multi-feature ridge and boosted trees on its scores.
 
-Large products are joins and aggregates; only thin matrices (a few dozen columns)
-reach the driver.
+The response matrix stays on the executors, one row of numbers for each target;
+only matrices as long as an axis and a few dozen columns wide reach the driver.
 """
 
 from __future__ import annotations
@@ -9,70 +9,128 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+
+from deltaloom.session import materialize, small
 
 EXTRA, POWERS = 8, 2
+#: Genes in a piece of the product that tasks add up.
+_PIECE = 1024
+
+
+def _rows(y: DataFrame) -> tuple[DataFrame, list, np.ndarray]:
+    """(target, idx, e: centred values) written as a row for each target; genes in order, and their means."""
+    spark, kind = y.sparkSession, y.schema["gene"].dataType
+    means = y.groupBy("gene").agg(F.avg("y").alias("mean")).orderBy("gene").collect()
+    genes, mean = [r["gene"] for r in means], np.array([r["mean"] for r in means], float)
+    fields = [StructField("gene", kind), StructField("idx", IntegerType()), StructField("mean", DoubleType())]
+    axis = spark.createDataFrame([(g, i, float(m)) for i, (g, m) in enumerate(zip(genes, mean, strict=True))], StructType(fields))
+    entry = F.struct("idx", (F.col("y") - F.col("mean")).alias("e"))
+    packed = y.join(small(axis), "gene").groupBy("target").agg(F.sort_array(F.collect_list(entry)).alias("x"))
+    return materialize(packed.select("target", F.col("x.idx").alias("idx"), F.col("x.e").alias("e")), "responses"), genes, mean
+
+
+def _entries(batch: pa.RecordBatch) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
+    for target, idx, e in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+        yield target, idx.values.to_numpy(), e.values.to_numpy()
+
+
+def _times(rows: DataFrame, thin: np.ndarray) -> tuple[list, np.ndarray]:
+    """Targets in order, and the responses times a matrix on the genes."""
+    sent = rows.sparkSession.sparkContext.broadcast(thin)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [e @ sent.value[idx] for _, idx, e in _entries(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["target", "v"])
+
+    kind = rows.schema["target"].dataType
+    found = rows.mapInArrow(run, StructType([StructField("target", kind), StructField("v", ArrayType(DoubleType()))])).collect()
+    found.sort(key=lambda r: r["target"])
+    return [r["target"] for r in found], np.array([r["v"] for r in found])
 
 
-def _thin(m: np.ndarray, ids: list, key: str, spark) -> DataFrame:
-    rows = [(i, [float(v) for v in r]) for i, r in zip(ids, m, strict=True)]
-    return spark.createDataFrame(rows, f"{key} {'long' if isinstance(ids[0], int) else 'string'}, v array<double>")
+def _times_transposed(rows: DataFrame, targets: list, thin: np.ndarray, genes: int) -> np.ndarray:
+    """The transposed responses times a matrix on the targets: each task adds up its part, pieces of parts are summed."""
+    width = thin.shape[1]
+    sent = rows.sparkSession.sparkContext.broadcast((dict(zip(targets, range(len(targets)), strict=True)), thin))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, q = sent.value
+        total = np.zeros((genes, width))
+        some = False
+        for batch in batches:
+            for target, idx, e in _entries(batch):
+                total[idx] += e[:, None] * q[place[target]]
+                some = True
+        if some:
+            at = list(range(0, genes, _PIECE))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([total[i : i + _PIECE].tobytes() for i in at], pa.binary())], names=["piece", "s"])
 
-def _product(long: DataFrame, thin: DataFrame, over: str, to: str, width: int) -> tuple[list, np.ndarray]:
-    """Sum over one axis of a long table (over, to, y) times a thin matrix on that axis."""
-    joined = long.join(thin, over)
-    sums = joined.groupBy(to).agg(*(F.sum(F.col("y") * F.col("v")[j]).alias(f"s{j}") for j in range(width))).orderBy(to).collect()
-    return [r[0] for r in sums], np.array([list(r)[1:] for r in sums])
+    def add(table: pa.Table) -> pa.Table:
+        s = np.sum([np.frombuffer(x, float) for x in sorted(table.column("s").to_pylist())], axis=0)
+        return pa.table({"piece": table.column("piece").slice(0, 1), "s": pa.array([s.tobytes()], pa.binary())})
+
+    found = rows.mapInArrow(run, "piece int, s binary").groupBy("piece").applyInArrow(add, "piece int, s binary").collect()
+    return np.vstack([np.frombuffer(r["s"], float).reshape(-1, width) for r in sorted(found, key=lambda r: r["piece"])])
 
 
 def response_basis(y: DataFrame, rank: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """(target, gene, y) to mean (gene, mean) and basis (component, gene, v): orthonormal rows.
 
-    Centre, sketch by a Gaussian matrix, POWERS power iterations with QR, then an SVD of the small side.
+    Centre, sketch by a Gaussian matrix, POWERS power iterations with QR, then an
+    SVD of the small side. Targets and genes are of any type; their ids stay what they are.
     """
-    spark = y.sparkSession
-    mean = y.groupBy("gene").agg(F.avg("y").alias("mean"))
-    centred = y.join(F.broadcast(mean), "gene").select("target", F.col("gene").cast("long").alias("gene"), (F.col("y") - F.col("mean")).alias("y"))
-    genes = [r[0] for r in centred.select("gene").distinct().orderBy("gene").collect()]
-    n_targets = y.select("target").distinct().count()
-    width = min(rank + EXTRA, len(genes), n_targets)
-    sketch = np.random.default_rng(seed).standard_normal((len(genes), width))
-    targets, q = _product(centred, _thin(sketch, genes, "gene", spark), "gene", "target", width)
+    spark, kind = y.sparkSession, y.schema["gene"].dataType
+    rows, genes, mean = _rows(y)
+    width = min(rank + EXTRA, len(genes), rows.count())
+    targets, q = _times(rows, np.random.default_rng(seed).standard_normal((len(genes), width)))
     for _ in range(POWERS):
-        q, _ = np.linalg.qr(q)
-        genes, z = _product(centred, _thin(q, targets, "target", spark), "target", "gene", width)
-        z, _ = np.linalg.qr(z)
-        targets, q = _product(centred, _thin(z, genes, "gene", spark), "gene", "target", width)
+        z, _ = np.linalg.qr(_times_transposed(rows, targets, np.linalg.qr(q)[0], len(genes)))
+        targets, q = _times(rows, z)
     q, _ = np.linalg.qr(q)
-    genes, b = _product(centred, _thin(q, targets, "target", spark), "target", "gene", width)
-    _, _, vt = np.linalg.svd(b.T, full_matrices=False)
+    _, _, vt = np.linalg.svd(_times_transposed(rows, targets, q, len(genes)).T, full_matrices=False)
     vt = vt[: min(rank, len(vt))]
     # signs are arbitrary; fix them so that reruns agree
     vt = vt * np.sign(vt[np.arange(len(vt)), np.abs(vt).argmax(axis=1)])[:, None]
-    rows = [(int(c), int(g), float(v)) for c, r in enumerate(vt) for g, v in zip(genes, r, strict=True)]
-    return mean, spark.createDataFrame(rows, "component int, gene long, v double")
+    fields = [StructField("gene", kind), StructField("mean", DoubleType()), StructField("vs", ArrayType(DoubleType()))]
+    found = spark.createDataFrame([(g, float(m), v.tolist()) for g, m, v in zip(genes, mean, vt.T, strict=True)], StructType(fields))
+    return found.select("gene", "mean"), found.select(F.posexplode("vs").alias("component", "v"), "gene").select("component", "gene", "v")
+
+
+def _wide(mean: DataFrame, basis: DataFrame) -> tuple[DataFrame, int]:
+    """gene, mean, vs (values by component), to be joined by gene; the number of components."""
+    vs = basis.groupBy("gene").agg(F.sort_array(F.collect_list(F.struct("component", "v"))).alias("c")).select("gene", F.col("c.v").alias("vs"))
+    rank = basis.agg(F.coalesce(F.max("component") + 1, F.lit(0))).head()[0]
+    return small(mean.join(vs, "gene")), rank
 
 
 def project(y: DataFrame, mean: DataFrame, basis: DataFrame) -> DataFrame:
     """target, component, z: centred responses on the basis."""
-    return y.join(F.broadcast(mean), "gene").join(F.broadcast(basis), "gene").groupBy("target", "component").agg(F.sum((F.col("y") - F.col("mean")) * F.col("v")).alias("z"))
+    wide, rank = _wide(mean, basis)
+    e = F.col("y") - F.col("mean")
+    sums = y.join(wide, "gene").groupBy("target").agg(*(F.sum(e * F.col("vs")[c]).alias(f"z{c}") for c in range(rank)))
+    return sums.select("target", F.posexplode(F.array(*(f"z{c}" for c in range(rank)))).alias("component", "z"))
 
 
 def reconstruct(scores: DataFrame, mean: DataFrame, basis: DataFrame) -> DataFrame:
-    """target, gene, p from scores (target, component, z)."""
-    part = scores.join(F.broadcast(basis), "component").groupBy("target", "gene").agg(F.sum(F.col("z") * F.col("v")).alias("s"))
-    return part.join(F.broadcast(mean), "gene").select("target", "gene", (F.col("mean") + F.col("s")).alias("p"))
+    """target, gene, p from scores (target, component, z): every target meets every gene, which is the result."""
+    wide, rank = _wide(mean, basis)
+    z = scores.groupBy("target").agg(*(F.sum(F.when(F.col("component") == c, F.col("z"))).alias(f"z{c}") for c in range(rank)))
+    p = F.col("mean")
+    for c in range(rank):
+        p = p + F.coalesce(F.col(f"z{c}"), F.lit(0.0)) * F.col("vs")[c]
+    return z.join(wide, how="cross").select("target", "gene", p.alias("p"))
 
 
-def ridge_fit(features: DataFrame, scores: DataFrame, names: list[str], alpha: float) -> np.ndarray:
-    """Coefficients (intercept first, unpenalised) x components from (target, names) and (target, component, z).
-
-    The Gram matrix is one aggregate; the small system is solved on the driver.
-    """
+def ridge_sums(features: DataFrame, scores: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The Gram matrix of an intercept and the features (target, names), and their products with scores (target, component, z): two aggregates."""
+    if not names:
+        raise ValueError("ridge needs features")
     x = [F.lit(1.0), *(F.col(n) for n in names)]
     p = len(x)
     gram = features.agg(*(F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i in range(p) for j in range(i, p))).head()
@@ -81,12 +139,23 @@ def ridge_fit(features: DataFrame, scores: DataFrame, names: list[str], alpha: f
         for j in range(i, p):
             a[i, j] = a[j, i] = gram[f"g{i}_{j}"]
     right = scores.join(features, "target").groupBy("component").agg(*(F.sum(x[i] * F.col("z")).alias(f"r{i}") for i in range(p))).orderBy("component").collect()
-    b = np.array([[r[f"r{i}"] for i in range(p)] for r in right]).T
-    return np.linalg.solve(a + np.diag([0.0] + [float(alpha)] * (p - 1)), b)
+    return a, np.array([[r[f"r{i}"] for i in range(p)] for r in right]).T
+
+
+def ridge_solve(sums: tuple[np.ndarray, np.ndarray], alpha: float) -> np.ndarray:
+    """Coefficients (intercept first, unpenalised) x components; the small system is solved on the driver."""
+    if alpha < 0:
+        raise ValueError("the penalty is negative")
+    gram, right = sums
+    return np.linalg.solve(gram + np.diag([0.0] + [float(alpha)] * (len(gram) - 1)), right)
+
+
+def ridge_fit(features: DataFrame, scores: DataFrame, names: list[str], alpha: float) -> np.ndarray:
+    return ridge_solve(ridge_sums(features, scores, names), alpha)
 
 
 def ridge_predict(features: DataFrame, names: list[str], w: np.ndarray) -> DataFrame:
-    """target, component, z."""
+    """target, component, z, by ridge_fit()'s coefficients."""
     parts = []
     for c in range(w.shape[1]):
         z = F.lit(float(w[0, c]))
@@ -96,27 +165,102 @@ def ridge_predict(features: DataFrame, names: list[str], w: np.ndarray) -> DataF
     return features.select("target", F.inline(F.array(*parts)))
 
 
-def trees_fit(features: DataFrame, scores: DataFrame, names: list[str], leaves: int, rounds: int, rate: float, least: int, seed: int) -> list:
-    """Boosted regression trees for each component; depth-wise, with at least as many leaves as asked for."""
-    data = VectorAssembler(inputCols=names, outputCol="features").transform(features).select("target", "features")
-    depth = max(1, int(np.ceil(np.log2(leaves + 1))))
-    out = []
-    for c in [r[0] for r in scores.select("component").distinct().orderBy("component").collect()]:
-        own = data.join(scores.where(F.col("component") == c), "target")
-        out.append(GBTRegressor(featuresCol="features", labelCol="z", maxIter=rounds, stepSize=rate, maxDepth=depth, minInstancesPerNode=least, seed=seed).fit(own))
-    return out
+_NODE = "component int, tree int, node int, feature int, threshold double, low int, high int, value double"
+
+
+def _best_split(x: np.ndarray, g: np.ndarray, least: int) -> tuple[float, int, float] | None:
+    """Gain in squared error, feature and threshold of the best split into parts of least rows each."""
+    n = len(g)
+    if n < 2 * least:
+        return None
+    order = np.argsort(x, axis=0, kind="stable")
+    values, left = np.take_along_axis(x, order, 0), np.cumsum(g[order], axis=0)[:-1]
+    k = np.arange(1, n)[:, None]
+    total = g.sum()
+    gain = left**2 / k + (total - left) ** 2 / (n - k) - total**2 / n
+    gain[(values[1:] <= values[:-1]) | (k < least) | (n - k < least)] = -np.inf
+    feature, at = divmod(int(gain.T.argmax()), n - 1)
+    best = float(gain[at, feature])
+    return (best, feature, float((values[at, feature] + values[at + 1, feature]) / 2)) if best > 1e-12 else None
+
+
+def grow_tree(x: np.ndarray, g: np.ndarray, leaves: int, least: int) -> list[list]:
+    """[feature (-1: leaf), threshold, low, high, value] of each node: the leaf whose split gains most is split, until there are so many leaves."""
+    nodes, rows = [[-1, 0.0, -1, -1, float(g.mean())]], {0: np.arange(len(g))}
+    splits = {0: _best_split(x, g, least)}
+    for _ in range(leaves - 1):
+        open_ = [(s[0], -i) for i, s in splits.items() if s]
+        if not open_:
+            break
+        i = -max(open_)[1]
+        _, feature, threshold = splits.pop(i)
+        own = rows.pop(i)
+        below = x[own, feature] <= threshold
+        nodes[i] = [feature, threshold, len(nodes), len(nodes) + 1, 0.0]
+        for part in (own[below], own[~below]):
+            rows[len(nodes)], splits[len(nodes)] = part, _best_split(x[part], g[part], least)
+            nodes.append([-1, 0.0, -1, -1, float(g[part].mean())])
+    return nodes
+
+
+def _walk(nodes: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The value of the leaf that each row comes to."""
+    at = np.zeros(len(x), int)
+    while (inner := nodes[at, 0] >= 0).any():
+        here = nodes[at[inner]]
+        low = x[inner, here[:, 0].astype(int)] <= here[:, 1]
+        at[inner] = np.where(low, here[:, 2], here[:, 3]).astype(int)
+    return nodes[at, 4]
+
+
+def trees_fit(features: DataFrame, scores: DataFrame, names: list[str], leaves: int, rounds: int, rate: float, least: int) -> DataFrame:
+    """Boosted regression trees for each component, as nodes: component, tree, node, feature, threshold, low, high, value.
+
+    Squared error, trees grown leaf by leaf up to a number of leaves, no leaf
+    of fewer than least targets. Tree -1 is the mean. Components are fitted side by side;
+    one has a row for each target, as long as that axis.
+    """
+    if leaves < 2 or rounds < 1 or rate <= 0 or least < 1:
+        raise ValueError("tree parameters out of range")
+
+    def fit(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
+        table = table.sort_values("target")
+        x, z = table[names].to_numpy(float), table["z"].to_numpy(float)
+        p = np.full(len(z), z.mean())
+        out = [[-1, 0, -1, 0.0, -1, -1, p[0]]]
+        for t in range(rounds):
+            nodes = grow_tree(x, z - p, leaves, least)
+            for n in nodes:
+                n[4] *= rate
+            p = p + _walk(np.array(nodes, float), x)
+            out += [[t, i, *n] for i, n in enumerate(nodes)]
+        found = pd.DataFrame(out, columns=["tree", "node", "feature", "threshold", "low", "high", "value"])
+        found.insert(0, "component", key[0])
+        return found
+
+    return scores.join(features, "target").select("target", "component", "z", *names).groupBy("component").applyInPandas(fit, _NODE)
+
+
+def trees_predict(model: DataFrame, features: DataFrame, names: list[str]) -> DataFrame:
+    """target, component, z. The nodes, bounded by the settings they were fitted with, are sent to every task."""
+    found = model.toPandas().sort_values(["component", "tree", "node"])
+    parts = [(int(c), [t[["feature", "threshold", "low", "high", "value"]].to_numpy(float) for _, t in own.groupby("tree")]) for c, own in found.groupby("component")]
+    sent = features.sparkSession.sparkContext.broadcast(parts)
+
+    def run(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for table in tables:
+            x = table[names].to_numpy(float)
+            for c, trees in sent.value:
+                yield pd.DataFrame({"target": table["target"], "component": c, "z": sum(_walk(t, x) for t in trees)})
+
+    kind = features.schema["target"].dataType.simpleString()
+    return features.select("target", *names).mapInPandas(run, f"target {kind}, component int, z double")
 
 
-def trees_predict(models: list, features: DataFrame, names: list[str]) -> DataFrame:
-    data = VectorAssembler(inputCols=names, outputCol="features").transform(features).select("target", "features")
-    parts: Iterator[DataFrame] = (m.transform(data).select("target", F.lit(c).alias("component"), F.col("prediction").alias("z")) for c, m in enumerate(models))
-    out = next(parts)
-    for p in parts:
-        out = out.union(p)
-    return out
+def save_trees(model: DataFrame, path: str) -> None:
+    """The nodes as one table, a folder for each component."""
+    model.write.partitionBy("component").parquet(path)
 
 
-def save_trees(models: list, path: str) -> None:
-    """One model for each component, under path."""
-    for c, m in enumerate(models):
-        m.write().overwrite().save(f"{path}/component={c}")
+def load_trees(spark, path: str) -> DataFrame:
+    return spark.read.schema(_NODE).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltaloom.functions.expr import log_norm
+from deltaloom.session import small
 
 #: Product of norms below which a correlation is undefined.
 UNDEFINED = 1e-15
@@ -43,7 +44,7 @@ def moments(counts: DataFrame, cells: DataFrame, genes: DataFrame, *by: str) ->
     n = cells.groupBy(*by).agg(F.count("*").alias("n_cells"))
     x = log_norm("cnt", "lib")
     sums = counts.groupBy(*by, "gene").agg(F.sum(x).alias("s"), F.sum(x * x).alias("q"), F.count(F.when(F.col("cnt") > 0, 1)).alias("k"))
-    grid = n.join(genes, *([list(by)] if by and set(by) <= set(genes.columns) else []), how="inner") if by and set(by) <= set(genes.columns) else n.join(F.broadcast(genes.select("gene").distinct()), how="cross")
+    grid = n.join(genes, list(by)) if by and set(by) <= set(genes.columns) else n.join(small(genes.select("gene").distinct()), how="cross")
     grid = grid.join(sums, [*by, "gene"], "left").fillna(0.0, ["s", "q"]).fillna(0, ["k"])
     mean = F.col("s") / F.col("n_cells")
     variance = F.try_divide(F.col("q") - F.col("n_cells") * mean * mean, F.col("n_cells") - 1)

@@ -31,7 +31,7 @@ def panel(counts: DataFrame) -> DataFrame:
     return counts.select("line", "gene").distinct()
 
 
-def control_means(stats: DataFrame, groups: DataFrame, genes: DataFrame, control: int) -> DataFrame:
+def control_means(stats: DataFrame, groups: DataFrame, genes: DataFrame, control: str | int) -> DataFrame:
     """Means of control cells by line, batch, gene, complete with zeros."""
     n = groups.where(F.col("target") == control).select("line", "batch", F.col("n").alias("n_control"))
     sums = stats.where(F.col("target") == control).drop("target")
@@ -40,7 +40,7 @@ def control_means(stats: DataFrame, groups: DataFrame, genes: DataFrame, control
     return grid.select("line", "batch", "gene", "n_control", mean("s_raw").alias("m_raw"), mean("s_log").alias("m_log"))
 
 
-def matched_controls(groups: DataFrame, means: DataFrame, control: int) -> DataFrame:
+def matched_controls(groups: DataFrame, means: DataFrame, control: str | int) -> DataFrame:
     """Control means by line, target, gene: those of each batch, weighted by the target's cells in it."""
     n = F.sum("n")
     weighted = lambda c: F.sum(F.col("n") * F.col(c)) / n
@@ -97,7 +97,7 @@ def matched_delta(counts: DataFrame, cells: DataFrame, control: int | str) -> Da
     return matched_delta_of(materialize(sufficient(rows_of(counts, cells)), "sums"), control)
 
 
-def control_baseline(stats: DataFrame, groups: DataFrame, genes: DataFrame, control: int) -> DataFrame:
+def control_baseline(stats: DataFrame, groups: DataFrame, genes: DataFrame, control: str | int) -> DataFrame:
     """Means over all control cells of a line: batch means weighted by control cells."""
     means = control_means(stats, groups, genes, control)
     n = F.sum("n_control")
@@ -105,7 +105,7 @@ def control_baseline(stats: DataFrame, groups: DataFrame, genes: DataFrame, cont
     return means.groupBy("line", "gene").agg(pooled("m_raw").alias("mean_raw"), pooled("m_log").alias("mean_log"))
 
 
-def matched_strata(groups: DataFrame, control: int) -> DataFrame:
+def matched_strata(groups: DataFrame, control: str | int) -> DataFrame:
     """Cells of each target and of controls, by batch."""
     own = groups.where(F.col("target") == control).select("line", "batch", F.col("n").alias("n_control_cells"))
     return groups.where(F.col("target") != control).join(own, ["line", "batch"], "left").select("line", "target", "batch", F.col("n").alias("n_target_cells"), F.coalesce("n_control_cells", F.lit(0)).alias("n_control_cells"))

@@ -48,15 +48,41 @@ def slices(cells: DataFrame, sizes: dict[str, int], seed: int) -> DataFrame:
     return first.select("cell", part.alias("part"))
 
 
+def _place(key: Column, n: Column) -> Column:
+    """A place below n, by the first 12 hexadecimal digits of a key's hash."""
+    return F.pmod(F.conv(F.substring(F.sha2(key, 256), 1, 12), 16, 10).cast("long"), n).cast("int")
+
+
 def balanced_donors(cells: DataFrame, per_batch: int, seed: int) -> DataFrame:
-    """per_batch draws with replacement from each batch: draw, batch, cell (the donor)."""
+    """per_batch draws with replacement from each batch: draw, batch, cell (the donor). Draws are numbered in the order of a hash."""
+    if per_batch < 1:
+        raise ValueError("no draws")
     ranked = cells.select("batch", "cell", (F.row_number().over(Window.partitionBy("batch").orderBy("cell")) - 1).alias("at"))
     n = cells.groupBy("batch").agg(F.count("*").alias("n"))
     draws = n.select("batch", "n", F.explode(F.sequence(F.lit(0), F.lit(per_batch - 1))).alias("i"))
-    at = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), "batch", F.col("i").cast("string")), 256), 1, 12), 16, 10).cast("long"), F.col("n")).cast("int")
+    at = _place(F.concat_ws(":", F.lit(str(seed)), "batch", F.col("i").cast("string")), F.col("n"))
     draws = draws.select("batch", "i", at.alias("at"))
     shuffled = draws.join(ranked, ["batch", "at"]).withColumn("h", F.sha2(F.concat_ws(":", F.lit(f"{seed}:order"), "batch", F.col("i").cast("string")), 256))
-    return shuffled.select((F.row_number().over(Window.orderBy("h")) - 1).alias("draw"), "batch", "cell")
+    return numbered(shuffled, "h", "draw").select("draw", "batch", "cell")
+
+
+def uniform_donors(cells: DataFrame, draws: int, seed: int) -> DataFrame:
+    """draws with replacement from all cells alike: draw, cell (the donor)."""
+    if draws < 1:
+        raise ValueError("no draws")
+    ranked = numbered(cells.select("cell", hash_order(seed, "cell").alias("h")), "h", "at").select("at", F.col("cell"))
+    n = cells.agg(F.count("*").alias("n"))
+    drawn = cells.sparkSession.range(draws).join(F.broadcast(n), how="cross").select(F.col("id").alias("draw"), _place(F.concat(F.lit(f"{seed}:draw:"), F.col("id").cast("string")), F.col("n")).cast("long").alias("at"))
+    return drawn.join(ranked, "at").select("draw", "cell")
+
+
+def numbered(rows: DataFrame, h: str, name: str) -> DataFrame:
+    """rows numbered from 0 in the order of a hash in hexadecimal; no task holds them all, but those of one of 4096 beginnings."""
+    rows = rows.withColumn("_part", F.substring(h, 1, 3))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(h))
+    return rows.withColumn("_in", inside).join(base, "_part").withColumn(name, F.col("_base") + F.col("_in") - 1).drop("_part", "_n", "_base", "_in")
 
 
 def csr_offsets(nonzeros: DataFrame, cells: DataFrame) -> DataFrame:

@@ -10,16 +10,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltaloom.functions.expr import standardized
+from deltaloom.session import materialize, small
 
 
 def zero_delta(targets: DataFrame, genes: DataFrame) -> DataFrame:
-    return targets.select("target").join(F.broadcast(genes.select("gene")), how="cross").select(F.lit("zero_delta").alias("model"), "target", "gene", F.lit(0.0).alias("p"))
+    return targets.select("target").join(small(genes.select("gene")), how="cross").select(F.lit("zero_delta").alias("model"), "target", "gene", F.lit(0.0).alias("p"))
 
 
 def training_mean(train: DataFrame, targets: DataFrame) -> DataFrame:
     """train (target, gene, y): the mean of each gene, for every target."""
     mean = train.groupBy("gene").agg(F.avg("y").alias("p"))
-    return targets.select("target").join(F.broadcast(mean), how="cross").select(F.lit("training_mean").alias("model"), "target", "gene", "p")
+    return targets.select("target").join(small(mean), how="cross").select(F.lit("training_mean").alias("model"), "target", "gene", "p")
 
 
 def nearest_line(train: DataFrame, targets: DataFrame) -> DataFrame:
@@ -52,12 +53,15 @@ def apply_scale(x: DataFrame, fitted: DataFrame, *by: str) -> DataFrame:
 
 def ridge_fit(z: DataFrame, y: DataFrame, alpha: float) -> DataFrame:
     """gene, b0, b1: closed form for a standardised feature; the intercept isn't penalised."""
+    if alpha < 0:
+        raise ValueError("the penalty is negative")
     both = y.join(z.select("target", "z"), "target")
-    return both.groupBy("gene").agg(F.avg("y").alias("b0"), (F.sum(F.col("z") * F.col("y")) / (F.sum(F.col("z") * F.col("z")) + F.lit(float(alpha)))).alias("b1"))
+    slope = F.try_divide(F.sum(F.col("z") * F.col("y")), F.sum(F.col("z") * F.col("z")) + F.lit(float(alpha)))  # 0 for a constant feature without a penalty
+    return both.groupBy("gene").agg(F.avg("y").alias("b0"), F.coalesce(slope, F.lit(0.0)).alias("b1"))
 
 
 def ridge_predict(z: DataFrame, model: DataFrame, name: str = "ridge") -> DataFrame:
-    return z.select("target", "z").join(F.broadcast(model), how="cross").select(F.lit(name).alias("model"), "target", "gene", (F.col("b0") + F.col("z") * F.col("b1")).alias("p"))
+    return z.select("target", "z").join(small(model), how="cross").select(F.lit(name).alias("model"), "target", "gene", (F.col("b0") + F.col("z") * F.col("b1")).alias("p"))
 
 
 def folds(targets: DataFrame, k: int, seed: int) -> DataFrame:
@@ -66,17 +70,50 @@ def folds(targets: DataFrame, k: int, seed: int) -> DataFrame:
     return targets.select("target").distinct().withColumn("fold", F.ntile(k).over(Window.orderBy(order)) - 1)
 
 
+def require_folds(k: int, n_targets: int) -> None:
+    if not 2 <= k <= n_targets:
+        raise ValueError(f"{k} folds of {n_targets} targets")
+
+
+def require_observed(x: DataFrame, y: DataFrame) -> None:
+    """(target, x) has a value somewhere, and all of (target, gene, y) are finite."""
+    seen = x.agg(F.count(F.nanvl("x", F.lit(None).cast("double")))).head()[0]
+    if not seen or not y.where(F.col("y").isNull() | F.isnan("y") | (F.abs("y") == float("inf"))).isEmpty():
+        raise ValueError("no observed feature, or responses that aren't finite")
+
+
 def alpha_losses(x: DataFrame, y: DataFrame, parts: DataFrame, alphas: list[float]) -> DataFrame:
-    """alpha, mse over held-out folds, every fold with its own imputer and scaler; one plan for all folds and penalties."""
-    ids = parts.select("fold").distinct().withColumnRenamed("fold", "out")
-    rows = x.join(parts, "target").join(F.broadcast(ids), how="cross")
-    scale = fit_scale(rows.where("fold <> out"), "out")
-    z = apply_scale(rows, scale, "out")
-    data = z.select("out", "fold", "target", "z").join(y, "target")
-    train = data.where("fold <> out").groupBy("out", "gene").agg(F.avg("y").alias("b0"), F.sum(F.col("z") * F.col("y")).alias("zy"), F.sum(F.col("z") * F.col("z")).alias("zz"))
-    grid = train.select("*", F.explode(F.array(*(F.lit(float(a)) for a in alphas))).alias("alpha"))
-    e = F.col("y") - F.col("b0") - F.col("z") * F.col("zy") / (F.col("zz") + F.col("alpha"))
-    return data.where("fold = out").join(grid, ["out", "gene"]).groupBy("alpha").agg((F.sum(e * e) / F.count("*")).alias("mse"))
+    """alpha, mse over held-out folds, every fold with its own imputer and scaler; one plan for all folds and penalties.
+
+    Responses are read once: sums by gene and fold of y, and of y times the feature
+    as each fold's models scale it, give the sums of every fold's complement by
+    subtraction. What is squared in the end is expanded into these sums too.
+    """
+    if any(a < 0 for a in alphas):
+        raise ValueError("a penalty is negative")
+    ids = [r[0] for r in parts.select("fold").distinct().orderBy("fold").collect()]
+    out = F.explode(F.array(*(F.lit(i).cast("int") for i in ids))).alias("out")
+    rows = x.join(parts, "target").select("target", "x", "fold", out)
+    z = apply_scale(rows, fit_scale(rows.where("fold <> out"), "out"), "out")
+    own = z.groupBy("target", "fold").agg(F.sort_array(F.collect_list(F.struct("out", "z"))).alias("z")).select("target", "fold", F.col("z.z").alias("z"))
+    data = y.join(small(own), "target")
+    sums = [F.count("*").alias("n"), F.sum("y").alias("y"), F.sum(F.col("y") * F.col("y")).alias("yy")]
+    for i in range(len(ids)):
+        z = F.col("z")[i]
+        sums += [F.sum(z).alias(f"z{i}"), F.sum(z * F.col("y")).alias(f"zy{i}"), F.sum(z * z).alias(f"zz{i}")]
+    by_fold = materialize(data.groupBy("gene", "fold").agg(*sums), "fold_sums")
+    whole = by_fold.groupBy("gene").agg(*(F.sum(c).alias(f"all_{c}") for c in by_fold.columns[2:]))
+    both = by_fold.join(whole, "gene")
+    # in the fold left out, which is i: sums of its own, and of all others
+    per = [
+        F.struct(*(F.col(c).alias(c) for c in ("n", "y", "yy")), *(F.col(f"{c}{i}").alias(c) for c in ("z", "zy", "zz")), (F.col("all_n") - F.col("n")).alias("tn"), (F.col("all_y") - F.col("y")).alias("ty"), *((F.col(f"all_{c}{i}") - F.col(f"{c}{i}")).alias(f"t{c}") for c in ("zy", "zz")))
+        for i in range(len(ids))
+    ]
+    place = F.array_position(F.array(*(F.lit(i).cast("int") for i in ids)), F.col("fold").cast("int")).cast("int")
+    s = both.select(F.element_at(F.array(*per), place).alias("s")).select("s.*").select("*", F.explode(F.array(*(F.lit(float(a)) for a in alphas))).alias("alpha"))
+    b0, b1 = F.try_divide("ty", "tn"), F.coalesce(F.try_divide(F.col("tzy"), F.col("tzz") + F.col("alpha")), F.lit(0.0))
+    sse = F.col("yy") + F.col("n") * b0 * b0 + b1 * b1 * F.col("zz") - 2 * b0 * F.col("y") - 2 * b1 * F.col("zy") + 2 * b0 * b1 * F.col("z")
+    return s.groupBy("alpha").agg((F.sum(sse) / F.sum("n")).alias("mse"))
 
 
 def best_alpha(losses: DataFrame) -> DataFrame:
@@ -93,7 +130,7 @@ def best_per_family(losses: DataFrame) -> DataFrame:
 
 def matrix_problems(long: DataFrame, targets: DataFrame, genes: DataFrame) -> DataFrame:
     """What keeps a long table from being a matrix on two axes: repeated pairs and missing ones."""
-    own = long.join(F.broadcast(targets.select("target")), "target", "left_semi").join(F.broadcast(genes.select("gene")), "gene", "left_semi")
+    own = long.join(small(targets.select("target")), "target", "left_semi").join(small(genes.select("gene")), "gene", "left_semi")
     n = own.groupBy("target", "gene").agg(F.count("*").alias("n"))
-    grid = targets.select("target").join(F.broadcast(genes.select("gene")), how="cross").join(n, ["target", "gene"], "left")
+    grid = targets.select("target").join(small(genes.select("gene")), how="cross").join(n, ["target", "gene"], "left")
     return grid.select("target", "gene", F.coalesce("n", F.lit(0)).alias("n")).where("n <> 1")

@@ -55,7 +55,7 @@ def control_disagreement(targets: DataFrame, label: str) -> DataFrame:
     return targets.where((F.col("identifier") == label) != (F.col("symbol") == label))
 
 
-def too_few_controls(groups: DataFrame, control: int, least: int) -> DataFrame:
+def too_few_controls(groups: DataFrame, control: str | int, least: int) -> DataFrame:
     """Batches with cells of a line but fewer than least controls."""
     n = F.coalesce(F.sum(F.when(F.col("target") == control, F.col("n"))), F.lit(0))
     return groups.groupBy("line", "batch").agg(n.alias("n_control")).where(F.col("n_control") < least)
@@ -97,14 +97,23 @@ def too_many_nonzeros(nonzeros: DataFrame, most: int) -> DataFrame:
     return nonzeros.agg(F.count("*").alias("n")).where(F.col("n") > most)
 
 
-def bad_controls(cells: DataFrame, label: int) -> DataFrame:
-    """A control file as one row of what it should hold: cells, one context, controls only, counts."""
-    found = cells.agg(
+def bad_controls(cells: DataFrame, label: str | int, *by: str) -> DataFrame:
+    """Control files, named by the columns by, as one row each of what they should hold: cells, one context, controls only, counts."""
+    found = cells.groupBy(*by).agg(
         F.count("*").alias("n_cells"), F.countDistinct("context").alias("n_contexts"), F.count(F.when(F.col("target") != label, 1)).alias("n_others"), F.coalesce(F.sum("lib"), F.lit(0.0)).alias("total")
     )
     return found.where("n_cells = 0 or n_contexts <> 1 or n_others > 0 or total <= 0")
 
 
+def missing_columns(rows: DataFrame, *names: str) -> list[str]:
+    return [n for n in names if n not in rows.columns]
+
+
+def require_columns(rows: DataFrame, *names: str) -> None:
+    if lacking := missing_columns(rows, *names):
+        raise Violation(f"columns are missing: {lacking}")
+
+
 def not_finite(rows: DataFrame, *columns: str) -> DataFrame:
     bad = F.lit(False)
     for c in columns:

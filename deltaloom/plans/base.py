@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from deltaloom.sources.star import CONTROL, CUT_GENES, HELD, SPLIT, TRAIN, UNSEEN_TARGETS
 
-_list = lambda x: "(" + ", ".join(map(str, x)) + ")"
+_list = lambda x: "(" + ", ".join(f"'{v}'" for v in x) + ")"
+
+
+def ensembl_sql(number: str) -> str:
+    """The identifier of a nation as a gene."""
+    return f"('ENSG' || lpad(CAST({number} AS VARCHAR), 11, '0'))"
+
 
 VIEWS = f"""
-obs AS (SELECT CASE WHEN o_orderdate < TIMESTAMP '{SPLIT}' THEN '{TRAIN}' ELSE '{HELD}' END AS line, c_nationkey AS target,
+obs AS (SELECT CASE WHEN o_orderdate < TIMESTAMP '{SPLIT}' THEN '{TRAIN}' ELSE '{HELD}' END AS line,
+  CASE WHEN c_nationkey = 0 THEN '{CONTROL}' ELSE {ensembl_sql("c_nationkey")} END AS target,
   c_mktsegment AS batch, o_orderpriority AS guide, o_orderkey AS cell FROM orders JOIN customer ON o_custkey = c_custkey),
-raw AS (SELECT l_orderkey AS cell, s_nationkey AS gene, sum(l_quantity) AS cnt FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+raw AS (SELECT l_orderkey AS cell, {ensembl_sql("s_nationkey")} AS gene, sum(l_quantity) AS cnt FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
 cells AS (SELECT obs.*, lib FROM obs JOIN (SELECT cell, sum(cnt) AS lib FROM raw GROUP BY cell) USING (cell)
   WHERE NOT (line = '{TRAIN}' AND target IN {_list(UNSEEN_TARGETS)})),
 counts AS (SELECT cells.*, gene, cnt FROM cells JOIN raw USING (cell)
@@ -19,10 +26,10 @@ stats AS (SELECT line, target, batch, gene, sum(cnt) AS s_raw, sum(ln(1 + cnt *
 strata AS (SELECT line, target, batch, count(*) AS n FROM cells GROUP BY ALL),
 ctl AS (SELECT s.line, s.batch, p.gene, s.n AS n_control, coalesce(t.s_raw, 0) / s.n AS m_raw, coalesce(t.s_log, 0) / s.n AS m_log
   FROM strata s JOIN panel p ON s.line = p.line
-  LEFT JOIN stats t ON t.line = s.line AND t.batch = s.batch AND t.gene = p.gene AND t.target = {CONTROL} WHERE s.target = {CONTROL}),
+  LEFT JOIN stats t ON t.line = s.line AND t.batch = s.batch AND t.gene = p.gene AND t.target = '{CONTROL}' WHERE s.target = '{CONTROL}'),
 matched AS (SELECT s.line, s.target, c.gene, sum(s.n * m_raw) / sum(s.n) AS c_raw, sum(s.n * m_log) / sum(s.n) AS c_log
-  FROM strata s JOIN ctl c ON s.line = c.line AND s.batch = c.batch WHERE s.target <> {CONTROL} GROUP BY ALL),
-tn AS (SELECT line, target, sum(n) AS n_cells, count(*) AS n_batches FROM strata WHERE target <> {CONTROL} GROUP BY ALL),
+  FROM strata s JOIN ctl c ON s.line = c.line AND s.batch = c.batch WHERE s.target <> '{CONTROL}' GROUP BY ALL),
+tn AS (SELECT line, target, sum(n) AS n_cells, count(*) AS n_batches FROM strata WHERE target <> '{CONTROL}' GROUP BY ALL),
 ts AS (SELECT line, target, gene, sum(s_raw) AS s_raw, sum(s_log) AS s_log FROM stats GROUP BY ALL),
 guides AS (SELECT line, target, count(DISTINCT guide) AS n_guides FROM cells GROUP BY ALL),
 delta AS (SELECT tn.line, tn.target, p.gene, coalesce(ts.s_raw, 0) / n_cells AS mean_raw, c_raw, coalesce(ts.s_raw, 0) / n_cells - c_raw AS delta_raw,
@@ -47,8 +54,10 @@ tmean AS (SELECT gene, avg(y) AS p FROM ytrain GROUP BY gene),
 items AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem),
 pairs AS (SELECT a.s AS protein1, b.s AS protein2, count(*) AS n FROM items a JOIN items b ON a.o = b.o AND a.s <> b.s GROUP BY ALL),
 links AS (SELECT protein1, protein2, CAST(floor(n * 1000.0 / (SELECT max(n) FROM pairs)) AS INTEGER) AS score FROM pairs),
-alias AS (SELECT s_suppkey AS protein, s_nationkey AS gene FROM supplier UNION ALL
-  SELECT s_suppkey, (s_nationkey + 1) % 25 FROM supplier WHERE s_suppkey % 17 = 0),
+named AS (SELECT s_suppkey AS protein, {ensembl_sql("s_nationkey")} AS gene FROM supplier UNION ALL
+  SELECT s_suppkey, {ensembl_sql("(s_nationkey + 1) % 25")} FROM supplier WHERE s_suppkey % 17 = 0 UNION ALL
+  SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT s_suppkey, s_name FROM supplier UNION ALL SELECT s_suppkey, 'ENSG' || s_suppkey FROM supplier),
+alias AS (SELECT * FROM named WHERE gene LIKE 'ENSG%' AND length(gene) = 15),
 wanted AS (SELECT DISTINCT gene FROM panel),
 pgene AS (SELECT protein, min(gene) AS gene FROM alias GROUP BY protein HAVING count(DISTINCT gene) = 1 AND min(gene) IN (SELECT gene FROM wanted)),
 edges AS (SELECT least(a.gene, b.gene) AS src, greatest(a.gene, b.gene) AS dst, max(CAST(score / 1000.0 AS FLOAT)) AS w

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from deltaloom.functions.expr import MISSING, cell_name, damped, finite_or_null, is_padded, log_norm, outside_mass, r6, target_id
 from deltaloom.operators import audit, calibration, cohorts, families, generate, graph, lowrank, metrics, pseudobulk, splits, transfer, validate
-from deltaloom.plans.base import oracle
-from deltaloom.session import materialize
+from deltaloom.plans.base import ensembl_sql, oracle
+from deltaloom.session import materialize, small
 from deltaloom.sources import star
 from deltaloom.sources.star import CONTROL, HELD, TRAIN, table
 
@@ -20,8 +20,13 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 ALPHAS = [0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0]
-FOLDS, SEED, RANK, ALPHA, THRESHOLD = 5, 2026, 4, 10.0, 400
+FOLDS, SEED, RANK, ALPHA, THRESHOLD = 5, 2026, 16, 10.0, 400
 PARTS = {"fit": 12, "calibration": 4, "audit": 4}
+#: Sizes of the studies: ranks and settings of models, cells a panel and a target, iterations and seeds of calibration.
+FULL, RIDGE_ALPHAS, LEAVES = 1000, (1.0, 100.0, 1000.0), (7, 15)
+TREES = {"leaves": 7, "rounds": 60, "rate": 0.05, "least": 2}
+REPLICATES, DEPTH, CELLS, DONORS = 40, 2000, 128, 12
+ITERATIONS, MC_SEED, SEEDS = (0, 8, 16), 71001, [72001, 72002, 72003]
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -64,7 +69,7 @@ class Transfer:
     def __init__(self, study: Study) -> None:
         delta, baseline = study.deltas(), materialize(study.baseline(), "baseline")
         self.axis = cohorts.common_axis(delta, TRAIN, HELD)
-        y = delta.join(F.broadcast(self.axis), "gene").select("line", "target", "gene", F.col("delta_log").alias("y"))
+        y = delta.join(small(self.axis), "gene").select("line", "target", "gene", F.col("delta_log").alias("y"))
         self.train, self.held = (y.where(F.col("line") == x).drop("line") for x in (TRAIN, HELD))
         self.targets = delta.where(F.col("line") == HELD).select("target").distinct()
         self.cohorts = cohorts.cohorts(delta, TRAIN, HELD)
@@ -100,20 +105,20 @@ def matched_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _delta(Study(spark, sf_dir))
 
 
-@query(f"""SELECT CAST(gene AS VARCHAR) AS output_gene_id, g.n_name AS output_gene, round(mean_raw, 6) AS mean_raw_count, round(c_raw, 6) AS matched_control_raw_count,
+@query(f"""SELECT gene AS output_gene_id, g.n_name AS output_gene, round(mean_raw, 6) AS mean_raw_count, round(c_raw, 6) AS matched_control_raw_count,
   round(delta_raw, 6) + 0.0 AS delta_raw_count, round(mean_log, 6) AS mean_log1p_cp10k, round(c_log, 6) AS matched_control_log1p_cp10k, round(delta_log, 6) + 0.0 AS delta_log1p_cp10k,
-  'star' AS dataset, line, 'orders' AS assay_type, CASE WHEN line = '{TRAIN}' THEN 'train' ELSE 'held_out' END AS role, CAST(target AS VARCHAR) AS target_gene_id, t.n_name AS target_gene,
+  'star' AS dataset, line, 'orders' AS assay_type, CASE WHEN line = '{TRAIN}' THEN 'train' ELSE 'held_out' END AS role, target AS target_gene_id, t.n_name AS target_gene,
   CAST(n_cells AS BIGINT) AS n_cells, n_guides AS n_guide_pairs, n_batches AS n_matched_gem_groups
-  FROM delta JOIN nation g ON g.n_nationkey = gene JOIN nation t ON t.n_nationkey = target""")
+  FROM delta JOIN nation g ON {ensembl_sql("g.n_nationkey")} = gene JOIN nation t ON {ensembl_sql("t.n_nationkey")} = target""")
 def tidy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    names = table(spark, sf_dir, "nation").select(star.gene_of("n_nationkey").alias("id"), "n_name")
     d = _delta(Study(spark, sf_dir))
-    d = d.join(names.select(F.col("n_nationkey").alias("gene"), F.col("n_name").alias("output_gene")), "gene").join(names.select(F.col("n_nationkey").alias("target"), F.col("n_name").alias("target_gene")), "target")
+    d = d.join(names.select(F.col("id").alias("gene"), F.col("n_name").alias("output_gene")), "gene").join(names.select(F.col("id").alias("target"), F.col("n_name").alias("target_gene")), "target")
     role = F.when(F.col("line") == TRAIN, "train").otherwise("held_out")
     return d.select(
-        F.col("gene").cast("string").alias("output_gene_id"), "output_gene", F.col("mean_raw").alias("mean_raw_count"), F.col("c_raw").alias("matched_control_raw_count"), F.col("delta_raw").alias("delta_raw_count"),
+        F.col("gene").alias("output_gene_id"), "output_gene", F.col("mean_raw").alias("mean_raw_count"), F.col("c_raw").alias("matched_control_raw_count"), F.col("delta_raw").alias("delta_raw_count"),
         F.col("mean_log").alias("mean_log1p_cp10k"), F.col("c_log").alias("matched_control_log1p_cp10k"), F.col("delta_log").alias("delta_log1p_cp10k"), F.lit("star").alias("dataset"), "line",
-        F.lit("orders").alias("assay_type"), role.alias("role"), F.col("target").cast("string").alias("target_gene_id"), "target_gene", "n_cells", F.col("n_guides").alias("n_guide_pairs"), F.col("n_batches").alias("n_matched_gem_groups"),
+        F.lit("orders").alias("assay_type"), role.alias("role"), F.col("target").alias("target_gene_id"), "target_gene", "n_cells", F.col("n_guides").alias("n_guide_pairs"), F.col("n_batches").alias("n_matched_gem_groups"),
     )
 
 
@@ -123,7 +128,7 @@ def control_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT s.line, s.target, s.batch, s.n AS n_target_cells, coalesce(c.n, 0) AS n_control_cells FROM strata s
-  LEFT JOIN (SELECT * FROM strata WHERE target = {CONTROL}) c ON c.line = s.line AND c.batch = s.batch WHERE s.target <> {CONTROL}""")
+  LEFT JOIN (SELECT * FROM strata WHERE target = '{CONTROL}') c ON c.line = s.line AND c.batch = s.batch WHERE s.target <> '{CONTROL}'""")
 def matched_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudobulk.matched_strata(pseudobulk.strata(Study(spark, sf_dir).cells), CONTROL)
 
@@ -237,7 +242,7 @@ def library_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.above_library(_spoilt(Study(spark, sf_dir)), 0.01)
 
 
-@query(f"SELECT line, batch, CAST(coalesce(sum(n) FILTER (target = {CONTROL}), 0) AS BIGINT) AS n_control FROM strata GROUP BY ALL HAVING coalesce(sum(n) FILTER (target = {CONTROL}), 0) < 60")
+@query(f"SELECT line, batch, CAST(coalesce(sum(n) FILTER (target = '{CONTROL}'), 0) AS BIGINT) AS n_control FROM strata GROUP BY ALL HAVING coalesce(sum(n) FILTER (target = '{CONTROL}'), 0) < 60")
 def control_shortage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.too_few_controls(pseudobulk.strata(Study(spark, sf_dir).cells), CONTROL, 60)
 
@@ -270,14 +275,10 @@ def panel_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.panel_difference(s.cells, expected, ["line", "target"], 300)
 
 
-@query("SELECT batch AS context, n_cells, n_others FROM (SELECT batch, count(*) AS n_cells, count(*) FILTER (target <> 0) AS n_others, count(DISTINCT batch) AS c, sum(lib) AS t FROM cells GROUP BY batch) WHERE n_others > 0 OR t <= 0 OR c <> 1")
+@query("SELECT batch AS context, n_cells, n_others FROM (SELECT batch, count(*) AS n_cells, count(*) FILTER (target <> 'non-targeting') AS n_others, count(DISTINCT batch) AS c, sum(lib) AS t FROM cells GROUP BY batch) WHERE n_others > 0 OR t <= 0 OR c <> 1")
 def control_file_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = Study(spark, sf_dir).cells.withColumn("context", F.col("batch"))
-    out = None
-    for (b,) in cells.select("batch").distinct().orderBy("batch").collect():  # one file for each context
-        row = validate.bad_controls(cells.where(F.col("batch") == b), CONTROL).select(F.lit(b).alias("context"), "n_cells", "n_others")
-        out = row if out is None else out.union(row)
-    return out
+    cells = Study(spark, sf_dir).cells.select(F.col("batch").alias("file"), F.col("batch").alias("context"), "target", "lib")
+    return validate.bad_controls(cells, CONTROL, "file").select(F.col("file").alias("context"), "n_cells", "n_others")
 
 
 @query("SELECT target, gene, CAST(n AS BIGINT) AS n FROM (SELECT t.target, axis.gene, coalesce(d.n, 0) AS n FROM (SELECT target FROM held) t CROSS JOIN axis LEFT JOIN (SELECT target, gene, count(*) AS n FROM delta GROUP BY ALL) d ON d.target = t.target AND d.gene = axis.gene) WHERE n <> 1")
@@ -396,9 +397,12 @@ def best_per_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Suppliers as proteins with their nations as genes; two in one order are linked, by how often against the most."""
-    sup = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("protein"), F.col("s_nationkey").alias("gene"))
-    aliases = sup.union(sup.where(F.col("protein") % 17 == 0).select("protein", ((F.col("gene") + 1) % 25).alias("gene")))
+    """Suppliers as proteins with their nations as genes, by identifier and by other names; two in one order are linked, by how often against the most."""
+    sup = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("protein"), "s_nationkey", "s_name", ((F.col("s_nationkey") + 1) % 25).alias("next"))
+    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    more = F.when(F.col("protein") % 17 == 0, star.gene_of("next"))
+    every = F.array(star.gene_of("s_nationkey"), more, F.col("n_name"), F.col("s_name"), F.concat(F.lit("ENSG"), F.col("protein").cast("string")))
+    aliases = sup.join(names, "s_nationkey").select("protein", F.explode(F.array_compact(every)).alias("gene"))
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s")).distinct()
     own = items.groupBy("o").agg(F.collect_list("s").alias("s"))  # the few items of an order
     pairs = own.select(F.explode("s").alias("protein1"), "s").select("protein1", F.explode("s").alias("protein2")).where("protein1 <> protein2")
@@ -451,7 +455,7 @@ def _features(t: Transfer, edges: DataFrame, x: DataFrame) -> DataFrame:
 # --- splits, selections, profiles ------------------------------------------------------------
 
 
-_CONTROLS = f"SELECT * FROM cells WHERE target = {CONTROL} AND line = '{TRAIN}'"
+_CONTROLS = f"SELECT * FROM cells WHERE target = '{CONTROL}' AND line = '{TRAIN}'"
 
 
 def _controls(s: Study) -> DataFrame:
@@ -464,9 +468,9 @@ def control_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_controls(_controls(Study(spark, sf_dir)), PARTS, SEED)
 
 
-@query(f"SELECT batch, count(*) AS n FROM ({_CONTROLS}) GROUP BY batch HAVING count(*) < 20")
+@query(f"SELECT batch, count(*) AS n FROM ({_CONTROLS}) GROUP BY batch HAVING count(*) < 52")
 def short_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.short_batches(_controls(Study(spark, sf_dir)), PARTS)
+    return splits.short_batches(_controls(Study(spark, sf_dir)), {"fit": 40, "audit": 12})
 
 
 @query("SELECT target, cohort, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY sha256(CAST(target AS VARCHAR))) AS place FROM cohort) WHERE place <= 3")
@@ -474,14 +478,14 @@ def hash_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.hash_top_k(cohorts.cohorts(_targets(Study(spark, sf_dir)), TRAIN, HELD), 3)
 
 
-@query("SELECT target FROM cells WHERE line = 'B' AND target <> 0 AND target IN (SELECT target FROM held) GROUP BY target HAVING count(*) >= 20")
+@query("SELECT target FROM cells WHERE line = 'B' AND target <> 'non-targeting' AND target IN (SELECT target FROM held) GROUP BY target HAVING count(*) >= 20")
 def supported_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out targets with enough cells."""
     c = Study(spark, sf_dir).cells.where((F.col("line") == HELD) & (F.col("target") != CONTROL))
     return c.groupBy("target").agg(F.count("*").alias("n")).where("n >= 20").select("target")
 
 
-@query(f"SELECT target, cell, CAST(place AS INTEGER) AS place FROM (SELECT target, cell, row_number() OVER (PARTITION BY target ORDER BY sha256('{SEED}:' || cell)) AS place FROM cells WHERE line = '{HELD}' AND target <> {CONTROL}) WHERE place <= 8")
+@query(f"SELECT target, cell, CAST(place AS INTEGER) AS place FROM (SELECT target, cell, row_number() OVER (PARTITION BY target ORDER BY sha256('{SEED}:' || cell)) AS place FROM cells WHERE line = '{HELD}' AND target <> '{CONTROL}') WHERE place <= 8")
 def target_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Study(spark, sf_dir).cells
     return splits.sample_per_target(c.where((F.col("line") == HELD) & (F.col("target") != CONTROL)), 8, SEED)
@@ -502,7 +506,7 @@ def selected_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     sel = sel.select("cell", F.row_number().over(Window.orderBy(splits.hash_order(SEED, "cell"))).cast("long").alias("place"))
     axis = cohorts.common_axis(pseudobulk.panel(s.counts), TRAIN, HELD)
-    return s.counts.join(F.broadcast(sel), "cell").join(F.broadcast(axis), "gene", "left_semi").select("place", "cell", "gene", "cnt")
+    return s.counts.join(small(sel), "cell").join(small(axis), "gene", "left_semi").select("place", "cell", "gene", "cnt")
 
 
 @query(f"""WITH c AS (SELECT cell, row_number() OVER (ORDER BY cell) - 1 AS cell_idx FROM ({_CONTROLS})), n AS (SELECT cell, count(*) AS nnz FROM counts GROUP BY cell)
@@ -512,7 +516,7 @@ def csr_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.csr_offsets(s.counts, cohorts.with_index(_controls(s), "cell", "cell_idx"))
 
 
-@query(f"SELECT batch, gene, round(s / sum(s) OVER (PARTITION BY batch), 6) AS share FROM (SELECT batch, gene, sum(cnt) AS s FROM counts WHERE target = {CONTROL} AND line = '{TRAIN}' GROUP BY ALL)")
+@query(f"SELECT batch, gene, round(s / sum(s) OVER (PARTITION BY batch), 6) AS share FROM (SELECT batch, gene, sum(cnt) AS s FROM counts WHERE target = '{CONTROL}' AND line = '{TRAIN}' GROUP BY ALL)")
 def control_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _profile(Study(spark, sf_dir)).withColumn("share", r6("share"))
 
@@ -521,7 +525,7 @@ def _profile(s: Study) -> DataFrame:
     return splits.control_profile(s.counts.where((F.col("target") == CONTROL) & (F.col("line") == TRAIN)), "batch")
 
 
-@query(f"SELECT batch, round(sum(1 - power(1 - share, 2000)), 4) AS expected FROM (SELECT batch, gene, s / sum(s) OVER (PARTITION BY batch) AS share FROM (SELECT batch, gene, sum(cnt) AS s FROM counts WHERE target = {CONTROL} AND line = '{TRAIN}' GROUP BY ALL)) GROUP BY batch")
+@query(f"SELECT batch, round(sum(1 - power(1 - share, 2000)), 4) AS expected FROM (SELECT batch, gene, s / sum(s) OVER (PARTITION BY batch) AS share FROM (SELECT batch, gene, sum(cnt) AS s FROM counts WHERE target = '{CONTROL}' AND line = '{TRAIN}' GROUP BY ALL)) GROUP BY batch")
 def expected_nonzeros(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate.expected_nonzeros(_profile(Study(spark, sf_dir)), 2000, "batch").withColumn("expected", F.round("expected", 4))
 
@@ -531,7 +535,7 @@ def expected_nonzeros(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MOMENTS = """SELECT {by}, gene, coalesce(s, 0) / n AS mean, greatest((coalesce(q, 0) - n * power(coalesce(s, 0) / n, 2)) / nullif(n - 1, 0), 0) AS variance, 1 - coalesce(k, 0) / n AS dropout
   FROM (SELECT {by}, count(*) AS n FROM {cells} GROUP BY ALL) JOIN (SELECT DISTINCT gene FROM panel WHERE line = 'A') g ON true LEFT JOIN (SELECT {by}, gene, sum(x) AS s, sum(x * x) AS q, count(*) FILTER (cnt > 0) AS k FROM
-    (SELECT *, ln(1 + cnt * 1e4 / lib) AS x FROM counts WHERE line = 'A' AND target = 0) GROUP BY ALL) USING ({by}, gene)"""
+    (SELECT *, ln(1 + cnt * 1e4 / lib) AS x FROM counts WHERE line = 'A' AND target = 'non-targeting') GROUP BY ALL) USING ({by}, gene)"""
 _BY_BATCH = _MOMENTS.format(by="batch", cells=f"({_CONTROLS})")
 
 
@@ -578,11 +582,11 @@ def seed_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transport_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Study(spark, sf_dir)
     p = _profiles(s)
-    total = F.aggregate("profile", F.lit(0.0), lambda acc, x: acc + x["x"])
-    return p.select("cell", r6("outside").alias("outside"), r6(total).alias("log_total"))
+    total = F.aggregate("x", F.lit(0.0), lambda acc, x: acc + x)
+    return p.rows.select("cell", r6("outside").alias("outside"), r6(total).alias("log_total"))
 
 
-def _profiles(s: Study) -> DataFrame:
+def _profiles(s: Study) -> generate.Profiles:
     counts = s.counts.where((F.col("target") == CONTROL) & (F.col("line") == TRAIN))
     return generate.transport_profiles(counts, _controls(s), s.counts.where(F.col("line") == TRAIN).select("gene").distinct())
 
@@ -594,7 +598,7 @@ def calibration_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     from deltaloom.functions.expr import rate
 
     s = Study(spark, sf_dir)
-    both = s.deltas().where(F.col("line") == TRAIN).join(F.broadcast(s.baseline().select("line", "gene", F.col("mean_log").alias("base"))), ["line", "gene"])
+    both = s.deltas().where(F.col("line") == TRAIN).join(small(s.baseline().select("line", "gene", F.col("mean_log").alias("base"))), ["line", "gene"])
     d = F.col("delta_log")
     return both.select("target", "gene", r6(F.greatest(F.col("base") + d, F.lit(0.0))).alias("desired"), F.round(rate(F.col("base"), d), 4).alias("rate"), r6(damped(F.lit(0.1), d, 0.5, 0.25, 0.3)).alias("moved"))
 
@@ -683,6 +687,25 @@ def _basis(t: Transfer) -> tuple[DataFrame, DataFrame]:
     return lowrank.response_basis(t.train, RANK, SEED)
 
 
+@query("SELECT target, gene, round(y, 6) + 0.0 AS p FROM ytrain")
+def full_rank_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With as many components as there are targets nothing is lost."""
+    t = Study(spark, sf_dir).transfer()
+    mean, basis = lowrank.response_basis(t.train, FULL, SEED)
+    return lowrank.reconstruct(lowrank.project(t.train, mean, basis), mean, basis).withColumn("p", r6("p"))
+
+
+@query(f"SELECT target, gene, round(b0 + z * b1, 6) + 0.0 AS p FROM zheld, ({_RIDGE})")
+def full_rank_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ridge on all components' scores by one feature is ridge on the responses."""
+    t = Study(spark, sf_dir).transfer()
+    mean, basis = lowrank.response_basis(t.train, FULL, SEED)
+    train, held = t.scaled()
+    x_train, x_held = (x.select("target", F.col("z").alias("basal")) for x in (train, held))
+    w = lowrank.ridge_fit(x_train, lowrank.project(t.train, mean, basis), ["basal"], ALPHA)
+    return lowrank.reconstruct(lowrank.ridge_predict(x_held, ["basal"], w), mean, basis).withColumn("p", r6("p"))
+
+
 @query()
 def low_rank_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training responses from their scores on the basis."""
@@ -720,51 +743,86 @@ def low_rank_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def low_rank_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out responses by boosted trees on basis scores."""
     t = Study(spark, sf_dir).transfer()
-    mean, basis = lowrank.response_basis(t.train, 2, SEED)
+    mean, basis = _basis(t)
     train, held, names = _wide(t, spark, sf_dir)
-    models = lowrank.trees_fit(train, lowrank.project(t.train, mean, basis), names, 3, 5, 0.1, 2, SEED)
-    return lowrank.reconstruct(lowrank.trees_predict(models, held, names), mean, basis).withColumn("p", r6("p"))
+    model = lowrank.trees_fit(train, lowrank.project(t.train, mean, basis), names, **TREES)
+    return lowrank.reconstruct(lowrank.trees_predict(model, held, names), mean, basis).withColumn("p", r6("p"))
 
 
 @query()
 def grid_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Losses of ridge and trees over two folds, features made from each fold's training rows."""
+    """Losses of the whole grid over the folds, features made from each fold's training rows."""
     t = Study(spark, sf_dir).transfer()
     a, links, w = _graph(spark, sf_dir)
     edges = materialize(graph.build_graph(a, links, w, THRESHOLD).withColumn("w", F.col("w").cast("double")), "edges")
     y = materialize(t.train, "train")
+    features_of = families.feature_maker(edges, t.x_train)
+    return families.grid_losses(y, transfer.folds(t.x_train, FOLDS, SEED), features_of, families.grid(RIDGE_ALPHAS, LEAVES, **{k: v for k, v in TREES.items() if k != "leaves"}), RANK, SEED).withColumn("mse", F.round("mse", 6))
 
-    def features_of(train: DataFrame) -> DataFrame:
-        scores = train.groupBy(F.col("target").alias("gene")).agg(F.avg("y").alias("score")).withColumn("k", F.lit(0))
-        f = graph.neighbour_features(edges, t.x_train.select(F.col("target").alias("gene"), "x"), scores)
-        return materialize(f.select(F.col("gene").alias("target"), "basal", F.col("is_missing").cast("double").alias("is_missing"), "log_support", "prior"), "features")
 
-    basal, graphed = ("basal", "is_missing"), ("basal", "is_missing", "log_support", "prior")
-    settings = [families.Setting("ridge", "basal_10", basal, 10.0), families.Setting("ridge", "graph_10", graphed, 10.0), families.Setting("trees", "trees_3", graphed, leaves=3, rounds=3, rate=0.1, least=2)]
-    return families.grid_losses(y, transfer.folds(t.x_train, 2, SEED), features_of, settings, 2, SEED).withColumn("mse", F.round("mse", 6))
+def _null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Study(spark, sf_dir)
+    profile = materialize(_profile(s).withColumnRenamed("batch", "context"), "profile")
+    t = _targets(s).where(F.col("line") == HELD).select(F.col("target").alias("perturbation"))
+    cells = generate.prediction_grid(profile.select("context").distinct(), t, REPLICATES)
+    return generate.multinomial_null(profile, cells, DEPTH, SEED)
 
 
 @query()
 def multinomial_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of equal depth for every context and perturbation."""
-    from pyspark.sql import Window
+    return _null(spark, sf_dir)
+
 
+@query(f"""SELECT 'pred_' || lpad(CAST((c * (SELECT count(*) FROM held) + p) * {REPLICATES} + r AS VARCHAR), 9, '0') AS cell_name, context, {DEPTH} AS depth, 0 AS off_profile
+  FROM (SELECT batch AS context, row_number() OVER (ORDER BY batch) - 1 AS c FROM (SELECT DISTINCT batch FROM ({_CONTROLS}))), (SELECT row_number() OVER (ORDER BY target) - 1 AS p FROM held), (SELECT unnest(range({REPLICATES})) AS r)""")
+def null_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell of the panel has its depth, and counts only where its context's profile has mass."""
+    seen = _profile(Study(spark, sf_dir)).where("share > 0").select(F.col("batch").alias("context"), "gene", F.lit(1).alias("on"))
+    drawn = _null(spark, sf_dir).join(seen, ["context", "gene"], "left")
+    return drawn.groupBy("cell_name", "context").agg(F.sum("cnt").alias("depth"), F.count(F.when(F.col("on").isNull(), 1)).alias("off_profile"))
+
+
+def _donors_sql(per_batch: int, seed: int) -> str:
+    return f"""SELECT CAST(row_number() OVER (ORDER BY sha256('{seed}:order:' || batch || ':' || i)) - 1 AS BIGINT) AS draw, batch, cell FROM
+      (SELECT batch, i, CAST('0x' || substr(sha256('{seed}:' || batch || ':' || i), 1, 12) AS BIGINT) % n AS place FROM (SELECT batch, count(*) AS n FROM ({_CONTROLS}) GROUP BY batch), (SELECT unnest(range({per_batch})) AS i))
+      JOIN (SELECT batch, cell, row_number() OVER (PARTITION BY batch ORDER BY cell) - 1 AS place FROM ({_CONTROLS})) USING (batch, place)"""
+
+
+@query(_donors_sql(DONORS, SEED))
+def donor_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balanced donors: as many draws from each batch."""
+    return splits.balanced_donors(_controls(Study(spark, sf_dir)), DONORS, SEED)
+
+
+@query(f"""WITH c AS (SELECT cell, row_number() OVER (ORDER BY sha256('{SEED}:' || cell)) - 1 AS place FROM ({_CONTROLS}))
+  SELECT draw, cell FROM (SELECT i AS draw, CAST('0x' || substr(sha256('{SEED}:draw:' || i), 1, 12) AS BIGINT) % (SELECT count(*) FROM c) AS place FROM (SELECT unnest(range({CELLS})) AS i)) JOIN c USING (place)""")
+def uniform_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.uniform_donors(_controls(Study(spark, sf_dir)), CELLS, SEED)
+
+
+def _generated(spark: SparkSession, sf_dir: str) -> tuple[generate.Profiles, DataFrame, DataFrame]:
     s = Study(spark, sf_dir)
-    profile = materialize(_profile(s).withColumnRenamed("batch", "context"), "profile")
-    t = _targets(s).where(F.col("line") == HELD).select(F.col("target").alias("perturbation"))
-    grid = generate.prediction_grid(profile.select("context").distinct(), t, 4)
-    cells = grid.withColumn("cell_idx", (F.row_number().over(Window.orderBy("context", "perturbation", "replicate")) - 1).cast("long"))
-    return generate.multinomial_null(profile, cells, 200, SEED)
+    profiles = _profiles(s).written()
+    delta = s.deltas().where(F.col("line") == TRAIN).select("target", "gene", F.col("delta_log").alias("d"))
+    donors = materialize(splits.uniform_donors(profiles.rows, CELLS, SEED), "donors")
+    return profiles, delta, materialize(generate.transport_generate(profiles, donors, delta, SEED), "drawn")
 
 
 @query()
 def transport_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Control profiles moved by the responses of three targets, at their donors' depth."""
-    s = Study(spark, sf_dir)
-    profiles = materialize(_profiles(s), "profiles")
-    delta = s.deltas().where((F.col("line") == TRAIN) & F.col("target").isin(1, 2, 4)).select("target", "gene", F.col("delta_log").alias("d"))
-    drawn = generate.transport_generate(profiles, splits.balanced_donors(profiles, 16, SEED), delta, SEED)
-    return generate.sample_report(materialize(drawn, "drawn"), profiles, delta)
+    """Control profiles moved by the responses of every training target, at their donors' depth."""
+    profiles, delta, drawn = _generated(spark, sf_dir)
+    return generate.sample_report(drawn, profiles, delta)
+
+
+@query(f"""WITH c AS (SELECT cell, lib, row_number() OVER (ORDER BY sha256('{SEED}:' || cell)) - 1 AS place FROM ({_CONTROLS})),
+  d AS (SELECT i AS draw, lib FROM (SELECT i, CAST('0x' || substr(sha256('{SEED}:draw:' || i), 1, 12) AS BIGINT) % (SELECT count(*) FROM c) AS place FROM (SELECT unnest(range({CELLS})) AS i)) JOIN c USING (place))
+  SELECT target, draw AS sample, CAST(lib AS BIGINT) AS depth, true AS within FROM (SELECT DISTINCT target FROM delta WHERE line = '{TRAIN}'), d""")
+def transport_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated cells have their donor's depth, and no more counts than that."""
+    _, _, drawn = _generated(spark, sf_dir)
+    return drawn.select("target", "sample", "depth", (F.aggregate("cnt", F.lit(0).cast("long"), lambda a, c: a + c) <= F.col("depth")).alias("within"))
 
 
 @query()
@@ -772,14 +830,11 @@ def calibrated_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Legacy and calibrated generators, scored over seeds against calibration controls."""
     s = Study(spark, sf_dir)
     controls = _controls(s)
-    parts = materialize(splits.split_controls(controls, {"fit": 6, "calibration": 6}, SEED), "parts")
+    parts = materialize(splits.split_controls(controls, {k: PARTS[k] for k in ("fit", "calibration")}, SEED), "parts")
     of = lambda p: parts.where(F.col("part") == p).select("cell")
-    fit = materialize(_profiles(s).join(of("fit"), "cell", "left_semi"), "profiles")
+    fit = _profiles(s).of(of("fit")).written()
     own = s.counts.where((F.col("target") == CONTROL) & (F.col("line") == TRAIN)).join(of("calibration"), "cell", "left_semi")
     genes = s.counts.where(F.col("line") == TRAIN).select("gene").distinct()
     reference = materialize(metrics.moments(own, controls.join(of("calibration"), "cell", "left_semi"), genes), "reference")
-    zero = genes.select(F.lit("control").alias("target"), F.col("gene").cast("long").alias("gene"), F.lit(0.0).alias("d"))
-    donors = materialize(splits.balanced_donors(fit, 12, SEED), "donors")
-    offsets, _ = generate.calibrate(fit, donors, zero, 2, SEED)
-    deltas = {"legacy": zero, "calibrated": generate.with_offsets(zero, spark.createDataFrame(offsets))}
-    return calibration.evaluate_candidates(fit, donors, deltas, reference, [1, 2]).withColumns({c: r6(c) for c in ("mean_log_rmse", "variance_log_rmse", "dropout_mae")})
+    deltas = calibration.candidates(fit, materialize(splits.balanced_donors(fit.rows, PARTS["fit"], MC_SEED), "donors"), ITERATIONS, MC_SEED)
+    return calibration.evaluate_candidates(fit, lambda seed: splits.balanced_donors(fit.rows, PARTS["calibration"], seed), deltas, reference, SEEDS).withColumns({c: r6(c) for c in ("mean_log_rmse", "variance_log_rmse", "dropout_mae")})

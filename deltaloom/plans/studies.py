@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from deltaloom.operators import cohorts, metrics, pseudobulk, transfer, validate
 from deltaloom.plans import stages
-from deltaloom.session import materialize
+from deltaloom.session import materialize, small
 from deltaloom.sources import sinks, star
 from deltaloom.sources.star import CONTROL, HELD, TRAIN
 
@@ -47,7 +47,7 @@ def run_transfer(spark: SparkSession, pseudobulk_dir: str, out: str, alphas: lis
     delta, baseline = spark.read.parquet(f"{pseudobulk_dir}/delta"), spark.read.parquet(f"{pseudobulk_dir}/baseline")
     line = lambda df, x: df.where(F.col("line") == x)
     axis = cohorts.common_axis(delta.select("line", "gene"), TRAIN, HELD)
-    train = line(delta, TRAIN).join(F.broadcast(axis), "gene").select("target", "gene", F.col("delta_log").alias("y"))
+    train = line(delta, TRAIN).join(small(axis), "gene").select("target", "gene", F.col("delta_log").alias("y"))
     validate.require(transfer.matrix_problems(train, train.select("target").distinct(), axis), "training matrix")
     x = transfer.basal(train, line(baseline, TRAIN))
     parts = transfer.folds(x, folds, seed)
@@ -68,7 +68,7 @@ def run_transfer(spark: SparkSession, pseudobulk_dir: str, out: str, alphas: lis
         predicted = predicted.unionByName(p)
     sinks.write_table(predicted, f"{out}/predictions", "model")
     # held-out responses are first read here
-    held = line(delta, HELD).join(F.broadcast(axis), "gene").select("target", "gene", F.col("delta_log").alias("y"))
+    held = line(delta, HELD).join(small(axis), "gene").select("target", "gene", F.col("delta_log").alias("y"))
     found = metrics.cohort_metrics(metrics.target_errors(held, spark.read.parquet(f"{out}/predictions")), cohorts.cohorts(delta, TRAIN, HELD)).orderBy("model", "cohort")
     sinks.write_report(found, root / "metrics.csv")
     rows = [r.asDict() for r in found.collect()]

@@ -7,15 +7,20 @@ import contextlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: as they hold whole texts, the usual 10,000 take too much memory on both sides.
 ARROW_ROWS = 1000
 #: Rows in a file of a table known to be small.
 FILE_ROWS = 20_000
 
+#: Rows of a table that may be broadcast.
+BROADCAST_ROWS = 200_000
+
 _LOCAL: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -86,10 +91,26 @@ def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, known: int | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df to be broadcast if it has so many rows at most, known or else counted; else as it is, for a join by shuffle."""
+    n = df.limit(rows + 1).count() if known is None else known
+    return F.broadcast(df) if n <= rows else df
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """What materialize() writes inside is deleted at the end; results made inside must be used there."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        release(before)
+
+
 @atexit.register
-def release() -> None:
-    """Delete what materialize() has written in this process."""
-    while _WRITTEN:
+def release(keep: int = 0) -> None:
+    """Delete what materialize() has written in this process, but for the first tables."""
+    while len(_WRITTEN) > keep:
         spark, path = _WRITTEN.pop()
         with contextlib.suppress(Exception):
             jvm = spark.sparkContext._jvm

@@ -9,7 +9,7 @@ from deltaloom.operators import audit, graph, splits
 
 def test_graph(spark):
     ids = {i: f"ENSG0000000000{i}" for i in (1, 2, 3)}
-    aliases = spark.createDataFrame([("p1", ids[1]), ("p2", ids[2]), ("p3", ids[3]), ("p3", "ENSG00000009999")], "protein string, gene string")
+    aliases = spark.createDataFrame([("p1", ids[1]), ("p2", ids[2]), ("p3", ids[3]), ("p3", "ENSG00000009999"), ("p1", "TP53"), ("p1", "ENSG12"), ("p2", "BRCA2"), ("p2", "ENSP00000000002"), ("p4", "only a name")], "protein string, gene string")
     links = spark.createDataFrame([("p1", "p2", 800), ("p2", "p1", 900), ("p1", "p1", 999), ("p2", "p3", 999)], "protein1 string, protein2 string, score int")
     wanted = spark.createDataFrame([(g,) for g in ids.values()], "gene string")
     edges = graph.build_graph(aliases, links, wanted, 700)
@@ -57,6 +57,15 @@ def test_donors(spark):
     assert all((r.cell < 8) == (r.batch == "a") for r in d)
 
 
+def test_uniform_donors_and_numbers(spark):
+    cells = spark.createDataFrame([(i,) for i in range(3000)], "cell long")
+    d = splits.uniform_donors(cells, 9000, 3).collect()
+    assert sorted(r.draw for r in d) == list(range(9000)) and sorted(map(tuple, d)) == sorted(map(tuple, splits.uniform_donors(cells.repartition(7), 9000, 3).collect()))
+    assert max(Counter(r.cell for r in d).values()) < 20 and 2700 < len({r.cell for r in d}) < 3000
+    rows = splits.numbered(cells.withColumn("h", splits.hash_order(1, "cell")), "h", "n").orderBy("n").collect()
+    assert [r.n for r in rows] == list(range(3000)) and [r.h for r in rows] == sorted(r.h for r in rows)
+
+
 def test_selections(spark):
     t = spark.createDataFrame([(str(i), "xy"[i % 2]) for i in range(20)], "target string, cohort string")
     top = splits.hash_top_k(t, 3).collect()
