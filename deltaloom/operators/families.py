@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.operators import graph, lowrank
@@ -27,6 +27,7 @@ class Setting:
     least: int = 40
 
 
+MEAN = "training_mean"
 BASAL, GRAPH = ("basal", "is_missing"), ("basal", "is_missing", "log_support", "prior")
 
 
@@ -50,35 +51,36 @@ def feature_maker(edges: DataFrame, x: DataFrame) -> Callable[[DataFrame], DataF
     return make
 
 
-def standardize(features: DataFrame, train: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """Features (target, names) with missing values at the median of train's targets, scaled by them."""
-    own = features.join(small(train.select("target").distinct()), "target", "left_semi")
-    medians = own.agg(*(F.coalesce(F.median(F.nanvl(n, F.lit(None).cast("double"))), F.lit(0.0)).alias(n) for n in names)).head()
-    filled = {n: F.coalesce(F.nanvl(F.col(n), F.lit(None).cast("double")), F.lit(float(medians[n]))) for n in names}
-    stats = own.select(*(c.alias(n) for n, c in filled.items())).agg(*(f(n).alias(f"{k}_{n}") for n in names for k, f in (("m", F.avg), ("s", F.stddev_pop)))).head()
-    return features.select("target", *(((filled[n] - F.lit(float(stats[f"m_{n}"]))) / F.lit(float(stats[f"s_{n}"] or 1.0))).alias(n) for n in names))
+def scaler(own: DataFrame, names: tuple[str, ...]) -> list[Column]:
+    """The features as columns with missing values at the median of own's rows, scaled by them."""
+    known = {n: F.nanvl(n, F.lit(None).cast("double")) for n in names}
+    medians = own.agg(*(F.coalesce(F.median(c), F.lit(0.0)).alias(n) for n, c in known.items())).head()
+    filled = {n: F.coalesce(c, F.lit(float(medians[n]))) for n, c in known.items()}
+    stats = own.agg(*(f(filled[n]).alias(f"{k}_{n}") for n in names for k, f in (("m", F.avg), ("s", F.stddev_pop)))).head()
+    return [((filled[n] - F.lit(float(stats[f"m_{n}"]))) / F.lit(float(stats[f"s_{n}"] or 1.0))).alias(n) for n in names]
 
 
-def predicted_scores(scores: DataFrame, features: DataFrame, train: DataFrame, queries: DataFrame, settings: list[Setting], known: dict | None = None) -> DataFrame:
+def predicted_scores(scores: DataFrame, features: DataFrame, asked: DataFrame, settings: list[Setting], known: dict | None = None) -> DataFrame:
     """name, target, component, z of the query targets by each setting, from training scores (target, component, z).
 
-    features has rows of training and query targets, made without the queries'
-    labels. Settings of the same features share their sums. known: takes what was fitted, by name.
+    features are those of training targets, asked those of the queries, made
+    without the queries' labels; a target may be in both, with another line's values.
+    Settings of the same features share their sums. known: takes what was fitted, by name.
     """
     out, sides = None, {}
     for s in settings:
         names = list(s.features)
         if s.features not in sides:
-            x = materialize(standardize(features, train, s.features), "standardized")
-            own, asked = (x.join(small(t.select("target").distinct()), "target", "left_semi") for t in (train, queries))
-            sides[s.features] = own, asked, lowrank.ridge_sums(own, scores, names)
-        own, asked, sums = sides[s.features]
+            scaled = scaler(features, s.features)
+            own, queries = (materialize(x.select("target", *scaled), "standardized") for x in (features, asked))
+            sides[s.features] = own, queries, lowrank.ridge_sums(own, scores, names)
+        own, queries, sums = sides[s.features]
         if s.family == "trees":
             model = materialize(lowrank.trees_fit(own, scores, names, s.leaves, s.rounds, s.rate, s.least), "trees")
-            z = lowrank.trees_predict(model, asked, names)
+            z = lowrank.trees_predict(model, queries, names)
         else:
             model = lowrank.ridge_solve(sums, s.alpha)
-            z = lowrank.ridge_predict(asked, names, model)
+            z = lowrank.ridge_predict(queries, names, model)
         if known is not None:
             known[s.name] = model
         row = z.select(F.lit(s.name).alias("name"), "target", "component", "z")
@@ -86,13 +88,13 @@ def predicted_scores(scores: DataFrame, features: DataFrame, train: DataFrame, q
     return out
 
 
-def predict(y: DataFrame, features: DataFrame, queries: DataFrame, settings: list[Setting], rank: int, seed: int, known: dict | None = None) -> dict[str, DataFrame]:
-    """Predictions (target, gene, p) for the query targets by each setting, from training responses y (target, gene, y)."""
+def predict(y: DataFrame, features: DataFrame, asked: DataFrame, settings: list[Setting], rank: int, seed: int, known: dict | None = None) -> dict[str, DataFrame]:
+    """Predictions (target, gene, p) for the targets in asked by each setting, from training responses y (target, gene, y)."""
     mean, basis = lowrank.response_basis(y, rank, seed)
     scores = materialize(lowrank.project(y, mean, basis), "scores")
     if known is not None:
         known["mean"], known["basis"] = mean, basis
-    z = materialize(predicted_scores(scores, features, y.select("target").distinct(), queries, settings, known), "predicted")
+    z = materialize(predicted_scores(scores, features, asked, settings, known), "predicted")
     return {s.name: lowrank.reconstruct(z.where(F.col("name") == s.name).drop("name"), mean, basis) for s in settings}
 
 
@@ -103,6 +105,7 @@ def grid_losses(y: DataFrame, parts: DataFrame, features_of: Callable[[DataFrame
     fold's training rows, so that no target sees its own. As the basis is
     orthonormal, the squared error of a prediction e against V z is that of e
     alone, less twice z times the scores of e, plus z times z: no prediction is spelt out.
+    The training mean is compared too, as a family of its own.
     """
     out = None
     for (k,) in parts.select("fold").distinct().orderBy("fold").collect():
@@ -113,11 +116,14 @@ def grid_losses(y: DataFrame, parts: DataFrame, features_of: Callable[[DataFrame
         asked = scores.join(small(held), "target", "left_semi").select("target", "component", F.col("z").alias("s"))
         e = F.col("y") - F.col("mean")
         size = y.join(small(held), "target", "left_semi").join(small(mean), "gene").agg(F.sum(e * e).alias("whole"), F.count("*").alias("n"))
-        z = predicted_scores(scores.join(small(held), "target", "left_anti"), features_of(train), train, held, settings)
+        features = features_of(train)
+        own, asked_features = (features.join(small(held), "target", how) for how in ("left_anti", "left_semi"))
+        z = predicted_scores(scores.join(small(held), "target", "left_anti"), own, asked_features, settings)
         off = z.join(asked, ["target", "component"]).groupBy("name").agg(F.sum(F.col("z") * F.col("z") - 2 * F.col("z") * F.col("s")).alias("off"))
+        off = off.unionByName(size.select(F.lit(MEAN).alias("name"), F.lit(0.0).alias("off")))  # the training mean is z = 0
         row = materialize(off.join(F.broadcast(size), how="cross").select("name", (F.col("whole") + F.col("off")).alias("sse"), "n"), "losses")
         out = row if out is None else out.unionByName(row)
-    family = F.create_map(*(F.lit(v) for s in settings for v in (s.name, s.family)))
+    family = F.create_map(*(F.lit(v) for s in [Setting(MEAN, MEAN, ()), *settings] for v in (s.name, s.family)))
     return out.groupBy("name").agg((F.sum("sse") / F.sum("n")).alias("mse")).select(family[F.col("name")].alias("family"), "name", "mse")
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import time
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.operators import cohorts, metrics, pseudobulk, transfer, validate
+from deltaloom.functions.expr import is_mapped
+from deltaloom.operators import calibration, cohorts, families, generate, graph, lowrank, metrics, pseudobulk, splits, transfer, validate
 from deltaloom.plans import stages
 from deltaloom.session import materialize, small
 from deltaloom.sources import sinks, star
@@ -74,3 +75,157 @@ def run_transfer(spark: SparkSession, pseudobulk_dir: str, out: str, alphas: lis
     rows = [r.asDict() for r in found.collect()]
     sinks.write_json({"selection": chosen, "metrics": rows, "run": stages.provenance(began, key)}, root / "metrics.json")
     return {"selection": chosen, "metrics": rows}
+
+
+def _line(df: DataFrame, line: str) -> DataFrame:
+    return df.where(F.col("line") == line)
+
+
+def run_models(
+    spark: SparkSession, pseudobulk_dir: str, aliases: DataFrame, links: DataFrame, out: str, settings: list[families.Setting] | None = None, rank: int = 16, folds: int = 5, seed: int = 2026, threshold: int = 700
+) -> dict:
+    """Graph and low-rank models: cross-validate the grid on the training line, freeze the choice, fit what was chosen on all of it, predict, and only then read held-out responses.
+
+    aliases (protein, gene: any alias), links (protein1, protein2, score).
+    """
+    began, root = time.time(), Path(out)
+    root.mkdir(parents=True, exist_ok=True)
+    stages.require_new(root / "metrics.csv")
+    settings = families.grid((1.0, 100.0, 1000.0), (7, 15)) if settings is None else settings
+    delta, baseline = spark.read.parquet(f"{pseudobulk_dir}/delta").where(is_mapped("target")), spark.read.parquet(f"{pseudobulk_dir}/baseline")
+    axis = cohorts.common_axis(delta.select("line", "gene"), TRAIN, HELD)
+    train = materialize(_line(delta, TRAIN).join(small(axis), "gene").select("target", "gene", F.col("delta_log").alias("y")), "train")
+    targets = delta.select("line", "target").distinct()
+    wanted = targets.select(F.col("target").alias("gene")).distinct()
+    edges = graph.build_graph(aliases, links, wanted, threshold)
+    sinks.write_table(edges, f"{out}/graph", mode="overwrite")
+    edges = spark.read.parquet(f"{out}/graph").withColumn("w", F.col("w").cast("double"))
+    x_train, x_held = (transfer.basal(_line(targets, x), _line(baseline, x)) for x in (TRAIN, HELD))
+    validate.require(transfer.matrix_problems(train, train.select("target").distinct(), axis), "training matrix")
+    transfer.require_folds(folds, x_train.count())
+    transfer.require_observed(x_train, train)
+
+    def select() -> dict:
+        losses = families.grid_losses(train, transfer.folds(x_train, folds, seed), families.feature_maker(edges, x_train), settings, rank, seed)
+        return families.choose(materialize(losses, "losses"))
+
+    key = {"settings": [repr(s) for s in settings], "rank": rank, "folds": folds, "seed": seed, "threshold": threshold, "inputs": sinks.digest(Path(pseudobulk_dir) / "cohorts.json")}
+    chosen = stages.frozen_selection(root / "selection.json", key, select)
+    best = [s for s in settings if s.name in chosen["best"].values()]
+    known: dict = {}
+    predicted = families.predict(train, families.feature_maker(edges, x_train)(train), families.feature_maker(edges, x_held)(train), best, rank, seed, known)
+    held_targets, genes = x_held.select("target"), train.select("gene").distinct()
+    rows = transfer.zero_delta(held_targets, genes).unionByName(transfer.training_mean(train, held_targets))
+    for name, p in predicted.items():
+        rows = rows.unionByName(p.select(F.lit(name).alias("model"), "target", "gene", "p"))
+    sinks.write_table(rows, f"{out}/predictions", "model")
+    sinks.write_table(known["mean"], f"{out}/mean")
+    sinks.write_table(known["basis"], f"{out}/basis")
+    for s in best:
+        if s.family == "trees":
+            lowrank.save_trees(known[s.name], f"{out}/{s.name}")
+        else:
+            sinks.write_json({"features": s.features, "coefficients": known[s.name].tolist()}, root / f"{s.name}.json")
+    frozen = sinks.digest(root / "selection.json")
+    # held-out responses are first read here
+    held = _line(delta, HELD).join(small(axis), "gene").select("target", "gene", F.col("delta_log").alias("y"))
+    found = metrics.cohort_metrics(metrics.target_errors(held, spark.read.parquet(f"{out}/predictions")), cohorts.cohorts(delta, TRAIN, HELD)).orderBy("model", "cohort")
+    sinks.write_report(found, root / "metrics.csv")
+    rows = [r.asDict() for r in found.collect()]
+    report = graph.graph_report(edges, aliases, wanted).head().asDict()
+    sinks.write_json({"selection": chosen, "selection_sha256": frozen, "graph": report, "metrics": rows, "run": stages.provenance(began, key)}, root / "metrics.json")
+    return {"selection": chosen, "metrics": rows, "graph": report}
+
+
+def _controls(data: star.Cells) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Control cells of the training line, their counts, and the line's genes."""
+    own = lambda df: _line(df, TRAIN).where(F.col("target") == CONTROL)
+    return own(data.cells), own(data.counts), _line(data.counts, TRAIN).select("gene").distinct()
+
+
+def run_calibration(
+    spark: SparkSession, sf_dir: str, out: str, parts: dict[str, int] | None = None, iterations: tuple[int, ...] = (0, 8, 16), seed: int = 20261013, mc_seed: int = 71001, seeds: tuple[int, ...] = (72001, 72002, 72003)
+) -> dict:
+    """Generators of control cells: choose on calibration cells, freeze, and only then read the audit's; the choice must not change by it."""
+    began, root = time.time(), Path(out)
+    stages.require_new(root)
+    parts = parts or {"fit": 12, "calibration": 4, "audit": 4}
+    data = star.cells(spark, sf_dir)
+    cells, counts, genes = _controls(data)
+    validate.require(splits.short_batches(cells, parts), "controls in each batch")
+    root.mkdir(parents=True)
+    sinks.write_table(splits.split_controls(cells, parts, seed), f"{out}/cells")
+    split = spark.read.parquet(f"{out}/cells")
+    of = lambda p: split.where(F.col("part") == p).select("cell")
+    moments_of = lambda p: materialize(metrics.moments(counts.join(of(p), "cell", "left_semi"), cells.join(of(p), "cell", "left_semi"), genes), "reference")
+    validate.require(validate.bad_counts(counts), "raw counts")
+    fit = generate.transport_profiles(counts, cells, genes).of(of("fit")).written()
+    donors = materialize(splits.balanced_donors(fit.rows, parts["fit"], mc_seed), "donors")
+    deltas = calibration.candidates(fit, donors, iterations, mc_seed)
+    for name, d in deltas.items():
+        sinks.write_table(d, f"{out}/offsets/{name}")
+    deltas = {name: spark.read.parquet(f"{out}/offsets/{name}") for name in deltas}
+    donors_of = lambda s: splits.balanced_donors(fit.rows, parts["calibration"], s)
+
+    def select() -> dict:
+        scored = materialize(calibration.evaluate_candidates(fit, donors_of, deltas, moments_of("calibration"), list(seeds)), "scored")
+        scores = scored.select("candidate", "seed", F.col("mean_log_rmse").alias("score"))
+        validate.require(calibration.seed_problems(scores), "seeds of candidates")
+        return {"candidate": calibration.select_candidate(scores).head()["candidate"], "rows": [r.asDict() for r in scored.orderBy("candidate", "seed").collect()]}
+
+    key = {"parts": parts, "iterations": list(iterations), "seed": seed, "mc_seed": mc_seed, "seeds": list(seeds)}
+    chosen = stages.frozen_selection(root / "selection.json", key, select)
+    frozen = sinks.digest(root / "selection.json")
+    # audit cells are first read here; all candidates are audited, the choice stays
+    audit = calibration.evaluate_candidates(fit, donors_of, deltas, moments_of("audit"), list(seeds)).orderBy("candidate", "seed")
+    rows = [r.asDict() for r in audit.collect()]
+    noise = {p: metrics.distribution_distance(moments_of("fit"), moments_of(p)).head().asDict() for p in ("calibration", "audit")}
+    if sinks.digest(root / "selection.json") != frozen:
+        raise RuntimeError("the selection has changed during the audit")
+    sinks.write_json({"selection": chosen, "selection_sha256": frozen, "audit": rows, "split_noise": noise, "run": stages.provenance(began, key)}, root / "metrics.json")
+    return {"selection": chosen, "audit": rows}
+
+
+def run_rehearsal(spark: SparkSession, sf_dir: str, models_dir: str, out: str, models: tuple[str, ...], per_cohort: int = 3, cells: int = 128, fit: int = 512, score: int = 256, seed: int = 2026) -> dict:
+    """Counts for some held-out targets from models' predicted deltas, and their distance from the targets' own cells.
+
+    Targets are the first of each cohort by hash among those with enough cells;
+    fit controls make the profiles, score controls go with the written cells.
+    """
+    began, root = time.time(), Path(out)
+    stages.require_new(root)
+    data = star.cells(spark, sf_dir)
+    held_cells, held_counts = _line(data.cells, HELD), _line(data.counts, HELD)
+    predicted = spark.read.parquet(f"{models_dir}/predictions")
+    genes = predicted.select("gene").distinct()
+    support = held_cells.groupBy("target").agg(F.count("*").alias("n")).where(F.col("n") >= cells)
+    able = cohorts.cohorts(data.cells.where(F.col("target") != CONTROL).select("line", "target").distinct(), TRAIN, HELD).join(support, "target", "left_semi").join(predicted.select("target").distinct(), "target", "left_semi")
+    chosen = materialize(splits.hash_top_k(able, per_cohort), "targets")
+    if short := [r["cohort"] for r in chosen.groupBy("cohort").count().collect() if r["count"] != per_cohort]:
+        raise ValueError(f"too few targets in {short}")
+    root.mkdir(parents=True)
+    controls = held_cells.where(F.col("target") == CONTROL)
+    slices = materialize(splits.slices(controls, {"fit": fit, "score": score}, seed), "slices")
+    if slices.count() < fit + score:
+        raise ValueError("too few controls")
+    sampled = materialize(splits.sample_per_target(held_cells.join(small(chosen.select("target")), "target", "left_semi"), cells, seed), "cells")
+    sinks.write_table(sampled, f"{out}/cells")
+    sinks.write_table(slices, f"{out}/controls")
+    own = held_counts.where(F.col("target") == CONTROL).join(small(genes), "gene", "left_semi")
+    profiles = generate.transport_profiles(own, controls, genes).of(slices.where("part = 'fit'")).written()
+    donors = materialize(splits.uniform_donors(profiles.rows, cells, seed), "donors")
+    real = metrics.moments(held_counts.join(sampled.select("cell"), "cell", "left_semi").join(small(genes), "gene", "left_semi"), held_cells.join(sampled.select("cell"), "cell", "left_semi"), genes, "target")
+    real = materialize(real, "real").select("target", "gene", F.col("mean").alias("mean_r"), F.col("variance").alias("variance_r"), F.col("dropout").alias("dropout_r"))
+    rows = []
+    for model in models:
+        delta = predicted.where(F.col("model") == model).join(small(chosen.select("target")), "target", "left_semi").select("target", "gene", F.col("p").alias("d"))
+        sinks.write_table(generate.transport_generate(profiles, donors, delta, seed), f"{out}/generated/{model}")
+        drawn = spark.read.parquet(f"{out}/generated/{model}")
+        both = generate.generated_moments(drawn, profiles).join(real, ["target", "gene"])
+        off = lambda c: F.sqrt(F.avg((F.col(c) - F.col(f"{c}_r")) * (F.col(c) - F.col(f"{c}_r"))))
+        scored = both.groupBy("target").agg(off("mean").alias("mean_log_rmse"), off("variance").alias("variance_log_rmse"), F.avg(F.abs(F.col("dropout") - F.col("dropout_r"))).alias("dropout_mae"))
+        scored = scored.join(generate.sample_report(drawn, profiles, delta), "target").join(chosen.select("target", "cohort"), "target")
+        rows += [{"model": model} | r.asDict() for r in scored.orderBy("target").collect()]
+    key = {"models": list(models), "per_cohort": per_cohort, "cells": cells, "fit": fit, "score": score, "seed": seed}
+    sinks.write_json({"targets": [r["target"] for r in chosen.orderBy("cohort", "place").collect()], "rows": rows, "run": stages.provenance(began, key)}, root / "metrics.json")
+    return {"rows": rows}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gzip
 import importlib
 import json
 import shutil
@@ -68,18 +70,50 @@ def load_config(path: str | Path, required: dict[str, object] | None = None) ->
     return config
 
 
+def read_npz(spark: SparkSession, path: str | Path, name: str, rows: list | None = None, columns: list | None = None) -> DataFrame:
+    """An array of an NPZ file of models or samples as (row, value) or (row, col, value); rows and columns name its places."""
+    np = importlib.import_module("numpy")
+    with np.load(path, allow_pickle=False) as f:
+        x = f[name]
+    if x.ndim not in (1, 2) or not np.issubdtype(x.dtype, np.number):
+        raise ValueError(f"{name} isn't a vector or matrix of numbers")
+    pa = importlib.import_module("pyarrow")
+    places = np.indices(x.shape).reshape(x.ndim, -1)
+    named = [np.asarray(axis)[at] if axis is not None else at for axis, at in zip((rows, columns), places, strict=False)]
+    return spark.createDataFrame(pa.table({k: v for k, v in zip(("row", "col"), named, strict=False)} | {"value": x.astype(float).ravel()}))
+
+
+def matrix_blocks(x, rows: int = 1024) -> Iterator[tuple]:
+    """(rows, columns, values) of the nonzeros of a stored matrix, rows at a time: a dense array of two axes, or a CSR group (data, indices, indptr)."""
+    np = importlib.import_module("numpy")
+    if hasattr(x, "keys"):
+        if not {"data", "indices", "indptr"} <= set(x.keys()):
+            raise ValueError("a sparse X must be CSR")
+        at = np.asarray(x["indptr"][:])
+        for lo in range(0, len(at) - 1, rows):
+            ends = at[lo : lo + rows + 1]
+            some = slice(int(ends[0]), int(ends[-1]))
+            i, j, v = np.repeat(np.arange(len(ends) - 1), np.diff(ends)) + lo, np.asarray(x["indices"][some]), np.asarray(x["data"][some])
+            yield i[v != 0], j[v != 0], v[v != 0]
+        return
+    if len(x.shape) != 2:
+        raise ValueError("X must be dense with two axes, or CSR")
+    for lo in range(0, x.shape[0], rows):
+        part = np.asarray(x[lo : lo + rows])
+        i, j = np.nonzero(part)
+        yield i + lo, j, part[i, j]
+
+
 def counts_of_hdf5(spark: SparkSession, path: str, target: str, rows: int = 1024) -> None:
-    """A dense HDF5 matrix X to Parquet of cell, gene_idx, cnt in chunks of rows; needs h5py and pyarrow."""
+    """The matrix X of an HDF5 or AnnData file, dense or CSR, plain or gzip, to Parquet of cell, gene_idx, cnt, rows at a time; needs h5py."""
     h5py, pa, pq = (importlib.import_module(m) for m in ("h5py", "pyarrow", "pyarrow.parquet"))
-    np = importlib.import_module("numpy")
-    with h5py.File(path) as f, pq.ParquetWriter(target, pa.schema([("cell", pa.int64()), ("gene_idx", pa.int32()), ("cnt", pa.float64())]), compression="zstd") as out:
-        x = f["X"]
-        if len(x.shape) != 2:
-            raise ValueError("X must be dense with two axes")
-        for lo in range(0, x.shape[0], rows):
-            part = x[lo : lo + rows]
-            i, j = np.nonzero(part)
-            out.write_table(pa.table({"cell": i + lo, "gene_idx": j.astype("int32"), "cnt": part[i, j].astype("float64")}))
+    schema = pa.schema([("cell", pa.int64()), ("gene_idx", pa.int32()), ("cnt", pa.float64())])
+    with contextlib.ExitStack() as stack:
+        source = stack.enter_context(gzip.open(path, "rb")) if path.endswith(".gz") else path
+        f = stack.enter_context(h5py.File(source, "r"))
+        out = stack.enter_context(pq.ParquetWriter(target, schema, compression="zstd"))
+        for i, j, v in matrix_blocks(f["X"], rows):
+            out.write_table(pa.table([pa.array(i, pa.int64()), pa.array(j.astype("int32")), pa.array(v.astype("float64"))], schema=schema))
 
 
 def get_range(url: str, start: int, end: int) -> bytes:

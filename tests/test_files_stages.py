@@ -70,19 +70,62 @@ def test_sinks(spark, tmp_path):
     assert (tmp_path / "r.csv").read_text().split() == ["line,x,y", "A,1,2.0", "B,2,"]
     sinks.write_json({"a": float("nan"), "b": [float("inf"), 1]}, tmp_path / "j.json")
     assert json.loads((tmp_path / "j.json").read_text()) == {"a": None, "b": [None, 1]}
-    known = sinks.archive([b"ab", b"c"], tmp_path / "a.gz")
-    assert known["bytes"] == 3 and gzip.open(tmp_path / "a.gz").read() == b"abc" and sinks.archive([], tmp_path / "a.gz") == known
-    (tmp_path / "a.gz").write_bytes(b"x")
-    with pytest.raises(ValueError, match="receipt"):
-        sinks.archive([], tmp_path / "a.gz")
     (tmp_path / "f").write_text("hello")
     assert sinks.copy_verified(str(tmp_path / "f"), f"file://{tmp_path}/g", spark) == sinks.digest(tmp_path / "g")
-    assert sinks.package_command({"program": "p", "prediction": "x", "genes": "g", "output": "o"})[-1] == "--dry-run"
+    config = {"program": ["p", "prep"], "prediction": "x", "output": "o", "flags": {"--genes": "g", "--contexts": ["A", "B"], "--cells": 400}}
+    want = ["p", "prep", "x", "--genes", "g", "--contexts", "A,B", "--cells", "400", "-o", "o"]
+    assert sinks.package_command(config, True) == want and sinks.package_command(config) == [*want, "--dry-run"]
     nz = spark.createDataFrame([(1, 0, 2), (0, 1, 1)], "cell_idx long, gene int, cnt int")
     sinks.write_csr(nz, str(tmp_path / "csr"))
     assert spark.read.parquet(str(tmp_path / "csr")).count() == 2
 
 
+def test_fetched_files_have_receipts(tmp_path, monkeypatch):
+    import hashlib
+
+    url, md5 = "http://somewhere/a", hashlib.md5(b"abc").hexdigest()
+    origin = sinks.Origin(url, 3, md5)
+    known = sinks.archive([b"ab", b"c"], tmp_path / "d" / "a.gz", origin)
+    assert gzip.open(tmp_path / "d" / "a.gz").read() == b"abc" and known["content"]["size"] == 3 and known["verified"] == ["size", "md5"]
+    assert sinks.archive(iter(()), tmp_path / "d" / "a.gz", origin) == known  # nothing is read again
+    with pytest.raises(ValueError, match="elsewhere"):
+        sinks.archive([], tmp_path / "d" / "a.gz", sinks.Origin("http://other/a"))
+    (tmp_path / "d" / "a.gz").write_bytes(b"x")
+    with pytest.raises(ValueError, match="not what its receipt"):
+        sinks.archive([], tmp_path / "d" / "a.gz", origin)
+    (tmp_path / "plain").write_bytes(b"x")
+    with pytest.raises(ValueError, match="without a receipt"):
+        sinks.fetch([b"abc"], tmp_path / "plain", origin)
+    for bad in (sinks.Origin(url, 4), sinks.Origin(url, 3, "0" * 32), sinks.Origin(url, sha256="0")):
+        with pytest.raises(ValueError, match="not as published"):
+            sinks.fetch([b"abc"], tmp_path / "b", bad)
+    with pytest.raises(OSError, match="space"):
+        sinks.fetch([b"abc"], tmp_path / "b", origin, least_free=1 << 60)
+    assert not list(tmp_path.glob("b*"))
+    assert sinks.fetch([b"abc"], tmp_path / "b", sinks.Origin(url))["verified"] == [] and (tmp_path / "b").read_bytes() == b"abc"
+
+
+def test_stored_matrices(spark, tmp_path):
+    import numpy as np
+
+    x = np.array([[0, 1, 2], [0, 0, 0], [3, 0, 0], [0, 4, 5]])
+    i, j = np.nonzero(x)
+    csr = {"data": np.append(x[i, j], 0), "indices": np.append(j, 2), "indptr": np.array([0, 2, 2, 3, 6])}
+    for stored in (x, csr):
+        for rows in (1, 3, 100):
+            parts = [np.concatenate(p).tolist() for p in zip(*files.matrix_blocks(stored, rows), strict=True)]
+            assert parts == [i.tolist(), j.tolist(), x[i, j].tolist()]
+    for bad in ({"data": 1}, np.zeros(3)):
+        with pytest.raises(ValueError, match="CSR"):
+            list(files.matrix_blocks(bad))
+    np.savez(tmp_path / "m.npz", w=x, v=np.array([1.5, 2.5]), s=np.array(["a"]))
+    long = {(r.row, r.col): r.value for r in files.read_npz(spark, tmp_path / "m.npz", "w", list("abcd"), list("xyz")).collect()}
+    assert long["d", "z"] == 5 and len(long) == 12
+    assert [tuple(r) for r in files.read_npz(spark, tmp_path / "m.npz", "v").orderBy("row").collect()] == [(0, 1.5), (1, 2.5)]
+    with pytest.raises(ValueError, match="numbers"):
+        files.read_npz(spark, tmp_path / "m.npz", "s")
+
+
 def test_stages(tmp_path):
     out, runs = tmp_path / "o", []
 

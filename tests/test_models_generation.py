@@ -237,11 +237,14 @@ def test_grid(spark):
     settings = [families.Setting("ridge", "good", ("a",), 0.1), families.Setting("ridge", "bad", ("b",), 0.1), families.Setting("trees", "trees", ("a",), leaves=3, rounds=2, rate=0.3, least=2)]
     losses = families.grid_losses(y, transfer.folds(y, 2, 1), lambda train: f, settings, 2, 1)
     chosen = families.choose(losses)
-    assert chosen["winner"] == "good" and chosen["best"] == {"ridge": "good", "trees": "trees"} and losses.count() == 3
+    assert chosen["winner"] == "good" and chosen["best"] == {"ridge": "good", "trees": "trees", "training_mean": "training_mean"} and losses.count() == 4
     # the same losses from predictions spelt out
-    parts, want = transfer.folds(y, 2, 1), {s.name: 0.0 for s in settings}
+    parts, want = transfer.folds(y, 2, 1), {s.name: 0.0 for s in settings} | {"training_mean": 0.0}
     for k in (0, 1):
-        held = parts.where(F.col("fold") == k)
-        for name, p in families.predict(y.join(held, "target", "left_anti"), f, held, settings, 2, 1).items():
+        held = parts.where(F.col("fold") == k).select("target")
+        train = y.join(held, "target", "left_anti")
+        own, asked = f.join(held, "target", "left_anti"), f.join(held, "target", "left_semi")
+        mean = train.groupBy("gene").agg(F.avg("y").alias("p")).crossJoin(held).select("target", "gene", "p")
+        for name, p in (families.predict(train, own, asked, settings, 2, 1) | {"training_mean": mean}).items():
             want[name] += p.join(y, ["target", "gene"]).agg(F.sum((F.col("p") - F.col("y")) ** 2)).head()[0] / 96
     assert {r["name"]: r.mse for r in losses.collect()} == pytest.approx(want)

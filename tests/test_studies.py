@@ -26,3 +26,52 @@ def test_runs(spark, tmp_path):
     (tmp_path / "b" / "metrics.csv").unlink()
     with pytest.raises(RuntimeError, match="other inputs"):
         studies.run_transfer(spark, a, b, [1.0])
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
+def test_models_and_rehearsal(spark, tmp_path):
+    from deltaloom.operators import families, lowrank
+    from deltaloom.plans import registry
+
+    a, b, c = (str(tmp_path / x) for x in "abc")
+    studies.run_pseudobulk(spark, SF, a)
+    aliases, links, _ = registry._graph(spark, SF)
+    settings = [families.Setting("ridge_basal", "ridge_basal_10", families.BASAL, 10.0), families.Setting("trees", "trees_3", families.GRAPH, leaves=3, rounds=3, rate=0.1, least=2)]
+    found = studies.run_models(spark, a, aliases, links, b, settings, rank=3, folds=2, threshold=400)
+    models = {"zero_delta", "training_mean", "ridge_basal_10", "trees_3"}
+    assert {r["model"] for r in found["metrics"]} == models and {r["cohort"] for r in found["metrics"]} == {"all", "shared", "unseen"}
+    assert found["graph"]["n_edges"] > 0 and found["selection"]["winner"] in models and set(found["selection"]["mse"]) <= models
+    nodes = lowrank.load_trees(spark, f"{b}/trees_3")
+    assert nodes.select("component").distinct().count() == 3
+    with pytest.raises(FileExistsError):
+        studies.run_models(spark, a, aliases, links, b, settings, rank=3, folds=2, threshold=400)
+    drawn = studies.run_rehearsal(spark, SF, b, c, ("zero_delta", "trees_3"), per_cohort=1, cells=16, fit=40, score=20)
+    assert len(drawn["rows"]) == 4 and all(r["within_depth"] and r["mean_log_rmse"] >= 0 for r in drawn["rows"])
+    with pytest.raises(ValueError, match="too few targets"):
+        studies.run_rehearsal(spark, SF, b, f"{c}2", ("zero_delta",), per_cohort=1000, cells=16)
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
+def test_calibration_study(spark, tmp_path, monkeypatch):
+    out = tmp_path / "a"
+    found = studies.run_calibration(spark, SF, str(out), iterations=(0, 2), seeds=(1, 2))
+    assert found["selection"]["candidate"] in ("legacy", "mean_calibrated_2") and len(found["audit"]) == len(found["selection"]["rows"]) == 4
+    assert found["audit"] != found["selection"]["rows"]
+    with pytest.raises(FileExistsError):
+        studies.run_calibration(spark, SF, str(out))
+    with pytest.raises(Violation, match="each batch"):
+        studies.run_calibration(spark, SF, str(tmp_path / "b"), {"fit": 1000, "calibration": 4, "audit": 4})
+
+    # a selection that changes while the audit runs is an error
+    plain = studies.calibration.evaluate_candidates
+    calls = []
+
+    def meddling(*args):
+        calls.append(1)
+        if len(calls) == 2:
+            (tmp_path / "c" / "selection.json").write_text("{}")
+        return plain(*args)
+
+    monkeypatch.setattr(studies.calibration, "evaluate_candidates", meddling)
+    with pytest.raises(RuntimeError, match="changed"):
+        studies.run_calibration(spark, SF, str(tmp_path / "c"), iterations=(0,), seeds=(1,))
