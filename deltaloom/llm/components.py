@@ -11,8 +11,8 @@ from deltaloom.session import materialize
 def _labels(edges: DataFrame) -> DataFrame:
     """of, label: the id of the smallest hash among each id and its neighbours."""
     both = edges.select("a", "b").union(edges.select("b", "a"))
-    rank = lambda c: F.struct(F.xxhash64(c).alias("hash"), F.col(c).alias("id"))
-    return both.groupBy(F.col("a").alias("of")).agg(F.min(rank("b")).alias("low")).select("of", F.least(F.col("low"), rank("of"))["id"].alias("label"))
+    low = both.groupBy(F.col("a").alias("of")).agg(F.min_by("b", F.xxhash64("b")).alias("low"))  # of plain numbers, so that it is a hash aggregate
+    return low.select("of", F.when(F.xxhash64("of") <= F.xxhash64("low"), F.col("of")).otherwise(F.col("low")).alias("label"))
 
 
 def connected_components(links: DataFrame, most: int) -> DataFrame:
