@@ -100,13 +100,14 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 class Index:
-    """Benchmark items, by length, with their multi-index."""
+    """Benchmark items with their multi-index: for each shingle length, fingerprints of items of all lengths."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.sets: list[tuple[np.ndarray, np.ndarray]] = []
         self.ids: list[int] = []
-        lengths: dict[tuple[int, int], list[int]] = {}
-        prints: list[np.ndarray] = []
+        of: dict[int, list[int]] = {}
+        sizes: dict[int, list[int]] = {}
+        prints: dict[int, list[np.ndarray]] = {}
         known: dict[int, list[np.ndarray]] = {}
         for w in split(pa.array([t for _, t in items], pa.string()), PLAIN):
             hashes = w.hashes(lower=True)
@@ -116,45 +117,53 @@ class Index:
                 if not k:
                     continue
                 h, weight = grams(hashes[lo:hi], k), _weights(w, k)[lo : hi - k + 1]
-                lengths.setdefault((k, int(hi - lo)), []).append(len(self.ids))
+                of.setdefault(k, []).append(len(self.ids))
+                sizes.setdefault(k, []).append(int(hi - lo))
                 known.setdefault(k, []).append(h)
-                prints.append(fingerprints(h, weight, np.zeros(1, int), len(h))[0])
+                prints.setdefault(k, []).append(fingerprints(h, weight, np.zeros(1, int), len(h))[0])
                 self.sets.append(_distinct(h, weight))
                 self.ids.append(items[w.lo + i][0])
         self.known = {k: np.unique(np.concatenate(v)) for k, v in known.items()}
-        self.lengths = {key: (np.array(of), np.array([prints[i] for i in of])) for key, of in sorted(lengths.items())}
+        self.of, self.sizes, self.prints = ({k: np.array(v) for k, v in x.items()} for x in (of, sizes, prints))
         self.flips = _flips()
-        # for each block, its values among the items in order, and the items that have each
-        self.blocks = {key: [np.unique(v, return_inverse=True) for v in p.view(np.uint16).T] for key, (_, p) in self.lengths.items()}
-        self.blocks = {key: [(values, np.argsort(of, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(of))])) for values, of in found] for key, found in self.blocks.items()}
+        # for each block: its values among the items in order, the place of each value, the items that have each
+        self.blocks = {k: [self._block(v) for v in p.view(np.uint16).T] for k, p in self.prints.items()}
+
+    @staticmethod
+    def _block(of_items: np.ndarray) -> tuple[np.ndarray, ...]:
+        values, which = np.unique(of_items, return_inverse=True)
+        place = np.full(1 << _BLOCK, -1, np.int32)
+        place[values] = np.arange(len(values))
+        return values, place, np.argsort(which, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(which))])
 
     def has(self, k: int, h: np.ndarray) -> np.ndarray:
         known = self.known[k]
         return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
 
-    def near(self, key: tuple[int, int], prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs within RADIUS."""
-        of, own = self.lengths[key]
+    def near(self, k: int, prints: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs within RADIUS, of items as long as the window is (in words)."""
+        n_items = len(self.of[k])
         pairs = []
-        for (values, items, at), mine in zip(self.blocks[key], np.ascontiguousarray(prints).view(np.uint16).T, strict=True):
+        for (values, place, items, at), mine in zip(self.blocks[k], np.ascontiguousarray(prints).view(np.uint16).T, strict=True):
             asked, who = np.unique(mine, return_inverse=True)
             if len(values) < len(self.flips):  # the same values, from the side that has fewer
                 a, v = np.nonzero(np.bitwise_count(asked[:, None] ^ values[None, :]) <= _NEAR)
             else:
-                flipped = asked[:, None] ^ self.flips[None, :]
-                place = np.minimum(np.searchsorted(values, flipped), len(values) - 1)
-                a, f = np.nonzero(values[place] == flipped)
-                v = place[a, f]
+                found = place[asked[:, None] ^ self.flips[None, :]]
+                a, f = np.nonzero(found >= 0)
+                v = found[a, f]
             # every window that asked for a value, with every item that has one near it
             order, first = np.argsort(who, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(asked)))])
             n_w, n_i = first[a + 1] - first[a], at[v + 1] - at[v]
             n = n_w * n_i
-            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             each = np.repeat(n_i, n)
-            pairs.append(order[np.repeat(first[a], n) + k // each] * len(of) + items[np.repeat(at[v], n) + k % each])
-        w, i = np.divmod(np.unique(np.concatenate(pairs)), len(of))
-        far = np.bitwise_count(prints[w] ^ own[i]).sum(axis=1)
-        return w[far <= RADIUS], of[i[far <= RADIUS]]
+            w, i = order[np.repeat(first[a], n) + j // each], items[np.repeat(at[v], n) + j % each]
+            same = sizes[w] == self.sizes[k][i]
+            pairs.append(w[same] * n_items + i[same])
+        w, i = np.divmod(np.unique(np.concatenate(pairs)), n_items)
+        far = np.bitwise_count(prints[w] ^ self.prints[k][i]).sum(axis=1)
+        return w[far <= RADIUS], self.of[k][i[far <= RADIUS]]
 
     def matches(self, w: Words) -> Iterator[tuple[int, int, int, int, float]]:
         """(text, item, first word, words, similarity) of each pair's best window."""
@@ -178,20 +187,34 @@ class Index:
 
     def _search(self, t: int, k: int, h: np.ndarray, weight: np.ndarray, hit: np.ndarray, best: dict) -> None:
         again = _again(h)
-        for key in self.lengths:
-            if key[0] != k:
-                continue
-            size = min(key[1] - k + 1, len(h))
+        prints, windows, lengths = [], [], []
+        held = 0
+        for words in np.unique(self.sizes[k]):
+            size = min(int(words) - k + 1, len(h))
             starts = np.flatnonzero(_distinct_sums(weight * hit, again, size) >= THRESHOLD * _distinct_sums(weight, again, size))
             for part in np.split(starts, np.flatnonzero(np.diff(starts // _SPAN)) + 1):
                 if not len(part):
                     continue
                 a, b = part[0], part[-1] + size
-                windows, items = self.near(key, fingerprints(h[a:b], weight[a:b], part - a, size))
-                for s, i in zip(part[windows], items, strict=True):
-                    found = similarity(self.sets[i], _distinct(h[s : s + size], weight[s : s + size]))
-                    if found >= THRESHOLD and found > best.get((t, i), (0.0,))[0]:
-                        best[t, i] = (found, int(s), size + k - 1)
+                prints.append(fingerprints(h[a:b], weight[a:b], part - a, size))
+                windows.append(part)
+                lengths.append(np.full(len(part), words))
+                held += len(part)
+                if held > _SPAN:
+                    self._verify(t, k, h, weight, prints, windows, lengths, best)
+                    prints, windows, lengths, held = [], [], [], 0
+        if held:
+            self._verify(t, k, h, weight, prints, windows, lengths, best)
+
+    def _verify(self, t: int, k: int, h: np.ndarray, weight: np.ndarray, prints: list, windows: list, lengths: list, best: dict) -> None:
+        """Candidates of the fingerprints by exact similarity; of equal ones the first window stays."""
+        starts, words = np.concatenate(windows), np.concatenate(lengths)
+        found, items = self.near(k, np.concatenate(prints), words)
+        for j, i in zip(found, items, strict=True):
+            s, size = starts[j], min(int(words[j]) - k + 1, len(h))
+            how = similarity(self.sets[i], _distinct(h[s : s + size], weight[s : s + size]))
+            if how >= THRESHOLD and how > best.get((t, i), (0.0,))[0]:
+                best[t, i] = (how, int(s), size + k - 1)
 
 
 def _slices(benchmark: DataFrame) -> Iterator[Index]:
