@@ -50,8 +50,8 @@ SHINGLE = 5
 LEVELS = 12
 #: Block keys in a bucket of the grouping, about; and kept by a task before it hands them on.
 BUCKET, HELD = 500_000, 1_000_000
-#: Members verified against one copy of their leader.
-CHUNK_MEMBERS = 256
+#: Members verified against one copy of their leader; members of a group that a task holds against the whole group.
+CHUNK_MEMBERS, TOGETHER = 256, 2000
 _SKETCH = 512
 #: Logarithms of the bits of the wide sketch, of the largest filter of wanted documents and of a block of it; bits for each of these.
 WIDE, FILTER, FILTER_BLOCK, FILTER_BITS = 12, 29, 16, 16
@@ -381,9 +381,12 @@ def components(docs: DataFrame) -> DataFrame:
     # what may still join components: every pair of a group in two of them
     named = members.join(names, F.col("sid") == F.col("id"), "left").select("key", "sid", F.coalesce("component", "sid").alias("component"))
     named = materialize(named, "named", n_members)
-    torn = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    named = named.join(torn, "key", "left_semi").join(sets.drop("owner"), "sid")
-    rest = named.alias("s").join(named.alias("t"), (F.col("s.key") == F.col("t.key")) & (F.col("s.component") < F.col("t.component")) & _possible("s", "t"))
+    torn = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / TOGETHER).cast("int").alias("salts")).where("lo < hi").select("key", "salts")
+    named = named.join(torn, "key").join(sets.drop("owner"), "sid")
+    # a large group is dealt out: one side by salt, the other to all of its salts
+    one = named.withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int"))
+    every = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    rest = one.alias("s").join(every.alias("t"), (F.col("s.key") == F.col("t.key")) & (F.col("s.salt") == F.col("t.salt")) & (F.col("s.component") < F.col("t.component")) & _possible("s", "t"))
     rest = rest.select(F.least("s.sid", "t.sid").alias("a"), F.greatest("s.sid", "t.sid").alias("b"), (F.col("s.n") + F.col("t.n")).alias("total"), _differ("s", "t").alias("far")).dropDuplicates(["a", "b"])
     tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "rest")

@@ -202,8 +202,10 @@ def test_op10(spark, tmp_path, seed):
     assert got == brute_join(rows)
 
 
-def test_op10_joins_texts_by_id_beyond_the_filter(spark, tmp_path, monkeypatch):
+def test_op10_beyond_the_filter_and_with_dealt_out_groups(spark, tmp_path, monkeypatch):
+    """Texts are joined by id where the filter would be too large; groups of more than three sets are dealt out."""
     monkeypatch.setattr(jaccard_join, "FILTER", 15)
+    monkeypatch.setattr(jaccard_join, "TOGETHER", 3)
     rows = near_copies(4)
     write(spark, rows, tmp_path)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in registry.op10_jaccard_join(spark, str(tmp_path)).collect()), key=str)
