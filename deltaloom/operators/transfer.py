@@ -91,11 +91,12 @@ def alpha_losses(x: DataFrame, y: DataFrame, parts: DataFrame, alphas: list[floa
     """
     if any(a < 0 for a in alphas):
         raise ValueError("a penalty is negative")
-    ids = [r[0] for r in parts.select("fold").distinct().orderBy("fold").collect()]
+    parts = materialize(parts, "folds")
+    ids = sorted({r[0] for r in parts.select("fold").distinct().collect()})
     out = F.explode(F.array(*(F.lit(i).cast("int") for i in ids))).alias("out")
     rows = x.join(parts, "target").select("target", "x", "fold", out)
     z = apply_scale(rows, fit_scale(rows.where("fold <> out"), "out"), "out")
-    own = z.groupBy("target", "fold").agg(F.sort_array(F.collect_list(F.struct("out", "z"))).alias("z")).select("target", "fold", F.col("z.z").alias("z"))
+    own = materialize(z.groupBy("target", "fold").agg(F.sort_array(F.collect_list(F.struct("out", "z"))).alias("z")).select("target", "fold", F.col("z.z").alias("z")), "scaled")
     data = y.join(small(own), "target")
     sums = [F.count("*").alias("n"), F.sum("y").alias("y"), F.sum(F.col("y") * F.col("y")).alias("yy")]
     for i in range(len(ids)):

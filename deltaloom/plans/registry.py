@@ -22,6 +22,8 @@ ORACLES: dict[str, str] = {}
 ALPHAS = [0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0]
 FOLDS, SEED, RANK, ALPHA, THRESHOLD = 5, 2026, 16, 10.0, 400
 PARTS = {"fit": 12, "calibration": 4, "audit": 4}
+#: Rows of an axis, about.
+AXIS = 20_000
 #: Sizes of the studies: ranks and settings of models, cells a panel and a target, iterations and seeds of calibration.
 FULL, RIDGE_ALPHAS, LEAVES = 1000, (1.0, 100.0, 1000.0), (7, 15)
 TREES = {"leaves": 7, "rounds": 60, "rate": 0.05, "least": 2}
@@ -68,14 +70,15 @@ class Transfer:
 
     def __init__(self, study: Study) -> None:
         delta, baseline = study.deltas(), materialize(study.baseline(), "baseline")
-        self.axis = cohorts.common_axis(delta, TRAIN, HELD)
-        y = delta.join(small(self.axis), "gene").select("line", "target", "gene", F.col("delta_log").alias("y"))
+        # what many plans below read is written once: axes, and responses on them
+        self.axis = materialize(cohorts.common_axis(delta, TRAIN, HELD), "axis", AXIS)
+        y = materialize(delta.join(small(self.axis), "gene").select("line", "target", "gene", F.col("delta_log").alias("y")), "y")
         self.train, self.held = (y.where(F.col("line") == x).drop("line") for x in (TRAIN, HELD))
-        self.targets = delta.where(F.col("line") == HELD).select("target").distinct()
+        self.targets = materialize(delta.where(F.col("line") == HELD).select("target").distinct(), "targets", AXIS)
         self.cohorts = cohorts.cohorts(delta, TRAIN, HELD)
         line = lambda x: baseline.where(F.col("line") == x)
-        self.x_train = transfer.basal(delta.where(F.col("line") == TRAIN), line(TRAIN))
-        self.x_held = transfer.basal(self.targets, line(HELD))
+        self.x_train = materialize(transfer.basal(delta.where(F.col("line") == TRAIN), line(TRAIN)), "basal", AXIS)
+        self.x_held = materialize(transfer.basal(self.targets, line(HELD)), "basal", AXIS)
 
     def scaled(self) -> tuple[DataFrame, DataFrame]:
         scale = transfer.fit_scale(self.x_train)
