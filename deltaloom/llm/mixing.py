@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 from deltaloom.session import materialize
 
 SLICES = 4096
+#: Of sources in order, repeating; what the targets share of all sizes, and the most of its own size a source gives.
+WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
+SEED = 20260
 #: Quality weights of documents by label: good, poor; documents without a label weigh 1.
 GOOD, POOR = 2.0, 0.5
 
@@ -37,8 +40,9 @@ def word_count(text: Column) -> Column:
 
 
 def uniform(key: Column, seed: int) -> Column:
-    """In (0, 1), from the key alone, so that reruns agree."""
-    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11).cast("double") + 0.5) / F.lit(2.0**53)
+    """In (0, 1), from the key alone, so that reruns and other engines agree: the first 52 bits of a SHA-256."""
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))), 256)
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") + 0.5) / F.lit(2.0**52)
 
 
 def water_fill(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -63,10 +67,10 @@ def water_fill(sizes: DataFrame, weights: tuple[float, ...], share: float, cap:
 def mix_sources(
     docs: DataFrame,
     quality: DataFrame | None = None,
-    weights: tuple[float, ...] = (5.0, 2.0, 1.0),
-    share: float = 1.5,
-    cap: float = 2.0,
-    seed: int = 20260,
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = SHARE,
+    cap: float = CAP,
+    seed: int = SEED,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, epochs, chosen, taken for each row of docs (doc_id, source, text).

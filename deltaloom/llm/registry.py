@@ -68,6 +68,22 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+_DOUBLE = "CAST({} AS DOUBLE)".format
+OP4_SQL = rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
+q AS (SELECT doc_id, max({_DOUBLE(f"CASE quality WHEN 1 THEN {mixing.GOOD} ELSE {mixing.POOR} END")}) AS weight FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+k AS (SELECT d.*, -ln((CAST('0x' || substr(sha256('{mixing.SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + {_DOUBLE(0.5)}) / pow(2, 52)) / coalesce(weight, 1) AS key FROM d LEFT JOIN q USING (doc_id)),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, {_DOUBLE(mixing.CAP)} * sum(size) AS cap, {_DOUBLE(f"{list(mixing.WEIGHTS)}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1]")} AS w FROM d GROUP BY source),
+l AS (SELECT *, ({_DOUBLE(mixing.SHARE)} * sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
+  FROM s WINDOW before AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, CASE WHEN source_size > 0 THEN least(cap, w * coalesce((SELECT max(level) FROM l WHERE level * w <= cap), CAST('inf' AS DOUBLE))) ELSE 0 END AS target FROM l),
+b AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
+r AS (SELECT k.*, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) AS upto FROM k),
+c AS (SELECT doc_id, size, source_size, target, epochs, target - epochs * source_size AS budget, upto FROM r JOIN b ON r.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN upto <= budget OR upto - budget < budget - (upto - size) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM c
+"""
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id")))
@@ -174,4 +190,4 @@ QUERIES: dict[str, Query] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op10_jaccard_join": OP10_SQL, "op6_exact_top_k": OP6_SQL, "op7_license_scan": OP7_SQL}
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op4_mixing": OP4_SQL, "op10_jaccard_join": OP10_SQL, "op6_exact_top_k": OP6_SQL, "op7_license_scan": OP7_SQL}
