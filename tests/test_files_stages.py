@@ -1,10 +1,12 @@
 import gzip
 import json
+import sys
+import time
 import zipfile
 
 import pytest
 
-from deltaloom.plans import stages
+from deltaloom.plans import stages, supervise
 from deltaloom.sources import files, sinks
 
 
@@ -174,3 +176,86 @@ def test_gates(tmp_path):
 def test_manifest(spark):
     m = spark.createDataFrame([("t/a.parquet", "1"), ("t/b.json", "2"), ("u/c.parquet", "3")], "path string, sha256 string")
     assert [r.path for r in stages.manifest_paths(m, "t/", ".parquet").collect()] == ["t/a.parquet"]
+
+
+def test_arrays_written_and_read(spark, tmp_path):
+    w = spark.createDataFrame([("a", 3, 1.5), ("b", 1, -2.0), ("a", 1, 4.0)], "row string, col int, value double")
+    v = spark.createDataFrame([(2, 1.0), (1, 0.5)], "row int, value double")
+    sinks.write_npz({"w": w, "v": v, "none": v.where("false")}, tmp_path / "m.npz")
+    long = {(r.row, r.col): r.value for r in files.read_npz(spark, tmp_path / "m.npz", "w", ["a", "b"], [1, 3]).collect()}
+    assert long == {("a", 1): 4.0, ("a", 3): 1.5, ("b", 1): -2.0, ("b", 3): 0.0}
+    assert [r.value for r in files.read_npz(spark, tmp_path / "m.npz", "v_row").orderBy("row").collect()] == [1.0, 2.0]
+    with pytest.raises(FileExistsError):
+        sinks.write_npz({"v": v}, tmp_path / "m.npz")
+    for bad, largest in ((v.union(v), 9), (w, 3), (v.union(spark.createDataFrame([(4, None)], v.schema)), 9)):
+        with pytest.raises(ValueError, match="values"):
+            sinks.write_npz({"x": bad}, tmp_path / "n.npz", largest)
+    assert not (tmp_path / "n.npz").exists()
+
+
+class Group(dict):
+    """As much of an HDF5 group as is written to."""
+
+    class Set:
+        def __init__(self):
+            self.x = []
+
+        shape = property(lambda self: (len(self.x),))
+
+        def resize(self, shape):
+            self.x += [None] * (shape[0] - len(self.x))
+
+        def __setitem__(self, at, values):
+            self.x[at] = list(values)
+
+        def __getitem__(self, at):
+            return self.x[at]
+
+    def __init__(self):
+        super().__init__()
+        self.attrs = {}
+
+    def create_dataset(self, name, **_):
+        self[name] = self.Set()
+        return self[name]
+
+
+@pytest.mark.parametrize("block", [1, 4, 1000])
+def test_csr_appended_in_blocks(block):
+    import numpy as np
+
+    x = np.array([[0, 1, 2], [0, 0, 0], [3, 0, 0], [0, 4, 5]])
+    group = Group()
+    assert sinks.append_csr(group, ((np.flatnonzero(r), r[r != 0]) for r in x), 3, block) == 4
+    assert list(group.attrs["shape"]) == [4, 3] and group["indptr"].x == [0, 2, 2, 3, 5]
+    i, j, v = (np.concatenate(p) for p in zip(*files.matrix_blocks(group, 2), strict=True))
+    back = np.zeros_like(x)
+    back[i, j] = v
+    assert (back == x).all()
+    with pytest.raises(ValueError, match="outside"):
+        sinks.append_csr(Group(), [([3], [1])], 3)
+
+
+def test_supervised_commands(tmp_path):
+    log, seen = tmp_path / "log", []
+    script = "import pathlib, sys; p = pathlib.Path(sys.argv[1]); n = len(p.read_text()) if p.exists() else 0; p.write_text('x' * (n + 1)); print('try', n); sys.exit(n < 2)"
+    assert supervise.supervise([sys.executable, "-c", script, str(tmp_path / "n")], log, tries=5, export=lambda p: seen.append(p.read_text())) == 3
+    assert log.read_text().split() == ["try", "0", "try", "1", "try", "2"] and seen[-1] == log.read_text()
+    with pytest.raises(RuntimeError, match="exit 3"):
+        supervise.supervise([sys.executable, "-c", "import sys; sys.exit(3)"], log, tries=2)
+    began = time.monotonic()
+    with pytest.raises(RuntimeError, match="not done"):
+        supervise.supervise([sys.executable, "-c", "import time; time.sleep(60)"], log, limit=0.5, every=0.1, export=seen.append)
+    assert time.monotonic() - began < 20 and seen[-1] == log
+
+
+def test_backups(tmp_path):
+    a, b, receipt = tmp_path / "a", tmp_path / "b", tmp_path / "r.json"
+    a.write_text("one")
+    b.write_text("two")
+    known: dict = {}
+    assert supervise.back_up([a, b], receipt, sinks.digest, known) == [a, b]
+    a.write_text("new")
+    assert supervise.back_up([a, b], receipt, sinks.digest, json.loads(receipt.read_text())) == [a]
+    with pytest.raises(OSError, match="differs"):
+        supervise.back_up([b], receipt, lambda p: "no", {})
