@@ -76,6 +76,13 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL[sc.applicationId]
 
 
+def reserve(spark: SparkSession, tag: str) -> str:
+    """A folder's name in the shared folder, which no other call gets; it goes with what materialize() writes."""
+    path = f"{shared_root(spark)}/deltaloom/{tag}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
@@ -85,9 +92,8 @@ def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(rows // FILE_ROWS + 1)
-    path = f"{shared_root(spark)}/deltaloom/{tag}-{uuid.uuid4().hex}"
+    path = reserve(spark, tag)
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
