@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm import chat, decontaminate, jaccard_join, licenses, mixing, quality, secrets, substring_dedup, topk, toxicity
+from deltaloom.llm import centroids, chat, decontaminate, jaccard_join, licenses, mixing, negatives, quality, secrets, substring_dedup, token_ids, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -156,6 +156,52 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = token_ids.token_ids(_table(spark, sf_dir, "documents"))
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(*centroids.cluster(_table(spark, sf_dir, "embeddings")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", relabelled), F.col("vec_id") % 100 == 0)
+
+
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_WHOLE = "list_transform(embedding, lambda x: CAST(floor({} * CAST(x AS DOUBLE)) AS BIGINT))".format
+
+
+def _op12_sql(k: int = centroids.K, rounds: int = centroids.ROUNDS) -> str:
+    nearest = "SELECT r, vec_id, v, arg_min(j, (d, j)) AS j, min(d) AS d FROM (SELECT r, vec_id, v, j, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM e, c{0}) GROUP BY ALL"
+    # floors of quotients by whole numbers only
+    mean = "SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (SELECT j, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT j, unnest(v) AS x, unnest(range(len(v))) AS i FROM a{0}) GROUP BY ALL) GROUP BY j"
+    steps = [f"a{r} AS ({nearest.format(r)}), m{r} AS ({mean.format(r)}), c{r + 1} AS (SELECT c{r}.j, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (j))" for r in range(rounds)]
+    return f"""
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, {_WHOLE(64)} AS v FROM embeddings WHERE {_FINITE} AND len(embedding) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS j, v AS c FROM e WHERE vec_id IS NOT NULL QUALIFY j < {k}),
+{", ".join(steps)}, z AS ({nearest.format(rounds)})
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256 FROM z JOIN c{rounds} USING (j)
+"""
+
+
+OP12_SQL = _op12_sql()
+
+OP13_SQL = f"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_WHOLE(256)} AS v FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND {_FINITE}),
+a AS (SELECT * FROM v WHERE vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, v) = 1),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, c.r, a.label = c.label AS same, CAST(coalesce(list_sum(list_transform(list_zip(a.v, c.v), lambda p: coalesce(p[1] * p[2], 0))), 0) AS BIGINT) AS score
+  FROM a JOIN v c ON a.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS positive_rank FROM s WHERE same QUALIFY positive_rank <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_rank ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score, CAST(positive_rank AS INTEGER) AS positive_rank FROM n WHERE rank <= 10
+"""
+
 OP2_SQL = r"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50),
@@ -189,5 +235,8 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_secret_scan": op9_secret_scan,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_token_ids": op11_token_ids,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op4_mixing": OP4_SQL, "op10_jaccard_join": OP10_SQL, "op6_exact_top_k": OP6_SQL, "op7_license_scan": OP7_SQL}
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op4_mixing": OP4_SQL, "op10_jaccard_join": OP10_SQL, "op6_exact_top_k": OP6_SQL, "op7_license_scan": OP7_SQL, "op12_centroid_clustering": OP12_SQL, "op13_hard_negatives": OP13_SQL}
