@@ -15,7 +15,7 @@ from deltaloom.session import materialize, small
 
 @dataclass(frozen=True)
 class Setting:
-    """One point of the grid. family "ridge" uses alpha; "trees" uses leaves; features are column names."""
+    """One point of the grid. family "ridge" uses alpha; "trees" uses leaves; features are column names, PRIORS standing for one of each component."""
 
     family: str
     name: str
@@ -27,8 +27,8 @@ class Setting:
     least: int = 40
 
 
-MEAN = "training_mean"
-BASAL, GRAPH = ("basal", "is_missing"), ("basal", "is_missing", "log_support", "prior")
+MEAN, PRIORS = "training_mean", "prior*"
+BASAL, GRAPH = ("basal", "is_missing"), ("basal", "is_missing", "log_support", PRIORS)
 
 
 def grid(alphas: tuple[float, ...], leaves: tuple[int, ...], rounds: int = 60, rate: float = 0.05, least: int = 40) -> list[Setting]:
@@ -37,27 +37,43 @@ def grid(alphas: tuple[float, ...], leaves: tuple[int, ...], rounds: int = 60, r
     return ridge + [Setting("trees", f"trees_{n}", GRAPH, leaves=n, rounds=rounds, rate=rate, least=least) for n in leaves]
 
 
-def feature_maker(edges: DataFrame, x: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """A function of training responses (target, gene, y) that makes features of the targets in x (target, x).
+#: Makes features (target, ...) from scores (target, component, z) of reference targets.
+Maker = Callable[[DataFrame], DataFrame]
 
-    A target's prior is the mean response of its neighbours in training, itself left out.
+
+def feature_maker(edges: DataFrame, x: DataFrame) -> Maker:
+    """A function of reference targets' scores on a basis that makes features of the targets in x (target, x).
+
+    A target's priors are the weighted means of its neighbours' scores, a component each; itself is left out.
     """
 
-    def make(train: DataFrame) -> DataFrame:
-        scores = train.groupBy(F.col("target").alias("gene")).agg(F.avg("y").alias("score")).withColumn("k", F.lit(0))
-        f = graph.neighbour_features(edges, x.select(F.col("target").alias("gene"), "x"), scores)
-        return materialize(f.select(F.col("gene").alias("target"), "basal", F.col("is_missing").cast("double").alias("is_missing"), "log_support", "prior"), "features")
+    def make(scores: DataFrame) -> DataFrame:
+        own = scores.select(F.col("target").alias("gene"), "component", "z")
+        f = graph.neighbour_vectors(edges, x.select(F.col("target").alias("gene"), "x"), own)
+        return materialize(f.withColumn("is_missing", F.col("is_missing").cast("double")).withColumnRenamed("gene", "target"), "features")
 
     return make
 
 
-def scaler(own: DataFrame, names: tuple[str, ...]) -> list[Column]:
-    """The features as columns with missing values at the median of own's rows, scaled by them."""
+def columns_of(names: tuple[str, ...], features: DataFrame) -> list[str]:
+    """The columns of features that names stand for."""
+    priors = sorted((c for c in features.columns if c.startswith(PRIORS[:-1])), key=lambda c: int(c[len(PRIORS) - 1 :]))
+    return [c for n in names for c in (priors if n == PRIORS else [n])]
+
+
+def scaling(own: DataFrame, names: list[str]) -> dict[str, dict[str, float]]:
+    """Median, mean and scale of each feature over own's rows, missing values at the median."""
     known = {n: F.nanvl(n, F.lit(None).cast("double")) for n in names}
     medians = own.agg(*(F.coalesce(F.median(c), F.lit(0.0)).alias(n) for n, c in known.items())).head()
     filled = {n: F.coalesce(c, F.lit(float(medians[n]))) for n, c in known.items()}
     stats = own.agg(*(f(filled[n]).alias(f"{k}_{n}") for n in names for k, f in (("m", F.avg), ("s", F.stddev_pop)))).head()
-    return [((filled[n] - F.lit(float(stats[f"m_{n}"]))) / F.lit(float(stats[f"s_{n}"] or 1.0))).alias(n) for n in names]
+    return {n: {"median": float(medians[n]), "mean": float(stats[f"m_{n}"] or 0.0), "scale": float(stats[f"s_{n}"] or 1.0)} for n in names}
+
+
+def scaled(state: dict[str, dict[str, float]]) -> list[Column]:
+    """The features as columns, scaled."""
+    filled = {n: F.coalesce(F.nanvl(n, F.lit(None).cast("double")), F.lit(s["median"])) for n, s in state.items()}
+    return [((filled[n] - F.lit(s["mean"])) / F.lit(s["scale"])).alias(n) for n, s in state.items()]
 
 
 def predicted_scores(scores: DataFrame, features: DataFrame, asked: DataFrame, settings: list[Setting], known: dict | None = None) -> DataFrame:
@@ -69,12 +85,12 @@ def predicted_scores(scores: DataFrame, features: DataFrame, asked: DataFrame, s
     """
     out, sides = None, {}
     for s in settings:
-        names = list(s.features)
+        names = columns_of(s.features, features)
         if s.features not in sides:
-            scaled = scaler(features, s.features)
-            own, queries = (materialize(x.select("target", *scaled), "standardized") for x in (features, asked))
-            sides[s.features] = own, queries, lowrank.ridge_sums(own, scores, names)
-        own, queries, sums = sides[s.features]
+            state = scaling(features, names)
+            own, queries = (materialize(x.select("target", *scaled(state)), "standardized") for x in (features, asked))
+            sides[s.features] = own, queries, lowrank.ridge_sums(own, scores, names), state
+        own, queries, sums, state = sides[s.features]
         if s.family == "trees":
             model = materialize(lowrank.trees_fit(own, scores, names, s.leaves, s.rounds, s.rate, s.least), "trees")
             z = lowrank.trees_predict(model, queries, names)
@@ -83,26 +99,30 @@ def predicted_scores(scores: DataFrame, features: DataFrame, asked: DataFrame, s
             z = lowrank.ridge_predict(queries, names, model)
         if known is not None:
             known[s.name] = model
+            known.setdefault("scaling", {})[s.name] = state
         row = z.select(F.lit(s.name).alias("name"), "target", "component", "z")
         out = row if out is None else out.unionByName(row)
     return out
 
 
-def predict(y: DataFrame, features: DataFrame, asked: DataFrame, settings: list[Setting], rank: int, seed: int, known: dict | None = None) -> dict[str, DataFrame]:
-    """Predictions (target, gene, p) for the targets in asked by each setting, from training responses y (target, gene, y)."""
+def predict(y: DataFrame, features_of: Maker, asked_of: Maker, settings: list[Setting], rank: int, seed: int, known: dict | None = None) -> dict[str, DataFrame]:
+    """Predictions (target, gene, p) for the targets of asked_of by each setting, from training responses y (target, gene, y).
+
+    Both makers get the training targets' scores and nothing of the queries' own responses.
+    """
     mean, basis = lowrank.response_basis(y, rank, seed)
     scores = materialize(lowrank.project(y, mean, basis), "scores")
     if known is not None:
-        known["mean"], known["basis"] = mean, basis
-    z = materialize(predicted_scores(scores, features, asked, settings, known), "predicted")
+        known["mean"], known["basis"], known["scores"] = mean, basis, scores
+    z = materialize(predicted_scores(scores, features_of(scores), asked_of(scores), settings, known), "predicted")
     return {s.name: lowrank.reconstruct(z.where(F.col("name") == s.name).drop("name"), mean, basis) for s in settings}
 
 
-def grid_losses(y: DataFrame, parts: DataFrame, features_of: Callable[[DataFrame], DataFrame], settings: list[Setting], rank: int, seed: int) -> DataFrame:
+def grid_losses(y: DataFrame, parts: DataFrame, features_of: Maker, settings: list[Setting], rank: int, seed: int) -> DataFrame:
     """family, name, mse over the folds in parts (target, fold).
 
-    features_of(train) makes the features of all targets from the responses of a
-    fold's training rows, so that no target sees its own. As the basis is
+    features_of makes the features of all targets from the scores of a
+    fold's training targets, so that no held-out response is seen. As the basis is
     orthonormal, the squared error of a prediction e against V z is that of e
     alone, less twice z times the scores of e, plus z times z: no prediction is spelt out.
     The training mean is compared too, as a family of its own.
@@ -116,9 +136,10 @@ def grid_losses(y: DataFrame, parts: DataFrame, features_of: Callable[[DataFrame
         asked = scores.join(small(held), "target", "left_semi").select("target", "component", F.col("z").alias("s"))
         e = F.col("y") - F.col("mean")
         size = y.join(small(held), "target", "left_semi").join(small(mean), "gene").agg(F.sum(e * e).alias("whole"), F.count("*").alias("n"))
-        features = features_of(train)
+        reference = materialize(scores.join(small(held), "target", "left_anti"), "reference")
+        features = features_of(reference)
         own, asked_features = (features.join(small(held), "target", how) for how in ("left_anti", "left_semi"))
-        z = predicted_scores(scores.join(small(held), "target", "left_anti"), own, asked_features, settings)
+        z = predicted_scores(reference, own, asked_features, settings)
         off = z.join(asked, ["target", "component"]).groupBy("name").agg(F.sum(F.col("z") * F.col("z") - 2 * F.col("z") * F.col("s")).alias("off"))
         off = off.unionByName(size.select(F.lit(MEAN).alias("name"), F.lit(0.0).alias("off")))  # the training mean is z = 0
         row = materialize(off.join(F.broadcast(size), how="cross").select("name", (F.col("whole") + F.col("off")).alias("sse"), "n"), "losses")

@@ -66,3 +66,19 @@ def neighbour_features(edges: DataFrame, queries: DataFrame, scores: DataFrame)
     prior = near.groupBy(F.col("src").alias("gene"), "k").agg(F.count("*").alias("support"), F.try_divide(F.sum(F.col("w") * F.col("score")), F.sum("w")).alias("prior"))
     grid = queries.join(F.broadcast(scores.select("k").distinct()), how="cross").join(prior, ["gene", "k"], "left")
     return grid.select("gene", "k", F.col("x").alias("basal"), missing_flag("x").alias("is_missing"), F.log1p(F.coalesce("support", F.lit(0))).alias("log_support"), F.coalesce("prior", F.lit(0.0)).alias("prior"))
+
+
+def neighbour_vectors(edges: DataFrame, queries: DataFrame, scores: DataFrame) -> DataFrame:
+    """queries (gene, x), scores (gene, component, z) of reference genes to gene, basal, is_missing, log_support and one prior for each component.
+
+    The graph times the matrix of scores: a reference gene's scores travel as one
+    array, edges add up partial sums of all components at once, a gene's before they are shuffled. A query's neighbours
+    don't include itself; without any the priors are 0, the mean of centred scores.
+    """
+    rank = scores.agg(F.coalesce(F.max("component") + 1, F.lit(0))).head()[0]
+    at = lambda c: F.sum(F.when(F.col("component") == c, F.col("z")))
+    wide = scores.groupBy(F.col("gene").alias("dst")).agg(F.array(*(at(c) for c in range(rank))).alias("zs"))
+    near = both_ways(edges).join(wide, "dst").where("src <> dst")
+    sums = near.groupBy(F.col("src").alias("gene")).agg(F.count(F.when(F.col("w") > 0, 1)).alias("support"), F.sum("w").alias("w"), *(F.sum(F.col("w") * F.col("zs")[c]).alias(f"s{c}") for c in range(rank)))
+    priors = (F.coalesce(F.try_divide(f"s{c}", "w"), F.lit(0.0)).alias(f"prior{c}") for c in range(rank))
+    return queries.join(sums, "gene", "left").select("gene", F.col("x").alias("basal"), missing_flag("x").alias("is_missing"), F.log1p(F.coalesce("support", F.lit(0))).alias("log_support"), *priors)

@@ -1,7 +1,7 @@
 """Low-rank response models: a basis by randomised SVD, multi-feature ridge and boosted trees on its scores.
 
-The response matrix stays on the executors, one row of numbers for each target;
-only matrices as long as an axis and a few dozen columns wide reach the driver.
+The response matrix and all that is as long as an axis stay on the executors;
+only matrices as long and as wide as there are components or features reach the driver.
 """
 
 from __future__ import annotations
@@ -13,93 +13,61 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from deltaloom.operators import tall
+from deltaloom.operators.cohorts import with_index
 from deltaloom.session import materialize, small
 
 EXTRA, POWERS = 8, 2
-#: Genes in a piece of the product that tasks add up.
-_PIECE = 1024
 
 
-def _rows(y: DataFrame) -> tuple[DataFrame, list, np.ndarray]:
-    """(target, idx, e: centred values) written as a row for each target; genes in order, and their means."""
-    spark, kind = y.sparkSession, y.schema["gene"].dataType
-    means = y.groupBy("gene").agg(F.avg("y").alias("mean")).orderBy("gene").collect()
-    genes, mean = [r["gene"] for r in means], np.array([r["mean"] for r in means], float)
-    fields = [StructField("gene", kind), StructField("idx", IntegerType()), StructField("mean", DoubleType())]
-    axis = spark.createDataFrame([(g, i, float(m)) for i, (g, m) in enumerate(zip(genes, mean, strict=True))], StructType(fields))
-    entry = F.struct("idx", (F.col("y") - F.col("mean")).alias("e"))
-    packed = y.join(small(axis), "gene").groupBy("target").agg(F.sort_array(F.collect_list(entry)).alias("x"))
-    return materialize(packed.select("target", F.col("x.idx").alias("idx"), F.col("x.e").alias("e")), "responses"), genes, mean
-
-
-def _entries(batch: pa.RecordBatch) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
-    for target, idx, e in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-        yield target, idx.values.to_numpy(), e.values.to_numpy()
-
-
-def _times(rows: DataFrame, thin: np.ndarray) -> tuple[list, np.ndarray]:
-    """Targets in order, and the responses times a matrix on the genes."""
-    sent = rows.sparkSession.sparkContext.broadcast(thin)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [e @ sent.value[idx] for _, idx, e in _entries(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["target", "v"])
-
-    kind = rows.schema["target"].dataType
-    found = rows.mapInArrow(run, StructType([StructField("target", kind), StructField("v", ArrayType(DoubleType()))])).collect()
-    found.sort(key=lambda r: r["target"])
-    return [r["target"] for r in found], np.array([r["v"] for r in found])
-
-
-def _times_transposed(rows: DataFrame, targets: list, thin: np.ndarray, genes: int) -> np.ndarray:
-    """The transposed responses times a matrix on the targets: each task adds up its part, pieces of parts are summed."""
-    width = thin.shape[1]
-    sent = rows.sparkSession.sparkContext.broadcast((dict(zip(targets, range(len(targets)), strict=True)), thin))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, q = sent.value
-        total = np.zeros((genes, width))
-        some = False
-        for batch in batches:
-            for target, idx, e in _entries(batch):
-                total[idx] += e[:, None] * q[place[target]]
-                some = True
-        if some:
-            at = list(range(0, genes, _PIECE))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([total[i : i + _PIECE].tobytes() for i in at], pa.binary())], names=["piece", "s"])
-
-    def add(table: pa.Table) -> pa.Table:
-        s = np.sum([np.frombuffer(x, float) for x in sorted(table.column("s").to_pylist())], axis=0)
-        return pa.table({"piece": table.column("piece").slice(0, 1), "s": pa.array([s.tobytes()], pa.binary())})
-
-    found = rows.mapInArrow(run, "piece int, s binary").groupBy("piece").applyInArrow(add, "piece int, s binary").collect()
-    return np.vstack([np.frombuffer(r["s"], float).reshape(-1, width) for r in sorted(found, key=lambda r: r["piece"])])
+def _matrix(y: DataFrame) -> tuple[tall.Tiles, DataFrame]:
+    """Centred responses in tiles, targets by genes, and the genes' axis (gene, idx, mean)."""
+    genes = materialize(with_index(y, "gene", "idx").join(y.groupBy("gene").agg(F.avg("y").alias("mean")), "gene"), "genes")
+    targets = materialize(with_index(y, "target", "row"), "targets")
+    n_genes, n_targets = genes.count(), targets.count()
+    e = y.join(small(genes, n_genes), "gene").join(small(targets, n_targets), "target")
+    return tall.tiled(e.select("row", F.col("idx").alias("column"), (F.col("y") - F.col("mean")).alias("e")), n_targets, n_genes), genes
 
 
 def response_basis(y: DataFrame, rank: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(target, gene, y) to mean (gene, mean) and basis (component, gene, v): orthonormal rows.
+    """(target, gene, y) to mean (gene, mean) and basis (component, gene, v): orthonormal rows, written.
 
     Centre, sketch by a Gaussian matrix, POWERS power iterations with QR, then an
-    SVD of the small side. Targets and genes are of any type; their ids stay what they are.
+    SVD of the small side. Matrices as long as an axis stay on the executors (tall.py); components of no length are left out.
+    Targets and genes are of any type; their ids stay what they are.
     """
-    spark, kind = y.sparkSession, y.schema["gene"].dataType
-    rows, genes, mean = _rows(y)
-    width = min(rank + EXTRA, len(genes), rows.count())
-    targets, q = _times(rows, np.random.default_rng(seed).standard_normal((len(genes), width)))
+    spark = y.sparkSession
+    a, genes = _matrix(y)
+    mean = genes.select("gene", "mean")
+    width = min(rank + EXTRA, a.rows, a.columns)
+    if not width:
+        return mean, genes.select(F.lit(0).alias("component"), "gene", F.lit(0.0).alias("v")).limit(0)
+    thin = lambda x: tall.after(x, tall.directions(tall.triangle(x)))
+    q = tall.times(a, tall.gaussian(spark, a.columns, width, seed))
     for _ in range(POWERS):
-        z, _ = np.linalg.qr(_times_transposed(rows, targets, np.linalg.qr(q)[0], len(genes)))
-        targets, q = _times(rows, z)
-    q, _ = np.linalg.qr(q)
-    _, _, vt = np.linalg.svd(_times_transposed(rows, targets, q, len(genes)).T, full_matrices=False)
-    vt = vt[: min(rank, len(vt))]
-    # signs are arbitrary; fix them so that reruns agree
-    vt = vt * np.sign(vt[np.arange(len(vt)), np.abs(vt).argmax(axis=1)])[:, None]
-    fields = [StructField("gene", kind), StructField("mean", DoubleType()), StructField("vs", ArrayType(DoubleType()))]
-    found = spark.createDataFrame([(g, float(m), v.tolist()) for g, m, v in zip(genes, mean, vt.T, strict=True)], StructType(fields))
-    return found.select("gene", "mean"), found.select(F.posexplode("vs").alias("component", "v"), "gene").select("component", "gene", "v")
+        z = tall.times(a, thin(q), transposed=True)
+        q = tall.times(a, thin(z))
+    q = tall.orthonormal(q)
+    if not q.width:
+        return mean, genes.select(F.lit(0).alias("component"), "gene", F.lit(0.0).alias("v")).limit(0)
+    # of the small side only the genes' directions are asked for, longest first
+    v = tall.orthonormal(tall.times(a, q, transposed=True))
+    width, rank = v.width, min(rank, v.width)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                block = np.frombuffer(m, float).reshape(tall.SIDE, width)[:, :rank]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(i * tall.SIDE, (i + 1) * tall.SIDE)), pa.array(list(block), pa.list_(pa.float64()))], names=["idx", "vs"])
+
+    wide = materialize(v.blocks.mapInArrow(rows, "idx long, vs array<double>"), "directions")
+    # signs are arbitrary; fix them so that reruns agree: the largest value, of equal ones the first, is positive
+    largest = lambda c: F.max(F.struct(F.round(F.abs(F.col("vs")[c]), 9), -F.col("idx"), F.signum(F.col("vs")[c]).alias("sign")))["sign"].alias(f"s{c}")
+    signs = wide.agg(*(largest(c) for c in range(rank))).head()
+    turned = F.array(*(F.col("vs")[c] * F.lit(float(signs[c] or 1.0)) for c in range(rank)))
+    basis = genes.join(wide.select("idx", turned.alias("vs")), "idx").select(F.posexplode("vs").alias("component", "v"), "gene")
+    return mean, materialize(basis.select("component", "gene", "v"), "basis")
 
 
 def _wide(mean: DataFrame, basis: DataFrame) -> tuple[DataFrame, int]:
@@ -127,6 +95,51 @@ def reconstruct(scores: DataFrame, mean: DataFrame, basis: DataFrame) -> DataFra
     return z.join(wide, how="cross").select("target", "gene", p.alias("p"))
 
 
+#: Targets up to which exact_tail() takes their products with each other.
+EXACT = 4096
+
+
+def exact_tail(y: DataFrame, rank: int) -> tuple[float, float]:
+    """What the best basis of a rank leaves of the centred responses' sum of squares, and the whole sum; from the targets' matrix of products.
+
+    For acceptance of a basis that was found otherwise: the matrix, EXACT x EXACT at most, is the driver's. What is absent counts as 0.
+    """
+    targets = materialize(with_index(y, "target", "row"), "targets")
+    n = targets.count()
+    if n > EXACT:
+        raise ValueError(f"{n} targets; products are taken of {EXACT} at most")
+    mean = y.groupBy("gene").agg(F.avg("y").alias("mean"))
+    rows = y.join(mean, "gene").join(small(targets, n), "target").groupBy("gene").agg(F.collect_list(F.struct("row", (F.col("y") - F.col("mean")).alias("e"))).alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, n))
+        for batch in batches:
+            own = np.zeros((batch.num_rows, n))
+            for g, (at, e) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
+                own[g, at.values.to_numpy()] = e.values.to_numpy()
+            total += own.T @ own
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
+
+    def add(table: pa.Table) -> pa.Table:
+        return pa.table({"m": pa.array([np.sum([np.frombuffer(m, float) for m in table.column("m").to_pylist()], axis=0).tobytes()], pa.binary())})
+
+    found = rows.select("x.row", "x.e").mapInArrow(run, "m binary").groupBy().applyInArrow(add, "m binary").head()
+    values = np.linalg.eigvalsh(np.frombuffer(found[0], float).reshape(n, n)) if found else np.zeros(1)
+    return float(np.maximum(values, 0)[: max(0, len(values) - rank)].sum()), float(values.sum())
+
+
+def basis_report(y: DataFrame, mean: DataFrame, basis: DataFrame) -> DataFrame:
+    """One row: components, how far the basis is from orthonormal, what it leaves of the centred responses' sum of squares, and the whole sum."""
+    wide, rank = _wide(mean, basis)
+    pairs = [(a, b) for a in range(rank) for b in range(a, rank)]
+    off = wide.agg(*(F.abs(F.sum(F.col("vs")[a] * F.col("vs")[b]) - F.lit(float(a == b))).alias(f"o{a}_{b}") for a, b in pairs)) if pairs else wide.agg(F.lit(0.0).alias("o"), F.lit(0.0).alias("p"))
+    off = off.select(F.array_max(F.array(*off.columns)).alias("off"))
+    p = reconstruct(project(y, mean, basis), mean, basis)
+    e, m = F.col("y") - F.col("p"), F.col("y") - F.col("mean")
+    left = y.join(p, ["target", "gene"]).join(small(mean), "gene").agg(F.sum(e * e).alias("left"), F.sum(m * m).alias("whole"))
+    return off.join(left, how="cross").select(F.lit(rank).alias("components"), "off", "left", "whole")  # single rows
+
+
 def ridge_sums(features: DataFrame, scores: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The Gram matrix of an intercept and the features (target, names), and their products with scores (target, component, z): two aggregates."""
     if not names:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloom.functions.expr import MISSING, cell_name, damped, finite_or_null, is_padded, log_norm, outside_mass, r6, target_id
-from deltaloom.operators import audit, calibration, cohorts, families, generate, graph, lowrank, metrics, pseudobulk, splits, transfer, validate
+from deltaloom.operators import audit, calibration, cohorts, families, generate, graph, lowrank, metrics, numbering, pseudobulk, splits, transfer, validate
 from deltaloom.plans.base import ensembl_sql, oracle
 from deltaloom.session import materialize, small
 from deltaloom.sources import star
@@ -455,6 +455,62 @@ def _features(t: Transfer, edges: DataFrame, x: DataFrame) -> DataFrame:
     return graph.neighbour_features(edges, x.select(F.col("target").alias("gene"), "x"), scores)
 
 
+#: Scores that SQL has too: the responses on the first genes of the axis, a component each.
+_WRITTEN = f"SELECT target AS gene, gene_idx AS k, y AS score FROM ytrain JOIN axis USING (gene) WHERE gene_idx < {RANK}"
+_LONG = """SELECT q.gene, i, CASE i WHEN 0 THEN x WHEN 1 THEN CAST(x IS NULL AS DOUBLE) WHEN 2 THEN ln(1 + coalesce(support, 0)) ELSE coalesce(prior, 0) END AS v
+  FROM (SELECT target AS gene, x FROM {x}) q CROSS JOIN (SELECT unnest(range((SELECT 3 + count(DISTINCT k) FROM sc))) AS i)
+  LEFT JOIN (SELECT gene, any_value(support) AS support FROM pr GROUP BY gene) USING (gene) LEFT JOIN (SELECT gene, k + 3 AS i, prior FROM pr) p USING (gene, i)"""
+_NEAR = f"""sc AS ({_WRITTEN}), pr AS (SELECT src AS gene, k, count(*) AS support, sum(w::DOUBLE * score) / nullif(sum(w::DOUBLE), 0) AS prior
+  FROM both_ways JOIN sc ON dst = sc.gene WHERE src <> dst GROUP BY ALL), ftrain AS ({_LONG.format(x="xtrain")}), fheld AS ({_LONG.format(x="xheld")})"""
+
+
+def _maker_inputs(spark: SparkSession, sf_dir: str) -> tuple[Transfer, families.Maker, families.Maker]:
+    """Responses, and the makers of training and of held-out targets' features."""
+    t = Study(spark, sf_dir).transfer()
+    a, links, w = _graph(spark, sf_dir)
+    edges = materialize(graph.build_graph(a, links, w, THRESHOLD).withColumn("w", F.col("w").cast("double")), "edges")
+    return t, families.feature_maker(edges, t.x_train), families.feature_maker(edges, t.x_held)
+
+
+def _written_scores(t: Transfer, first: int) -> DataFrame:
+    return materialize(t.train.join(small(t.axis.where(F.col("gene_idx") < first)), "gene").select("target", F.col("gene_idx").cast("int").alias("component"), F.col("y").alias("z")), "scores")
+
+
+@query(f"WITH {_NEAR} SELECT gene AS target, CAST(i AS INTEGER) AS i, round(v, 6) + 0.0 AS v FROM fheld")
+def component_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of held-out targets, priors for each component among them, a row each."""
+    t, _, held_of = _maker_inputs(spark, sf_dir)
+    f = held_of(_written_scores(t, RANK))
+    names = families.columns_of(families.GRAPH, f)
+    return f.select("target", F.posexplode(F.array(*names)).alias("i", "v")).withColumn("v", r6("v"))
+
+
+def _graph_ridge_sql() -> str:
+    """Ridge on all features by Gauss and Jordan on a list of rows; its matrix is positive definite, so no row is exchanged."""
+    p = 4 + RANK
+    steps = [f"g{k + 1} AS (SELECT list_transform(m, lambda r, i: list_transform(r, lambda v, j: CASE WHEN i = {k + 1} THEN v / r[{k + 1}] ELSE v - r[{k + 1}] * m[{k + 1}][j] / m[{k + 1}][{k + 1}] END)) AS m FROM g{k})" for k in range(p)]
+    scaled = "SELECT gene, 0 AS i, 1.0::DOUBLE AS z FROM (SELECT DISTINCT gene FROM {0}) UNION ALL SELECT gene, i + 1, (coalesce(v, median) - mean) / sd FROM {0} JOIN st USING (i)"
+    return f"""WITH {_NEAR},
+      md AS (SELECT i, coalesce(quantile_cont(v, 0.5), 0) AS median FROM ftrain GROUP BY i),
+      st AS (SELECT i, median, avg(coalesce(v, median)) AS mean, coalesce(nullif(stddev_pop(coalesce(v, median)), 0), 1) AS sd FROM ftrain JOIN md USING (i) GROUP BY ALL),
+      zt AS ({scaled.format("ftrain")}), zh AS ({scaled.format("fheld")}),
+      gram AS (SELECT a.i, list(g ORDER BY a.j) AS r FROM (SELECT x.i, y.i AS j, sum(x.z * y.z) + CASE WHEN x.i = y.i AND x.i > 0 THEN {ALPHA} ELSE 0 END AS g FROM zt x JOIN zt y USING (gene) GROUP BY x.i, y.i) a GROUP BY a.i),
+      rhs AS (SELECT i, list(v ORDER BY gene) AS r FROM (SELECT i, t.gene, sum(z * y) AS v FROM zt JOIN ytrain t ON t.target = zt.gene GROUP BY ALL) GROUP BY i),
+      g0 AS (SELECT list(list_concat(gram.r, rhs.r) ORDER BY i) AS m FROM gram JOIN rhs USING (i)), {", ".join(steps)},
+      w AS (SELECT i - 1 AS i, gene, m[i][{p} + n] AS b FROM g{p}, (SELECT unnest(range(1, {p + 1})) AS i) u, (SELECT gene, row_number() OVER (ORDER BY gene) AS n FROM (SELECT DISTINCT gene FROM ytrain)) o)
+      SELECT zh.gene AS target, w.gene, round(sum(z * b), 6) + 0.0 AS p FROM zh JOIN w USING (i) GROUP BY ALL"""
+
+
+@query(_graph_ridge_sql())
+def graph_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out responses by ridge on all features, from priors on written scores; every gene of the axis is a component to be fitted."""
+    t, train_of, held_of = _maker_inputs(spark, sf_dir)
+    near = _written_scores(t, RANK)
+    every = _written_scores(t, AXIS)
+    z = families.predicted_scores(every, train_of(near), held_of(near), [families.Setting("ridge", "ridge", families.GRAPH, ALPHA)])
+    return z.join(small(t.axis), F.col("component") == F.col("gene_idx")).select("target", "gene", r6("z").alias("p"))
+
+
 # --- splits, selections, profiles ------------------------------------------------------------
 
 
@@ -516,7 +572,8 @@ def selected_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT CAST(cell_idx AS INTEGER) AS cell_idx, coalesce(nnz, 0) AS nnz, CAST(coalesce(sum(nnz) OVER (ORDER BY cell_idx ROWS UNBOUNDED PRECEDING), 0) - coalesce(nnz, 0) AS BIGINT) AS begin FROM c LEFT JOIN n USING (cell)""")
 def csr_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Study(spark, sf_dir)
-    return splits.csr_offsets(s.counts, cohorts.with_index(_controls(s), "cell", "cell_idx"))
+    cells = numbering.by_range(_controls(s).select("cell").distinct(), ["cell"], "cell_idx")
+    return splits.csr_offsets(s.counts, cells.withColumn("cell_idx", F.col("cell_idx").cast("int")))
 
 
 @query(f"SELECT batch, gene, round(s / sum(s) OVER (PARTITION BY batch), 6) AS share FROM (SELECT batch, gene, sum(cnt) AS s FROM counts WHERE target = '{CONTROL}' AND line = '{TRAIN}' GROUP BY ALL)")
@@ -709,6 +766,18 @@ def full_rank_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lowrank.reconstruct(lowrank.ridge_predict(x_held, ["basal"], w), mean, basis).withColumn("p", r6("p"))
 
 
+@query(f"""WITH t AS (SELECT sum(power(y - p, 2)) AS whole, count(DISTINCT target) AS n FROM ytrain JOIN tmean USING (gene))
+  SELECT CAST(least({RANK}, n - 1, (SELECT count(*) FROM axis)) AS INTEGER) AS components, round(whole, 6) AS whole, true AS orthonormal, true AS best FROM t""")
+def basis_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The truncated basis is orthonormal, and leaves as little as the best one of its rank, which the exact matrix of products gives."""
+    t = Study(spark, sf_dir).transfer()
+    mean, basis = _basis(t)
+    tail, _ = lowrank.exact_tail(t.train, RANK)
+    r = lowrank.basis_report(t.train, mean, basis)
+    best = F.col("left") <= F.lit(tail) * 1.01 + F.col("whole") * 1e-9
+    return r.select("components", F.round("whole", 6).alias("whole"), (F.col("off") < 1e-9).alias("orthonormal"), best.alias("best"))
+
+
 @query()
 def low_rank_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training responses from their scores on the basis."""
@@ -717,49 +786,25 @@ def low_rank_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lowrank.reconstruct(lowrank.project(t.train, mean, basis), mean, basis).withColumn("p", r6("p"))
 
 
-def _wide(t: Transfer, spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    a, links, w = _graph(spark, sf_dir)
-    edges = materialize(graph.build_graph(a, links, w, THRESHOLD).withColumn("w", F.col("w").cast("double")), "edges")
-    names = ["basal", "is_missing", "log_support", "prior0", "prior1"]
-
-    def wide(x: DataFrame) -> DataFrame:
-        f = _features(t, edges, x)
-        return f.groupBy(F.col("gene").alias("target")).agg(
-            F.coalesce(F.first("basal"), F.lit(0.0)).alias("basal"), F.first("is_missing").cast("double").alias("is_missing"), F.first("log_support").alias("log_support"),
-            *(F.max(F.when(F.col("k") == k, F.col("prior"))).alias(f"prior{k}") for k in (0, 1)),
-        )
-
-    return materialize(wide(t.x_train), "features"), wide(t.x_held), names
-
-
 @query()
 def low_rank_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held-out responses by multi-feature ridge on basis scores."""
-    t = Study(spark, sf_dir).transfer()
-    mean, basis = _basis(t)
-    train, held, names = _wide(t, spark, sf_dir)
-    w = lowrank.ridge_fit(train, lowrank.project(t.train, mean, basis), names, ALPHA)
-    return lowrank.reconstruct(lowrank.ridge_predict(held, names, w), mean, basis).withColumn("p", r6("p"))
+    """Held-out responses by ridge of basis scores on graph features, a prior for each component among them."""
+    t, train_of, held_of = _maker_inputs(spark, sf_dir)
+    return families.predict(t.train, train_of, held_of, [families.Setting("ridge", "ridge", families.GRAPH, ALPHA)], RANK, SEED)["ridge"].withColumn("p", r6("p"))
 
 
 @query()
 def low_rank_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held-out responses by boosted trees on basis scores."""
-    t = Study(spark, sf_dir).transfer()
-    mean, basis = _basis(t)
-    train, held, names = _wide(t, spark, sf_dir)
-    model = lowrank.trees_fit(train, lowrank.project(t.train, mean, basis), names, **TREES)
-    return lowrank.reconstruct(lowrank.trees_predict(model, held, names), mean, basis).withColumn("p", r6("p"))
+    """Held-out responses by boosted trees of basis scores on graph features."""
+    t, train_of, held_of = _maker_inputs(spark, sf_dir)
+    return families.predict(t.train, train_of, held_of, [families.Setting("trees", "trees", families.GRAPH, **TREES)], RANK, SEED)["trees"].withColumn("p", r6("p"))
 
 
 @query()
 def grid_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Losses of the whole grid over the folds, features made from each fold's training rows."""
-    t = Study(spark, sf_dir).transfer()
-    a, links, w = _graph(spark, sf_dir)
-    edges = materialize(graph.build_graph(a, links, w, THRESHOLD).withColumn("w", F.col("w").cast("double")), "edges")
+    t, features_of, _ = _maker_inputs(spark, sf_dir)
     y = materialize(t.train, "train")
-    features_of = families.feature_maker(edges, t.x_train)
     return families.grid_losses(y, transfer.folds(t.x_train, FOLDS, SEED), features_of, families.grid(RIDGE_ALPHAS, LEAVES, **{k: v for k, v in TREES.items() if k != "leaves"}), RANK, SEED).withColumn("mse", F.round("mse", 6))
 
 

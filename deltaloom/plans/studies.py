@@ -113,7 +113,7 @@ def run_models(
     chosen = stages.frozen_selection(root / "selection.json", key, select)
     best = [s for s in settings if s.name in chosen["best"].values()]
     known: dict = {}
-    predicted = families.predict(train, families.feature_maker(edges, x_train)(train), families.feature_maker(edges, x_held)(train), best, rank, seed, known)
+    predicted = families.predict(train, families.feature_maker(edges, x_train), families.feature_maker(edges, x_held), best, rank, seed, known)
     held_targets, genes = x_held.select("target"), train.select("gene").distinct()
     rows = transfer.zero_delta(held_targets, genes).unionByName(transfer.training_mean(train, held_targets))
     for name, p in predicted.items():
@@ -121,11 +121,12 @@ def run_models(
     sinks.write_table(rows, f"{out}/predictions", "model")
     sinks.write_table(known["mean"], f"{out}/mean")
     sinks.write_table(known["basis"], f"{out}/basis")
+    sinks.write_table(known["scores"], f"{out}/scores")
     for s in best:
         if s.family == "trees":
             lowrank.save_trees(known[s.name], f"{out}/{s.name}")
         else:
-            sinks.write_json({"features": s.features, "coefficients": known[s.name].tolist()}, root / f"{s.name}.json")
+            sinks.write_json({"features": known["scaling"][s.name], "coefficients": known[s.name].tolist()}, root / f"{s.name}.json")
     frozen = sinks.digest(root / "selection.json")
     # held-out responses are first read here
     held = _line(delta, HELD).join(small(axis), "gene").select("target", "gene", F.col("delta_log").alias("y"))

@@ -235,7 +235,7 @@ def test_grid(spark):
     y = spark.createDataFrame(rows, "target string, gene long, y double")
     f = spark.createDataFrame([(f"t{i:02d}", None if i == 5 else float(x[i]), float(rng.normal())) for i in range(24)], "target string, a double, b double")
     settings = [families.Setting("ridge", "good", ("a",), 0.1), families.Setting("ridge", "bad", ("b",), 0.1), families.Setting("trees", "trees", ("a",), leaves=3, rounds=2, rate=0.3, least=2)]
-    losses = families.grid_losses(y, transfer.folds(y, 2, 1), lambda train: f, settings, 2, 1)
+    losses = families.grid_losses(y, transfer.folds(y, 2, 1), lambda scores: f, settings, 2, 1)
     chosen = families.choose(losses)
     assert chosen["winner"] == "good" and chosen["best"] == {"ridge": "good", "trees": "trees", "training_mean": "training_mean"} and losses.count() == 4
     # the same losses from predictions spelt out
@@ -245,6 +245,6 @@ def test_grid(spark):
         train = y.join(held, "target", "left_anti")
         own, asked = f.join(held, "target", "left_anti"), f.join(held, "target", "left_semi")
         mean = train.groupBy("gene").agg(F.avg("y").alias("p")).crossJoin(held).select("target", "gene", "p")
-        for name, p in (families.predict(train, own, asked, settings, 2, 1) | {"training_mean": mean}).items():
+        for name, p in (families.predict(train, lambda _, f=own: f, lambda _, f=asked: f, settings, 2, 1) | {"training_mean": mean}).items():
             want[name] += p.join(y, ["target", "gene"]).agg(F.sum((F.col("p") - F.col("y")) ** 2)).head()[0] / 96
     assert {r["name"]: r.mse for r in losses.collect()} == pytest.approx(want)
