@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from deltaloom.functions.expr import MISSING, cell_name, damped, finite_or_null, is_padded, log_norm, outside_mass, r6, target_id
 from deltaloom.operators import audit, calibration, cohorts, families, generate, graph, lowrank, metrics, numbering, pseudobulk, splits, transfer, validate
 from deltaloom.plans.base import ensembl_sql, oracle
+from deltaloom.plans.fingerprint import digests
 from deltaloom.session import materialize, small
 from deltaloom.sources import star
 from deltaloom.sources.star import CONTROL, HELD, TRAIN, table
@@ -716,6 +717,22 @@ def repeated_barcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.repeated(_identities(spark, sf_dir)[0], "barcode")
 
 
+_SAID = "coalesce(length(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), 'null')".format
+_DIGEST = f"sha256(concat_ws(',', '', {', '.join(_SAID(c) for c in ('batch', 'cell', 'guide', 'line', 'target'))}))"
+
+
+@query(f"""SELECT line, count(*) AS n, CAST(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS VARCHAR) AS a, CAST(sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS VARCHAR) AS b
+  FROM (SELECT line, {_DIGEST} AS h FROM cells) GROUP BY line""")
+def table_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the cells of each line as tables of their own."""
+    cells = Study(spark, sf_dir).cells.select("line", "target", "batch", "guide", "cell")
+    out = None
+    for line in (TRAIN, HELD):
+        d = digests(cells.where(F.col("line") == line)).select(F.lit(line).alias("line"), "n", "a", "b")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
 # --- scalar expressions ----------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from deltaloom.functions.expr import is_mapped
 from deltaloom.operators import calibration, cohorts, families, generate, graph, lowrank, metrics, pseudobulk, splits, transfer, validate
 from deltaloom.plans import stages
+from deltaloom.plans.fingerprint import changed, fingerprints, manifest
 from deltaloom.session import materialize, small
 from deltaloom.sources import sinks, star
 from deltaloom.sources.star import CONTROL, HELD, TRAIN
@@ -57,7 +58,7 @@ def run_transfer(spark: SparkSession, pseudobulk_dir: str, out: str, alphas: lis
         losses = transfer.alpha_losses(x, train, parts, alphas)
         return {"alpha": transfer.best_alpha(losses).head()["alpha"], "mse": {str(r["alpha"]): r["mse"] for r in losses.collect()}}
 
-    key = {"alphas": alphas, "folds": folds, "seed": seed, "inputs": sinks.digest(Path(pseudobulk_dir) / "cohorts.json")}
+    key = {"alphas": alphas, "folds": folds, "seed": seed, "inputs": fingerprints({"delta": delta, "baseline": baseline})}
     chosen = stages.frozen_selection(root / "selection.json", key, select)
     targets = line(delta.select("line", "target"), HELD).select("target").distinct()
     scale = transfer.fit_scale(x)
@@ -109,7 +110,7 @@ def run_models(
         losses = families.grid_losses(train, transfer.folds(x_train, folds, seed), families.feature_maker(edges, x_train), settings, rank, seed)
         return families.choose(materialize(losses, "losses"))
 
-    key = {"settings": [repr(s) for s in settings], "rank": rank, "folds": folds, "seed": seed, "threshold": threshold, "inputs": sinks.digest(Path(pseudobulk_dir) / "cohorts.json")}
+    key = {"settings": [repr(s) for s in settings], "rank": rank, "folds": folds, "seed": seed, "threshold": threshold, "inputs": fingerprints({"delta": spark.read.parquet(f"{pseudobulk_dir}/delta"), "baseline": baseline, "aliases": aliases, "links": links})}
     chosen = stages.frozen_selection(root / "selection.json", key, select)
     best = [s for s in settings if s.name in chosen["best"].values()]
     known: dict = {}
@@ -119,6 +120,7 @@ def run_models(
     for name, p in predicted.items():
         rows = rows.unionByName(p.select(F.lit(name).alias("model"), "target", "gene", "p"))
     sinks.write_table(rows, f"{out}/predictions", "model")
+    sinks.write_table(manifest(spark, {"predictions": spark.read.parquet(f"{out}/predictions")}), f"{out}/manifest")
     sinks.write_table(known["mean"], f"{out}/mean")
     sinks.write_table(known["basis"], f"{out}/basis")
     sinks.write_table(known["scores"], f"{out}/scores")
@@ -174,7 +176,7 @@ def run_calibration(
         validate.require(calibration.seed_problems(scores), "seeds of candidates")
         return {"candidate": calibration.select_candidate(scores).head()["candidate"], "rows": [r.asDict() for r in scored.orderBy("candidate", "seed").collect()]}
 
-    key = {"parts": parts, "iterations": list(iterations), "seed": seed, "mc_seed": mc_seed, "seeds": list(seeds)}
+    key = {"parts": parts, "iterations": list(iterations), "seed": seed, "mc_seed": mc_seed, "seeds": list(seeds), "inputs": fingerprints({"cells": split, "counts": counts} | {f"offsets/{name}": d for name, d in deltas.items()})}
     chosen = stages.frozen_selection(root / "selection.json", key, select)
     frozen = sinks.digest(root / "selection.json")
     # audit cells are first read here; all candidates are audited, the choice stays
@@ -191,27 +193,36 @@ def run_rehearsal(spark: SparkSession, sf_dir: str, models_dir: str, out: str, m
     """Counts for some held-out targets from models' predicted deltas, and their distance from the targets' own cells.
 
     Targets are the first of each cohort by hash among those with enough cells;
-    fit controls make the profiles, score controls go with the written cells.
+    fit controls make the profiles, score controls go with the written cells. Predictions must be
+    those that the models' run has written; the choice of targets is frozen, and a run that takes it up again needs the same tables.
     """
     began, root = time.time(), Path(out)
-    stages.require_new(root)
+    stages.require_new(root / "metrics.json")
     data = star.cells(spark, sf_dir)
     held_cells, held_counts = _line(data.cells, HELD), _line(data.counts, HELD)
     predicted = spark.read.parquet(f"{models_dir}/predictions")
+    validate.require(changed(spark.read.parquet(f"{models_dir}/manifest"), {"predictions": predicted}), "predictions as written")
     genes = predicted.select("gene").distinct()
     support = held_cells.groupBy("target").agg(F.count("*").alias("n")).where(F.col("n") >= cells)
     able = cohorts.cohorts(data.cells.where(F.col("target") != CONTROL).select("line", "target").distinct(), TRAIN, HELD).join(support, "target", "left_semi").join(predicted.select("target").distinct(), "target", "left_semi")
-    chosen = materialize(splits.hash_top_k(able, per_cohort), "targets")
-    if short := [r["cohort"] for r in chosen.groupBy("cohort").count().collect() if r["count"] != per_cohort]:
-        raise ValueError(f"too few targets in {short}")
-    root.mkdir(parents=True)
+
+    def select() -> dict:
+        found = materialize(splits.hash_top_k(able, per_cohort), "targets")
+        if short := [r["cohort"] for r in found.groupBy("cohort").count().collect() if r["count"] != per_cohort]:
+            raise ValueError(f"too few targets in {short}")
+        return {"targets": [[r["target"], r["cohort"], r["place"]] for r in found.orderBy("cohort", "place").collect()]}
+
+    key = {"models": list(models), "per_cohort": per_cohort, "cells": cells, "fit": fit, "score": score, "seed": seed, "inputs": fingerprints({"predictions": predicted, "cells": data.cells, "counts": data.counts})}
+    root.mkdir(parents=True, exist_ok=True)
+    frozen = stages.frozen_selection(root / "selection.json", key, select)["targets"]
+    chosen = spark.createDataFrame([tuple(r) for r in frozen], "target string, cohort string, place int")
     controls = held_cells.where(F.col("target") == CONTROL)
     slices = materialize(splits.slices(controls, {"fit": fit, "score": score}, seed), "slices")
     if slices.count() < fit + score:
         raise ValueError("too few controls")
     sampled = materialize(splits.sample_per_target(held_cells.join(small(chosen.select("target")), "target", "left_semi"), cells, seed), "cells")
-    sinks.write_table(sampled, f"{out}/cells")
-    sinks.write_table(slices, f"{out}/controls")
+    sinks.write_table(sampled, f"{out}/cells", mode="overwrite")
+    sinks.write_table(slices, f"{out}/controls", mode="overwrite")
     own = held_counts.where(F.col("target") == CONTROL).join(small(genes), "gene", "left_semi")
     profiles = generate.transport_profiles(own, controls, genes).of(slices.where("part = 'fit'")).written()
     donors = materialize(splits.uniform_donors(profiles.rows, cells, seed), "donors")
@@ -220,13 +231,12 @@ def run_rehearsal(spark: SparkSession, sf_dir: str, models_dir: str, out: str, m
     rows = []
     for model in models:
         delta = predicted.where(F.col("model") == model).join(small(chosen.select("target")), "target", "left_semi").select("target", "gene", F.col("p").alias("d"))
-        sinks.write_table(generate.transport_generate(profiles, donors, delta, seed), f"{out}/generated/{model}")
+        sinks.write_table(generate.transport_generate(profiles, donors, delta, seed), f"{out}/generated/{model}", mode="overwrite")
         drawn = spark.read.parquet(f"{out}/generated/{model}")
         both = generate.generated_moments(drawn, profiles).join(real, ["target", "gene"])
         off = lambda c: F.sqrt(F.avg((F.col(c) - F.col(f"{c}_r")) * (F.col(c) - F.col(f"{c}_r"))))
         scored = both.groupBy("target").agg(off("mean").alias("mean_log_rmse"), off("variance").alias("variance_log_rmse"), F.avg(F.abs(F.col("dropout") - F.col("dropout_r"))).alias("dropout_mae"))
         scored = scored.join(generate.sample_report(drawn, profiles, delta), "target").join(chosen.select("target", "cohort"), "target")
         rows += [{"model": model} | r.asDict() for r in scored.orderBy("target").collect()]
-    key = {"models": list(models), "per_cohort": per_cohort, "cells": cells, "fit": fit, "score": score, "seed": seed}
-    sinks.write_json({"targets": [r["target"] for r in chosen.orderBy("cohort", "place").collect()], "rows": rows, "run": stages.provenance(began, key)}, root / "metrics.json")
+    sinks.write_json({"targets": [t for t, *_ in frozen], "rows": rows, "run": stages.provenance(began, key)}, root / "metrics.json")
     return {"rows": rows}

@@ -1,7 +1,9 @@
 import json
+import shutil
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from deltaloom.operators.validate import Violation
 from deltaloom.plans import studies
@@ -26,6 +28,20 @@ def test_runs(spark, tmp_path):
     (tmp_path / "b" / "metrics.csv").unlink()
     with pytest.raises(RuntimeError, match="other inputs"):
         studies.run_transfer(spark, a, b, [1.0])
+    # the same rows in other files are the same input; one changed value isn't
+    again, other, moved = (str(tmp_path / x) for x in ("again", "other", "moved"))
+    for root, change in ((again, 0.0), (other, 1e-9)):
+        for name in ("delta", "baseline"):
+            df = spark.read.parquet(f"{a}/{name}")
+            one = df.orderBy("line", *(["target"] if name == "delta" else []), "gene").head()
+            column = "delta_log" if name == "delta" else "mean_log"
+            here = (F.col("gene") == one["gene"]) & (F.col("line") == one["line"]) & (F.lit(True) if name == "baseline" else F.col("target") == one["target"])
+            df = df.withColumn(column, F.when(here & F.lit(change > 0 and name == "delta"), F.col(column) + change).otherwise(F.col(column)))
+            df.select(*reversed(df.columns)).repartition(3).write.parquet(f"{root}/{name}")
+    with pytest.raises(RuntimeError, match="other inputs"):
+        studies.run_transfer(spark, other, b, [1.0, 100.0])
+    shutil.copytree(b, moved, ignore=shutil.ignore_patterns("model", "predictions", "metrics.*"))
+    assert studies.run_transfer(spark, again, moved, [1.0, 100.0])["selection"] == found["selection"]
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
@@ -47,6 +63,18 @@ def test_models_and_rehearsal(spark, tmp_path):
         studies.run_models(spark, a, aliases, links, b, settings, rank=3, folds=2, threshold=400)
     drawn = studies.run_rehearsal(spark, SF, b, c, ("zero_delta", "trees_3"), per_cohort=1, cells=16, fit=40, score=20)
     assert len(drawn["rows"]) == 4 and all(r["within_depth"] and r["mean_log_rmse"] >= 0 for r in drawn["rows"])
+    # the choice of targets is frozen with its tables; predictions that were changed since aren't taken
+    (tmp_path / "c" / "metrics.json").unlink()
+    again = studies.run_rehearsal(spark, SF, b, c, ("zero_delta", "trees_3"), per_cohort=1, cells=16, fit=40, score=20)
+    near = lambda rows: [[pytest.approx(v, rel=1e-9) if isinstance(v, float) else v for v in r.values()] for r in rows]
+    assert [list(r.values()) for r in again["rows"]] == near(drawn["rows"])
+    (tmp_path / "c" / "metrics.json").unlink()
+    with pytest.raises(RuntimeError, match="other inputs"):
+        studies.run_rehearsal(spark, SF, b, c, ("zero_delta",), per_cohort=1, cells=16, fit=40, score=20)
+    shutil.copytree(b, f"{b}2", ignore=shutil.ignore_patterns("predictions"))
+    spark.read.parquet(f"{b}/predictions").withColumn("p", F.col("p") + 1e-9).write.partitionBy("model").parquet(f"{b}2/predictions")
+    with pytest.raises(Violation, match="predictions as written"):
+        studies.run_rehearsal(spark, SF, f"{b}2", f"{c}3", ("zero_delta",), per_cohort=1, cells=16, fit=40, score=20)
     with pytest.raises(ValueError, match="too few targets"):
         studies.run_rehearsal(spark, SF, b, f"{c}2", ("zero_delta",), per_cohort=1000, cells=16)
 
