@@ -1,7 +1,7 @@
 """Mixing sources to target weights (native).
 
 Efraimidis-Spirakis sampling: each document gets the key -ln(u) / weight with u
-hashed from its id; sorted by key within its source, sizes are summed up to the
+hashed from its id and text; sorted by key within its source, sizes are summed up to the
 source's token budget. Whole epochs over the source come before the fraction.
 
 The running sum of a source, which may hold a third of all rows, is made of two
@@ -12,9 +12,9 @@ Targets are worked out over one row for each source, in one task: a corpus has f
 fewer sources than that bounds.
 
 Defined results: null text has size 0; a null source is a source of its own, the
-last; ties of the key go to the smaller id, then the smaller size; rows with a null or
-a repeated doc_id have their key by it all the same, and each its own place in the
-sum; texts of any length count whole; a source of size 0 has target 0; an empty
+last; rows with a null or a repeated doc_id have keys by their texts, a null text's being that of none; rows of one id and text
+have one key, and stand next to each other in the sum, smaller sizes first; equal ones are counted and
+told apart by arithmetic only, so they may be many; texts of any length count whole; a source of size 0 has target 0; an empty
 table gives no rows; other columns are not read, whatever their names.
 """
 
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from deltaloom.session import materialize
 
 SLICES = 4096
+#: Equal rows that one task spells out.
+TOGETHER = 10_000
 #: Of sources in order, repeating; what the targets share of all sizes, and the most of its own size a source gives.
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 SEED = 20260
@@ -39,9 +41,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(words), F.lit(0)).cast("long")
 
 
-def uniform(key: Column, seed: int) -> Column:
-    """In (0, 1), from the key alone, so that reruns and other engines agree: the first 52 bits of a SHA-256."""
-    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))), 256)
+def uniform(key: Column, text: Column, seed: int) -> Column:
+    """In (0, 1), from the key and the text alone, so that reruns and other engines agree: the first 52 bits of a SHA-256."""
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.sha2(text, 256), F.lit(""))), 256)
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") + 0.5) / F.lit(2.0**52)
 
 
@@ -78,15 +80,21 @@ def mix_sources(
     quality: (doc_id, weight) with positive weights; others weigh 1. carry: columns
     of docs that are returned too, and break what ties are left, in this order.
     """
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carry)
+    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), uniform(F.col("doc_id"), F.col("text"), seed).alias("u"), *carry)
+    # equal rows are one with a number, before they are shuffled
+    base = base.groupBy("doc_id", "source", "size", "u", *carry).agg(F.count("*").alias("n"))
     if quality is not None:
-        q = quality.groupBy("doc_id").agg(F.max("weight").alias("weight"))
-        base = base.join(q, "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+        q = quality.groupBy("doc_id").agg(F.max("weight").alias("weight")).where("doc_id is not null")
+        # rows without an id match none, and may be many: a number that no weight has deals them out
+        apart = F.when(F.col("doc_id").isNull(), 1 + F.pmod(F.xxhash64("u"), F.lit(1000))).otherwise(F.lit(0).cast("long"))
+        base = base.withColumns({"of_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "apart": apart})
+        q = q.select(F.col("doc_id").cast("string").alias("of_id"), F.lit(0).cast("long").alias("apart"), "weight")
+        base = base.join(q, ["of_id", "apart"], "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     else:
         base = base.withColumn("weight", F.lit(1.0))
-    base = materialize(base.withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("weight")), "mix")
+    base = materialize(base.select("doc_id", "source", "size", "n", (-F.log("u") / F.col("weight")).alias("key"), *carry), "mix")
     base = base.withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * SLICES).cast("int"))
-    slices = base.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
+    slices = base.groupBy("source", "slice").agg(F.sum(F.col("size") * F.col("n")).alias("slice_size"))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.withColumn("before", F.coalesce(F.sum("slice_size").over(before), F.lit(0)))
     targets = water_fill(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, share, cap)
@@ -96,9 +104,16 @@ def mix_sources(
         F.col("s.source").alias("source_"), F.col("slice").alias("slice_"), "before", "source_size", "target", "epochs", "budget"
     )
     inside = Window.partitionBy("source", "slice").orderBy("key", F.col("doc_id").asc_nulls_last(), "size", *carry).rowsBetween(Window.unboundedPreceding, 0)
-    rows = base.withColumn("inside", F.sum("size").over(inside))
+    rows = base.withColumn("inside", F.sum(F.col("size") * F.col("n")).over(inside))
     rows = rows.join(per_slice, F.col("source").eqNullSafe(F.col("source_")) & (F.col("slice") == F.col("slice_")))
-    end = F.col("before") + F.col("inside")
+    rows = rows.withColumn("start", F.col("before") + F.col("inside") - F.col("size") * F.col("n"))
+    spelt = rows.where(F.col("n") <= TOGETHER).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    # many equal rows are spelt out by several tasks
+    parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / TOGETHER))
+    many = rows.where(F.col("n") > TOGETHER).withColumn("part", F.explode(parts)).repartition("part", "key")
+    first, last = F.col("part") * TOGETHER + 1, F.least((F.col("part") + 1) * TOGETHER, F.col("n"))
+    rows = spelt.unionByName(many.withColumn("nth", F.explode(F.sequence(first, last))).drop("part"))
+    end = F.col("start") + F.col("size") * F.col("nth")
     # the document at the edge is chosen if that comes nearer to the budget
     chosen = (end <= F.col("budget")) | (end - F.col("budget") < F.col("budget") - (end - F.col("size")))
     rows = rows.withColumn("chosen", chosen)

@@ -205,12 +205,13 @@ def _inputs(docs: DataFrame) -> list[str]:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """labels: (doc_id, quality 0 or 1). Only feature rows of the sample reach the driver."""
+    """labels: (doc_id, quality 0 or 1). Only feature rows of the sample reach the driver: of rows that repeat an id one, of those without an id none."""
     names = _inputs(docs)
-    docs = docs.select("doc_id", *names)
-    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
+    docs = docs.select("doc_id", *names).where("doc_id is not null")
+    labels = labels.where("doc_id is not null")
+    known = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
     hashed = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    n_docs, n_known = docs.count(), known.count()
+    n_docs, n_known = docs.agg(F.approx_count_distinct("doc_id")).head()[0], known.count()  # ids, however many rows have them; the estimate doesn't depend on their order
     # twice as many candidates as wanted, labelled or not, then each part to its own share
     known = known.where(hashed < min(1.0, sample / max(1, n_known)))
     known = docs.join(F.broadcast(known), "doc_id").select(F.col("doc_id").alias("k"), "y", *names)
@@ -224,7 +225,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
             x = np.hstack([text_features(own.column(0)), meta_features(own, names)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["k", "y", "x"])
 
-    found = known.union(rest).mapInArrow(rows, "k long, y double, x array<double>").toArrow().sort_by([("k", "ascending"), ("y", "ascending")])
+    # an id's rows become one where they are made, so that the sample is bounded by its ids
+    one = known.union(rest).mapInArrow(rows, "k long, y double, x array<double>").groupBy("k").agg(F.min(F.struct("y", "x")).alias("r"))
+    found = one.select("k", "r.y", "r.x").toArrow().sort_by([("k", "ascending")])
     if not found.num_rows:
         return None
     x = np.array(found.column("x").to_pylist())

@@ -70,9 +70,9 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DOUBLE = "CAST({} AS DOUBLE)".format
 OP4_SQL = rf"""
-WITH d AS (SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(sha256(text), '') AS digest, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
 q AS (SELECT doc_id, max({_DOUBLE(f"CASE quality WHEN 1 THEN {mixing.GOOD} ELSE {mixing.POOR} END")}) AS weight FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-k AS (SELECT d.*, -ln((CAST('0x' || substr(sha256('{mixing.SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + {_DOUBLE(0.5)}) / pow(2, 52)) / coalesce(weight, 1) AS key FROM d LEFT JOIN q USING (doc_id)),
+k AS (SELECT d.*, -ln((CAST('0x' || substr(sha256('{mixing.SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || digest), 1, 13) AS BIGINT) + {_DOUBLE(0.5)}) / pow(2, 52)) / coalesce(weight, 1) AS key FROM d LEFT JOIN q USING (doc_id)),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, {_DOUBLE(mixing.CAP)} * sum(size) AS cap, {_DOUBLE(f"{list(mixing.WEIGHTS)}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1]")} AS w FROM d GROUP BY source),
 l AS (SELECT *, ({_DOUBLE(mixing.SHARE)} * sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
   FROM s WINDOW before AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

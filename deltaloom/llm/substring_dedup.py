@@ -147,12 +147,13 @@ def _windows(bits: int, passes: int, turn: int, repeated, buckets: int, window:
         x, taken = _taken({k: np.concatenate([h[k] for h in held]) for k in _TYPES})
         kept, gone = {k: v[~taken] for k, v in x.items()}, {k: x[k][taken] for k in _PLACE}
         bucket = ((kept["h1"] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # in order, since h1 is
-        lo = np.searchsorted(bucket, np.arange(buckets + 1))
-        cut = np.linspace(0, len(gone["doc"]), buckets + 1).astype(int)  # what is decided here travels along
-        rows = []
-        for b in range(buckets):
-            if lo[b] < lo[b + 1] or cut[b] < cut[b + 1]:
-                rows.append({"bucket": b} | {k: v[lo[b] : lo[b + 1]].tobytes() for k, v in kept.items()} | {f"r_{k}": v[cut[b] : cut[b + 1]].tobytes() for k, v in gone.items()})
+        present, lo = np.unique(bucket, return_index=True)
+        lo = np.append(lo, len(bucket)).tolist()
+        cut = np.linspace(0, len(gone["doc"]), len(present) + 1).astype(int).tolist()  # what is decided here travels along
+        rows = [
+            {"bucket": b} | {k: v[lo[i] : lo[i + 1]].tobytes() for k, v in kept.items()} | {f"r_{k}": v[cut[i] : cut[i + 1]].tobytes() for k, v in gone.items()}
+            for i, b in enumerate(present.tolist())
+        ]
         for i in range(0, len(rows), 64):
             yield pa.RecordBatch.from_pylist(rows[i : i + 64], schema=_GROUPED)
 
@@ -264,7 +265,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     bits = min(MAX_CELLS, max(MIN_CELLS, int(size // CELL_BYTES).bit_length()))
     passes = int(size // (FULL_BYTES * 2**bits) + 1)
     buckets = int(max(1, size // 6 // BUCKET + 1))
-    keyed = docs.withColumn("db", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    # documents without an id lose nothing, and may be many: they go anywhere
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("doc_id"))
+    keyed = docs.withColumn("db", F.pmod(place, F.lit(buckets)).cast("int"))
     removed = None
     for turn in range(passes):
         repeated = spark.sparkContext.broadcast(_repeated(docs, bits, passes, turn, window, gram))

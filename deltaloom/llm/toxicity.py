@@ -185,13 +185,15 @@ def held_out(doc_id: Column) -> Column:
 def sample_of(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE) -> DataFrame:
     """(label, text) of about most labelled documents at most, chosen by a hash of their ids.
 
-    A document labelled more than once counts with its largest label.
+    A document labelled more than once counts with its largest label; of rows that repeat an id
+    the one with the smallest text is learned from, so that the sample is bounded by its ids.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     parts = -(-known.count() // most)
     some = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(max(1, parts))) == 0)
     # most rows at about 20 bytes: a bounded broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("label", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    return rows.groupBy("doc_id").agg(F.max("label").alias("label"), F.min(F.struct("text")).alias("t")).select("label", "t.text")
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
