@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.operators.generate import Profiles, calibrate, generated_moments, transport_generate
+from deltaloom.operators.generate import Profiles, calibrations, generated_moments, transport_generate
 from deltaloom.operators.metrics import distribution_distance
 from deltaloom.session import materialize
 
@@ -30,9 +30,10 @@ def select_candidate(rows: DataFrame, legacy: str = LEGACY) -> DataFrame:
 
 
 def candidates(profiles: Profiles, donors: DataFrame, iterations: tuple[int, ...], seed: int) -> dict[str, DataFrame]:
-    """Deltas (target, gene, d) of generators of control cells: unmoved, and calibrated by so many iterations."""
+    """Deltas (target, gene, d) of generators of control cells: unmoved, and calibrated by so many iterations, which are one way with stops."""
     zero = profiles.axis.select(F.lit("control").alias("target"), "gene", F.lit(0.0).alias("d"))
-    return {LEGACY if not n else f"mean_calibrated_{n}": calibrate(profiles, donors, zero, n, seed).offsets if n else zero for n in iterations}
+    moved = calibrations(profiles, donors, zero, tuple(n for n in iterations if n), seed) if any(iterations) else {}
+    return {f"mean_calibrated_{n}" if n else LEGACY: moved[n].offsets if n else zero for n in iterations}
 
 
 def evaluate_candidates(profiles: Profiles, donors_of: Callable[[int], DataFrame], deltas: dict[str, DataFrame], reference: DataFrame, seeds: list[int]) -> DataFrame:

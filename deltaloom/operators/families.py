@@ -123,8 +123,8 @@ def grid_losses(y: DataFrame, parts: DataFrame, features_of: Maker, settings: li
 
     features_of makes the features of all targets from the scores of a
     fold's training targets, so that no held-out response is seen. As the basis is
-    orthonormal, the squared error of a prediction e against V z is that of e
-    alone, less twice z times the scores of e, plus z times z: no prediction is spelt out.
+    orthonormal, the squared error of a prediction V z against e is that of V s, s being the scores of e, and
+    that of z against s: no prediction is spelt out, and nothing large is subtracted.
     The training mean is compared too, as a family of its own.
     """
     out = None
@@ -134,15 +134,16 @@ def grid_losses(y: DataFrame, parts: DataFrame, features_of: Maker, settings: li
         mean, basis = lowrank.response_basis(train, rank, seed)
         scores = materialize(lowrank.project(y, mean, basis), "scores")
         asked = scores.join(small(held), "target", "left_semi").select("target", "component", F.col("z").alias("s"))
-        e = F.col("y") - F.col("mean")
-        size = y.join(small(held), "target", "left_semi").join(small(mean), "gene").agg(F.sum(e * e).alias("whole"), F.count("*").alias("n"))
+        near = lowrank.reconstruct(asked.withColumnRenamed("s", "z"), mean, basis)
+        e = F.col("y") - F.col("p")
+        size = y.join(near, ["target", "gene"]).agg(F.coalesce(F.sum(e * e), F.lit(0.0)).alias("whole"), F.count("*").alias("n"))
         reference = materialize(scores.join(small(held), "target", "left_anti"), "reference")
         features = features_of(reference)
         own, asked_features = (features.join(small(held), "target", how) for how in ("left_anti", "left_semi"))
         z = predicted_scores(reference, own, asked_features, settings)
-        off = z.join(asked, ["target", "component"]).groupBy("name").agg(F.sum(F.col("z") * F.col("z") - 2 * F.col("z") * F.col("s")).alias("off"))
-        off = off.unionByName(size.select(F.lit(MEAN).alias("name"), F.lit(0.0).alias("off")))  # the training mean is z = 0
-        row = materialize(off.join(F.broadcast(size), how="cross").select("name", (F.col("whole") + F.col("off")).alias("sse"), "n"), "losses")
+        off = z.join(asked, ["target", "component"]).groupBy("name").agg(F.sum((F.col("z") - F.col("s")) * (F.col("z") - F.col("s"))).alias("off"))
+        off = off.unionByName(asked.select(F.lit(MEAN).alias("name"), "s").groupBy("name").agg(F.sum(F.col("s") * F.col("s")).alias("off")))  # the training mean is z = 0
+        row = materialize(off.join(size, how="cross").select("name", (F.col("whole") + F.col("off")).alias("sse"), "n"), "losses")
         out = row if out is None else out.unionByName(row)
     family = F.create_map(*(F.lit(v) for s in [Setting(MEAN, MEAN, ()), *settings] for v in (s.name, s.family)))
     return out.groupBy("name").agg((F.sum("sse") / F.sum("n")).alias("mse")).select(family[F.col("name")].alias("family"), "name", "mse")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from deltaloom.functions.expr import NORMALIZATION, cell_name, damped, log_norm, outside_mass
 from deltaloom.operators.cohorts import with_index
+from deltaloom.operators.metrics import with_zeros
 from deltaloom.session import materialize, small
 
 MOST_DEPTH, MOST_INTENSITY = 1_000_000, 20.0
@@ -76,6 +77,61 @@ def multinomial_null(profile: DataFrame, cells: DataFrame, depth: int, seed: int
     return drawn.join(small(axis), "idx").select(cell_name("cell_idx").alias("cell_name"), "cell_idx", "context", "gene", "cnt")
 
 
+#: How many standard deviations a sum of draws may be from what is expected of it.
+SIGMAS = 6.0
+
+
+def _agreement(totals: DataFrame, by: str) -> DataFrame:
+    """(by, gene, found, expected, variance) of sums of draws: genes that can be drawn, largest standardised deviation, its mean square, and whether both are what chance gives.
+
+    The mean square of n standardised deviations is 1 with a standard deviation of about sqrt(2 / n). Genes that can't be drawn must not have been.
+    """
+    z = (F.col("found") - F.col("expected")) / F.sqrt(F.col("variance") + 1)  # a few counts of what is rarely drawn are no deviation
+    drawable = F.col("variance") > 0
+    own = totals.groupBy(by).agg(
+        F.count(F.when(drawable, 1)).alias("n_genes"), F.max(F.when(drawable, F.abs(z))).alias("largest"), F.avg(F.when(drawable, z * z)).alias("mean_square"),
+        F.bool_and(drawable | (F.abs(F.col("found") - F.col("expected")) < 1e-6)).alias("nothing_else"),
+    )
+    good = F.col("nothing_else") & (F.coalesce("largest", F.lit(0.0)) < SIGMAS) & (F.coalesce("mean_square", F.lit(0.0)) < 1 + SIGMAS * F.sqrt(F.coalesce(F.try_divide(F.lit(2.0), "n_genes"), F.lit(0.0))))
+    return own.select(by, "n_genes", "largest", "mean_square", F.coalesce(good, F.lit(True)).alias("agrees"))
+
+
+def null_agreement(drawn: DataFrame, profile: DataFrame, cells: DataFrame, depth: int) -> DataFrame:
+    """By context: whether multinomial_null()'s counts are draws of its profile (context, gene, share): sums of genes, and how cells scatter.
+
+    scatter: mean square of a gene's counts about depth x share, over its variance in a multinomial; 1 for independent cells.
+    """
+    n = cells.groupBy("context").agg(F.count("*").alias("n_cells"))
+    one, p = F.col("share") * F.lit(float(depth)), F.col("share")
+    sums = drawn.groupBy("context", "gene").agg(F.sum("cnt").alias("found"), F.sum(F.col("cnt").cast("double") * F.col("cnt")).alias("squares"))
+    both = profile.select("context", "gene", "share").join(sums, ["context", "gene"], "full").fillna(0.0, ["share", "squares"]).fillna(0, ["found"]).join(small(n), "context")
+    both = both.withColumns({"expected": one * F.col("n_cells"), "variance": one * (1 - p) * F.col("n_cells")})
+    scatter = F.sum("squares") - F.sum(2 * one * F.col("found")) + F.sum(F.col("n_cells") * one * one)
+    own = both.groupBy("context").agg(F.first("n_cells").alias("n_cells"), (scatter / F.nullif(F.sum("variance"), F.lit(0.0))).alias("scatter"))
+    found = _agreement(both, "context").join(own, "context")
+    # counts of few genes scatter most; a share of 6 / sqrt(cells) is far beyond chance and far below that of equal cells
+    fine = F.abs(F.coalesce("scatter", F.lit(1.0)) - 1) < SIGMAS * F.sqrt(2 / F.col("n_cells")) + 0.05
+    return found.select("context", "n_cells", "n_genes", "largest", "mean_square", "scatter", (F.col("agrees") & fine).alias("agrees"))
+
+
+def transport_agreement(drawn: DataFrame, profiles: Profiles, donors: DataFrame, delta: DataFrame) -> DataFrame:
+    """By target: whether transport_generate()'s counts are draws of the donors' moved profiles, gene by gene.
+
+    Expected counts are spelt out for each target, draw and gene, as many as the generated cells could have; they are summed where they are made.
+    """
+    n = delta.select("target").distinct().count()
+    cells = donors.select("draw", "cell").join(profiles.rows.select("cell", "lib", "outside", "idx", "x"), "cell")
+    own = F.map_from_arrays("idx", "x")
+    grid = cells.select("draw", "lib", "outside", own.alias("own")).join(small(profiles.axis, profiles.size), how="cross").select("draw", "lib", "outside", "idx", F.coalesce(F.col("own")[F.col("idx")], F.lit(0.0)).alias("x"))
+    moves = delta.select("target", "gene", "d").join(small(profiles.axis, profiles.size), "gene").select("target", "idx", "d")
+    rates = grid.join(small(moves, n * profiles.size), "idx").select("target", "draw", "lib", "outside", "idx", F.expm1(F.greatest(F.col("x") + F.col("d"), F.lit(0.0))).alias("rate"))
+    total = rates.groupBy("target", "draw").agg((F.sum("rate") + F.first("outside")).alias("total"))
+    p = F.col("rate") / F.col("total")
+    expected = rates.join(total, ["target", "draw"]).groupBy("target", "idx").agg(F.sum(F.col("lib") * p).alias("expected"), F.sum(F.col("lib") * p * (1 - p)).alias("variance"))
+    found = drawn.select("target", F.inline(F.arrays_zip("idx", "cnt"))).groupBy("target", "idx").agg(F.sum("cnt").alias("found"))
+    return _agreement(expected.join(found, ["target", "idx"], "left").fillna(0, ["found"]), "target")
+
+
 @dataclass(frozen=True)
 class Profiles:
     """Control cells to draw from.
@@ -192,11 +248,10 @@ def generated_moments(drawn: DataFrame, profiles: Profiles, scale: float = NORMA
     n = drawn.groupBy("target").agg(F.count("*").alias("n"))
     x = F.log1p(F.col("cnt") * F.lit(scale) / F.col("depth"))
     long = drawn.select("target", "depth", F.inline(F.arrays_zip("idx", "cnt"))).select("target", "idx", x.alias("x"))
-    sums = long.groupBy("target", "idx").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("k"))
-    grid = n.join(small(profiles.axis, profiles.size), how="cross").join(sums, ["target", "idx"], "left").fillna(0.0, ["s", "q"]).fillna(0, ["k"])
-    mean = F.col("s") / F.col("n")
-    variance = F.coalesce(F.try_divide(F.col("q") - F.col("n") * mean * mean, F.col("n") - 1), F.lit(0.0))
-    return grid.select("target", "gene", mean.alias("mean"), F.greatest(variance, F.lit(0.0)).alias("variance"), (1 - F.col("k") / F.col("n")).alias("dropout"))
+    sums = long.groupBy("target", "idx").agg(F.avg("x").alias("m"), F.var_pop("x").alias("v"), F.count("*").alias("k"))
+    grid = n.join(small(profiles.axis, profiles.size), how="cross").join(sums, ["target", "idx"], "left").fillna(0.0, ["m", "v"]).fillna(0, ["k"])
+    mean, variance = with_zeros(F.col("m"), F.col("v"), F.col("k"), F.col("n"))
+    return grid.select("target", "gene", mean.alias("mean"), F.coalesce(variance, F.lit(0.0)).alias("variance"), (1 - F.col("k") / F.col("n")).alias("dropout"))
 
 
 def sample_report(drawn: DataFrame, profiles: Profiles, requested: DataFrame) -> DataFrame:
@@ -225,13 +280,21 @@ class Calibration:
 def calibrate(
     profiles: Profiles, donors: DataFrame, requested: DataFrame, iterations: int, seed: int, rate: float = 0.5, step: float = 0.25, most: float = 4.0, generate: Callable = transport_generate
 ) -> Calibration:
-    """Offsets that bring means of generated cells near the requested ones, from the requested deltas (target, gene, d) on.
+    """The last calibration of calibrations() with so many iterations."""
+    return calibrations(profiles, donors, requested, (iterations,), seed, rate, step, most, generate)[iterations]
+
+
+def calibrations(
+    profiles: Profiles, donors: DataFrame, requested: DataFrame, iterations: tuple[int, ...], seed: int, rate: float = 0.5, step: float = 0.25, most: float = 4.0, generate: Callable = transport_generate
+) -> dict[int, Calibration]:
+    """Offsets that bring means of generated cells near the requested ones, from the requested deltas (target, gene, d) on, after each of some numbers of iterations.
 
-    Donors and seed are the same in all iterations; the offset as a whole stays
+    Donors and seed are the same in all iterations, so that fewer iterations are the beginning of more: the way is gone once. The offset as a whole stays
     within most, and a request beyond it is refused. Offsets stay on the executors,
-    written once for each iteration.
+    a written table for each iteration.
     """
-    if not isinstance(iterations, int) or iterations < 1 or not 0 < rate <= 1 or not 0 < step <= most or not np.isfinite(most):
+    last = max(iterations, default=0)
+    if not all(isinstance(n, int) and n >= 1 for n in iterations) or last < 1 or not 0 < rate <= 1 or not 0 < step <= most or not np.isfinite(most):
         raise ValueError("calibration parameters out of range")
     requested = requested.select("target", "gene", F.col("d").cast("double").alias("d"))
     bad = F.count(F.when(F.col("d").isNull() | F.isnan("d") | (F.abs("d") == float("inf")), 1))
@@ -242,17 +305,19 @@ def calibrate(
         raise ValueError(f"requested deltas must be within {most}")
     state = requested.join(transport_mean(profiles), "gene")
     state = materialize(state.select("target", "gene", F.greatest(F.col("mean") + F.col("d"), F.lit(0.0)).alias("desired"), (F.col("mean") + F.col("d") < 0).alias("impossible"), "d"), "offsets")
-    errors = None
-    for i in range(iterations + 1):
+    versions, steps = {}, None
+    for i in range(last + 1):
         found = generated_moments(generate(profiles, donors, state.select("target", "gene", "d"), seed, targets), profiles).select("target", "gene", F.col("mean").alias("found"))
         error = F.col("desired") - F.col("found")
-        moved = damped(F.col("d"), error, rate, step, most) if i < iterations else F.col("d")
-        state = materialize(state.join(found, ["target", "gene"]).select("target", "gene", "desired", "impossible", moved.alias("d"), error.alias("error")), "offsets")
-        own = state.select(F.lit(i).alias("i"), "error")
-        errors = own if errors is None else errors.union(own)
-    history = [r["rmse"] for r in errors.groupBy("i").agg(F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse")).orderBy("i").collect()]
-    impossible, bounded = state.agg(F.count(F.when(F.col("impossible"), 1)), F.count(F.when(F.abs("d") >= most, 1))).head()
-    return Calibration(state.select("target", "gene", "d"), requested, history, impossible, bounded)
+        moved = damped(F.col("d"), error, rate, step, most) if i < last else F.col("d")
+        state = materialize(state.join(found, ["target", "gene"]).select("target", "gene", "desired", "impossible", F.col("d").alias("used"), moved.alias("d"), error.alias("error")), "offsets")
+        if i in iterations:
+            versions[i] = state.select("target", "gene", F.col("used").alias("d"))
+        own = state.select(F.lit(i).alias("i"), "error", "impossible", "used")
+        steps = own if steps is None else steps.union(own)
+    rmse, beyond = F.sqrt(F.avg(F.col("error") * F.col("error"))), F.count(F.when(F.abs("used") >= most, 1))
+    rows = steps.groupBy("i").agg(rmse.alias("rmse"), F.count(F.when(F.col("impossible"), 1)).alias("impossible"), beyond.alias("bounded")).orderBy("i").collect()
+    return {n: Calibration(versions[n], requested, [r["rmse"] for r in rows[: n + 1]], rows[n]["impossible"], rows[n]["bounded"]) for n in sorted(set(iterations))}
 
 
 def generate_calibrated(profiles: Profiles, donors: DataFrame, calibration: Calibration, seed: int) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltaloom.functions.expr import log_norm
@@ -39,15 +39,25 @@ def cohort_metrics(errors: DataFrame, cohorts: DataFrame, reference: str = "zero
     return rows.withColumn("mse_relative_to_zero", F.try_divide(F.col("mse"), base))
 
 
+def with_zeros(mean: Column, variance: Column, k: Column, n: Column) -> tuple[Column, Column]:
+    """Mean and sample variance of n values of which k have a mean and a population variance, and all others are 0.
+
+    Sums of squared deviations of both parts and the square of the difference of their means are added, nothing
+    is subtracted. variance: var_pop(), whose partial states Spark merges in the same way.
+    """
+    squares = k * variance + mean * mean * k * (n - k) / n
+    return mean * k / n, F.try_divide(squares, n - 1)
+
+
 def moments(counts: DataFrame, cells: DataFrame, genes: DataFrame, *by: str) -> DataFrame:
     """Mean and variance of normalised counts and the share of zeros by gene; cells without a count are zeros."""
     n = cells.groupBy(*by).agg(F.count("*").alias("n_cells"))
     x = log_norm("cnt", "lib")
-    sums = counts.groupBy(*by, "gene").agg(F.sum(x).alias("s"), F.sum(x * x).alias("q"), F.count(F.when(F.col("cnt") > 0, 1)).alias("k"))
+    sums = counts.groupBy(*by, "gene").agg(F.avg(x).alias("m"), F.var_pop(x).alias("v"), F.count(x).alias("rows"), F.count(F.when(F.col("cnt") > 0, 1)).alias("k"))
     grid = n.join(genes, list(by)) if by and set(by) <= set(genes.columns) else n.join(small(genes.select("gene").distinct()), how="cross")
-    grid = grid.join(sums, [*by, "gene"], "left").fillna(0.0, ["s", "q"]).fillna(0, ["k"])
-    mean = F.col("s") / F.col("n_cells")
-    variance = F.try_divide(F.col("q") - F.col("n_cells") * mean * mean, F.col("n_cells") - 1)
+    grid = grid.join(sums, [*by, "gene"], "left").fillna(0.0, ["m", "v"]).fillna(0, ["rows", "k"])
+    mean, variance = with_zeros(F.col("m"), F.col("v"), F.col("rows"), F.col("n_cells"))
+    # of a single cell there is no variance; it counts as 0
     return grid.select(*by, "gene", mean.alias("mean"), F.greatest(variance, F.lit(0.0)).alias("variance"), (1 - F.col("k") / F.col("n_cells")).alias("dropout"))
 
 

@@ -85,9 +85,9 @@ def require_observed(x: DataFrame, y: DataFrame) -> None:
 def alpha_losses(x: DataFrame, y: DataFrame, parts: DataFrame, alphas: list[float]) -> DataFrame:
     """alpha, mse over held-out folds, every fold with its own imputer and scaler; one plan for all folds and penalties.
 
-    Responses are read once: sums by gene and fold of y, and of y times the feature
-    as each fold's models scale it, give the sums of every fold's complement by
-    subtraction. What is squared in the end is expanded into these sums too.
+    Sums by gene and fold of the responses, less the gene's mean, and of these times the feature
+    as each fold's models scale it give the sums of every fold's complement by
+    subtraction, and so all models. Errors are then taken response by response: squares of large numbers are never subtracted.
     """
     if any(a < 0 for a in alphas):
         raise ValueError("a penalty is negative")
@@ -97,24 +97,29 @@ def alpha_losses(x: DataFrame, y: DataFrame, parts: DataFrame, alphas: list[floa
     rows = x.join(parts, "target").select("target", "x", "fold", out)
     z = apply_scale(rows, fit_scale(rows.where("fold <> out"), "out"), "out")
     own = materialize(z.groupBy("target", "fold").agg(F.sort_array(F.collect_list(F.struct("out", "z"))).alias("z")).select("target", "fold", F.col("z.z").alias("z")), "scaled")
-    data = y.join(small(own), "target")
-    sums = [F.count("*").alias("n"), F.sum("y").alias("y"), F.sum(F.col("y") * F.col("y")).alias("yy")]
+    means = materialize(y.groupBy("gene").agg(F.avg("y").alias("c")), "means")
+    data = y.join(small(own), "target").join(small(means), "gene").withColumn("y", F.col("y") - F.col("c"))
+    sums = [F.count("*").alias("n"), F.sum("y").alias("y"), F.max("c").alias("c")]
     for i in range(len(ids)):
         z = F.col("z")[i]
         sums += [F.sum(z).alias(f"z{i}"), F.sum(z * F.col("y")).alias(f"zy{i}"), F.sum(z * z).alias(f"zz{i}")]
     by_fold = materialize(data.groupBy("gene", "fold").agg(*sums), "fold_sums")
-    whole = by_fold.groupBy("gene").agg(*(F.sum(c).alias(f"all_{c}") for c in by_fold.columns[2:]))
+    added = [c for c in by_fold.columns if c not in ("gene", "fold", "c")]
+    whole = by_fold.groupBy("gene").agg(*(F.sum(c).alias(f"all_{c}") for c in added))
     both = by_fold.join(whole, "gene")
-    # in the fold left out, which is i: sums of its own, and of all others
-    per = [
-        F.struct(*(F.col(c).alias(c) for c in ("n", "y", "yy")), *(F.col(f"{c}{i}").alias(c) for c in ("z", "zy", "zz")), (F.col("all_n") - F.col("n")).alias("tn"), (F.col("all_y") - F.col("y")).alias("ty"), *((F.col(f"all_{c}{i}") - F.col(f"{c}{i}")).alias(f"t{c}") for c in ("zy", "zz")))
-        for i in range(len(ids))
-    ]
+    # in the fold left out, which is i: sums of all others
+    per = [F.struct(*((F.col(f"all_{c}") - F.col(c)).alias(f"t{c}") for c in ("n", "y")), *((F.col(f"all_{c}{i}") - F.col(f"{c}{i}")).alias(f"t{c}") for c in ("z", "zy", "zz"))) for i in range(len(ids))]
     place = F.array_position(F.array(*(F.lit(i).cast("int") for i in ids)), F.col("fold").cast("int")).cast("int")
-    s = both.select(F.element_at(F.array(*per), place).alias("s")).select("s.*").select("*", F.explode(F.array(*(F.lit(float(a)) for a in alphas))).alias("alpha"))
-    b0, b1 = F.try_divide("ty", "tn"), F.coalesce(F.try_divide(F.col("tzy"), F.col("tzz") + F.col("alpha")), F.lit(0.0))
-    sse = F.col("yy") + F.col("n") * b0 * b0 + b1 * b1 * F.col("zz") - 2 * b0 * F.col("y") - 2 * b1 * F.col("zy") + 2 * b0 * b1 * F.col("z")
-    return s.groupBy("alpha").agg((F.sum(sse) / F.sum("n")).alias("mse"))
+    s = both.select("gene", "fold", "c", F.element_at(F.array(*per), place).alias("s")).select("gene", "fold", "c", "s.*")
+    # the slope of a feature whose sum isn't quite 0 also sees the mean that was taken off
+    slope = lambda a: F.coalesce(F.try_divide(F.col("tzy") + F.col("c") * F.col("tz"), F.col("tzz") + F.lit(float(a))), F.lit(0.0))
+    models = s.select("gene", "fold", F.try_divide("ty", "tn").alias("b0"), F.array(*(slope(a) for a in alphas)).alias("b1"))
+    models = materialize(models, "models")
+    e = data.join(small(models), ["gene", "fold"]).withColumn("e", F.col("y") - F.col("b0")).withColumn("own", F.element_at("z", place))
+    off = lambda k: F.col("e") - F.col("b1")[k] * F.col("own")
+    found = e.agg(F.count("*").alias("n"), *(F.sum(off(k) * off(k)).alias(f"e{k}") for k in range(len(alphas))))
+    rows = F.array(*(F.struct(F.lit(float(a)).alias("alpha"), (F.col(f"e{k}") / F.col("n")).alias("mse")) for k, a in enumerate(alphas)))
+    return found.select(F.inline(rows))
 
 
 def best_alpha(losses: DataFrame) -> DataFrame:

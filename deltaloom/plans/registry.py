@@ -826,11 +826,16 @@ def grid_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _null_parts(spark, sf_dir)[2]
+
+
+def _null_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Profiles, cells and their counts."""
     s = Study(spark, sf_dir)
     profile = materialize(_profile(s).withColumnRenamed("batch", "context"), "profile")
     t = _targets(s).where(F.col("line") == HELD).select(F.col("target").alias("perturbation"))
     cells = generate.prediction_grid(profile.select("context").distinct(), t, REPLICATES)
-    return generate.multinomial_null(profile, cells, DEPTH, SEED)
+    return profile, cells, generate.multinomial_null(profile, cells, DEPTH, SEED)
 
 
 @query()
@@ -848,6 +853,15 @@ def null_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.groupBy("cell_name", "context").agg(F.sum("cnt").alias("depth"), F.count(F.when(F.col("on").isNull(), 1)).alias("off_profile"))
 
 
+@query(f"""WITH n AS (SELECT batch AS context, (SELECT count(*) FROM held) * {REPLICATES} AS n_cells, count(*) FILTER (s > 0 AND s < whole) AS n_genes
+    FROM (SELECT batch, gene, sum(cnt) AS s, sum(sum(cnt)) OVER (PARTITION BY batch) AS whole FROM counts WHERE target = '{CONTROL}' AND line = '{TRAIN}' GROUP BY batch, gene) GROUP BY batch)
+  SELECT context, n_cells, n_genes, true AS agrees FROM n""")
+def null_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The null's cells are draws of their contexts' profiles, by sums of genes and by how cells scatter."""
+    profile, cells, drawn = _null_parts(spark, sf_dir)
+    return generate.null_agreement(drawn, profile, cells, DEPTH).select("context", "n_cells", "n_genes", "agrees")
+
+
 def _donors_sql(per_batch: int, seed: int) -> str:
     return f"""SELECT CAST(row_number() OVER (ORDER BY sha256('{seed}:order:' || batch || ':' || i)) - 1 AS BIGINT) AS draw, batch, cell FROM
       (SELECT batch, i, CAST('0x' || substr(sha256('{seed}:' || batch || ':' || i), 1, 12) AS BIGINT) % n AS place FROM (SELECT batch, count(*) AS n FROM ({_CONTROLS}) GROUP BY batch), (SELECT unnest(range({per_batch})) AS i))
@@ -866,18 +880,18 @@ def uniform_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.uniform_donors(_controls(Study(spark, sf_dir)), CELLS, SEED)
 
 
-def _generated(spark: SparkSession, sf_dir: str) -> tuple[generate.Profiles, DataFrame, DataFrame]:
+def _generated(spark: SparkSession, sf_dir: str) -> tuple[generate.Profiles, DataFrame, DataFrame, DataFrame]:
     s = Study(spark, sf_dir)
     profiles = _profiles(s).written()
     delta = s.deltas().where(F.col("line") == TRAIN).select("target", "gene", F.col("delta_log").alias("d"))
     donors = materialize(splits.uniform_donors(profiles.rows, CELLS, SEED), "donors")
-    return profiles, delta, materialize(generate.transport_generate(profiles, donors, delta, SEED), "drawn")
+    return profiles, donors, delta, materialize(generate.transport_generate(profiles, donors, delta, SEED), "drawn")
 
 
 @query()
 def transport_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Control profiles moved by the responses of every training target, at their donors' depth."""
-    profiles, delta, drawn = _generated(spark, sf_dir)
+    profiles, _, delta, drawn = _generated(spark, sf_dir)
     return generate.sample_report(drawn, profiles, delta)
 
 
@@ -886,10 +900,30 @@ def transport_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT target, draw AS sample, CAST(lib AS BIGINT) AS depth, true AS within FROM (SELECT DISTINCT target FROM delta WHERE line = '{TRAIN}'), d""")
 def transport_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated cells have their donor's depth, and no more counts than that."""
-    _, _, drawn = _generated(spark, sf_dir)
+    *_, drawn = _generated(spark, sf_dir)
     return drawn.select("target", "sample", "depth", (F.aggregate("cnt", F.lit(0).cast("long"), lambda a, c: a + c) <= F.col("depth")).alias("within"))
 
 
+_DRAWS = f"""cc AS (SELECT cell, lib, row_number() OVER (ORDER BY sha256('{SEED}:' || cell)) - 1 AS place FROM ({_CONTROLS})),
+  dd AS (SELECT draw, cell, lib FROM (SELECT i AS draw, CAST('0x' || substr(sha256('{SEED}:draw:' || i), 1, 12) AS BIGINT) % (SELECT count(*) FROM cc) AS place FROM (SELECT unnest(range({CELLS})) AS i)) JOIN cc USING (place)),
+  mv AS (SELECT target, draw, greatest(x + delta_log, 0) AS to_, x + delta_log AS moved, gene FROM (SELECT target, gene, delta_log FROM delta WHERE line = '{TRAIN}') JOIN
+    (SELECT draw, g.gene, coalesce(ln(1 + cnt * 1e4 / c.lib), 0) AS x FROM dd CROSS JOIN (SELECT DISTINCT gene FROM panel WHERE line = '{TRAIN}') g LEFT JOIN counts c ON c.cell = dd.cell AND c.gene = g.gene) USING (gene))"""
+
+
+@query(f"WITH {_DRAWS} SELECT target, round(avg(CAST(moved < 0 AS INTEGER)), 6) AS clip_fraction, true AS within_depth FROM mv GROUP BY target")
+def sample_clipping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each target's sample, the share of values that would be below 0, and that no cell exceeds its donor's depth."""
+    profiles, _, delta, drawn = _generated(spark, sf_dir)
+    return generate.sample_report(drawn, profiles, delta).select("target", r6("clip_fraction").alias("clip_fraction"), "within_depth")
+
+
+@query(f"WITH {_DRAWS} SELECT target, count(*) AS n_genes, true AS agrees FROM (SELECT target, gene FROM mv GROUP BY target, gene HAVING max(to_) > 0) GROUP BY target")
+def transport_goodness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each target's counts are draws of its donors' moved profiles."""
+    profiles, donors, delta, drawn = _generated(spark, sf_dir)
+    return generate.transport_agreement(drawn, profiles, donors, delta).select("target", "n_genes", "agrees")
+
+
 @query()
 def calibrated_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Legacy and calibrated generators, scored over seeds against calibration controls."""
