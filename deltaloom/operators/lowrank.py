@@ -270,9 +270,9 @@ def trees_predict(model: DataFrame, features: DataFrame, names: list[str]) -> Da
     return features.select("target", *names).mapInPandas(run, f"target {kind}, component int, z double")
 
 
-def save_trees(model: DataFrame, path: str) -> None:
+def save_trees(model: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """The nodes as one table, a folder for each component."""
-    model.write.partitionBy("component").parquet(path)
+    model.write.mode(mode).partitionBy("component").parquet(path)
 
 
 def load_trees(spark, path: str) -> DataFrame:

@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deltaloom.functions.expr import MISSING, cell_name, damped, finite_or_null, is_padded, log_norm, outside_mass, r6, target_id
 from deltaloom.operators import audit, calibration, cohorts, families, generate, graph, lowrank, metrics, numbering, pseudobulk, splits, transfer, validate
 from deltaloom.plans.base import ensembl_sql, oracle
 from deltaloom.plans.fingerprint import digests
-from deltaloom.session import materialize, small
-from deltaloom.sources import star
+from deltaloom.session import materialize, reserve, small
+from deltaloom.sources import blocks, star
 from deltaloom.sources.star import CONTROL, HELD, TRAIN, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,11 +32,13 @@ REPLICATES, DEPTH, CELLS, DONORS = 40, 2000, 128, 12
 ITERATIONS, MC_SEED, SEEDS = (0, 8, 16), 71001, [72001, 72002, 72003]
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, whole: bool = False) -> Callable[[Query], Query]:
+    """whole: sql has its views already."""
+
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = oracle(sql)
+            ORACLES[f.__name__] = sql if whole else oracle(sql)
         return f
 
     return add
@@ -67,19 +69,56 @@ class Study:
 
 
 class Transfer:
-    """Training and held-out responses on common genes, and the basal feature of their targets."""
+    """Training and held-out responses on common genes, and the basal feature of their targets; each is made when it is first asked for."""
 
     def __init__(self, study: Study) -> None:
-        delta, baseline = study.deltas(), materialize(study.baseline(), "baseline")
-        # what many plans below read is written once: axes, and responses on them
-        self.axis = materialize(cohorts.common_axis(delta, TRAIN, HELD), "axis", AXIS)
-        y = materialize(delta.join(small(self.axis), "gene").select("line", "target", "gene", F.col("delta_log").alias("y")), "y")
-        self.train, self.held = (y.where(F.col("line") == x).drop("line") for x in (TRAIN, HELD))
-        self.targets = materialize(delta.where(F.col("line") == HELD).select("target").distinct(), "targets", AXIS)
-        self.cohorts = cohorts.cohorts(delta, TRAIN, HELD)
-        line = lambda x: baseline.where(F.col("line") == x)
-        self.x_train = materialize(transfer.basal(delta.where(F.col("line") == TRAIN), line(TRAIN)), "basal", AXIS)
-        self.x_held = materialize(transfer.basal(self.targets, line(HELD)), "basal", AXIS)
+        self.study = study
+
+    @cached_property
+    def delta(self) -> DataFrame:
+        return self.study.deltas()
+
+    @cached_property
+    def baseline(self) -> DataFrame:
+        return materialize(self.study.baseline(), "baseline")
+
+    @cached_property
+    def axis(self) -> DataFrame:
+        return materialize(cohorts.common_axis(self.delta, TRAIN, HELD), "axis", AXIS)
+
+    @cached_property
+    def y(self) -> DataFrame:
+        return materialize(self.delta.join(small(self.axis), "gene").select("line", "target", "gene", F.col("delta_log").alias("y")), "y")
+
+    @property
+    def train(self) -> DataFrame:
+        return self.y.where(F.col("line") == TRAIN).drop("line")
+
+    @property
+    def held(self) -> DataFrame:
+        return self.y.where(F.col("line") == HELD).drop("line")
+
+    @cached_property
+    def targets(self) -> DataFrame:
+        return materialize(self._of(HELD).select("target").distinct(), "targets", AXIS)
+
+    @property
+    def cohorts(self) -> DataFrame:
+        return cohorts.cohorts(self.delta, TRAIN, HELD)
+
+    @cached_property
+    def x_train(self) -> DataFrame:
+        return materialize(transfer.basal(self._of(TRAIN), self._base(TRAIN)), "basal", AXIS)
+
+    @cached_property
+    def x_held(self) -> DataFrame:
+        return materialize(transfer.basal(self.targets, self._base(HELD)), "basal", AXIS)
+
+    def _of(self, line: str) -> DataFrame:
+        return self.delta.where(F.col("line") == line)
+
+    def _base(self, line: str) -> DataFrame:
+        return self.baseline.where(F.col("line") == line)
 
     def scaled(self) -> tuple[DataFrame, DataFrame]:
         scale = transfer.fit_scale(self.x_train)
@@ -562,13 +601,23 @@ def selected_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A point read: the counts of some cells on some genes, in the order of the selection."""
     s = Study(spark, sf_dir)
     sel = splits.slices(_controls(s), {"fit": 40}, SEED)
-    from pyspark.sql import Window
-
     sel = sel.select("cell", F.row_number().over(Window.orderBy(splits.hash_order(SEED, "cell"))).cast("long").alias("place"))
     axis = cohorts.common_axis(pseudobulk.panel(s.counts), TRAIN, HELD)
     return s.counts.join(small(sel), "cell").join(small(axis), "gene", "left_semi").select("place", "cell", "gene", "cnt")
 
 
+@query(ORACLES["selected_cells"], whole=True)
+def blocked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same point read from a store of blocks, of which only those with a selected cell are opened."""
+    s = Study(spark, sf_dir)
+    path = reserve(spark, "blocks")
+    blocks.write_blocks(s.counts, s.cells, path)
+    sel = splits.slices(_controls(s), {"fit": 40}, SEED)
+    sel = sel.select("cell", F.row_number().over(Window.orderBy(splits.hash_order(SEED, "cell"))).cast("long").alias("place"))  # 40 rows
+    axis = cohorts.common_axis(pseudobulk.panel(s.counts), TRAIN, HELD)
+    return blocks.read_cells(spark, path, sel, axis).join(small(sel), "cell").select("place", "cell", "gene", "cnt")
+
+
 @query(f"""WITH c AS (SELECT cell, row_number() OVER (ORDER BY cell) - 1 AS cell_idx FROM ({_CONTROLS})), n AS (SELECT cell, count(*) AS nnz FROM counts GROUP BY cell)
   SELECT CAST(cell_idx AS INTEGER) AS cell_idx, coalesce(nnz, 0) AS nnz, CAST(coalesce(sum(nnz) OVER (ORDER BY cell_idx ROWS UNBOUNDED PRECEDING), 0) - coalesce(nnz, 0) AS BIGINT) AS begin FROM c LEFT JOIN n USING (cell)""")
 def csr_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:

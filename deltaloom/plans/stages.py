@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import contextlib
 import fcntl
+import functools
 import hashlib
+import inspect
 import json
 import os
 import platform
 import resource
 import shutil
+import socket
 import subprocess
 import time
 from collections.abc import Callable, Iterator
@@ -19,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.sources.sinks import digest, write_json
+from deltaloom.sources.store import Place
 
 
-def fingerprints(paths: list[Path]) -> dict[str, str]:
+def fingerprints(paths: list[Path | Place]) -> dict[str, str]:
     return {str(p): digest(p) for p in paths}
 
 
-def stage(state: dict, state_path: Path, name: str, outputs: list[Path], action: Callable[[], None]) -> bool:
+def stage(state: dict, state_path: Path | Place, name: str, outputs: list[Path | Place], action: Callable[[], None]) -> bool:
     """Run action unless state says it is done and its outputs are unchanged; True if it ran."""
     if name in state:
         if any(not p.exists() for p in outputs) or fingerprints(outputs) != state[name]:
@@ -51,7 +55,7 @@ def git_commit(root: Path, clean: bool = True) -> str:
     return git("rev-parse", "HEAD")
 
 
-def load_state(path: Path, run_id: str) -> dict:
+def load_state(path: Path | Place, run_id: str) -> dict:
     """The state of this very run; that of another is an error."""
     state = json.loads(path.read_text()) if path.exists() else {}
     if state.setdefault("run", run_id) != run_id:
@@ -60,7 +64,15 @@ def load_state(path: Path, run_id: str) -> dict:
 
 
 @contextlib.contextmanager
-def locked(path: Path) -> Iterator[None]:
+def locked(path: Path | Place) -> Iterator[None]:
+    """Held by one run at a time. On a local path the lock ends with its process; elsewhere a file says who holds it."""
+    if isinstance(path, Place):
+        _claim(path)
+        try:
+            yield
+        finally:
+            path.unlink()
+        return
     with path.open("w") as f:
         try:
             fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
@@ -69,6 +81,49 @@ def locked(path: Path) -> Iterator[None]:
         yield
 
 
+def _claim(path: Place) -> None:
+    """Create the lock, which the file system grants once. That of a process of this machine that is no more is taken over; any other must be released."""
+    mine = json.dumps({"host": socket.gethostname(), "pid": os.getpid(), "since": time.time()})
+    for _ in range(2):
+        try:
+            return path.create_text(mine)
+        except FileExistsError:
+            owner = json.loads(path.read_text() or "{}")
+            if owner.get("host") != socket.gethostname() or _alive(owner.get("pid", 0)):
+                raise RuntimeError(f"another run holds the lock {path}: {owner}") from None
+            path.unlink()
+    raise RuntimeError(f"another run has taken the lock {path}")
+
+
+def _alive(pid: int) -> bool:
+    try:
+        os.kill(pid, 0)
+    except ProcessLookupError:
+        return False
+    except PermissionError:
+        pass
+    return True
+
+
+def release(path: Place) -> None:
+    """Take away the lock of a run that is known to have ended."""
+    if path.exists():
+        path.unlink()
+
+
+def claimed(run: Callable) -> Callable:
+    """A study (with parameters spark and out) that holds the lock beside its folder while it runs."""
+    signature = inspect.signature(run)
+
+    @functools.wraps(run)
+    def held(*args: object, **kwargs: object) -> object:
+        given = signature.bind(*args, **kwargs).arguments
+        with locked(Place(given["spark"], f"{str(given['out']).rstrip('/')}.lock")):
+            return run(*args, **kwargs)
+
+    return held
+
+
 def memory_limit() -> int:
     """Bytes this process may use: of the machine or its control group."""
     known = [os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")]
@@ -85,7 +140,7 @@ def require_resources(folder: Path, memory: int, scratch: int) -> dict[str, int]
     return found
 
 
-def frozen_selection(path: Path, key: dict, select: Callable[[], dict]) -> dict:
+def frozen_selection(path: Path | Place, key: dict, select: Callable[[], dict]) -> dict:
     """A selection made once and written before held-out labels are read.
 
     A selection found there is used only if it was made from the same config,
@@ -101,7 +156,7 @@ def frozen_selection(path: Path, key: dict, select: Callable[[], dict]) -> dict:
     return chosen
 
 
-def require_new(*paths: Path) -> None:
+def require_new(*paths: Path | Place) -> None:
     if there := [str(p) for p in paths if p.exists()]:
         raise FileExistsError(f"already there: {there}")
 

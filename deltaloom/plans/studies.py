@@ -1,9 +1,12 @@
-"""Whole runs: from tables to written results, with selections frozen before held-out labels are read."""
+"""Whole runs: from tables to written results, with selections frozen before held-out labels are read.
+
+A run's folder may be on any file system that Spark writes to. A lock beside it lets one run at a time in; the last file
+says that it is finished. One that was broken off is run again: its frozen selection holds if the tables are the same, and tables are written anew.
+"""
 
 from __future__ import annotations
 
 import time
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,22 +18,24 @@ from deltaloom.plans.fingerprint import changed, fingerprints, manifest
 from deltaloom.session import materialize, small
 from deltaloom.sources import sinks, star
 from deltaloom.sources.star import CONTROL, HELD, TRAIN
+from deltaloom.sources.store import Place
 
 
+@stages.claimed
 def run_pseudobulk(spark: SparkSession, sf_dir: str, out: str, least_controls: int = 10) -> dict:
     """Check the inputs, aggregate, and write deltas, control baselines, strata and cohorts."""
-    began, root = time.time(), Path(out)
-    stages.require_new(root)
-    root.mkdir(parents=True)
+    began, root = time.time(), Place(spark, out)
+    stages.require_new(root / "report.json")
+    root.mkdir()
     data = star.cells(spark, sf_dir)
     sums = materialize(pseudobulk.sufficient(data.rows), "sums")
     stats, groups, genes, _ = pseudobulk.parts_of(sums)
     validate.require(validate.bad_counts(data.counts), "raw counts")
     validate.require(validate.above_library(data.counts, 0.01), "library")
     validate.require(validate.too_few_controls(groups, CONTROL, least_controls), "matched controls")
-    sinks.write_table(pseudobulk.matched_delta_of(sums, CONTROL), f"{out}/delta", "line")
-    sinks.write_table(pseudobulk.control_baseline(stats, groups, genes, CONTROL), f"{out}/baseline")
-    sinks.write_table(pseudobulk.matched_strata(groups, CONTROL), f"{out}/strata")
+    sinks.write_table(pseudobulk.matched_delta_of(sums, CONTROL), f"{out}/delta", "line", mode="overwrite")
+    sinks.write_table(pseudobulk.control_baseline(stats, groups, genes, CONTROL), f"{out}/baseline", mode="overwrite")
+    sinks.write_table(pseudobulk.matched_strata(groups, CONTROL), f"{out}/strata", mode="overwrite")
     delta = spark.read.parquet(f"{out}/delta")
     validate.require(validate.repeated(delta, "line", "target", "gene"), "repeated pairs")
     found = cohorts.cohorts(delta, TRAIN, HELD).orderBy("target").collect()
@@ -41,11 +46,12 @@ def run_pseudobulk(spark: SparkSession, sf_dir: str, out: str, least_controls: i
     return summary
 
 
+@stages.claimed
 def run_transfer(spark: SparkSession, pseudobulk_dir: str, out: str, alphas: list[float], folds: int = 5, seed: int = 2026) -> dict:
     """Choose a penalty on the training line, freeze it, and only then read held-out responses and write metrics."""
-    began, root = time.time(), Path(out)
-    root.mkdir(parents=True, exist_ok=True)
-    stages.require_new(root / "metrics.csv")
+    began, root = time.time(), Place(spark, out)
+    root.mkdir()
+    stages.require_new(root / "metrics.json")
     delta, baseline = spark.read.parquet(f"{pseudobulk_dir}/delta"), spark.read.parquet(f"{pseudobulk_dir}/baseline")
     line = lambda df, x: df.where(F.col("line") == x)
     axis = cohorts.common_axis(delta.select("line", "gene"), TRAIN, HELD)
@@ -63,15 +69,16 @@ def run_transfer(spark: SparkSession, pseudobulk_dir: str, out: str, alphas: lis
     targets = line(delta.select("line", "target"), HELD).select("target").distinct()
     scale = transfer.fit_scale(x)
     model = transfer.ridge_fit(transfer.apply_scale(x, scale), train, chosen["alpha"])
-    sinks.write_table(model, f"{out}/model")
+    sinks.write_table(model, f"{out}/model", mode="overwrite")
     genes = train.select("gene").distinct()
     predicted = transfer.ridge_predict(transfer.apply_scale(transfer.basal(targets, line(baseline, HELD)), scale), model)
     for p in (transfer.zero_delta(targets, genes), transfer.training_mean(train, targets), transfer.nearest_line(train, targets)):
         predicted = predicted.unionByName(p)
-    sinks.write_table(predicted, f"{out}/predictions", "model")
+    sinks.write_table(predicted, f"{out}/predictions", "model", mode="overwrite")
     # held-out responses are first read here
     held = line(delta, HELD).join(small(axis), "gene").select("target", "gene", F.col("delta_log").alias("y"))
     found = metrics.cohort_metrics(metrics.target_errors(held, spark.read.parquet(f"{out}/predictions")), cohorts.cohorts(delta, TRAIN, HELD)).orderBy("model", "cohort")
+    stages.release(root / "metrics.csv")
     sinks.write_report(found, root / "metrics.csv")
     rows = [r.asDict() for r in found.collect()]
     sinks.write_json({"selection": chosen, "metrics": rows, "run": stages.provenance(began, key)}, root / "metrics.json")
@@ -82,6 +89,7 @@ def _line(df: DataFrame, line: str) -> DataFrame:
     return df.where(F.col("line") == line)
 
 
+@stages.claimed
 def run_models(
     spark: SparkSession, pseudobulk_dir: str, aliases: DataFrame, links: DataFrame, out: str, settings: list[families.Setting] | None = None, rank: int = 16, folds: int = 5, seed: int = 2026, threshold: int = 700
 ) -> dict:
@@ -89,9 +97,9 @@ def run_models(
 
     aliases (protein, gene: any alias), links (protein1, protein2, score).
     """
-    began, root = time.time(), Path(out)
-    root.mkdir(parents=True, exist_ok=True)
-    stages.require_new(root / "metrics.csv")
+    began, root = time.time(), Place(spark, out)
+    root.mkdir()
+    stages.require_new(root / "metrics.json")
     settings = families.grid((1.0, 100.0, 1000.0), (7, 15)) if settings is None else settings
     delta, baseline = spark.read.parquet(f"{pseudobulk_dir}/delta").where(is_mapped("target")), spark.read.parquet(f"{pseudobulk_dir}/baseline")
     axis = cohorts.common_axis(delta.select("line", "gene"), TRAIN, HELD)
@@ -119,20 +127,21 @@ def run_models(
     rows = transfer.zero_delta(held_targets, genes).unionByName(transfer.training_mean(train, held_targets))
     for name, p in predicted.items():
         rows = rows.unionByName(p.select(F.lit(name).alias("model"), "target", "gene", "p"))
-    sinks.write_table(rows, f"{out}/predictions", "model")
-    sinks.write_table(manifest(spark, {"predictions": spark.read.parquet(f"{out}/predictions")}), f"{out}/manifest")
-    sinks.write_table(known["mean"], f"{out}/mean")
-    sinks.write_table(known["basis"], f"{out}/basis")
-    sinks.write_table(known["scores"], f"{out}/scores")
+    sinks.write_table(rows, f"{out}/predictions", "model", mode="overwrite")
+    sinks.write_table(manifest(spark, {"predictions": spark.read.parquet(f"{out}/predictions")}), f"{out}/manifest", mode="overwrite")
+    sinks.write_table(known["mean"], f"{out}/mean", mode="overwrite")
+    sinks.write_table(known["basis"], f"{out}/basis", mode="overwrite")
+    sinks.write_table(known["scores"], f"{out}/scores", mode="overwrite")
     for s in best:
         if s.family == "trees":
-            lowrank.save_trees(known[s.name], f"{out}/{s.name}")
+            lowrank.save_trees(known[s.name], f"{out}/{s.name}", "overwrite")
         else:
             sinks.write_json({"features": known["scaling"][s.name], "coefficients": known[s.name].tolist()}, root / f"{s.name}.json")
     frozen = sinks.digest(root / "selection.json")
     # held-out responses are first read here
     held = _line(delta, HELD).join(small(axis), "gene").select("target", "gene", F.col("delta_log").alias("y"))
     found = metrics.cohort_metrics(metrics.target_errors(held, spark.read.parquet(f"{out}/predictions")), cohorts.cohorts(delta, TRAIN, HELD)).orderBy("model", "cohort")
+    stages.release(root / "metrics.csv")
     sinks.write_report(found, root / "metrics.csv")
     rows = [r.asDict() for r in found.collect()]
     report = graph.graph_report(edges, aliases, wanted).head().asDict()
@@ -146,18 +155,19 @@ def _controls(data: star.Cells) -> tuple[DataFrame, DataFrame, DataFrame]:
     return own(data.cells), own(data.counts), _line(data.counts, TRAIN).select("gene").distinct()
 
 
+@stages.claimed
 def run_calibration(
     spark: SparkSession, sf_dir: str, out: str, parts: dict[str, int] | None = None, iterations: tuple[int, ...] = (0, 8, 16), seed: int = 20261013, mc_seed: int = 71001, seeds: tuple[int, ...] = (72001, 72002, 72003)
 ) -> dict:
     """Generators of control cells: choose on calibration cells, freeze, and only then read the audit's; the choice must not change by it."""
-    began, root = time.time(), Path(out)
-    stages.require_new(root)
+    began, root = time.time(), Place(spark, out)
+    stages.require_new(root / "metrics.json")
     parts = parts or {"fit": 12, "calibration": 4, "audit": 4}
     data = star.cells(spark, sf_dir)
     cells, counts, genes = _controls(data)
     validate.require(splits.short_batches(cells, parts), "controls in each batch")
-    root.mkdir(parents=True)
-    sinks.write_table(splits.split_controls(cells, parts, seed), f"{out}/cells")
+    root.mkdir()
+    sinks.write_table(splits.split_controls(cells, parts, seed), f"{out}/cells", mode="overwrite")
     split = spark.read.parquet(f"{out}/cells")
     of = lambda p: split.where(F.col("part") == p).select("cell")
     moments_of = lambda p: materialize(metrics.moments(counts.join(of(p), "cell", "left_semi"), cells.join(of(p), "cell", "left_semi"), genes), "reference")
@@ -166,7 +176,7 @@ def run_calibration(
     donors = materialize(splits.balanced_donors(fit.rows, parts["fit"], mc_seed), "donors")
     deltas = calibration.candidates(fit, donors, iterations, mc_seed)
     for name, d in deltas.items():
-        sinks.write_table(d, f"{out}/offsets/{name}")
+        sinks.write_table(d, f"{out}/offsets/{name}", mode="overwrite")
     deltas = {name: spark.read.parquet(f"{out}/offsets/{name}") for name in deltas}
     donors_of = lambda s: splits.balanced_donors(fit.rows, parts["calibration"], s)
 
@@ -189,6 +199,7 @@ def run_calibration(
     return {"selection": chosen, "audit": rows}
 
 
+@stages.claimed
 def run_rehearsal(spark: SparkSession, sf_dir: str, models_dir: str, out: str, models: tuple[str, ...], per_cohort: int = 3, cells: int = 128, fit: int = 512, score: int = 256, seed: int = 2026) -> dict:
     """Counts for some held-out targets from models' predicted deltas, and their distance from the targets' own cells.
 
@@ -196,7 +207,7 @@ def run_rehearsal(spark: SparkSession, sf_dir: str, models_dir: str, out: str, m
     fit controls make the profiles, score controls go with the written cells. Predictions must be
     those that the models' run has written; the choice of targets is frozen, and a run that takes it up again needs the same tables.
     """
-    began, root = time.time(), Path(out)
+    began, root = time.time(), Place(spark, out)
     stages.require_new(root / "metrics.json")
     data = star.cells(spark, sf_dir)
     held_cells, held_counts = _line(data.cells, HELD), _line(data.counts, HELD)
@@ -213,7 +224,7 @@ def run_rehearsal(spark: SparkSession, sf_dir: str, models_dir: str, out: str, m
         return {"targets": [[r["target"], r["cohort"], r["place"]] for r in found.orderBy("cohort", "place").collect()]}
 
     key = {"models": list(models), "per_cohort": per_cohort, "cells": cells, "fit": fit, "score": score, "seed": seed, "inputs": fingerprints({"predictions": predicted, "cells": data.cells, "counts": data.counts})}
-    root.mkdir(parents=True, exist_ok=True)
+    root.mkdir()
     frozen = stages.frozen_selection(root / "selection.json", key, select)["targets"]
     chosen = spark.createDataFrame([tuple(r) for r in frozen], "target string, cohort string, place int")
     controls = held_cells.where(F.col("target") == CONTROL)
@@ -240,3 +251,65 @@ def run_rehearsal(spark: SparkSession, sf_dir: str, models_dir: str, out: str, m
         rows += [{"model": model} | r.asDict() for r in scored.orderBy("target").collect()]
     sinks.write_json({"targets": [t for t, *_ in frozen], "rows": rows, "run": stages.provenance(began, key)}, root / "metrics.json")
     return {"rows": rows}
+
+
+#: Bytes that a stored count takes on disk, at most; bytes that must stay free.
+ENTRY, RESERVE = 16, 512 << 20
+
+
+@stages.claimed
+def run_null(spark: SparkSession, sf_dir: str, out: str, replicates: int = 400, depth: int = 20_000, most: int = 4_750_000_000, seed: int = 2026) -> dict:
+    """The null prediction: for every context and perturbation cells drawn from the context's control profile, whatever the perturbation.
+
+    Expected entries and free space are looked at before anything is drawn. What is drawn is written under another name, held against the
+    panel, the cap of stored entries, the depth and the profiles, and appears as prediction/ only if all of it is right.
+    """
+    began, root = time.time(), Place(spark, out)
+    stages.require_new(root / "report.json", root / "prediction")
+    root.mkdir()
+    data = star.cells(spark, sf_dir)
+    cells, counts, _ = _controls(data)
+    validate.require(validate.bad_counts(counts), "raw counts")
+    profile = splits.control_profile(counts, "batch").withColumnRenamed("batch", "context")
+    profile = materialize(profile, "profile")
+    perturbations = materialize(_line(data.cells, HELD).where(F.col("target") != CONTROL).select(F.col("target").alias("perturbation")).distinct(), "perturbations")
+    contexts = profile.select("context").distinct()
+    grid = materialize(generate.prediction_grid(contexts, perturbations, replicates), "grid")
+    per_context = perturbations.count() * replicates
+    expected = generate.expected_nonzeros(profile, depth, "context").agg(F.coalesce(F.sum("expected"), F.lit(0.0))).head()[0] * per_context
+    if expected > most:
+        raise ValueError(f"about {expected:.0f} stored entries are to be expected; the cap is {most}")
+    if root.free() < expected * ENTRY + RESERVE:
+        raise RuntimeError(f"{root.free()} bytes are free; about {expected * ENTRY:.0f} and {RESERVE} more are needed")
+    partial = root / "prediction.partial"
+    partial.remove()
+    try:
+        drawn = generate.multinomial_null(profile, grid, depth, seed)
+        sinks.write_table(drawn.join(small(grid.select("cell_idx", "perturbation")), "cell_idx"), f"{partial}/counts", "context")
+        sinks.write_table(grid, f"{partial}/cells")
+        written = spark.read.parquet(f"{partial}/counts")
+        fit = generate.null_agreement(written, profile, grid, depth)
+        report = require_prediction(written, spark.read.parquet(f"{partial}/cells"), grid, profile, replicates, depth, most)
+        validate.require(fit.where(~F.col("agrees")), "counts as drawn from the profiles")
+        report["fit"] = [r.asDict() for r in fit.orderBy("context").collect()]
+        partial.move(root / "prediction")
+    finally:
+        partial.remove()
+    key = {"replicates": replicates, "depth": depth, "most": most, "seed": seed, "inputs": fingerprints({"profile": profile})}
+    made = manifest(spark, {"prediction": spark.read.parquet(f"{out}/prediction/counts")}).head().asDict()
+    sinks.write_json(report | {"expected_entries": expected, "prediction": made, "run": stages.provenance(began, key)}, root / "report.json")
+    return report
+
+
+def require_prediction(counts: DataFrame, cells: DataFrame, panel: DataFrame, profile: DataFrame, replicates: int, depth: int, most: int) -> dict:
+    """Raise unless a prediction's cells are the panel's, and its counts are whole, positive, on known genes, of the depth in every cell and within the cap; what it holds otherwise."""
+    validate.require(validate.panel_difference(cells, panel, ["context", "perturbation"], replicates), "cells of the panel")
+    validate.require(validate.repeated(cells, "cell_idx"), "repeated cells")
+    validate.require(validate.stored_zeros(counts), "stored zeros")
+    validate.require(validate.too_many_nonzeros(counts, most), "stored entries")
+    validate.require(validate.repeated(counts, "cell_idx", "gene"), "repeated pairs of cell and gene")
+    validate.require(counts.join(small(profile.select("gene").distinct()), "gene", "left_anti"), "genes of the panel")
+    sums = counts.groupBy("cell_idx").agg(F.sum("cnt").alias("depth"), F.min("cnt").alias("least"), F.count("*").alias("nnz"))
+    both = cells.select("cell_idx").join(sums, "cell_idx", "full").where((F.coalesce("depth", F.lit(0)) != depth) | (F.col("least") < 1))
+    validate.require(both, "depth of every cell")
+    return sums.agg(F.count("*").alias("cells"), F.sum("nnz").alias("entries"), F.min("nnz").alias("least_genes"), F.max("nnz").alias("most_genes"), F.sum("depth").alias("counts")).head().asDict()

@@ -18,8 +18,8 @@ ARROW_ROWS = 1000
 #: Rows in a file of a table known to be small.
 FILE_ROWS = 20_000
 
-#: Rows of a table that may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows of a table that may be broadcast, and bytes of files that may be without a count.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 4 << 20
 
 _LOCAL: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -98,9 +98,13 @@ def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
 
 
 def small(df: DataFrame, known: int | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df to be broadcast if it has so many rows at most, known or else counted; else as it is, for a join by shuffle."""
-    n = df.limit(rows + 1).count() if known is None else known
-    return F.broadcast(df) if n <= rows else df
+    """df to be broadcast if it is small: by a known number of rows, by Spark's estimate from the files that it reads, or else counted. Otherwise as it is, for a join by shuffle."""
+    if known is None:
+        # without statistics Spark takes a filter, projection or aggregate to be as large as what it reads, and a join as the product
+        if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES:
+            return F.broadcast(df)
+        known = df.limit(rows + 1).count()
+    return F.broadcast(df) if known <= rows else df
 
 
 @contextlib.contextmanager

@@ -22,10 +22,10 @@ def test_runs(spark, tmp_path):
         studies.run_pseudobulk(spark, SF, a)
     found = studies.run_transfer(spark, a, b, [1.0, 100.0])
     assert found["selection"]["alpha"] in (1.0, 100.0) and {r["model"] for r in found["metrics"]} == {"zero_delta", "training_mean", "nearest_line", "ridge"}
-    assert (tmp_path / "b" / "metrics.csv").exists()
+    assert (tmp_path / "b" / "metrics.csv").exists() and not (tmp_path / "b.lock").exists()
     with pytest.raises(FileExistsError):
         studies.run_transfer(spark, a, b, [1.0, 100.0])
-    (tmp_path / "b" / "metrics.csv").unlink()
+    (tmp_path / "b" / "metrics.json").unlink()
     with pytest.raises(RuntimeError, match="other inputs"):
         studies.run_transfer(spark, a, b, [1.0])
     # the same rows in other files are the same input; one changed value isn't
