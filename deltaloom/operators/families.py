@@ -8,14 +8,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.operators import graph, lowrank
+from deltaloom.operators import boosted, graph, lowrank
 from deltaloom.operators.transfer import best_per_family
 from deltaloom.session import materialize, small
 
 
 @dataclass(frozen=True)
 class Setting:
-    """One point of the grid. family "ridge" uses alpha; "trees" uses leaves; features are column names, PRIORS standing for one of each component."""
+    """One point of the grid. family "ridge" uses alpha; "trees" uses leaves; features are column names, PRIORS standing for one of each component.
+
+    bins: 0 for trees that look at every value, a component a task, or so many bins for trees by histograms over all tasks.
+    """
 
     family: str
     name: str
@@ -25,6 +28,7 @@ class Setting:
     rounds: int = 60
     rate: float = 0.05
     least: int = 40
+    bins: int = 0
 
 
 MEAN, PRIORS = "training_mean", "prior*"
@@ -92,7 +96,9 @@ def predicted_scores(scores: DataFrame, features: DataFrame, asked: DataFrame, s
             sides[s.features] = own, queries, lowrank.ridge_sums(own, scores, names), state
         own, queries, sums, state = sides[s.features]
         if s.family == "trees":
-            model = materialize(lowrank.trees_fit(own, scores, names, s.leaves, s.rounds, s.rate, s.least), "trees")
+            size = (s.leaves, s.rounds, s.rate, s.least)
+            model = boosted.trees_fit(own, scores, names, *size, s.bins) if s.bins else lowrank.trees_fit(own, scores, names, *size)
+            model = materialize(model, "trees")
             z = lowrank.trees_predict(model, queries, names)
         else:
             model = lowrank.ridge_solve(sums, s.alpha)
