@@ -498,10 +498,14 @@ def _features(t: Transfer, edges: DataFrame, x: DataFrame) -> DataFrame:
 #: Scores that SQL has too: the responses on the first genes of the axis, a component each.
 _WRITTEN = f"SELECT target AS gene, gene_idx AS k, y AS score FROM ytrain JOIN axis USING (gene) WHERE gene_idx < {RANK}"
 _LONG = """SELECT q.gene, i, CASE i WHEN 0 THEN x WHEN 1 THEN CAST(x IS NULL AS DOUBLE) WHEN 2 THEN ln(1 + coalesce(support, 0)) ELSE coalesce(prior, 0) END AS v
-  FROM (SELECT target AS gene, x FROM {x}) q CROSS JOIN (SELECT unnest(range((SELECT 3 + count(DISTINCT k) FROM sc))) AS i)
+  FROM (SELECT target AS gene, x FROM {x}) q CROSS JOIN (SELECT unnest(range({n})) AS i)
   LEFT JOIN (SELECT gene, any_value(support) AS support FROM pr GROUP BY gene) USING (gene) LEFT JOIN (SELECT gene, k + 3 AS i, prior FROM pr) p USING (gene, i)"""
-_NEAR = f"""sc AS ({_WRITTEN}), pr AS (SELECT src AS gene, k, count(*) AS support, sum(w::DOUBLE * score) / nullif(sum(w::DOUBLE), 0) AS prior
-  FROM both_ways JOIN sc ON dst = sc.gene WHERE src <> dst GROUP BY ALL), ftrain AS ({_LONG.format(x="xtrain")}), fheld AS ({_LONG.format(x="xheld")})"""
+
+
+def _near_sql(n: str) -> str:
+    """Common table expressions of features in rows, n of a target; those beyond the components there are have no prior, so 0."""
+    return f"""sc AS ({_WRITTEN}), pr AS (SELECT src AS gene, k, count(*) AS support, sum(w::DOUBLE * score) / nullif(sum(w::DOUBLE), 0) AS prior
+  FROM both_ways JOIN sc ON dst = sc.gene WHERE src <> dst GROUP BY ALL), ftrain AS ({_LONG.format(x="xtrain", n=n)}), fheld AS ({_LONG.format(x="xheld", n=n)})"""
 
 
 def _maker_inputs(spark: SparkSession, sf_dir: str) -> tuple[Transfer, families.Maker, families.Maker]:
@@ -516,7 +520,7 @@ def _written_scores(t: Transfer, first: int) -> DataFrame:
     return materialize(t.train.join(small(t.axis.where(F.col("gene_idx") < first)), "gene").select("target", F.col("gene_idx").cast("int").alias("component"), F.col("y").alias("z")), "scores")
 
 
-@query(f"WITH {_NEAR} SELECT gene AS target, CAST(i AS INTEGER) AS i, round(v, 6) + 0.0 AS v FROM fheld")
+@query(f"WITH {_near_sql('(SELECT 3 + count(DISTINCT k) FROM sc)')} SELECT gene AS target, CAST(i AS INTEGER) AS i, round(v, 6) + 0.0 AS v FROM fheld")
 def component_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All features of held-out targets, priors for each component among them, a row each."""
     t, _, held_of = _maker_inputs(spark, sf_dir)
@@ -526,11 +530,11 @@ def component_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _graph_ridge_sql() -> str:
-    """Ridge on all features by Gauss and Jordan on a list of rows; its matrix is positive definite, so no row is exchanged."""
+    """Ridge on all features by Gauss and Jordan on a list of rows; its matrix is positive definite, so no row is exchanged. A feature that is 0 everywhere changes nothing."""
     p = 4 + RANK
     steps = [f"g{k + 1} AS (SELECT list_transform(m, lambda r, i: list_transform(r, lambda v, j: CASE WHEN i = {k + 1} THEN v / r[{k + 1}] ELSE v - r[{k + 1}] * m[{k + 1}][j] / m[{k + 1}][{k + 1}] END)) AS m FROM g{k})" for k in range(p)]
     scaled = "SELECT gene, 0 AS i, 1.0::DOUBLE AS z FROM (SELECT DISTINCT gene FROM {0}) UNION ALL SELECT gene, i + 1, (coalesce(v, median) - mean) / sd FROM {0} JOIN st USING (i)"
-    return f"""WITH {_NEAR},
+    return f"""WITH {_near_sql(str(p - 1))},
       md AS (SELECT i, coalesce(quantile_cont(v, 0.5), 0) AS median FROM ftrain GROUP BY i),
       st AS (SELECT i, median, avg(coalesce(v, median)) AS mean, coalesce(nullif(stddev_pop(coalesce(v, median)), 0), 1) AS sd FROM ftrain JOIN md USING (i) GROUP BY ALL),
       zt AS ({scaled.format("ftrain")}), zh AS ({scaled.format("fheld")}),
