@@ -27,6 +27,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import accumulate, chain, filterfalse, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -41,8 +42,8 @@ from deltaloom.session import materialize, reserve, small
 END = 2
 #: Ids in a block, but that a longer document is a block of its own; ids in a shard, about.
 BLOCK, SHARD = 1 << 17, 1 << 24
-#: Bytes of texts split at a time; words and pieces that a worker remembers; bytes of the longest.
-CHUNK, WORDS, PIECES, LONG = 1 << 21, 300_000, 500_000, 64
+#: Bytes of texts split at a time; words of a task and pieces of a worker that are remembered, those met once apart; bytes of the longest.
+CHUNK, WORDS, PIECES, ONCE, LONG = 1 << 21, 300_000, 450_000, 200_000, 64
 
 #: How the tokenizer that drops white space parts text, as its file says.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -51,6 +52,8 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPACE = re.compile(rb"[\x09-\x0d\x20]")
 #: Words of ASCII and of the letters from U+00C0 to U+00FF: these have no other normal form, and case is by character.
 _PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+#: Their bytes; in valid UTF-8 the upper ones then belong to these letters, but for two signs.
+_LINE_BYTES = bytes([10, *range(33, 127), *range(0x80, 0xC0), 0xC3])
 #: _PATTERN for such words in lower case, a line each.
 _PARTS = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\na-zß-öø-ÿ0-9]+").findall
 
@@ -64,7 +67,7 @@ def drops_space(spec: dict) -> bool:
     """Whether the tokenizer of this file encodes a text as it does its words, one after the other."""
     pre = spec.get("pre_tokenizer") or {}
     parts = pre.get("pretokenizers") or [{}]
-    return spec.get("normalizer") == _NORMALIZER and parts[0].get("pattern") == {"Regex": _PATTERN} and parts[0].get("invert") is True and parts[0].get("behavior") == "Removed"
+    return bool(spec["model"].get("end_of_word_suffix")) and spec.get("normalizer") == _NORMALIZER and parts[0].get("pattern") == {"Regex": _PATTERN} and parts[0].get("invert") is True and parts[0].get("behavior") == "Removed"
 
 
 class Coder:
@@ -80,11 +83,17 @@ class Coder:
         #: No id's bytes hold it at any place, as the last byte of each is less than 255.
         self.mark = b"\xff" * self.kind.itemsize
         self.special = [t.content.encode() for t in self.full.get_added_tokens_decoder().values()]
-        # the same model without the steps that pieces have behind them
-        self.bare = Tokenizer(self.full.model)
+        # the same model without the steps that pieces have behind them; ASCII is its own byte alphabet
+        self.ascii, self.bare = Tokenizer(self.full.model), Tokenizer(self.full.model)
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.ends = np.zeros(self.full.get_vocab_size(), bool)
+        if self.by_words:
+            for token, i in self.full.get_vocab().items():
+                self.ends[i] = token.endswith(self.full.model.end_of_word_suffix)
         self.words: dict[bytes, bytes] = {}
+        #: Pieces met in more than one chunk of texts, and those met in one so far.
         self.pieces: dict[str, bytes] = {}
+        self.once: dict[str, bytes] = {}
 
     def whole(self, texts: list[bytes]) -> list[bytes]:
         found = self.full.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
@@ -111,31 +120,56 @@ class Coder:
             self.words = {}
         if len(self.pieces) > PIECES:
             self.pieces = {}
-        if new := list(set().union(*split) - self.words.keys()):
+        if len(self.once) > ONCE:
+            self.once = {}
+        every = list(chain.from_iterable(split))
+        ids = list(map(self.words.get, every))  # the only look at words that are known
+        new: list[bytes] = []
+        if missing := [i for i, x in enumerate(ids) if x is None]:
+            new = list({every[i] for i in missing})
             self._learn(new)
-        ids = self.words.__getitem__
-        out = [b"".join(map(ids, ws)) for ws in split]
-        for w in [w for w in new if len(w) > LONG]:
-            del self.words[w]
-        return out
+            for i in missing:
+                ids[i] = self.words[every[i]]
+        ends = list(accumulate(map(len, split), initial=0))
+        for w in new:
+            if len(w) > LONG:
+                del self.words[w]
+        return [b"".join(ids[a:b]) for a, b in pairwise(ends)]
 
     def _learn(self, new: list[bytes]) -> None:
-        plain = [w for w in new if _PLAIN(w) and len(w) <= LONG]
-        lines = b"\n".join(plain)
+        plain, lines = new, b"\n".join(new)
+        if lines.translate(None, _LINE_BYTES) or b"\xc3\x97" in lines or b"\xc3\xb7" in lines or max(map(len, new)) > LONG:
+            plain = [w for w in new if len(w) <= LONG and _PLAIN(w)]
+            lines = b"\n".join(plain)
         if any(s in lines for s in self.special):
             plain = [w for w in plain if not any(s in w for s in self.special)]
             lines = b"\n".join(plain)
         if plain:
             flat = _PARTS(lines.decode().lower())
-            if parts := list(set(flat) - self.pieces.keys() - {"\n"}):
-                found = self.bare.encode(parts, is_pretokenized=True, add_special_tokens=False)
-                ids, at = np.array(found.ids, self.kind).tobytes(), np.searchsorted(np.array(found.word_ids), np.arange(len(parts) + 1)) * self.kind.itemsize
-                at = at.tolist()
-                self.pieces.update(zip(parts, map(ids.__getitem__, map(slice, at[:-1], at[1:])), strict=True))
             self.pieces["\n"] = self.mark
+            unknown = set(filterfalse(self.pieces.__contains__, flat))
+            for p in [p for p in unknown if p in self.once]:
+                self.pieces[p] = self.once.pop(p)
+                unknown.remove(p)
+            parts = [p for p in unknown if p.isascii()]
+            self._encode_pieces(self.ascii, parts)
+            if len(parts) < len(unknown):
+                parts += (rest := [p for p in unknown if not p.isascii()])
+                self._encode_pieces(self.bare, rest)
             self.words.update(zip(plain, b"".join(map(self.pieces.__getitem__, flat)).split(self.mark), strict=True))
-        rest = [w for w in new if w not in self.words]
-        self.words.update(zip(rest, self.whole(rest), strict=True))
+            for p in parts:
+                self.once[p] = self.pieces.pop(p)
+        if rest := [] if len(plain) == len(new) else [w for w in new if w not in self.words]:
+            self.words.update(zip(rest, self.whole(rest), strict=True))
+
+    def _encode_pieces(self, tokenizer: object, parts: list[str]) -> None:
+        """Ids of pieces, all in one request: each piece's last id, and no other, is of a token that ends a word."""
+        if not parts:
+            return
+        ids = np.array(tokenizer.encode_batch_fast([parts], is_pretokenized=True, add_special_tokens=False)[0].ids, self.kind)
+        at = [0, *((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()]
+        data = ids.tobytes()
+        self.pieces.update(zip(parts, map(data.__getitem__, map(slice, at[:-1], at[1:])), strict=True))
 
 
 def _parts(text: bytes) -> Iterator[bytes]:
@@ -159,11 +193,15 @@ def _coder(key: int, spec: str) -> Coder:
     return _CODERS[key]
 
 
-_TOKENS = pa.schema([("doc_id", pa.int64()), ("nth", pa.int32()), ("n", pa.int64()), ("ids", pa.binary())])
+_TOKENS = pa.schema([("counts", pa.bool_()), ("doc_id", pa.int64()), ("nth", pa.int32()), ("n", pa.int64()), ("ids", pa.binary())])
+_TOKEN_ROWS = "counts boolean, doc_id long, nth int, n long, ids binary"
 
 
 def encode_documents(docs: DataFrame, tokenizer: str | None = None, end: int = END) -> DataFrame:
-    """doc_id, nth (in the task), n, ids of docs (doc_id, text), written; ids are 16-bit or, for large vocabularies, 32-bit whole numbers."""
+    """doc_id, nth (in the task), n, ids of docs (doc_id, text), written; ids are 16-bit or, for large vocabularies, 32-bit whole numbers.
+
+    Besides, where counts is true, a row of each task with how often it has each id, from 0 on, as 64-bit numbers.
+    """
     with open(tokenizer or word_bpe(), encoding="utf-8") as f:
         spec = f.read()
     sent, key = docs.sparkSession.sparkContext.broadcast(spec), hash(spec)
@@ -171,17 +209,25 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, end: int = E
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, done = _coder(key, sent.value), 0
         last = np.array([end], coder.kind).tobytes()
+        total = np.zeros(coder.full.get_vocab_size(), np.int64)
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
             ids = [x + last for x in coder.encode(texts)]
             n = np.array(list(map(len, ids)), np.int64) // coder.kind.itemsize
+            for lo in range(0, len(ids), 100):
+                own = np.bincount(np.frombuffer(b"".join(ids[lo : lo + 100]), coder.kind), minlength=len(total))
+                own[: len(total)] += total
+                total = own
             nth = pa.array(np.arange(done, done + len(ids)) & 0x7FFFFFFF, pa.int32())
             done += len(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), nth, pa.array(n), pa.array(ids, pa.binary())], schema=_TOKENS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), bool)), batch.column(0), nth, pa.array(n), pa.array(ids, pa.binary())], schema=_TOKENS)
+        if done:
+            yield pa.RecordBatch.from_pylist([{"counts": True, "n": done, "ids": total.tobytes()}], schema=_TOKENS)
+        coder.words = {}
         give_back()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(own.mapInArrow(run, "doc_id long, nth int, n long, ids binary"), "tokens")
+    return materialize(own.mapInArrow(run, _TOKEN_ROWS), "tokens")
 
 
 def _kind(ids: bytes, n: int) -> np.dtype:
@@ -194,41 +240,47 @@ def rank_ids(tokens: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for n, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.bincount(np.frombuffer(ids, _kind(ids, n)), minlength=len(total))
-                own[: len(total)] += total
-                total = own
+            for counts in batch.column(0).to_pylist():
+                own = np.frombuffer(counts, np.int64)
+                total = own + total if len(total) else own
         known = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(total[known])], names=["id", "n"])
 
-    counts = tokens.select("n", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = tokens.where("counts").select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.orderBy(F.col("n").desc(), "id")) - 1  # one task for as many rows as the vocabulary has
     return materialize(counts.select(place.cast("long").alias("rank"), "id", "n"), "ranks", 1)
 
 
 _PLACES = np.arange(4)
-#: For each control byte: which of four bytes each of its four ids has.
-_TABLE = _PLACES[None, None, :] <= ((np.arange(256)[:, None] >> (2 * _PLACES)) & 3)[:, :, None]
+_CODES = (np.arange(256)[:, None] >> (2 * _PLACES)) & 3
+#: For each control byte the most bytes that one of its four ids has, and, by that, which of so many bytes each id has.
+_MOST = _CODES.max(axis=1).astype(np.uint8) + 1
+_TABLE = {width: np.arange(width)[None, None, :] <= _CODES[:, :, None] for width in (1, 2, 3, 4)}
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data of 32-bit numbers."""
     ranks = np.ascontiguousarray(ranks, "<u4")
-    more = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
+    more, top = np.zeros(-(-len(ranks) // 4) * 4, np.uint8), int(ranks.max(initial=0))
+    width = 1
     for bits in (8, 16, 24):
-        more[: len(ranks)] += ranks >> bits > 0
-    controls = (more.reshape(-1, 4) << (2 * _PLACES).astype(np.uint8)).sum(axis=1, dtype=np.uint8)
-    width = int(more.max(initial=0)) + 1
-    data = ranks.view(np.uint8).reshape(-1, 4)[:, :width][_PLACES[:width] <= more[: len(ranks), None]]
-    return controls.tobytes(), data.tobytes()
+        if top >> bits:
+            more[: len(ranks)] += ranks >= 1 << bits
+            width += 1
+    controls = more[::4] | more[1::4] << 2 | more[2::4] << 4 | more[3::4] << 6
+    places = np.arange(width, dtype=np.uint8) <= more[: len(ranks), None]
+    return controls.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[:, :width][places].tobytes()
 
 
 def unpack(controls: bytes, data: bytes, n: int) -> np.ndarray:
     """The numbers: each control byte's entry of the table says where its ids' bytes go."""
-    out = np.zeros((n, 4), np.uint8)
-    places = _TABLE[np.frombuffer(controls, np.uint8)].reshape(-1, 4)[:n]
-    out[places] = np.frombuffer(data, np.uint8)
-    return out.view("<u4").ravel()
+    controls = np.frombuffer(controls, np.uint8)
+    width = int(_MOST[controls].max(initial=1))
+    out = np.zeros((n, width), np.uint8)
+    out[_TABLE[width][controls].reshape(-1, width)[:n]] = np.frombuffer(data, np.uint8)
+    if width in (1, 2, 4):
+        return out.view(f"<u{width}").ravel()
+    return np.pad(out, ((0, 0), (0, 1))).view("<u4").ravel()
 
 
 _BLOCKS = pa.schema([("shard", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("controls", pa.binary()), ("data", pa.binary())])
@@ -267,7 +319,7 @@ def write_ids(tokens: DataFrame, path: str) -> None:
 
     # rows of one doc_id, and those without, may be many: their hash and number part them too
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("ids"), F.col("nth")]
-    dealt = tokens.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "n", "ids")
+    dealt = tokens.where("not counts").repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "n", "ids")
     dealt.mapInArrow(run, _BLOCK_ROWS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     ids = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n)
     own = spark.read.schema(_BLOCK_ROWS).parquet(f"{path}/blocks").groupBy("shard").agg(F.sum(ids).alias("n"))

@@ -49,6 +49,7 @@ def test_bounds_of_what_is_remembered(monkeypatch):
     monkeypatch.setattr(token_ids, "CHUNK", 300)
     monkeypatch.setattr(token_ids, "WORDS", 20)
     monkeypatch.setattr(token_ids, "PIECES", 10)
+    monkeypatch.setattr(token_ids, "ONCE", 30)
     with open(token_ids.word_bpe(), encoding="utf-8") as f:
         coder = token_ids.Coder(f.read())
     texts = [t or "" for t in AWKWARD] + ["the cat " * 500, "x" * 5000] + texts_of(np.random.default_rng(2), 300)
