@@ -133,13 +133,13 @@ def test_own_scores_are_not_seen(spark):
     for moved in (0.0, 100.0):
         rows = [(f"t{i:02}", c, float(y[i, c] + moved * (i == 5))) for i in range(12) for c in range(4)]
         f = graph.neighbour_vectors(edges, queries, spark.createDataFrame(rows, "gene string, component int, z double"))
-        seen.append({r.gene: tuple(r)[3:] for r in f.collect()})
+        seen.append({r.gene: tuple(round(v, 9) for v in tuple(r)[3:]) for r in f.collect()})  # sums may be taken in another order
     assert seen[0]["t05"] == seen[1]["t05"] and seen[0]["t00"] == (0.0,) * 5
     assert {g for g in seen[0] if seen[0][g] != seen[1][g]} == {f"t{i:02}" for i in np.flatnonzero(w[5])}
     # the same as one prior a component in rows
     rows = spark.createDataFrame([(f"t{i:02}", c, float(y[i, c])) for i in range(12) for c in range(4)], "gene string, k int, score double")
     for r in graph.neighbour_features(edges, queries, rows).collect():
-        assert seen[0][r.gene][r.k + 1] == pytest.approx(r.prior, abs=1e-12) and seen[0][r.gene][0] == r.log_support
+        assert seen[0][r.gene][r.k + 1] == pytest.approx(r.prior, abs=1e-8) and seen[0][r.gene][0] == pytest.approx(r.log_support, abs=1e-8)
 
 
 def test_a_wrong_basis_is_seen(spark):
