@@ -173,7 +173,7 @@ def test_op4_chooses_by_efraimidis_spirakis(spark):
     rows = [(i, " ".join(["w"] * (1 + i * 7 % 53)), ["a", "b", "c", None][min(3, i % 6)]) for i in range(n)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
     quality = spark.createDataFrame([(i, [2.0, 0.5, 4.0][i % 3]) for i in range(0, n, 2)], "doc_id long, weight double")
-    u = {r.id: r.u for r in spark.range(n).select("id", mixing.uniform(F.col("id"), 77).alias("u")).collect()}
+    u = {r.doc_id: r.u for r in docs.select("doc_id", mixing.uniform(F.col("doc_id"), F.col("text"), 77).alias("u")).collect()}
     got = {r.doc_id: r for r in mixing.mix_sources(docs, quality, seed=77).collect()}
     chosen = 0
     for source in ("a", "b", "c", None):
