@@ -21,6 +21,9 @@ FILE_ROWS = 20_000
 #: Rows of a table that may be broadcast, and bytes of files that may be without a count.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 4 << 20
 
+#: Bytes of files whose rows a task may sort and group in memory.
+TASK_BYTES = 4 << 20
+
 _LOCAL: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -107,6 +110,22 @@ def small(df: DataFrame, known: int | None = None, rows: int = BROADCAST_ROWS) -
     return F.broadcast(df) if known <= rows else df
 
 
+def tasks_of(source: DataFrame) -> int:
+    """How many tasks the rows of a table's files need, so that a task's memory doesn't grow with the table."""
+    return -(-int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // TASK_BYTES)
+
+
+def dealt(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """df dealt out by keys to so many tasks.
+
+    Left to itself Spark joins partitions up to a size in shuffle files, whose rows take many times as much in memory. It still does so here where cores are enough.
+    """
+    spark = df.sparkSession
+    if tasks <= spark.sparkContext.defaultParallelism:
+        return df.repartition(*keys)
+    return df.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 @contextlib.contextmanager
 def scratch() -> Iterator[None]:
     """What materialize() writes inside is deleted at the end; results made inside must be used there."""

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deltaloom.functions.expr import ID_LENGTH, PREFIX
+from deltaloom.session import dealt, tasks_of
 
 CONTROL = "non-targeting"
 SPLIT = "1998-04-01"
@@ -54,10 +55,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cell, gene, cnt over all genes, dealt out by cell, so that what follows by cell needs no other shuffle."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
-    genes = table(spark, sf_dir, "supplier").select("s_suppkey", gene_of("s_nationkey").alias("gene"))
-    own = items.join(genes, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_orderkey").alias("cell"), "gene", "l_quantity")
-    return own.repartition("cell").groupBy("cell", "gene").agg(F.sum("l_quantity").alias("cnt"))
+    lines = table(spark, sf_dir, "lineitem")
+    items = lines.select("l_orderkey", "l_suppkey", "l_quantity")
+    genes = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    own = items.join(genes, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_orderkey").alias("cell"), "s_nationkey", "l_quantity")
+    sums = dealt(own, tasks_of(lines), "cell").groupBy("cell", "s_nationkey").agg(F.sum("l_quantity").alias("cnt"))
+    return sums.select("cell", gene_of("s_nationkey").alias("gene"), "cnt")
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
