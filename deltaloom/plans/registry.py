@@ -47,9 +47,9 @@ def query(sql: str | None = None, whole: bool = False) -> Callable[[Query], Quer
 class Study:
     """The inputs that queries share, built when asked for."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+    def __init__(self, spark: SparkSession, sf_dir: str, written: bool = False) -> None:
         self.spark, self.sf_dir = spark, sf_dir
-        self.data = star.cells(spark, sf_dir)
+        self.data = star.cells(spark, sf_dir, written)
         self.cells, self.counts = self.data.cells, self.data.counts
 
     @cached_property
@@ -613,7 +613,7 @@ def selected_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ORACLES["selected_cells"], whole=True)
 def blocked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same point read from a store of blocks, of which only those with a selected cell are opened."""
-    s = Study(spark, sf_dir)
+    s = Study(spark, sf_dir, written=True)  # the store is made of several reads
     path = reserve(spark, "blocks")
     blocks.write_blocks(s.counts, s.cells, path)
     sel = splits.slices(_controls(s), {"fit": 40}, SEED)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from deltaloom.operators.cohorts import with_index
 from deltaloom.operators.numbering import by_range
-from deltaloom.session import materialize, small
+from deltaloom.session import dealt, materialize, small
 
 #: Cells of a block, and blocks of a folder.
 SIDE, FOLDER = 256, 256
@@ -26,15 +26,17 @@ def write_blocks(counts: DataFrame, cells: DataFrame, path: str, side: int = SID
     genes.coalesce(1).write.parquet(f"{path}/genes")
     genes = spark.read.parquet(f"{path}/genes")
     placed = materialize(numbered.withColumn("block", F.floor(F.col("cell_idx") / side).cast("long")).withColumn("part", F.floor(F.col("block") / folder).cast("int")), "numbered")
-    own = counts.select("cell", "gene", "cnt").join(placed, "cell").join(small(genes), "gene")
-    rows = own.groupBy("part", "block", "cell_idx").agg(F.sort_array(F.collect_list(F.struct("gene_idx", "cnt"))).alias("x"))
+    # folders are alike in cells, so a task for each has as much to do in a large store as in a small one
+    folders = placed.count() // (side * folder) + 1
+    own = counts.select("cell", "gene", "cnt").join(small(genes), "gene").select("cell", "gene_idx", "cnt")
+    sums = dealt(own, folders, "cell").groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("gene_idx", "cnt"))).alias("x"))
     # every cell has a row, empty or not; a block's rows are then laid end to end
-    rows = placed.select("part", "block", "cell_idx").join(rows, ["part", "block", "cell_idx"], "left").select("part", "block", "cell_idx", F.coalesce("x", F.array().cast(rows.schema["x"].dataType)).alias("x"))
-    packed = rows.groupBy("part", "block").agg(F.sort_array(F.collect_list(F.struct("cell_idx", "x"))).alias("r"))
+    rows = placed.join(sums, "cell", "left").select("part", "block", "cell_idx", F.coalesce("x", F.array().cast(sums.schema["x"].dataType)).alias("x"))
+    packed = dealt(rows, folders, "part").groupBy("part", "block").agg(F.sort_array(F.collect_list(F.struct("cell_idx", "x"))).alias("r"))
     ends = F.aggregate(F.transform("r", lambda r: F.size(r["x"])), F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
     flat = F.flatten(F.transform("r", lambda r: r["x"]))
     blocks = packed.select("part", "block", ends.alias("offsets"), F.transform(flat, lambda e: e["gene_idx"]).alias("columns"), F.transform(flat, lambda e: e["cnt"]).alias("values"))
-    blocks.repartitionByRange("part", "block").sortWithinPartitions("part", "block").write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/blocks")
+    blocks.sortWithinPartitions("part", "block").write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/blocks")
     written = spark.read.parquet(f"{path}/blocks").select("block", F.posexplode(F.slice("offsets", 1, F.size("offsets") - 1)).alias("nth", "start"), "offsets")
     begun = written.select((F.col("block") * side + F.col("nth")).alias("cell_idx"), "start", (F.element_at("offsets", F.col("nth") + 2) - F.col("start")).alias("nnz"))
     placed.join(begun, "cell_idx").select("cell", "cell_idx", "part", "block", "start", "nnz").repartitionByRange("cell_idx").sortWithinPartitions("cell_idx").write.parquet(f"{path}/cells")

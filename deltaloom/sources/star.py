@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deltaloom.functions.expr import ID_LENGTH, PREFIX
-from deltaloom.session import dealt, tasks_of
+from deltaloom.session import dealt, materialize, tasks_of
 
 CONTROL = "non-targeting"
 SPLIT = "1998-04-01"
@@ -73,13 +73,15 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cells(spark: SparkSession, sf_dir: str) -> Cells:
-    """Cells with a library (that of all genes, cut or not) and their counts on their line's genes."""
+def cells(spark: SparkSession, sf_dir: str, written: bool = False) -> Cells:
+    """Cells with a library (that of all genes, cut or not) and their counts on their line's genes. written: all are made once, as a table, for many reads."""
     own = Window.partitionBy("cell").orderBy("gene")
     library = F.sum("cnt").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     raw = raw_counts(spark, sf_dir).withColumns({"lib": library, "first": F.row_number().over(own) == 1})
     obs = observations(spark, sf_dir).where(~((F.col("line") == TRAIN) & F.col("target").isin(*UNSEEN_TARGETS)))
     joined = obs.join(raw, "cell")
+    if written:
+        joined = materialize(joined, "observed")
     keys = ["line", "target", "batch", "guide", "cell", "lib"]
     keep = F.lit(True)
     for line, genes in CUT_GENES.items():

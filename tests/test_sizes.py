@@ -22,3 +22,16 @@ def test_counts_are_dealt_out_by_size(spark, monkeypatch):
     assert {r[1:] for r in rows} == few and len(rows) == len(few)
     assert len({r[0] for r in rows}) >= min(wanted, 12)  # Spark made one of them before
     assert len({(r[0], r[1]) for r in rows}) == len({r[1] for r in rows})  # a cell is in one task
+
+
+def test_blocks_are_made_of_written_counts(spark, monkeypatch):
+    """The store is made of several reads of the counts, which are joined and summed once."""
+    from deltaloom.plans import registry
+
+    if not Path(SF).exists():
+        pytest.skip("no tables")
+    read = []
+    write = registry.blocks.write_blocks
+    monkeypatch.setattr(registry.blocks, "write_blocks", lambda counts, cells, path: (read.extend([*counts.inputFiles(), *cells.inputFiles()]), write(counts, cells, path)))
+    registry.blocked_cells(spark, SF)
+    assert read and not any(SF in f for f in read)
