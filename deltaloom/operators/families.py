@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,9 @@ from deltaloom.operators import boosted, graph, lowrank
 from deltaloom.operators.transfer import best_per_family
 from deltaloom.session import materialize, small
 
+#: Folds whose jobs run side by side.
+ABREAST = 5
+
 
 @dataclass(frozen=True)
 class Setting:
@@ -131,10 +137,11 @@ def grid_losses(y: DataFrame, parts: DataFrame, features_of: Maker, settings: li
     fold's training targets, so that no held-out response is seen. As the basis is
     orthonormal, the squared error of a prediction V z against e is that of V s, s being the scores of e, and
     that of z against s: no prediction is spelt out, and nothing large is subtracted.
-    The training mean is compared too, as a family of its own.
+    The training mean is compared too, as a family of its own. Folds don't need one another, and their many jobs are
+    too small for all cores: ABREAST of them go side by side.
     """
-    out = None
-    for (k,) in parts.select("fold").distinct().orderBy("fold").collect():
+
+    def of_fold(k: int) -> DataFrame:
         held = materialize(parts.where(F.col("fold") == k).select("target"), "held")
         train = y.join(small(held), "target", "left_anti")
         mean, basis = lowrank.response_basis(train, rank, seed)
@@ -149,8 +156,12 @@ def grid_losses(y: DataFrame, parts: DataFrame, features_of: Maker, settings: li
         z = predicted_scores(reference, own, asked_features, settings)
         off = z.join(asked, ["target", "component"]).groupBy("name").agg(F.sum((F.col("z") - F.col("s")) * (F.col("z") - F.col("s"))).alias("off"))
         off = off.unionByName(asked.select(F.lit(MEAN).alias("name"), "s").groupBy("name").agg(F.sum(F.col("s") * F.col("s")).alias("off")))  # the training mean is z = 0
-        row = materialize(off.join(size, how="cross").select("name", (F.col("whole") + F.col("off")).alias("sse"), "n"), "losses")
-        out = row if out is None else out.unionByName(row)
+        return materialize(off.join(size, how="cross").select("name", (F.col("whole") + F.col("off")).alias("sse"), "n"), "losses")
+
+    folds = [k for (k,) in parts.select("fold").distinct().orderBy("fold").collect()]
+    with ThreadPoolExecutor(ABREAST) as pool:  # a thread for each fold only waits for its jobs
+        started = [pool.submit(inheritable_thread_target(y.sparkSession)(of_fold), k) for k in folds]
+        out = reduce(DataFrame.unionByName, [f.result() for f in started])
     family = F.create_map(*(F.lit(v) for s in [Setting(MEAN, MEAN, ()), *settings] for v in (s.name, s.family)))
     return out.groupBy("name").agg((F.sum("sse") / F.sum("n")).alias("mse")).select(family[F.col("name")].alias("family"), "name", "mse")
 

@@ -12,7 +12,7 @@ from deltaloom.functions.expr import MISSING, cell_name, damped, finite_or_null,
 from deltaloom.operators import audit, calibration, cohorts, families, generate, graph, lowrank, metrics, numbering, pseudobulk, splits, transfer, validate
 from deltaloom.plans.base import ensembl_sql, oracle
 from deltaloom.plans.fingerprint import digests
-from deltaloom.session import materialize, reserve, small
+from deltaloom.session import dealt, materialize, reserve, small, tasks_of
 from deltaloom.sources import blocks, star
 from deltaloom.sources.star import CONTROL, HELD, TRAIN, table
 
@@ -439,20 +439,25 @@ def best_per_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- graph -----------------------------------------------------------------------------------
 
 
-def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Suppliers as proteins with their nations as genes, by identifier and by other names; two in one order are linked, by how often against the most."""
+def _graph(spark: SparkSession, sf_dir: str, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Suppliers as proteins with their nations as genes, by identifier and by other names; two in one order are linked, by how often against the most.
+
+    A link is listed once, with the smaller protein first. wanted: the genes of the counts, where they are known already.
+    """
     sup = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("protein"), "s_nationkey", "s_name", ((F.col("s_nationkey") + 1) % 25).alias("next"))
     names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
     more = F.when(F.col("protein") % 17 == 0, star.gene_of("next"))
     every = F.array(star.gene_of("s_nationkey"), more, F.col("n_name"), F.col("s_name"), F.concat(F.lit("ENSG"), F.col("protein").cast("string")))
     aliases = sup.join(names, "s_nationkey").select("protein", F.explode(F.array_compact(every)).alias("gene"))
-    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s")).distinct()
-    own = items.groupBy("o").agg(F.collect_list("s").alias("s"))  # the few items of an order
-    pairs = own.select(F.explode("s").alias("protein1"), "s").select("protein1", F.explode("s").alias("protein2")).where("protein1 <> protein2")
+    lines = table(spark, sf_dir, "lineitem")
+    items = dealt(lines.select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s")), tasks_of(lines), "o")
+    own = items.groupBy("o").agg(F.collect_set("s").alias("s"))  # the few items of an order
+    pairs = own.select(F.explode("s").alias("protein1"), "s").select("protein1", F.explode("s").alias("protein2")).where("protein1 < protein2")
     pairs = pairs.groupBy("protein1", "protein2").agg(F.count("*").alias("n"))
     most = pairs.agg(F.max("n").alias("most"))
     links = pairs.join(F.broadcast(most), how="cross").select("protein1", "protein2", F.floor(F.col("n") * 1000.0 / F.col("most")).cast("int").alias("score"))
-    wanted = star.cells(spark, sf_dir).counts.select("gene").distinct()
+    if wanted is None:
+        wanted = star.cells(spark, sf_dir).counts.select("gene").distinct()
     return aliases, links, wanted
 
 
@@ -511,7 +516,7 @@ def _near_sql(n: str) -> str:
 def _maker_inputs(spark: SparkSession, sf_dir: str) -> tuple[Transfer, families.Maker, families.Maker]:
     """Responses, and the makers of training and of held-out targets' features."""
     t = Study(spark, sf_dir).transfer()
-    a, links, w = _graph(spark, sf_dir)
+    a, links, w = _graph(spark, sf_dir, t.study.sums.where("gene is not null").select("gene").distinct())
     edges = materialize(graph.build_graph(a, links, w, THRESHOLD).withColumn("w", F.col("w").cast("double")), "edges")
     return t, families.feature_maker(edges, t.x_train), families.feature_maker(edges, t.x_held)
 

@@ -35,3 +35,37 @@ def test_blocks_are_made_of_written_counts(spark, monkeypatch):
     monkeypatch.setattr(registry.blocks, "write_blocks", lambda counts, cells, path: (read.extend([*counts.inputFiles(), *cells.inputFiles()]), write(counts, cells, path)))
     registry.blocked_cells(spark, SF)
     assert read and not any(SF in f for f in read)
+
+
+def test_folds_go_side_by_side(spark, monkeypatch):
+    """Losses of a grid are those of one fold after the other, but folds don't wait for one another."""
+    import threading
+
+    from deltaloom.operators import families, transfer
+
+    y = spark.createDataFrame([(f"t{i:02d}", j, float((i * 7 + j * 3) % 11)) for i in range(8) for j in range(3)], "target string, gene long, y double")
+    f = spark.createDataFrame([(f"t{i:02d}", float(i % 5)) for i in range(8)], "target string, a double")
+    met, settings = threading.Barrier(2, timeout=120), [families.Setting("ridge", "ridge", ("a",), 0.1)]
+
+    def features(scores):
+        met.wait()
+        return f
+
+    parts = transfer.folds(y, 2, 1)
+    found = {r["name"]: r.mse for r in families.grid_losses(y, parts, features, settings, 2, 1).collect()}
+    monkeypatch.setattr(families, "ABREAST", 1)
+    assert found == {r["name"]: r.mse for r in families.grid_losses(y, parts, lambda scores: f, settings, 2, 1).collect()} and len(found) == 2
+
+
+def test_links_are_listed_once(spark, monkeypatch):
+    """Of each pair of proteins there is one link, and a grid's inputs join and sum the counts once."""
+    from deltaloom.plans import registry
+
+    if not Path(SF).exists():
+        pytest.skip("no tables")
+    made, cells = [], registry.star.cells
+    monkeypatch.setattr(registry.star, "cells", lambda *a: (made.append(a), cells(*a))[1])
+    registry._maker_inputs(spark, SF)
+    assert len(made) == 1
+    _, links, _ = registry._graph(spark, SF)
+    assert links.count() == links.where("protein1 < protein2").count() > 0
