@@ -12,8 +12,9 @@ shard: shard, start in the shard, and for successive whole documents doc_ids, le
 (rank, id, n) and shards/ (shard, start, n). It is written by Spark's committers only,
 so lost executors leave no part of a file.
 
-A tokenizer that drops white space is asked for each new word, not for each text: words are
-remembered, within bounds, as are the pieces they consist of. Any other one gets whole texts.
+A tokenizer that drops white space is asked for each new piece of a word, not for each text: texts are
+parted in numpy, some at a time, equal pieces become one in Arrow, and those met are remembered, within bounds. Words
+of other letters than those of Western Europe are one piece each. Any other tokenizer gets whole texts.
 
 Defined results: a null or empty text has the end id alone; documents are in ascending doc_id,
 null last; rows of one doc_id each count, in order of a hash of their ids; texts of any length are encoded whole;
@@ -27,7 +28,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import accumulate, chain, filterfalse, pairwise
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -42,7 +43,7 @@ from deltaloom.session import materialize, reserve, small
 END = 2
 #: Ids in a block, but that a longer document is a block of its own; ids in a shard, about.
 BLOCK, SHARD = 1 << 17, 1 << 24
-#: Bytes of texts split at a time; words of a task and pieces of a worker that are remembered, those met once apart; bytes of the longest.
+#: Bytes of texts parted at a time; words of a task and pieces of a worker that are remembered, those met once apart; bytes of the longest.
 CHUNK, WORDS, PIECES, ONCE, LONG = 1 << 21, 300_000, 450_000, 200_000, 64
 
 #: How the tokenizer that drops white space parts text, as its file says.
@@ -50,12 +51,20 @@ _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Re
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 _SPACE = re.compile(rb"[\x09-\x0d\x20]")
-#: Words of ASCII and of the letters from U+00C0 to U+00FF: these have no other normal form, and case is by character.
-_PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
-#: Their bytes; in valid UTF-8 the upper ones then belong to these letters, but for two signs.
-_LINE_BYTES = bytes([10, *range(33, 127), *range(0x80, 0xC0), 0xC3])
-#: _PATTERN for such words in lower case, a line each.
-_PARTS = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\na-zß-öø-ÿ0-9]+").findall
+#: Kinds of bytes. Plain words are of ASCII and of the letters from U+00C0 to U+00FF: these have no other normal form, and case is by character.
+_GAP, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[33:127] = _SIGN
+_KIND[[9, 10, 11, 12, 13, 32]] = _GAP
+_KIND[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3]] = _LETTER
+_KIND[48:58] = _DIGIT
+#: Second bytes of two that aren't letters: of the signs U+00D7 and U+00F7, and all that are no second bytes.
+_NO_LETTER = np.ones(256, bool)
+_NO_LETTER[0x80:0xC0] = False
+_NO_LETTER[[0x97, 0xB7]] = True
+#: Lower case of a plain word's bytes.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[[*range(65, 91), *range(0x80, 0x9F)]] += 32
 
 
 def word_bpe() -> str:
@@ -80,8 +89,6 @@ class Coder:
         self.full = Tokenizer.from_str(spec)
         self.by_words = drops_space(json.loads(spec))
         self.kind = np.dtype("<u2" if self.full.get_vocab_size() < 0xFF00 else "<u4")
-        #: No id's bytes hold it at any place, as the last byte of each is less than 255.
-        self.mark = b"\xff" * self.kind.itemsize
         self.special = [t.content.encode() for t in self.full.get_added_tokens_decoder().values()]
         # the same model without the steps that pieces have behind them; ASCII is its own byte alphabet
         self.ascii, self.bare = Tokenizer(self.full.model), Tokenizer(self.full.model)
@@ -90,10 +97,10 @@ class Coder:
         if self.by_words:
             for token, i in self.full.get_vocab().items():
                 self.ends[i] = token.endswith(self.full.model.end_of_word_suffix)
+        #: Words that aren't plain; pieces of the others met in more than one chunk of texts, and those met in one so far.
         self.words: dict[bytes, bytes] = {}
-        #: Pieces met in more than one chunk of texts, and those met in one so far.
-        self.pieces: dict[str, bytes] = {}
-        self.once: dict[str, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
+        self.once: dict[bytes, bytes] = {}
 
     def whole(self, texts: list[bytes]) -> list[bytes]:
         found = self.full.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
@@ -115,61 +122,103 @@ class Coder:
         return out + self._texts(texts[lo:])
 
     def _texts(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        if len(self.words) > WORDS:
-            self.words = {}
-        if len(self.pieces) > PIECES:
-            self.pieces = {}
-        if len(self.once) > ONCE:
-            self.once = {}
-        every = list(chain.from_iterable(split))
-        ids = list(map(self.words.get, every))  # the only look at words that are known
-        new: list[bytes] = []
-        if missing := [i for i, x in enumerate(ids) if x is None]:
-            new = list({every[i] for i in missing})
-            self._learn(new)
-            for i in missing:
-                ids[i] = self.words[every[i]]
-        ends = list(accumulate(map(len, split), initial=0))
-        for w in new:
-            if len(w) > LONG:
-                del self.words[w]
-        return [b"".join(ids[a:b]) for a, b in pairwise(ends)]
-
-    def _learn(self, new: list[bytes]) -> None:
-        plain, lines = new, b"\n".join(new)
-        if lines.translate(None, _LINE_BYTES) or b"\xc3\x97" in lines or b"\xc3\xb7" in lines or max(map(len, new)) > LONG:
-            plain = [w for w in new if len(w) <= LONG and _PLAIN(w)]
-            lines = b"\n".join(plain)
-        if any(s in lines for s in self.special):
-            plain = [w for w in plain if not any(s in w for s in self.special)]
-            lines = b"\n".join(plain)
-        if plain:
-            flat = _PARTS(lines.decode().lower())
-            self.pieces["\n"] = self.mark
-            unknown = set(filterfalse(self.pieces.__contains__, flat))
-            for p in [p for p in unknown if p in self.once]:
+        for name, most in (("words", WORDS), ("pieces", PIECES), ("once", ONCE)):
+            if len(getattr(self, name)) > most:
+                setattr(self, name, {})
+        joined = b" ".join([*texts, b"  "])
+        first, starts, packed, others = _cut(joined, self.special)
+        if not len(first):
+            return [b""] * len(texts)
+        offsets = pa.py_buffer(np.append(starts, len(packed)).astype(np.int64))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(first), [None, offsets, pa.py_buffer(packed)]).dictionary_encode()
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        other = np.zeros(len(distinct), bool)
+        other[pieces.indices.to_numpy()[others]] = True
+        ids = pa.array(self._ids(distinct, other.tolist()), pa.large_binary()).take(pieces.indices)
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[np.searchsorted(first, begins)].tolist()
+        data = ids.buffers()[2].to_pybytes()
+        return [data[a:b] for a, b in pairwise(ends)]
+
+    def _ids(self, distinct: list[bytes], other: list[bool]) -> list[bytes]:
+        """Ids of each piece of plain words, or, where other is true, of a whole word."""
+        ids = list(map(self.pieces.get, distinct))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        words = [w for i in missing if other[i] and (w := distinct[i]) not in self.words]
+        unknown = []
+        for p in (distinct[i] for i in missing if not other[i]):
+            if p in self.once:
                 self.pieces[p] = self.once.pop(p)
-                unknown.remove(p)
-            parts = [p for p in unknown if p.isascii()]
-            self._encode_pieces(self.ascii, parts)
-            if len(parts) < len(unknown):
-                parts += (rest := [p for p in unknown if not p.isascii()])
-                self._encode_pieces(self.bare, rest)
-            self.words.update(zip(plain, b"".join(map(self.pieces.__getitem__, flat)).split(self.mark), strict=True))
-            for p in parts:
-                self.once[p] = self.pieces.pop(p)
-        if rest := [] if len(plain) == len(new) else [w for w in new if w not in self.words]:
-            self.words.update(zip(rest, self.whole(rest), strict=True))
-
-    def _encode_pieces(self, tokenizer: object, parts: list[str]) -> None:
+            else:
+                unknown.append(p)
+        new = dict(zip(words, self.whole(words), strict=True)) if words else {}
+        self.words.update((w, x) for w, x in new.items() if len(w) <= LONG)
+        parts = [p for p in unknown if p.isascii()]
+        fresh = self._encode_pieces(self.ascii, parts)
+        if len(parts) < len(unknown):
+            fresh |= self._encode_pieces(self.bare, [p for p in unknown if not p.isascii()])
+        self.once |= fresh if max(map(len, fresh), default=0) <= LONG else {p: x for p, x in fresh.items() if len(p) <= LONG}
+        for i in missing:
+            p = distinct[i]
+            for known in (new, self.words) if other[i] else (fresh, self.pieces):
+                if p in known:
+                    ids[i] = known[p]
+                    break
+        return ids
+
+    def _encode_pieces(self, tokenizer: object, parts: list[bytes]) -> dict[bytes, bytes]:
         """Ids of pieces, all in one request: each piece's last id, and no other, is of a token that ends a word."""
         if not parts:
-            return
-        ids = np.array(tokenizer.encode_batch_fast([parts], is_pretokenized=True, add_special_tokens=False)[0].ids, self.kind)
+            return {}
+        found = tokenizer.encode_batch_fast([b"\n".join(parts).decode().split("\n")], is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(found[0].ids, self.kind)
         at = [0, *((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()]
         data = ids.tobytes()
-        self.pieces.update(zip(parts, map(data.__getitem__, map(slice, at[:-1], at[1:])), strict=True))
+        return dict(zip(parts, map(data.__getitem__, map(slice, at[:-1], at[1:])), strict=True))
+
+
+def _cut(joined: bytes, special: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts, with two spaces at least at their end, in pieces: where they start; where they do without white space; these bytes; which pieces are words that aren't plain.
+
+    Pieces are those of _PATTERN, in lower case; words that aren't plain, or hold a special token, are left as they are.
+    """
+    data = np.frombuffer(joined, np.uint8)
+    kind, low = _KIND[data], _LOWER[data]
+    start = kind == _DIGIT
+    start[0] = True
+    start[1:] |= kind[1:] != kind[:-1]
+    # 's, 't, 'm, 'd, 're, 've and 'll are pieces where no other sign stands before them
+    marks = np.flatnonzero(low == 39)
+    marks = marks[start[marks]]
+    one, two = low[marks + 1], low[marks + 2]
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
+    start[marks[short | long] + 1] = False
+    start[marks[short] + 2] = True
+    start[marks[long] + 3] = True
+    odd = kind == _OTHER
+    if not joined.isascii():
+        high = np.flatnonzero(data >= 0x80)
+        odd[high[np.where(data[high] == 0xC3, _NO_LETTER[data[high + 1]], data[high - 1] != 0xC3)]] = True
+    for s in special:
+        odd[[m.start() for m in re.finditer(re.escape(s), joined)]] = True
+    begin = np.zeros(0, np.int64)
+    if odd.any():
+        end = np.flatnonzero(kind == _GAP)
+        begin = np.append(0, end[:-1] + 1)
+        some = np.logical_or.reduceat(odd, begin)
+        begin, end = begin[some], end[some]
+        inside = np.zeros(len(data), np.int8)
+        inside[begin] = 1
+        inside[end] = -1
+        inside = np.cumsum(inside, dtype=np.int8).view(bool)
+        low[inside] = data[inside]
+        start[inside] = False
+        start[begin] = True
+    keep = kind != _GAP
+    starts, packed = np.flatnonzero(start[keep]), low[keep]
+    first = np.flatnonzero(start & keep)
+    return first, starts, packed, np.searchsorted(first, begin)
 
 
 def _parts(text: bytes) -> Iterator[bytes]:

@@ -57,6 +57,52 @@ def test_bounds_of_what_is_remembered(monkeypatch):
     assert [np.frombuffer(x, coder.kind).tolist() for x in coder.encode([t.encode() for t in texts])] == want
 
 
+class Asked(dict):
+    """What is remembered, and how often it was asked for."""
+
+    times = 0
+
+    def get(self, *key):
+        Asked.times += 1
+        return super().get(*key)
+
+    def __getitem__(self, key):
+        Asked.times += 1
+        return super().__getitem__(key)
+
+    def __contains__(self, key):
+        Asked.times += 1
+        return super().__contains__(key)
+
+
+def test_equal_words_are_looked_up_once_for_many_texts():
+    with open(token_ids.word_bpe(), encoding="utf-8") as f:
+        coder = token_ids.Coder(f.read())
+    coder.words, coder.pieces, coder.once, Asked.times = Asked(), Asked(), Asked(), 0
+    texts = ["The cat's hat, ÉTÉ 12. ", "café x÷y 日本語 "] * 300
+    found = coder.encode([(t * 10).encode() for t in texts])
+    assert [np.frombuffer(x, coder.kind).tolist() for x in found[:2]] == [e.ids for e in plain().encode_batch([t * 10 for t in texts[:2]], add_special_tokens=False)]
+    assert 0 < Asked.times < 200
+
+
+def test_contractions_and_letters_of_two_bytes():
+    with open(token_ids.word_bpe(), encoding="utf-8") as f:
+        coder = token_ids.Coder(f.read())
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("''stremvldSTREVLÉÀßÿ×÷Þ\"-9<  "), rng.integers(0, 30))) for _ in range(3000)]
+    texts += ["", "'s", "'re'll''s'", "'", "<|endoftext|>'s'<|endoftext|>", "9's9", "'s\u0301 'se"]
+    want = [e.ids for e in plain().encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, coder.kind).tolist() for x in coder.encode([t.encode() for t in texts])] == want
+
+
+def test_bytes_that_are_no_text():
+    with open(token_ids.word_bpe(), encoding="utf-8") as f:
+        coder = token_ids.Coder(f.read())
+    texts = [b"\x80", b"ab \x80 c\xc3", b"\xc3 \xa9", b"\xc3\xc3\xa9\xa9", b"\xff\xfe x"]
+    want = [plain().encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, coder.kind).tolist() for x in [*(y for t in texts for y in coder.encode([t])), *coder.encode(texts)]] == want * 2
+
+
 @pytest.mark.parametrize("n", [0, 1, 3, 4, 1001])
 def test_pack_round_trip(n):
     rng = np.random.default_rng(n)
