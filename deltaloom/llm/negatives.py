@@ -1,10 +1,12 @@
 """Hard negatives of labelled vectors: for each anchor and each of its positives, the best rows of other labels within a band of scores.
 
-Blocks of anchors meet blocks of candidates by an equi-join on a group of anchors and a salt, twice.
+Blocks of anchors meet blocks of candidates in partitions by a group of anchors and a salt, twice. Both are one table, sorted
+so that a group's anchors come first and each block is sent once: a join would send a pair of blocks for each meeting.
 First each anchor's nearest rows of its own label are found. Then, for the candidates that a task has in hand, every anchor's
 scores are computed as whole numbers and sorted in full, by score and id; a positive's upper limit is found by binary
 search, and from there the first k entries down to its lower limit are read. What tasks hand on, k rows at most for each
-positive, is ranked once more. Nothing is collected or broadcast, and no label's rows meet in one place.
+positive, is ranked once more. Nothing is collected or broadcast, and no label's rows meet in one place. (Anchors have a copy
+for every salt. Spark would broadcast them all where it takes the anchors' files to be small, hence no join there and merges elsewhere.)
 
 Defined results: rows with a null vec_id, label or vector, or null or non-finite components
 take no part; shorter vectors count as filled up with zeros; scaled components beyond
@@ -93,8 +95,8 @@ def _pack(salts: int):
     return pack
 
 
-_ANCHORS = pa.schema([("part", pa.int32()), *((f"a_{f.name}", f.type) for f in _BLOCK if f.name != "salt"), ("a_scores", pa.binary())])
-_ANCHOR_ROWS = "part int, a_n int, a_d int, a_ids binary, a_labels binary, a_m binary, a_scores binary"
+_ANCHORS = pa.schema([("part", pa.int32()), *(f for f in _BLOCK if f.name != "salt"), ("scores", pa.binary())])
+_ANCHOR_ROWS = "part int, n int, d int, ids binary, labels binary, m binary, scores binary"
 _NONE = -(2**63)
 
 
@@ -103,10 +105,10 @@ def _pack_anchors(table: pa.Table) -> Iterator[pa.RecordBatch]:
     rows = []
     for batch in table.combine_chunks().to_batches(max_chunksize=ANCHORS):
         m = _matrix(batch.column("v"))
-        row = {"part": part, "a_n": batch.num_rows, "a_d": m.shape[1], "a_ids": batch.column("vec_id").to_numpy().tobytes(), "a_labels": batch.column("label").to_numpy().tobytes(), "a_m": _narrow(m)}
+        row = {"part": part, "n": batch.num_rows, "d": m.shape[1], "ids": batch.column("vec_id").to_numpy().tobytes(), "labels": batch.column("label").to_numpy().tobytes(), "m": _narrow(m)}
         if "scores" in table.column_names:
             scores = np.array([s + [_NONE] * (POSITIVES - len(s)) for s in batch.column("scores").to_pylist()], np.int64)
-            row["a_scores"] = scores.tobytes()
+            row["scores"] = scores.tobytes()
         rows.append(row)
     return pa.Table.from_pylist(rows, schema=_ANCHORS)
 
@@ -129,10 +131,10 @@ class _Anchors:
     """A block of anchors and what has been found for each so far: candidates' scores and ids, best first."""
 
     def __init__(self, row: dict) -> None:
-        n, d = row["a_n"], row["a_d"]
-        self.ids, self.labels = (np.frombuffer(row[c], np.int64) for c in ("a_ids", "a_labels"))
-        self.m = _wide(row["a_m"], n, d)
-        positives = row["a_scores"]
+        n, d = row["n"], row["d"]
+        self.ids, self.labels = (np.frombuffer(row[c], np.int64) for c in ("ids", "labels"))
+        self.m = _wide(row["m"], n, d)
+        positives = row["scores"]
         #: The positives' scores, a row for each anchor; without them rows of the own label are looked for.
         self.positives = np.frombuffer(positives, np.int64).reshape(n, POSITIVES) if positives else None
         self.held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -173,13 +175,19 @@ class _Anchors:
 def _search(k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[bytes, _Anchors] = {}
+        group = None
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["a_ids"] not in blocks:
-                    if len(blocks) >= GROUP:  # the final ranking merges what is handed on early
-                        yield blocks.pop(next(iter(blocks))).rows()
-                    blocks[row["a_ids"]] = _Anchors(row)
-                blocks[row["a_ids"]].meet(row, k)
+            for i in range(batch.num_rows):  # one at a time, as a batch holds many blocks
+                row = batch.slice(i, 1).to_pylist()[0]
+                if row["group"] != group:  # the final ranking merges what is handed on early
+                    for block in blocks.values():
+                        yield block.rows()
+                    blocks, group = {}, row["group"]
+                if row["candidate"]:
+                    for block in blocks.values():
+                        block.meet(row, k)
+                elif row["ids"] not in blocks:  # else known from another salt
+                    blocks[row["ids"]] = _Anchors(row)
         for block in blocks.values():
             yield block.rows()
 
@@ -189,10 +197,12 @@ def _search(k: int):
 def _meet(anchors: DataFrame, candidates: DataFrame, blocks: int, salts: int, k: int) -> DataFrame:
     """The k first rows of each anchor and place over all candidates: anchor_id, place, rank, vec_id, score."""
     part = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("part")
-    packed = anchors.select(part, *anchors.columns).groupBy("part").applyInArrow(_pack_anchors, _ANCHOR_ROWS)
-    a = packed.withColumn("group", (F.col("part") / GROUP).cast("int")).drop("part").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    c = candidates.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // GROUP))))
-    found = c.join(a, ["group", "salt"]).select("n", "d", "ids", "labels", "m", "a_n", "a_d", "a_ids", "a_labels", "a_m", "a_scores").mapInArrow(_search(k), _FOUND_ROWS)
+    # a task for each block, as each becomes a copy for every salt; Spark would join the small partitions to one
+    packed = anchors.select(part, *anchors.columns).repartition(blocks, "part").groupBy("part").applyInArrow(_pack_anchors, _ANCHOR_ROWS)
+    a = packed.withColumn("group", (F.col("part") / GROUP).cast("int")).drop("part").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("candidate", F.lit(False))
+    c = candidates.withColumns({"group": F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // GROUP))), "candidate": F.lit(True), "scores": F.lit(None).cast("binary")})
+    both = a.unionByName(c).repartition("group", "salt").sortWithinPartitions("group", "salt", "candidate")
+    found = both.drop("salt").mapInArrow(_search(k), _FOUND_ROWS)
     rank = F.row_number().over(Window.partitionBy("anchor_id", "place").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -205,8 +215,10 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, scale: float = SCALE,
     anchors = materialize(anchors, "anchors")
     blocks = max(1, -(-anchors.count() // ANCHORS))
     candidates = materialize(numbers.mapInArrow(_pack(salts), _BLOCK_ROWS), "candidates")
+    salts = min(salts, max(1, candidates.count()))  # more would be copies of anchors that meet nothing
+    candidates = candidates.withColumn("salt", F.pmod("salt", F.lit(salts)))
     positives = materialize(_meet(anchors, candidates, blocks, salts, POSITIVES).select("anchor_id", F.col("rank").alias("positive_rank"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
     scores = positives.groupBy(F.col("anchor_id").alias("vec_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("positive_rank", "positive_score"))), lambda p: p["positive_score"]).alias("scores"))
-    found = _meet(anchors.join(scores, "vec_id"), candidates, blocks, salts, k)
+    found = _meet(anchors.hint("merge").join(scores, "vec_id"), candidates, blocks, salts, k)
     found = found.select("anchor_id", (F.col("place") + 1).alias("positive_rank"), "rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
-    return found.join(positives, ["anchor_id", "positive_rank"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score", "positive_rank")
+    return found.hint("merge").join(positives, ["anchor_id", "positive_rank"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score", "positive_rank")

@@ -256,6 +256,22 @@ def test_limits_are_exact(spark):
     assert [r["negative_id"] for r in found.orderBy("rank").collect()] == [19, 18, 17, 16, 15, 14, 13]
 
 
+def test_anchors_are_not_broadcast(spark, monkeypatch):
+    plans, write = [], negatives.materialize
+
+    def planned(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(negatives, "materialize", lambda df, tag: write(planned(df), tag))
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.standard_normal(8).tolist(), i % 3, None, None) for i in range(600)]
+    planned(negatives.hard_negatives(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 100 == 0))
+    # small as their files are, each anchor has a copy for every salt
+    assert len(plans) == 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_op13_of_a_hot_label(spark, tmp_path):
     rng = np.random.default_rng(8)
     rows = [(i, rng.standard_normal(8).tolist(), 1 if i % 3 else int(rng.integers(10)), None, None) for i in range(1500)] + [(77, [0.5] * 8, 1, None, None)] * 500 + [(None, [0.5] * 8, 1, None, None)] * 500
