@@ -6,7 +6,7 @@ First each anchor's nearest rows of its own label are found. Then, for the candi
 scores are computed as whole numbers and sorted in full, by score and id; a positive's upper limit is found by binary
 search, and from there the first k entries down to its lower limit are read. What tasks hand on, k rows at most for each
 positive, is ranked once more. Nothing is collected or broadcast, and no label's rows meet in one place. (Anchors have a copy
-for every salt. Spark would broadcast them all where it takes the anchors' files to be small, hence no join there and merges elsewhere.)
+for every salt. Spark would broadcast them all, as its estimate leaves the copies out, hence no join there and merges elsewhere.)
 
 Defined results: rows with a null vec_id, label or vector, or null or non-finite components
 take no part; shorter vectors count as filled up with zeros; scaled components beyond

@@ -6,9 +6,11 @@ and Schwarz what the remaining dimensions can add is at most the product of the
 remaining lengths, so pairs that cannot reach the query's k-th best score are
 dropped and the survivors compacted.
 
-Blocks of queries meet blocks of candidates by an equi-join on a group of GROUP
-query blocks and a salt: candidates are sent once for each group, query blocks once
-for each salt, as the smallest integers that hold them. Nothing is collected or broadcast.
+Blocks of queries meet blocks of candidates in partitions by a group of GROUP
+query blocks and a salt, in one table, sorted so that a group's queries come first: candidates
+are sent once for each group, query blocks once for each salt, as the smallest integers that
+hold them. Nothing is collected or broadcast; in a join Spark would broadcast the queries'
+copies for every salt where it takes the queries to be few.
 
 Defined results: vectors that are null, or hold null or non-finite components,
 take no part, nor do rows with a null vec_id; shorter vectors, empty ones too, count as
@@ -211,13 +213,20 @@ def _search_blocks(k: int):
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bests: dict[bytes, _Best] = {}
+        group = None
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["q_ids"] not in bests:
-                    if len(bests) >= GROUP:  # the final ranking merges what is handed on early
-                        yield rows(bests.pop(next(iter(bests))))
-                    bests[r["q_ids"]] = _Best(np.frombuffer(r["q_ids"], np.int64), _matrix(r["q_m"], r["q_d"], r["q_n"]), k)
-                _search(bests[r["q_ids"]], np.frombuffer(r["ids"], np.int64), _matrix(r["m"], r["d"], r["n"]))
+            for i in range(batch.num_rows):  # one at a time, as a batch holds many blocks
+                r = batch.slice(i, 1).to_pylist()[0]
+                if r["group"] != group:  # the final ranking merges what is handed on early
+                    for best in bests.values():
+                        yield rows(best)
+                    bests, group = {}, r["group"]
+                ids, m = np.frombuffer(r["ids"], np.int64), _matrix(r["m"], r["d"], r["n"])
+                if r["candidate"]:
+                    for best in bests.values():
+                        _search(best, ids, m)
+                elif r["ids"] not in bests:  # else known from another salt
+                    bests[r["ids"]] = _Best(ids, m, k)
         for best in bests.values():
             yield rows(best)
 
@@ -232,11 +241,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     queries = v.where(is_query & F.col("vec_id").isNotNull() & finite).groupBy("vec_id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-queries.count() // QUERIES))
     groups, salts = -(-blocks // GROUP), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("part"), "vec_id", "v").groupBy("part").applyInArrow(_pack_group, _PACKED)
-    q = packed.select((F.col("part") / GROUP).cast("int").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), *(F.col(c).alias(f"q_{c}") for c in ("n", "d", "ids", "m")))
+    # a task for each block, as each becomes a copy for every salt; Spark would join the small partitions to one
+    packed = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("part"), "vec_id", "v").repartition(blocks, "part").groupBy("part").applyInArrow(_pack_group, _PACKED)
+    block = ("n", "d", "ids", "m")
+    q = packed.select((F.col("part") / GROUP).cast("int").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(False).alias("candidate"), *block)
     c = v.mapInArrow(_pack(CANDIDATES, salts), _PACKED)
-    c = c.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.col("part").alias("salt"), "n", "d", "ids", "m")
-    found = c.join(q, ["group", "salt"]).select("n", "d", "ids", "m", "q_n", "q_d", "q_ids", "q_m")
-    found = found.mapInArrow(_search_blocks(k), "query_id long, vec_id long, score long")
+    c = c.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.col("part").alias("salt"), F.lit(True).alias("candidate"), *block)
+    both = q.unionByName(c).repartition("group", "salt").sortWithinPartitions("group", "salt", "candidate")
+    found = both.drop("salt").mapInArrow(_search_blocks(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

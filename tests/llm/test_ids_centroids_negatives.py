@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_oracles import same
 
-from deltaloom.llm import centroids, negatives, registry, token_ids
+from deltaloom.llm import centroids, negatives, registry, token_ids, topk
 
 DOCS = "doc_id long, text string, ids string, nth string, start long"
 VECTORS = "vec_id long, embedding array<double>, label int, v string, score long"
@@ -272,6 +272,13 @@ def test_anchors_are_not_broadcast(spark, monkeypatch):
     assert len(plans) == 4 and not any("Broadcast" in p for p in plans)
 
 
+def test_queries_are_not_broadcast(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, rng.standard_normal(8).tolist(), None, None, None) for i in range(600)]
+    found = topk.top_k(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 100 == 0, 3)
+    assert len(found.collect()) == 18 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_op13_of_a_hot_label(spark, tmp_path):
     rng = np.random.default_rng(8)
     rows = [(i, rng.standard_normal(8).tolist(), 1 if i % 3 else int(rng.integers(10)), None, None) for i in range(1500)] + [(77, [0.5] * 8, 1, None, None)] * 500 + [(None, [0.5] * 8, 1, None, None)] * 500
